@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from .bpe import op5_bpe
 from .chat import OP6_SQL, op6_chat
 from .mixing import OP2_SQL, op2_mixing
 
 
 def queries():
-    return {"op2_mixing": op2_mixing, "op6_chat": op6_chat}
+    return {"op2_mixing": op2_mixing, "op5_bpe": op5_bpe, "op6_chat": op6_chat}
 
 
 def oracle_sql():
