@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from .bpe import op5_bpe
 from .chat import OP6_SQL, op6_chat
+from .fingerprints import op1_fingerprints
 from .mixing import OP2_SQL, op2_mixing
 
 
 def queries():
-    return {"op2_mixing": op2_mixing, "op5_bpe": op5_bpe, "op6_chat": op6_chat}
+    return {"op1_fingerprints": op1_fingerprints, "op2_mixing": op2_mixing, "op5_bpe": op5_bpe, "op6_chat": op6_chat}
 
 
 def oracle_sql():
-    return {"op2_mixing": OP2_SQL, "op6_chat": OP6_SQL}
+    return {"op1_fingerprints": op1_fingerprints, "op2_mixing": OP2_SQL, "op6_chat": OP6_SQL}
