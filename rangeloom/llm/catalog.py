@@ -5,11 +5,13 @@ from __future__ import annotations
 from .bpe import op5_bpe
 from .chat import OP6_SQL, op6_chat
 from .fingerprints import op1_fingerprints
+from .language import op10_language
 from .mixing import OP2_SQL, op2_mixing
+from .quality import op3_quality
 
 
 def queries():
-    return {"op1_fingerprints": op1_fingerprints, "op2_mixing": op2_mixing, "op5_bpe": op5_bpe, "op6_chat": op6_chat}
+    return {"op1_fingerprints": op1_fingerprints, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op5_bpe": op5_bpe, "op6_chat": op6_chat, "op10_language": op10_language}
 
 
 def oracle_sql():
