@@ -8,10 +8,11 @@ from .fingerprints import op1_fingerprints
 from .language import op10_language
 from .mixing import OP2_SQL, op2_mixing
 from .quality import op3_quality
+from .simhash import op7_simhash
 
 
 def queries():
-    return {"op1_fingerprints": op1_fingerprints, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op5_bpe": op5_bpe, "op6_chat": op6_chat, "op10_language": op10_language}
+    return {"op1_fingerprints": op1_fingerprints, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op5_bpe": op5_bpe, "op6_chat": op6_chat, "op7_simhash": op7_simhash, "op10_language": op10_language}
 
 
 def oracle_sql():
