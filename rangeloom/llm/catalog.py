@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op5_bpe
 from .chat import OP6_SQL, op6_chat
+from .embeddings import op9_embeddings
 from .fingerprints import op1_fingerprints
 from .language import op10_language
 from .mixing import OP2_SQL, op2_mixing
@@ -12,7 +13,7 @@ from .simhash import op7_simhash
 
 
 def queries():
-    return {"op1_fingerprints": op1_fingerprints, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op5_bpe": op5_bpe, "op6_chat": op6_chat, "op7_simhash": op7_simhash, "op10_language": op10_language}
+    return {"op1_fingerprints": op1_fingerprints, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op5_bpe": op5_bpe, "op6_chat": op6_chat, "op7_simhash": op7_simhash, "op9_embeddings": op9_embeddings, "op10_language": op10_language}
 
 
 def oracle_sql():
