@@ -10,10 +10,11 @@ from .language import op10_language
 from .mixing import OP2_SQL, op2_mixing
 from .quality import op3_quality
 from .simhash import op7_simhash
+from .token_counts import op8_token_counts
 
 
 def queries():
-    return {"op1_fingerprints": op1_fingerprints, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op5_bpe": op5_bpe, "op6_chat": op6_chat, "op7_simhash": op7_simhash, "op9_embeddings": op9_embeddings, "op10_language": op10_language}
+    return {"op1_fingerprints": op1_fingerprints, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op5_bpe": op5_bpe, "op6_chat": op6_chat, "op7_simhash": op7_simhash, "op8_token_counts": op8_token_counts, "op9_embeddings": op9_embeddings, "op10_language": op10_language}
 
 
 def oracle_sql():
