@@ -7,6 +7,7 @@ from .chat import OP6_SQL, op6_chat
 from .embeddings import op9_embeddings
 from .fingerprints import op1_fingerprints
 from .language import op10_language
+from .licenses import op4_licenses
 from .mixing import OP2_SQL, op2_mixing
 from .quality import op3_quality
 from .simhash import op7_simhash
@@ -14,7 +15,7 @@ from .token_counts import op8_token_counts
 
 
 def queries():
-    return {"op1_fingerprints": op1_fingerprints, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op5_bpe": op5_bpe, "op6_chat": op6_chat, "op7_simhash": op7_simhash, "op8_token_counts": op8_token_counts, "op9_embeddings": op9_embeddings, "op10_language": op10_language}
+    return {"op1_fingerprints": op1_fingerprints, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op4_licenses": op4_licenses, "op5_bpe": op5_bpe, "op6_chat": op6_chat, "op7_simhash": op7_simhash, "op8_token_counts": op8_token_counts, "op9_embeddings": op9_embeddings, "op10_language": op10_language}
 
 
 def oracle_sql():
