@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .bpe import op5_bpe
 from .chat import OP6_SQL, op6_chat
 from .embeddings import op9_embeddings
@@ -15,7 +17,7 @@ from .token_counts import op8_token_counts
 
 
 def queries():
-    return {"op1_fingerprints": op1_fingerprints, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op4_licenses": op4_licenses, "op5_bpe": op5_bpe, "op6_chat": op6_chat, "op7_simhash": op7_simhash, "op8_token_counts": op8_token_counts, "op9_embeddings": op9_embeddings, "op10_language": op10_language}
+    return {"op1_fingerprints": op1_fingerprints, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op4_licenses": op4_licenses, "op5_bpe": op5_bpe, "op6_chat": op6_chat, "op7_simhash": op7_simhash, "op8_token_counts": op8_token_counts, "op9_embeddings": op9_embeddings, "op10_language": op10_language, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():

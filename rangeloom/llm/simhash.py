@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import checkpointed, chunks, lowered, table, texts_of, words_of
 
@@ -75,15 +76,17 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and fp, the fingerprint as a signed 64-bit number."""
+    docs = docs.select(*keep, "text")
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("fp", T.LongType())])
 
     def run(batches):
         for batch in chunks(batches, "text"):
             found = fingerprints_of(*texts_of(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found.view(np.int64))], names=[*keep, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.mapInArrow(run, schema)
 
 
 def gray_rank(x):
@@ -252,15 +255,27 @@ def components(edges: DataFrame) -> DataFrame:
     return edges
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id of each document; few numbers a document cross any shuffle."""
-    marked = checkpointed(fingerprints(docs))
+def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep``, fp, component_id and top (the component's smallest fp) of each document; few numbers a document cross any shuffle."""
+    marked = checkpointed(fingerprints(docs, keep))
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     found = components(links(distinct.select("fp")))
     named = distinct.join(found.select(F.col("u").alias("fp"), F.col("v").alias("top")), "fp", "left").withColumn("top", F.coalesce("top", "fp"))
     smallest = named.groupBy("top").agg(F.min("rep").alias("component_id"))
-    by_fp = named.join(smallest, "top").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = named.join(smallest, "top").select("fp", "component_id", "top")
+    return marked.join(by_fp, "fp").select(*keep, "fp", "component_id", "top")
+
+
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` without near-duplicates: of each component, the row of smallest doc_id stays (of rows that repeat it, one)."""
+    columns = docs.columns
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = near_duplicates(docs.select("doc_id", "text", mark.alias("__mark")), ("doc_id", "__mark"))
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("top").agg(F.min("__mark").alias("__mark"), F.first("component_id").alias("__id"))
+    wide = docs.withColumn("__mark", mark)
+    kept = kept.select("__id", F.col("__mark").alias("__kept"))
+    own = wide.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__kept")), "left_semi")
+    return own.dropDuplicates(["doc_id", "__mark"]).select(*columns)
 
 
 def op7_simhash(spark, sf_dir) -> DataFrame:
