@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .plans.oracles import ORACLES
+from .plans.queries import QUERIES, range_graph_from_index
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """The K-NN graph of a key range, from the interval index."""
+    return range_graph_from_index(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
