@@ -169,7 +169,7 @@ def diverse(candidates: DataFrame, vectors: DataFrame, k: int, refill: bool = Fa
     return wide.groupBy("node").applyInArrow(run, "node int, nbr int, dist double, rank int")
 
 
-def hashed_graph(vectors: DataFrame, k: int, tables: int = 8, bits: int = 5, seed: int = 7) -> DataFrame:
+def hashed_graph(vectors: DataFrame, k: int, tables: int = 12, bits: int = 5, seed: int = 7) -> DataFrame:
     """A K-NN graph from candidates that share a cell of random hyperplanes in some table."""
     first = vectors.select("embedding").first()
     if first is None:
