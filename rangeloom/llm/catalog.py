@@ -17,8 +17,21 @@ from .token_counts import op8_token_counts
 
 
 def queries():
-    return {"op1_fingerprints": op1_fingerprints, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op4_licenses": op4_licenses, "op5_bpe": op5_bpe, "op6_chat": op6_chat, "op7_simhash": op7_simhash, "op8_token_counts": op8_token_counts, "op9_embeddings": op9_embeddings, "op10_language": op10_language, "pipeline": corpus_pipeline.run}
+    return {
+        "op1_fingerprints": op1_fingerprints,
+        "op2_mixing": op2_mixing,
+        "op3_quality": op3_quality,
+        "op4_licenses": op4_licenses,
+        "op5_bpe": op5_bpe,
+        "op6_chat": op6_chat,
+        "op7_simhash": op7_simhash,
+        "op8_token_counts": op8_token_counts,
+        "op9_embeddings": op9_embeddings,
+        "op10_language": op10_language,
+        "pipeline": corpus_pipeline.run,
+    }
 
 
 def oracle_sql():
-    return {"op1_fingerprints": op1_fingerprints, "op2_mixing": OP2_SQL, "op6_chat": OP6_SQL}
+    own = {"op2_mixing": OP2_SQL, "op6_chat": OP6_SQL}
+    return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
