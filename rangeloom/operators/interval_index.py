@@ -201,3 +201,24 @@ def append(index: DataFrame, vectors: DataFrame, new: DataFrame, k: int) -> Data
     fresh = fresh.select(F.col("x").alias("node"), F.lit("R").alias("side"), F.col("p").alias("nbr"), F.col("d").alias("dist"), F.lit(OPEN).alias("sub"))
     same = index.where(~((F.col("side") == "R") & (F.col("sub") == OPEN)))
     return same.unionByName(bounded).unionByName(fresh).unionByName(left)
+
+
+def build_near(vectors: DataFrame, graph: DataFrame, k: int, hops: int = 2) -> DataFrame:
+    """The index from candidates only: each node's neighbours in an approximate graph, those of ``hops`` steps, and every position between its K-th left and K-th right of them.
+
+    Near keys are exact, since all of them are scanned; far ones are as good as the graph. The cost
+    grows with the candidates, not with all pairs.
+    """
+    edges = graph.select("node", "nbr").distinct()
+    found = edges
+    for _ in range(hops - 1):
+        further = found.select("node", F.col("nbr").alias("__mid")).join(edges.select(F.col("node").alias("__mid"), "nbr"), "__mid").select("node", "nbr")
+        found = found.unionByName(further).where("node <> nbr").distinct()
+    left = F.row_number().over(Window.partitionBy("node", F.col("nbr") < F.col("node")).orderBy(F.abs(F.col("nbr") - F.col("node"))))
+    near = found.withColumn("__r", left).where(F.col("__r") <= k).groupBy("node").agg(F.min(F.when(F.col("nbr") < F.col("node"), F.col("nbr"))).alias("l"), F.max(F.when(F.col("nbr") > F.col("node"), F.col("nbr"))).alias("r"))
+    between = near.select("node", F.explode(F.sequence(F.coalesce("l", "node"), F.coalesce("r", "node"))).alias("nbr")).where("node <> nbr")
+    every = found.unionByName(between).distinct()
+    of = lambda a, v: vectors.select(F.col("pos").alias(a), F.col("embedding").alias(v))
+    far = every.join(of("node", "x"), "node").join(of("nbr", "y"), "nbr")
+    side = F.when(F.col("nbr") < F.col("node"), "L").otherwise("R")
+    return settle(far.select("node", side.alias("side"), "nbr", l2sqr(F.col("x"), F.col("y")).alias("dist")), k)

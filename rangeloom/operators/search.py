@@ -17,18 +17,16 @@ from .blocks import matrix
 from .exact import between
 
 
-def beam(index: DataFrame, vectors: DataFrame, point: Sequence[float], k: int, low: int, high: int, width: int = 64, entries: int = 10, most_hops: int = 12) -> DataFrame:
-    """Best-first search over the range's graph, which the index holds: pos, dist, rank.
+def graph_search(edges: DataFrame, vectors: DataFrame, point: Sequence[float], k: int, starts: Sequence[int], width: int = 64, most_hops: int = 12, radius: float | None = None) -> DataFrame:
+    """Best-first search over any graph (node, nbr) from given nodes: pos, dist, rank.
 
     Each hop expands, at once, all of the ``width`` nearest found that were not expanded before; it ends
-    when none is left. Entry points are spread evenly over the range and count as found.
+    when none is left. The starts count as found. ``radius`` bounds the result, not the walk.
     """
     where = F.array(*[F.lit(float(x)) for x in point])
     far = vectors.select("pos", l2sqr(F.col("embedding"), where).alias("dist"))
-    edges = interval_index.stabbed(index, low, high).select("node", "nbr")
-    doors = sorted({low + (high - low) * i // (entries + 1) for i in range(1, entries + 1)})
     order = Window.orderBy("dist", "pos")
-    beam_ = cut(between(far, low, high).where(F.col("pos").isin(doors)).withColumn("done", F.lit(False)))
+    beam_ = cut(far.where(F.col("pos").isin(list(starts))).withColumn("done", F.lit(False)))
     for _ in range(most_hops):
         open_ = beam_.where("NOT done").select("pos")
         if open_.isEmpty():
@@ -36,7 +34,15 @@ def beam(index: DataFrame, vectors: DataFrame, point: Sequence[float], k: int, l
         reached = edges.join(open_.withColumnRenamed("pos", "node"), "node").select(F.col("nbr").alias("pos")).distinct().join(beam_.select("pos"), "pos", "left_anti")
         found = far.join(reached, "pos").withColumn("done", F.lit(False))
         beam_ = cut(beam_.withColumn("done", F.lit(True)).unionByName(found).orderBy("dist", "pos").limit(width))
-    return beam_.orderBy("dist", "pos").limit(k).select("pos", "dist").withColumn("rank", F.row_number().over(order))
+    found = beam_ if radius is None else beam_.where(F.col("dist") <= radius)
+    return found.orderBy("dist", "pos").limit(k).select("pos", "dist").withColumn("rank", F.row_number().over(order))
+
+
+def beam(index: DataFrame, vectors: DataFrame, point: Sequence[float], k: int, low: int, high: int, width: int = 64, entries: int = 10, most_hops: int = 12) -> DataFrame:
+    """``graph_search`` over the range's graph, which the index holds, from ``entries`` nodes spread evenly over the range."""
+    edges = interval_index.stabbed(index, low, high).select("node", "nbr")
+    doors = sorted({low + (high - low) * i // (entries + 1) for i in range(1, entries + 1)})
+    return graph_search(edges, between(vectors, low, high), point, k, doors, width, most_hops)
 
 
 class ProductQuantizer:

@@ -236,6 +236,18 @@ def beam_search(spark, sf_dir):
     return found(search.beam(interval_index.build(v, K), v, point(v, 250), 10, LOW, HIGH))
 
 
+def approximate_index_graph(spark, sf_dir):
+    v = by_label(spark, sf_dir)
+    index = interval_index.build_near(v, nndescent.hashed_graph(v, 2 * K), K)
+    return edges(interval_index.graph(index, K, LOW, HIGH))
+
+
+def graph_search(spark, sf_dir):
+    v = by_label(spark, sf_dir)
+    graph = nndescent.with_reverse(exact.graph(v, K))
+    return found(search.graph_search(graph, v, point(v, 250), 10, range(0, 500, 50)))
+
+
 def diverse_neighbours(spark, sf_dir):
     v = by_label(spark, sf_dir)
     return edges(nndescent.diverse(exact.graph(v, 3 * K, LOW, HIGH), v, K, refill=True))
@@ -284,6 +296,8 @@ QUERIES = {
     "nn_descent_graph": nn_descent_graph,
     "lsh_knn_graph": lsh_knn_graph,
     "beam_search": beam_search,
+    "approximate_index_graph": approximate_index_graph,
+    "graph_search": graph_search,
     "diverse_neighbours": diverse_neighbours,
     "quantized_range_search": quantized_range_search,
 }

@@ -52,6 +52,17 @@ def test_beam_search(spark):
     assert len(exact_ & {r.pos for r in q.beam_search(spark, SF).collect()}) >= 8
 
 
+def test_graph_search(spark):
+    v = q.by_label(spark, SF)
+    want = {r.pos for r in q.exact.query(v, q.point(v, 250), 10).collect()}
+    assert len(want & {r.pos for r in q.graph_search(spark, SF).collect()}) >= 8
+
+
+def test_approximate_index(spark):
+    want = {(r.node, r.nbr) for r in q.range_knn_graph(spark, SF).collect()}
+    assert len(want & {(r.node, r.nbr) for r in q.approximate_index_graph(spark, SF).collect()}) >= 0.7 * len(want)
+
+
 def test_quantized_search(spark):
     exact_ = {r.pos for r in q.range_knn_query(spark, SF).collect()}
     assert len(exact_ & {r.pos for r in q.quantized_range_search(spark, SF).collect()}) >= 4
