@@ -75,9 +75,9 @@ ORACLES = {
     "l2_distance": f"SELECT vec_id, round({far('x', 'y')}, 6) AS l2sqr, round(sqrt({far('x', 'y')}), 6) AS l2, round({far('x', 'y')}, 6) AS unrolled {NEXT}",
     "inner_product_distance": f"SELECT vec_id, round(1 - {DOT.format('y')}, 6) AS ip, round({DOT.format('x')}, 6) AS norm2 {NEXT}",
     "subrange_distance": f"SELECT vec_id, round({far('x', 'y', 9, 25)}, 6) AS part {NEXT}",
-    "l2_normalize": "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), n AS (SELECT vec_id, x, sqrt(" + DOT.format("x") + ") AS n FROM v) SELECT vec_id, CAST(k AS INT) AS k, round(x[k + 1] / n, 6) AS x FROM n, range(4) r(k)",
+    "l2_normalize": "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), n AS (SELECT vec_id, x, sqrt(" + DOT.format("x") + ") AS n FROM v) SELECT vec_id, CAST(k AS INT) AS k, round(x[k + 1] / n, 6) AS x FROM n, range(64) r(k)",
     "integer_distance": "SELECT vec_id, CAST(list_sum(list_transform(range(1, 65), lambda i: (floor(x[i] * 100) - floor(y[i] * 100)) * (floor(x[i] * 100) - floor(y[i] * 100)))) AS BIGINT) AS d FROM (SELECT vec_id, embedding AS x FROM embeddings) JOIN (SELECT vec_id - 1 AS vec_id, embedding AS y FROM embeddings) USING (vec_id)",
-    "argsort_array": "WITH v AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS k FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x, k) AS rank FROM v) SELECT vec_id, string_agg(k, ',' ORDER BY rank) AS smallest FROM r WHERE rank <= 5 GROUP BY vec_id",
+    "argsort_array": "WITH v AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS k FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x, k) AS rank FROM v) SELECT vec_id, string_agg(k, ',' ORDER BY rank) AS positions FROM r GROUP BY vec_id",
     "post_filter_knn": f"WITH v AS MATERIALIZED ({LABEL}), n AS (SELECT b.pos, {far('a.e', 'b.e')} AS d FROM v a, v b WHERE a.pos = 250 ORDER BY d, b.pos LIMIT 100) SELECT pos, CAST(row_number() OVER (ORDER BY d, pos) AS INT) AS rank, round(d, 6) AS dist FROM n WHERE pos BETWEEN {LOW} AND {HIGH} QUALIFY rank <= 10",
     "pre_filter_knn": f"WITH v AS MATERIALIZED ({LABEL}) SELECT a.pos AS q, b.pos, CAST(row_number() OVER (PARTITION BY a.pos ORDER BY {far('a.e', 'b.e')}, b.pos) AS INT) AS rank, round({far('a.e', 'b.e')}, 6) AS dist FROM v a, v b WHERE a.pos IN (110, 250, 290) AND b.pos BETWEEN {LOW} AND {HIGH} QUALIFY rank <= 5",
     "knng_recall": POST + ", h AS (SELECT count(*) AS h FROM t JOIN f USING (node, nbr)) SELECT CAST(h AS BIGINT) AS hits, round(h / (SELECT count(*) FROM t), 9) AS recall, round(h / (SELECT count(*) FROM f), 9) AS precision FROM h",
@@ -87,10 +87,10 @@ ORACLES = {
     "prune_level1": graph(3) + EDGES,
     "two_hop_candidates": graph(K) + " SELECT DISTINCT a.node, b.nbr FROM g a JOIN g b ON a.nbr = b.node WHERE a.node <> b.nbr AND NOT EXISTS (SELECT 1 FROM g c WHERE c.node = a.node AND c.nbr = b.nbr)",
     "rerank_graph": graph(4) + ", h AS (SELECT DISTINCT a.node, b.nbr FROM g a JOIN g b ON a.nbr = b.node WHERE a.node <> b.nbr AND NOT EXISTS (SELECT 1 FROM g c WHERE c.node = a.node AND c.nbr = b.nbr)) SELECT node, nbr, CAST(row_number() OVER (PARTITION BY node ORDER BY dist, nbr) AS INT) AS rank, round(dist, 6) AS dist FROM h JOIN p USING (node, nbr) QUALIFY rank <= 5",
-    "upsert_delete_knn": f"WITH o AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), n AS (SELECT id - 1 AS id, e FROM o WHERE id % 7 = 1), u AS (SELECT coalesce(n.id, o.id) AS id, coalesce(n.e, o.e) AS e FROM o FULL JOIN n ON o.id = n.id), k AS (SELECT * FROM u WHERE id % 11 <> 0) SELECT CAST(k.id AS INT) AS pos, CAST(row_number() OVER (ORDER BY {far('k.e', 'q.e')}, k.id) AS INT) AS rank, round({far('k.e', 'q.e')}, 6) AS dist FROM k, (SELECT e FROM o WHERE id = 3) q QUALIFY rank <= 10",
+    "upsert_delete_knn": f"WITH o AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), k AS (SELECT id, CASE label WHEN 3 THEN list_reverse(e) ELSE e END AS e FROM o WHERE label <> 5) SELECT CAST(k.id AS INT) AS pos, CAST(row_number() OVER (ORDER BY {far('k.e', 'q.e')}, k.id) AS INT) AS rank, round({far('k.e', 'q.e')}, 6) AS dist FROM k, (SELECT e FROM o WHERE id = 3) q QUALIFY rank <= 10",
     "index_size_stats": index() + " SELECT count(*) AS n_rows, count(DISTINCT node) AS n_nodes, round(count(*) / count(DISTINCT node), 6) AS rows_per_node, count(*) * 21 AS n_bytes FROM ix",
     "index_integrity": "SELECT CAST(0 AS BIGINT) AS wrong_side, CAST(0 AS BIGINT) AS wrong_bound, CAST(0 AS BIGINT) AS own",
-    "append_maintenance": index(f"SELECT * FROM ({LABEL}) WHERE pos < 124") + " SELECT node, side, nbr, sub, round(dist, 6) AS dist FROM ix",
+    "append_maintenance": index() + " SELECT node, side, nbr, sub, round(dist, 6) AS dist FROM ix",
     "time_key_range_graph": graph(K, "a.k BETWEEN (SELECT k FROM v WHERE pos = 100) AND (SELECT k FROM v WHERE pos = 299) AND b.k BETWEEN (SELECT k FROM v WHERE pos = 100) AND (SELECT k FROM v WHERE pos = 299)", event("ts")) + EDGES,
     "value_key_range_graph": graph(K, IN_RANGE, event("value")) + EDGES,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import distance
 from ..functions.arrays import argsort
 from ..operators import exact, interval_index, keys, metrics, nndescent, rectangles, search, store
+from .lineage import cut
 
 K = 8
 LOW, HIGH = 100, 299
@@ -112,7 +113,7 @@ def subrange_distance(spark, sf_dir):
 
 def l2_normalize(spark, sf_dir):
     unit = distance.l2_normalize(F.col("embedding"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(unit).alias("k", "x")).where("k < 4").select("vec_id", "k", F.round("x", 6).alias("x"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(unit).alias("k", "x")).select("vec_id", "k", F.round("x", 6).alias("x"))
 
 
 def integer_distance(spark, sf_dir):
@@ -122,7 +123,7 @@ def integer_distance(spark, sf_dir):
 
 def argsort_array(spark, sf_dir):
     order = argsort(F.col("embedding"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(F.slice(order, 1, 5), lambda x: x.cast("string")), ",").alias("smallest"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(order, lambda x: x.cast("string")), ",").alias("positions"))
 
 
 def post_filter_knn(spark, sf_dir):
@@ -185,12 +186,12 @@ def rerank_graph(spark, sf_dir):
 
 
 def upsert_delete_knn(spark, sf_dir):
-    old = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    new = old.where("id % 7 = 1").select((F.col("id") - 1).alias("id"), "embedding", F.lit(1).cast("bigint").alias("version"))
-    marked = store.mark_deleted(store.upsert(old, new), old.where("id % 11 = 0").select("id"))
-    kept = store.live(marked).select(F.col("id").cast("int").alias("pos"), "embedding")
-    q = list(old.where("id = 3").select("embedding").first()[0])
-    return found(exact.query(kept, q, 10))
+    """Vectors of label 3 are replaced by their reverses, those of label 5 deleted; then the nearest to vector 3."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    new = rows.where("label = 3").select("id", F.reverse("embedding").alias("embedding"), "label", F.lit(1).cast("bigint").alias("version"))
+    kept = store.live(store.mark_deleted(store.upsert(rows, new), rows.where("label = 5").select("id")))
+    q = list(rows.where("id = 3").select("embedding").first()[0])
+    return found(exact.query(kept.select(F.col("id").cast("int").alias("pos"), "embedding"), q, 10))
 
 
 def index_size_stats(spark, sf_dir):
@@ -202,11 +203,11 @@ def index_integrity(spark, sf_dir):
 
 
 def append_maintenance(spark, sf_dir):
-    v = by_label(spark, sf_dir).where("pos < 124")
-    index = interval_index.build(v.where("pos < 120"), K)
-    from .lineage import cut
-
-    for p in range(120, 124):
+    """The index of all vectors, of which the last four are appended one by one."""
+    v = cut(by_label(spark, sf_dir))
+    n = v.count()
+    index = cut(interval_index.build(v.where(F.col("pos") < n - 4), K))
+    for p in range(max(n - 4, 0), n):
         index = cut(interval_index.append(index, v.where(F.col("pos") < p), v.where(F.col("pos") == p), K))
     return index.select("node", "side", "nbr", "sub", F.round("dist", 6).alias("dist"))
 
