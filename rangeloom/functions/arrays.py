@@ -24,9 +24,10 @@ def split_keeping_empty(text: Column, separators: str) -> Column:
     return F.split(text, f"[{escaped}]", -1)
 
 
-def base100_id(text: Column) -> Column:
-    """A short id's characters (less 28, so that two digits hold each) as one number in base 100."""
-    return F.aggregate(F.split(text, "(?!^)"), F.lit(0).cast("bigint"), lambda s, c: s * 100 + F.ascii(c) - 28)
+def base100_id(text: Column, length: int = 4) -> Column:
+    """A short id's first characters as one number, each a digit in base 100 (its code less 38)."""
+    digits = F.transform(F.sequence(F.lit(1), F.lit(length)), lambda k: F.ascii(F.substring(text, k, F.lit(1))) - 38)
+    return F.aggregate(digits, F.lit(0).cast("bigint"), lambda s, d: s * 100 + d)
 
 
 def sampled(df: DataFrame, by: str, item: str, size: int, seed: int) -> DataFrame:
