@@ -23,6 +23,8 @@ from ..functions.distance import block_distances, l2sqr
 from .blocks import BLOCK_ROWS, pairs
 
 OPEN = 2**31 - 1
+#: Nodes whose candidates a task merges at a time; each has about K log(blocks) survivors a side.
+NODES_A_GROUP = 128
 SCHEMA = "node int, side string, nbr int, dist double, sub int"
 
 
@@ -70,8 +72,7 @@ def build(vectors: DataFrame, k: int, rows: int = BLOCK_ROWS) -> DataFrame:
 
 def settle(candidates: DataFrame, k: int) -> DataFrame:
     """The index rows among candidates (node, side, nbr, dist) that hold all that survive."""
-    parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    many = candidates.withColumn("__part", F.pmod(F.xxhash64("node"), F.lit(4 * parts)))
+    many = candidates.withColumn("__part", F.floor(F.col("node") / NODES_A_GROUP))
 
     def run(t: pa.Table) -> pa.Table:
         node, nbr, dist = (t.column(c).to_numpy() for c in ("node", "nbr", "dist"))

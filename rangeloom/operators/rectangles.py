@@ -43,7 +43,6 @@ def build(vectors: DataFrame, k: int) -> DataFrame:
     A node's rows come from its index rows alone, so a task holds the lists of its nodes, never pairs.
     """
     index = interval_index.build(vectors, k).select("node", "nbr", "dist")
-    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(t: pa.Table) -> pa.Table:
         node, nbr, dist = (t.column(c).to_numpy() for c in ("node", "nbr", "dist"))
@@ -57,7 +56,7 @@ def build(vectors: DataFrame, k: int) -> DataFrame:
         columns = list(zip(*rows, strict=True)) if rows else [()] * 6
         return pa.table({**{n: pa.array(c, pa.int32()) for n, c in zip(names, columns, strict=False)}, "pts": pa.array(columns[5], pa.list_(pa.int32()))})
 
-    return index.withColumn("__part", F.pmod(F.xxhash64("node"), F.lit(4 * parts))).groupBy("__part").applyInArrow(run, SCHEMA)
+    return index.withColumn("__part", F.floor(F.col("node") / interval_index.NODES_A_GROUP)).groupBy("__part").applyInArrow(run, SCHEMA)
 
 
 def lookup(table: DataFrame, low: int, high: int) -> DataFrame:
