@@ -45,6 +45,11 @@ def row_hash(*columns: str):
     return F.xxhash64(*[F.col(c) for c in columns])
 
 
+def below_share(mark, share: float):
+    """Whether a 64-bit hash is among the smallest ``share`` of all hashes."""
+    return mark < F.lit(min(int(share * 2**64) - 2**63, 2**63 - 1)) if share < 1 else F.lit(True)
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

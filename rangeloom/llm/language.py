@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import chunks, lowered, table, texts_of
+from .common import below_share, chunks, lowered, table, texts_of
 from .quality import remainder
 
 #: Families of languages, by ISO 639-1 code. A language that is not here is a family of its own.
@@ -43,7 +43,8 @@ FAMILIES = {
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 BITS = 12
 #: Documents of a language to learn from at most, and of all languages.
-SAMPLE, SAMPLE_ALL = 1000, 8000
+SAMPLE, SAMPLE_ALL = 400, 4000
+MOST_LANGUAGES = 200
 EXCERPT_BYTES = 80
 ACCEPT = 0.3
 
@@ -75,22 +76,22 @@ def shares(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def train_svm(x: np.ndarray, y: np.ndarray, c: float = 30.0, rounds: int = 12) -> tuple[np.ndarray, float]:
-    """A linear SVM (squared hinge, bias not penalised much) by Newton steps with conjugate gradients; y is +1 or -1."""
-    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
-    weight = np.where(y > 0, 1 / max((y > 0).sum(), 1), 1 / max((y < 0).sum(), 1)) * len(y) / 2 * c / len(y)
-    w = np.zeros(x.shape[1])
-    value = lambda w: 0.5 * w @ w + (weight * np.maximum(0, 1 - y * (x @ w)) ** 2).sum()
+    """A linear SVM (squared hinge, the bias penalised like a weight) by Newton steps with conjugate gradients; y is +1 or -1."""
+    weight = np.where(y > 0, 1 / max((y > 0).sum(), 1), 1 / max((y < 0).sum(), 1)) * c / 2
+    ahead = lambda w: x @ w[:-1].astype(x.dtype) + w[-1]
+    back = lambda g: np.append(x.T @ g.astype(x.dtype), g.sum())
+    w = np.zeros(x.shape[1] + 1)
+    value = lambda w: 0.5 * w @ w + (weight * np.maximum(0, 1 - y * ahead(w)) ** 2).sum()
     for _ in range(rounds):
-        slack = 1 - y * (x @ w)
-        on = slack > 0
-        xa, wa = x[on], weight[on]
-        gradient = w - 2 * xa.T @ (wa * y[on] * slack[on])
+        slack = 1 - y * ahead(w)
+        on = weight * (slack > 0)
+        gradient = w - 2 * back(on * y * slack)
         if np.linalg.norm(gradient) < 1e-5 * (1 + np.linalg.norm(w)):
             break
         step, r = np.zeros_like(w), -gradient
         p, rr = r.copy(), r @ r
         for _ in range(40):
-            hp = p + 2 * xa.T @ (wa * (xa @ p))
+            hp = p + 2 * back(on * ahead(p))
             a = rr / (p @ hp)
             step += a * p
             r -= a * hp
@@ -124,7 +125,7 @@ def _scale(margin: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit_shares(x: np.ndarray, names: list[str]) -> Model:
-    """The model from shares of trigrams (a row each) and their languages."""
+    """The model from shares of trigrams (a row each) and their languages. Changes ``x``."""
     languages = sorted(set(names))
     of = np.array([languages.index(n) for n in names])
     groups: dict[str, list[int]] = {}
@@ -133,14 +134,17 @@ def fit_shares(x: np.ndarray, names: list[str]) -> Model:
     model = Model(languages, list(groups.values()))
     if len(languages) < 2:
         return model
-    spread = np.sqrt(x).std(axis=0) * np.sqrt(x.mean(axis=0)) + 1e-4
-    unit = x / spread
-    size = np.sqrt((unit**2).sum(axis=1).mean())
+    # In place: the shares are the only large array here.
+    mean = x.mean(axis=0)
+    spread = (np.sqrt(np.maximum(mean - np.array([np.sqrt(x[:, k]).mean() for k in range(x.shape[1])]) ** 2, 0)) * np.sqrt(mean) + 1e-4).astype(x.dtype)
+    x /= spread
+    size = float(np.sqrt(np.einsum("ij,ij->", x, x) / len(x)))
+    x /= x.dtype.type(size)
     family = np.zeros(len(languages), dtype=int)
     for f, own in enumerate(model.families):
         family[own] = f
     planes = []
-    train = lambda a, b: planes.append((*_plane(unit[a | b] / size, np.where(a[a | b], 1.0, -1.0)),))
+    train = lambda a, b: planes.append(_plane(x if (a | b).all() else x[a | b], np.where(a[a | b], 1.0, -1.0)))
     for a, b in itertools.combinations(range(len(model.families)), 2):
         model.family_pairs.append((a, b))
         train(family[of] == a, family[of] == b)
@@ -155,7 +159,7 @@ def fit_shares(x: np.ndarray, names: list[str]) -> Model:
 
 def _plane(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, float]:
     w, b = train_svm(x, y)
-    return w, b, _scale(x @ w + b, y)
+    return w, b, _scale(x @ w.astype(x.dtype) + b, y)
 
 
 def predict(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,12 +206,17 @@ def _vote(sure: np.ndarray, pairs: list[tuple[int, int]], names: list[int]) -> t
 def fit(docs: DataFrame) -> Model:
     """A model from documents whose remainder by 5 is not 0: for each lang the ``SAMPLE`` of smallest hash, fewer if there are many langs."""
     known = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").where(remainder(5) != 0)
-    langs = known.select("lang").distinct().count()
-    if not langs:
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if not counts:
         return Model([])
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    many = max(20, min(SAMPLE, SAMPLE_ALL // len(counts)))
     mark = F.xxhash64("doc_id", F.lit(12))
+    # Of each language about three times as many by hash, so that ranking them moves few rows, however many tasks there are.
+    near = F.coalesce(*[F.when(F.col("lang") == name, below_share(F.col("__mark"), 3 * many / n)) for name, n in sorted(counts.items())])
     nearest = Window.partitionBy("lang").orderBy("__mark", "doc_id")
-    sample = known.select("doc_id", "lang", mark.alias("__mark")).withColumn("__rank", F.row_number().over(nearest)).where(F.col("__rank") <= max(20, min(SAMPLE, SAMPLE_ALL // langs)))
+    sample = known.select("doc_id", "lang", mark.alias("__mark")).where(near).withColumn("__rank", F.row_number().over(nearest)).where(F.col("__rank") <= many)
     # At most SAMPLE_ALL ids (or 20 of each lang), whatever the input.
     rows = known.select("doc_id", "text", "lang").join(F.broadcast(sample.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
 
@@ -224,10 +233,16 @@ def fit(docs: DataFrame) -> Model:
                 whole = shares(data, offsets).astype(np.float32)
                 part = shares(np.concatenate(parts), np.concatenate([[0], np.cumsum(ends - starts)])).astype(np.float32)
                 for x in (whole, part):
-                    yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "lang", "shares"])
-
-    found = sorted(map(tuple, rows.mapInArrow(run, "doc_id bigint, lang string, shares binary").collect()))
-    x = np.array([np.frombuffer(r[2], dtype=np.float32) for r in found])
+                    there = [np.flatnonzero(r) for r in x]
+                    yield pa.RecordBatch.from_arrays(
+                        [own.column("doc_id"), own.column("lang"), pa.array([t.astype("<u2").tobytes() for t in there], pa.binary()), pa.array([r[t].tobytes() for r, t in zip(x, there, strict=True)], pa.binary())],
+                        names=["doc_id", "lang", "hashes", "shares"],
+                    )
+
+    found = sorted(map(tuple, rows.mapInArrow(run, "doc_id bigint, lang string, hashes binary, shares binary").collect()))
+    x = np.zeros((len(found), 1 << BITS), dtype=np.float32)
+    for r, (_, _, hashes, own) in enumerate(found):
+        x[r, np.frombuffer(hashes, dtype="<u2")] = np.frombuffer(own, dtype=np.float32)
     return fit_shares(x, [r[1] for r in found])
 
 
