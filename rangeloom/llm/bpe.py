@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .common import chunks, table, texts_of
 
 #: Pieces that a worker remembers at most.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 _WIDEST = 48
 _NONE = np.int32(2**31 - 1)
 
@@ -351,15 +351,14 @@ class Encoder:
         return v.flat[at].tobytes(), ends - sizes
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODER: list = []
 
 
 def encoder_of(shared) -> Encoder:
-    """The worker's encoder for a broadcast vocabulary; its cache lives as long as the worker."""
-    if (key := shared.id if hasattr(shared, "id") else id(shared)) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(shared.value)
-    return _ENCODERS[key]
+    """The worker's encoder for a broadcast vocabulary; its cache lives as long as the worker uses no other."""
+    if not _ENCODER or _ENCODER[0] is not shared:
+        _ENCODER[:] = [shared, Encoder(shared.value)]
+    return _ENCODER[1]
 
 
 _SHARED: dict[tuple, object] = {}
