@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import mixed, table
+from .common import checkpointed, mixed, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -140,7 +140,7 @@ def placed(docs: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS
     a whole source: sizes are summed by bucket first, and each bucket then adds up its own rows.
     """
     docs = sized(docs)
-    by_bucket = docs.groupBy("__source", "__bucket").agg(F.sum("__size").alias("__words"))
+    by_bucket = checkpointed(docs.groupBy("__source", "__bucket").agg(F.sum("__size").alias("__words")))  # used twice
     plan = plan_of(by_bucket, shards, block_words, seed)
     earlier = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = by_bucket.select("__source", "__bucket", F.coalesce(F.sum("__words").over(earlier), F.lit(0)).alias("__base"))
