@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, table, texts_of
+from .common import below_share, chunks, table, texts_of
 
 #: Labelled documents of each class to learn from at most, and the pieces of each that may train a dictionary.
 SAMPLE = 4000
@@ -91,7 +91,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Dictionaries and calibration from labelled documents whose remainder by 4 is not 2, at most ``SAMPLE`` of each label."""
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("__quality")).where(remainder(4) != 2)
     mark = F.xxhash64("doc_id", F.lit(11))
-    of = lambda q: known.where(F.col("__quality") == q).select("doc_id", "__quality", mark.alias("__mark")).orderBy("__mark", "doc_id").limit(SAMPLE)
+    counts = {r[0]: r[1] for r in known.groupBy("__quality").count().collect()}
+    # About three times as many by hash, so that choosing the smallest moves few rows, however many tasks there are.
+    near = lambda q: below_share(F.col("__mark"), 3 * SAMPLE / max(counts.get(q, 0), 1))
+    of = lambda q: known.where(F.col("__quality") == q).select("doc_id", "__quality", mark.alias("__mark")).where(near(q)).orderBy("__mark", "doc_id").limit(SAMPLE)
     sample = of(0).unionByName(of(1))
     # At most 2 * SAMPLE rows of three numbers, whatever the input.
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
@@ -111,7 +114,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("piece", pa.binary())]))
 
     pieces = sorted(map(tuple, rows.where(trains).select("doc_id", F.col("__quality").cast("int").alias("__quality"), "text").mapInArrow(cut, "doc_id bigint, quality int, piece binary").collect()))
-    counts = {r[0]: r[1] for r in known.groupBy("__quality").count().collect()}
     base = (counts.get(1, 0) + 1) / (counts.get(0, 0) + counts.get(1, 0) + 2)
     dictionaries = {}
     for q in (0, 1):
