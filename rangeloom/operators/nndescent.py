@@ -56,6 +56,38 @@ def _measured(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "node int, nbr int, dist double")
 
 
+#: Hubs that a task joins at a time.
+HUBS_A_GROUP = 32
+
+
+def _local_join(members: DataFrame, vectors: DataFrame, worst: DataFrame) -> DataFrame:
+    """Pairs (node, nbr, dist) of members (hub, pos, is_new) of the same hub, one of them new, that are nearer than the farther end's worst neighbour so far.
+
+    Each member's vector travels once for each hub it belongs to, not once a pair.
+    """
+    wide = members.join(vectors, "pos").join(worst, "pos", "left").select("hub", "pos", "is_new", "embedding", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("hub", "ascending"), ("pos", "ascending")])
+        hub, pos, new, worst_ = (t.column(c).to_numpy() for c in ("hub", "pos", "is_new", "worst"))
+        x = matrix(t.column("embedding"))
+        cuts = np.append(np.flatnonzero(np.diff(hub, prepend=hub[0] - 1)), len(hub))
+        out = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            i, j = np.triu_indices(b - a, 1)
+            i, j = i + a, j + a
+            on = (new[i] | new[j]) & (pos[i] != pos[j])
+            i, j = i[on], j[on]
+            gap = x[i] - x[j]
+            d = np.einsum("ij,ij->i", gap, gap)
+            near = d < np.maximum(worst_[i], worst_[j])
+            out.append((pos[i[near]], pos[j[near]], d[near]))
+        p, q, d = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({"node": pa.array(p, pa.int32()), "nbr": pa.array(q, pa.int32()), "dist": pa.array(d)})
+
+    return wide.groupBy(F.floor(F.col("hub") / HUBS_A_GROUP)).applyInArrow(run, "node int, nbr int, dist double")
+
+
 def _both(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), *[c for c in edges.columns if c not in ("node", "nbr")]))
 
@@ -90,10 +122,10 @@ def build(vectors: DataFrame, p: Params = Params()) -> tuple[DataFrame, dict]:
         old = sampled(lists.where("NOT is_new"), "node", "nbr", p.sample * 2, seed).select("node", "nbr")
         fresh = sampled(_both(fresh).distinct(), "node", "nbr", p.reverse, seed)
         old = sampled(_both(old).distinct(), "node", "nbr", p.reverse, seed)
-        rest = fresh.withColumn("was", F.lit(True)).unionByName(old.withColumn("was", F.lit(False))).select(F.col("node").alias("hub"), F.col("nbr").alias("b"), "was")
-        met = fresh.select(F.col("node").alias("hub"), F.col("nbr").alias("a")).join(rest, "hub").where("a <> b AND (NOT was OR a < b)")
-        pairs = met.select(F.least("a", "b").alias("node"), F.greatest("a", "b").alias("nbr")).distinct()
-        found = _both(_measured(pairs, vectors)).withColumn("is_new", F.lit(True))
+        members = fresh.withColumn("is_new", F.lit(True)).unionByName(old.withColumn("is_new", F.lit(False))).groupBy("node", "nbr").agg(F.max("is_new").alias("is_new"))
+        worst = lists.where(F.col("rank") == p.keep).select(F.col("node").alias("pos"), F.col("dist").alias("worst"))
+        met = _local_join(members.select(F.col("node").alias("hub"), F.col("nbr").alias("pos"), "is_new"), vectors, worst)
+        found = _both(met.dropDuplicates(["node", "nbr"])).withColumn("is_new", F.lit(True))
         # An edge that was sampled as new is old from now on; the smaller flag of an edge met twice is the old one.
         used = sampled(lists.where("is_new"), "node", "nbr", p.sample, seed).select("node", "nbr", F.lit(True).alias("used"))
         kept = lists.select("node", "nbr", "dist", "is_new").join(used, ["node", "nbr"], "left").select("node", "nbr", "dist", (F.col("is_new") & F.col("used").isNull()).alias("is_new"))
