@@ -51,9 +51,11 @@ class TokenTree:
         cuts = list(range(0, len(starts), LEAF)) or [0]
         places = [int(starts[c]) if c < len(starts) else 0 for c in cuts] + [len(text)]
         self.leaves = [Leaf(text[a:b], starts[c : c + LEAF] - a, counts[c : c + LEAF]) for c, a, b in zip(cuts, places, places[1:], strict=False)]
+        tokens = np.add.reduceat(counts, cuts) if len(counts) else [0]
         self.size = 1 << max(0, (len(self.leaves) - 1).bit_length())
         self.sums = np.zeros((2 * self.size, 2), dtype=np.int64)
-        self.sums[self.size : self.size + len(self.leaves)] = [(x.chars, x.counts.sum()) for x in self.leaves]
+        self.sums[self.size : self.size + len(self.leaves), 0] = [x.chars for x in self.leaves]
+        self.sums[self.size : self.size + len(self.leaves), 1] = tokens
         k = self.size
         while k > 1:
             self.sums[k // 2 : k] = self.sums[k : 2 * k : 2] + self.sums[k + 1 : 2 * k : 2]
@@ -139,9 +141,10 @@ class _Window:
     def settle(self, starts: np.ndarray, counts: np.ndarray) -> bool:
         """Put the new pieces in; False if they do not meet the old ones within the window."""
         old = self.starts[self.after : self.stop if self.at_end else max(self.after, self.stop - _AHEAD)] + self.shift - self.begin
-        there = np.flatnonzero(np.isin(old, starts))
+        met = np.searchsorted(starts, old)
+        there = np.flatnonzero(np.append(starts, -1)[met] == old)
         if len(there):
-            keep, many = self.after + int(there[0]), int(np.searchsorted(starts, old[there[0]]))
+            keep, many = self.after + int(there[0]), int(met[there[0]])
         elif self.at_end:
             keep, many = len(self.starts), len(starts)
         else:
@@ -168,7 +171,7 @@ def _encoded(encoder: Encoder, texts: list[bytes]) -> list[tuple[np.ndarray, np.
     """Where the pieces of each text begin, and their token counts; all texts at once."""
     offsets = np.cumsum([0, *map(len, texts)])
     starts, ids = encoder.pieces(np.frombuffer(b"".join(texts), dtype=np.uint8), offsets)
-    counts = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
+    counts = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
     cuts = np.searchsorted(starts, offsets)
     return [(starts[a:b] - o, counts[a:b]) for a, b, o in zip(cuts, cuts[1:], offsets, strict=False)]
 
