@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def register(spark: SparkSession, vectors: DataFrame, index: DataFrame, prefix: str = "ark") -> None:
+def register(spark: SparkSession, vectors: DataFrame, index: DataFrame, prefix: str = "rk") -> None:
     """Views ``{prefix}_vectors`` and ``{prefix}_index``, and the SQL functions ``{prefix}_l2sqr`` and ``{prefix}_neighbours(l, r, k)``."""
     vectors.createOrReplaceTempView(f"{prefix}_vectors")
     index.createOrReplaceTempView(f"{prefix}_index")

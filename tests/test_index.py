@@ -122,8 +122,8 @@ def test_save_and_load(spark, index, tmp_path):
 
 def test_sql_surface(spark, vectors, index):
     sql.register(spark, vectors[1], index[0])
-    assert triples(spark.sql("SELECT * FROM ark_neighbours(10, 40, 3)")) == brute(vectors[0], 10, 40)
-    assert spark.sql("SELECT ark_l2sqr(array(1f, 2f), array(1f, 4f)) AS d").first().d == 4
+    assert triples(spark.sql("SELECT * FROM rk_neighbours(10, 40, 3)")) == brute(vectors[0], 10, 40)
+    assert spark.sql("SELECT rk_l2sqr(array(1f, 2f), array(1f, 4f)) AS d").first().d == 4
 
 
 def test_stream(spark, tmp_path):
