@@ -1,20 +1,30 @@
 """Licence scans by a trained paragraph classifier.
 
-A paragraph is a line of the text that has one of the anchor words. Its different word n-grams (one to
-three words) weigh in a multinomial logistic regression whose weights, for n-grams of the templates
-only, are few enough to go to every task. The classes are the licence families and *unknown*; the
-probabilities are calibrated by a temperature, and a family below ``ACCEPT`` counts as unknown. The
-share of the best template's n-grams that the paragraph has then confirms the family, or not.
+A paragraph is a run of lines, their newlines read as blanks: it ends at a line without a letter or a
+digit, and where a line ends its sentence and the next one begins with a capital (or in a script without
+case). So a hard-wrapped notice stays whole, and a text of a paragraph a line is scanned line by line. A
+paragraph's different word n-grams (one to three words) weigh in a multinomial logistic regression whose
+weights, for n-grams of the templates only, are few enough to go to every task. The classes are the
+licence families and *unknown*; the probabilities are calibrated by a temperature, and a family below
+``ACCEPT`` counts as unknown. The share of the best template's n-grams that the paragraph has then
+confirms the family, or not.
+
+The lines of a paragraph are judged one by one as well, and stand instead of it where they confirm a
+family and it does not (an identifier among lines of code), or where they confirm different families
+(notices below each other).
 
 Training is a small fit on the driver from the templates below, with words dropped and foreign words
 around, and from sentences that speak of rights without granting any. Scanning is DataFrame operations
-only: lines are filtered by an expression, their n-grams exploded and joined with the weights, which
-are broadcast (their number is fixed by the templates), and summed by line, then by document.
-
-Defined results: a null or empty text, or one without an anchor word, has family ``none``, probability
-1, confirmed false, no paragraphs; a text whose paragraphs are all unknown has ``unknown``; of several
-families the confirmed one of highest probability counts, ties by name; rows that repeat are scanned
-each for itself; an empty table stays empty. Other columns are ignored.
+only: paragraphs are filtered by an expression, their n-grams exploded and joined with the weights, which
+are broadcast (their number is fixed by the templates), and summed by paragraph, then by document. The
+filter drops no family: it asks for one of the words without which the weights of all other words
+together cannot outweigh *unknown* (``needed``), or for an anchor word.
+
+Defined results: paragraphs that have an anchor word or a family count. A null or empty text, or one
+without such a paragraph, has family ``none``, probability 1, confirmed false, no paragraphs; a text whose
+paragraphs are all unknown has ``unknown``; of several families the confirmed one of highest probability
+counts, ties by name; rows that repeat are scanned each for itself; an empty table stays empty. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -52,6 +62,10 @@ _OTHERS = [
     "Creative people commonly like commons.", "GPL prices rose.", "The public house has a licence until midnight.", "License plates are reserved for residents.", "See the license for details.", "Terms and conditions apply under this license.",
 ]
 ANCHORS = r"(?i)licen[sc]|copyright|rights\s+reserved|public\s+domain|redistribut|creative\s+commons|\bgpl|\blgpl|\bagpl|\bapache\b|\bbsd\b|spdx|\bcc0\b|\bcc\s+by"
+#: Where a text is split into paragraphs.
+BREAK = r"\n(?:[^\p{L}\p{N}]*\n|(?<=[.!?\u3002\uFF01\uFF1F][\"'\u201D\u2019)\]*_]{0,3}[ \t\r]{0,4}\n)(?=[^\p{L}\p{N}\n]*[\p{Lu}\p{Lo}]))"
+#: Words that the filter asks for only if it must, since ordinary prose has them.
+_COMMON = set("the of and in to a is with this are for that it be or by".split())
 ACCEPT = 0.5
 CONFIRM = 0.6
 WIDTH = 3
@@ -157,42 +171,83 @@ def _weights_table(spark: SparkSession, model: Model) -> DataFrame:
     return spark.range(1).select(F.explode(F.from_json(F.lit(text), schema)).alias("x")).select("x.*")
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """row, doc_id, at, gram: the different n-grams of each line with an anchor word; one more n-gram, null, for each line."""
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, k: F.struct(k.alias("at"), x.alias("line"))), lambda x: x["line"].rlike(ANCHORS))
-    found = docs.where(F.col("anchored")).select("row", "doc_id", F.explode(lines).alias("x"))
-    words = found.select("row", "doc_id", F.col("x.at").alias("at"), F.regexp_extract_all(F.lower("x.line"), F.lit(f"({_WORD})"), 1).alias("words"))
+def needed(model: Model) -> list[str]:
+    """Words of which every paragraph has one that the model gives a family: all n-grams without them together cannot make a family as likely as unknown."""
+    last = len(model.classes) - 1
+    gain = {g: np.maximum(w[:last] - w[last], 0) for g, w in ((g, np.array(w)) for g, w in model.weights.items())}
+    found: list[str] = []
+    while True:
+        most = np.array(model.bias[:last]) - model.bias[last] + sum(gain.values(), np.zeros(last))
+        if not gain or most.max() < 0:
+            return sorted(found)
+        by_word: dict[str, float] = {}
+        for g, w in gain.items():
+            for word in set(g.split()):
+                by_word[word] = by_word.get(word, 0.0) + float(w[most.argmax()])
+        found.append(max(by_word, key=lambda x: (by_word[x] > 0 and x not in _COMMON, by_word[x], x)))
+        gain = {g: w for g, w in gain.items() if found[-1] not in g.split()}
+
+
+def _filter(model: Model):
+    """Whether a text has an anchor word or one of the needed words; these are tried by first letter."""
+    by_first: dict[str, list[str]] = {}
+    for word in needed(model):
+        by_first.setdefault(word[0], []).append(word[1:])
+    words = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in sorted(by_first.items()))
+    return lambda x: x.rlike(ANCHORS) | F.lower(x).rlike(f"(?<![a-z0-9])(?:{words})(?![a-z0-9])")
+
+
+def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
+    """row, doc_id, at, part, anchored, gram: the different n-grams of each paragraph that the filter lets through (part 0) and, if it has several, of its lines (from 1); one more n-gram, null, for each, and one with ``at`` -1 for each document."""
+    passes = _filter(model)
+    kept = F.filter(F.transform(F.split("text", BREAK), lambda x, k: F.struct(k.alias("at"), x.alias("run"))), lambda x: passes(x["run"]))
+    mark = F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("string").alias("run")))
+    runs = docs.select("row", "doc_id", F.explode(F.concat(mark, F.coalesce(kept, F.array().cast("array<struct<at:int,run:string>>")))).alias("x")).select("row", "doc_id", "x.*")
+    lines = F.filter(F.transform(F.split("run", "\n"), lambda x, k: F.struct((k + 1).alias("part"), x.alias("line"))), lambda x: passes(x["line"]))
+    own = F.array(F.struct(F.lit(0).alias("part"), F.col("run").alias("line")))
+    units = runs.select("row", "doc_id", "at", F.explode(F.when(F.contains("run", F.lit("\n")), F.concat(own, lines)).otherwise(own)).alias("x"))
+    words = units.select("row", "doc_id", "at", "x.part", F.coalesce(F.col("x.line").rlike(ANCHORS), F.lit(False)).alias("anchored"), F.coalesce(F.regexp_extract_all(F.lower("x.line"), F.lit(f"({_WORD})"), 1), F.array().cast("array<string>")).alias("words"))
     n = F.size("words")
     of = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice("words", i, k), " "))
     grams = F.concat(*[F.when(n >= k, of(k)).otherwise(F.array().cast("array<string>")) for k in range(1, WIDTH + 1)], F.array(F.lit(None).cast("string")))
-    return words.select("row", "doc_id", "at", F.explode(F.array_distinct(grams)).alias("gram"))
+    return words.select("row", "doc_id", "at", "part", "anchored", F.explode(F.array_distinct(grams)).alias("gram"))
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per document: doc_id, family, probability, confirmed, n_paragraphs, families (each paragraph's, in order)."""
     model = model or train()
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text").withColumn("anchored", F.coalesce(F.exists(F.split("text", "\n"), lambda x: x.rlike(ANCHORS)), F.lit(False))).withColumn("row", F.monotonically_increasing_id())
-    joined = paragraphs(docs).join(F.broadcast(_weights_table(spark, model)), "gram", "left")
+    docs = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    joined = paragraphs(docs, model).join(F.broadcast(_weights_table(docs.sparkSession, model)), "gram", "left")
     classes, templates = range(len(model.classes)), range(len(model.templates))
     sums = [F.coalesce(F.sum(F.col("w")[c]), F.lit(0.0)).alias(f"z{c}") for c in classes] + [F.sum(F.when(F.array_contains("parts", t), 1).otherwise(0)).alias(f"t{t}") for t in templates]
-    by_line = joined.groupBy("row", "doc_id", "at").agg(*sums)
+    by_unit = joined.groupBy("row", "doc_id", "at", "part", "anchored").agg(*sums)
     z = F.array(*[F.col(f"z{c}") + F.lit(float(model.bias[c])) for c in classes])
     top = F.array_max("z")
     total = F.aggregate("z", F.lit(0.0), lambda s, x: s + F.exp(x - top))
     names = F.array(*[F.lit(c) for c in model.classes])
     fits = F.coalesce(*[F.when(F.col("name") == f, F.greatest(*[F.col(f"t{t}") / F.lit(float(model.sizes[t])) for t in templates if model.templates[t] == f], F.lit(0.0))) for f in sorted(TEMPLATES)], F.lit(0.0))
     judged = (
-        by_line.withColumn("z", z)
+        by_unit.withColumn("z", z)
         .withColumn("p", 1 / total)
         .withColumn("name", F.when(F.col("p") >= ACCEPT, F.element_at(names, F.array_position("z", top).cast("int"))).otherwise(UNKNOWN))
-        .select("row", "doc_id", "at", "name", "p", (fits >= CONFIRM).alias("confirmed"))
+        .withColumn("counts", (F.col("at") >= 0) & (F.col("anchored") | (F.col("name") != UNKNOWN)))
+        .select("row", "doc_id", "at", "part", "counts", "name", "p", (fits >= CONFIRM).alias("confirmed"))
+    )
+    line = (F.col("part") > 0) & F.col("confirmed")
+    unit = F.struct("at", "part", "counts", "name", "p", "confirmed")
+    by_run = judged.groupBy("row", "doc_id", "at").agg(F.collect_list(unit).alias("units"), F.coalesce(F.max(F.when(F.col("part") == 0, F.col("confirmed"))), F.lit(False)).alias("whole"), F.collect_set(F.when(line, F.col("name"))).alias("named"))
+    split = F.size("named") > F.when(F.col("whole"), 1).otherwise(0)
+    own = F.filter("units", lambda x: x["counts"] & (F.when(split, x["part"] > 0).otherwise(x["part"] == 0)))
+    found = by_run.select("row", "doc_id", own.alias("units")).groupBy("row", "doc_id").agg(F.array_sort(F.flatten(F.collect_list("units"))).alias("units"))
+    rank = F.array_max(F.transform("units", lambda x: F.struct(x["confirmed"].alias("confirmed"), (x["name"] != UNKNOWN).alias("known"), x["p"].alias("p"), x["name"].alias("name"))))
+    return found.withColumn("best", rank).select(
+        "doc_id",
+        F.coalesce("best.name", F.lit("none")).alias("family"),
+        F.coalesce("best.p", F.lit(1.0)).alias("probability"),
+        F.coalesce("best.confirmed", F.lit(False)).alias("confirmed"),
+        F.size("units").cast("bigint").alias("n_paragraphs"),
+        F.transform("units", lambda x: x["name"]).alias("families"),
     )
-    rank = F.struct(F.col("confirmed"), (F.col("name") != UNKNOWN).alias("known"), F.col("p"), F.col("name"))
-    found = judged.groupBy("row", "doc_id").agg(F.max(rank).alias("best"), F.count(F.lit(1)).alias("n_paragraphs"), F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("families"))
-    found = found.select("doc_id", F.col("best.name").alias("family"), F.col("best.p").alias("probability"), F.col("best.confirmed").alias("confirmed"), "n_paragraphs", "families")
-    none = docs.where(~F.col("anchored")).select("doc_id", F.lit("none").alias("family"), F.lit(1.0).alias("probability"), F.lit(False).alias("confirmed"), F.lit(0).cast("bigint").alias("n_paragraphs"), F.array().cast("array<string>").alias("families"))
-    return found.unionByName(none)
 
 
 def op4_licenses(spark, sf_dir) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -298,6 +299,42 @@ def test_op4(spark, docs):
             assert got[d].family == "none"
 
 
+NOTICES = {
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+}
+
+
+def test_op4_wrapped_notices(spark):
+    wraps = [(family, head + "\n".join(mark + x for x in textwrap.wrap(text, width)) + tail) for family, text in NOTICES.items() for width in range(50, 81, 6) for mark in ("", "# ") for head, tail in (("", ""), ("Some prose stands here.\n", "\n\nThe prose goes on.\nAnd on."))]
+    assert all("\n" in x[1] for x in wraps)
+    rows = spark.createDataFrame([(k, x[1]) for k, x in enumerate(wraps)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in licenses.scan(rows).collect()}
+    for k, (family, text) in enumerate(wraps):
+        assert (got[k].family, got[k].confirmed, list(got[k].families)) == (family, True, [family]), text
+
+
+def test_op4_lines_of_a_paragraph(spark):
+    rows = [
+        "#include <stdio.h>\n// SPDX-License-Identifier: MIT\nint main() { return public_house(); }",
+        "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Apache-2.0",
+        "This program is licensed under the terms of the GNU Affero\nGeneral Public License, version 3.",
+        "Plain prose of the house,\nand of the park in the year.",
+    ]
+    got = {r.doc_id: list(r.families) for r in licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()}
+    assert got == {0: ["mit"], 1: ["mit", "apache-2.0"], 2: ["agpl-3.0"], 3: []}
+
+
+def test_op4_filter_drops_no_family():
+    model = licenses.train()
+    words = set(licenses.needed(model))
+    rest = [g for g in model.weights if not words.intersection(g.split())]
+    last = len(model.classes) - 1
+    for f in range(last):
+        assert model.bias[f] - model.bias[last] + sum(max(model.weights[g][f] - model.weights[g][last], 0) for g in rest) < 0
+
+
 def test_lattice():
     assert len(embeddings.SHORTEST) == 240 and np.allclose((embeddings.SHORTEST**2).sum(axis=1), 2)
     x = np.random.default_rng(0).standard_normal((500, 8)) * 2
