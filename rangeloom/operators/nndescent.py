@@ -11,15 +11,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.arrays import sampled
-from ..functions.distance import l2sqr
+from ..functions.distance import block_distances
 from ..plans.lineage import cut
 from . import exact
-from .blocks import matrix
+from .blocks import BLOCK_ROWS, matrix
 
 
 @dataclass(frozen=True)
@@ -201,24 +202,52 @@ def diverse(candidates: DataFrame, vectors: DataFrame, k: int, refill: bool = Fa
     return wide.groupBy("node").applyInArrow(run, "node int, nbr int, dist double, rank int")
 
 
-def hashed_graph(vectors: DataFrame, k: int, tables: int = 12, bits: int = 5, seed: int = 7) -> DataFrame:
-    """A K-NN graph from candidates that share a cell of random hyperplanes in some table."""
+def hashed_graph(vectors: DataFrame, k: int, tables: int = 40, bits: int = 5, seed: int = 7, rows: int = BLOCK_ROWS) -> DataFrame:
+    """A K-NN graph from candidates that share a cell of random hyperplanes in some table.
+
+    Cells are cut into parts of about ``rows`` vectors, and each pair of parts is one group, which emits
+    only its ``k`` nearest for each node, so no pair of candidates travels and no task holds a large cell.
+    """
     first = vectors.select("embedding").first()
     if first is None:
         return vectors.select(F.col("pos").alias("node"), F.col("pos").alias("nbr"), F.lit(0.0).alias("dist"), F.lit(1).alias("rank"))
     planes = np.random.default_rng(seed).standard_normal((tables, bits, len(first[0])))
     centre = np.array(vectors.select(*[F.avg(F.get("embedding", F.lit(j))).alias(f"m{j}") for j in range(len(first[0]))]).first())
 
-    def run(batches):
+    def hashed(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             x = matrix(b.column("embedding")) - centre
             code = ((np.einsum("nd,tbd->ntb", x, planes) > 0) << np.arange(bits)).sum(axis=2)
             key = code + (np.arange(tables) << bits)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("pos").to_numpy(), tables), pa.int32()), pa.array(key.ravel(), pa.int64())], names=["pos", "key"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1) * tables, pa.int32()), pa.array(key.ravel(), pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("pos"), b.column("embedding"), lists], names=["pos", "embedding", "keys"])
 
-    keys = vectors.select("pos", "embedding").mapInArrow(run, "pos int, key bigint")
-    a, b = keys.select("key", F.col("pos").alias("node")), keys.select("key", F.col("pos").alias("nbr"))
-    pairs = a.join(b, "key").where("node < nbr").select("node", "nbr").distinct()
-    return exact.top(_both(_measured(pairs, vectors)), k)
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("pos")
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        x, y = (t.filter(pc.equal(t.column("part"), part)) for part in (i, j))
+        found = []
+        if x.num_rows and y.num_rows:
+            a, b = (side.column("pos").to_numpy() for side in (x, y))
+            d = block_distances(matrix(x.column("embedding")), matrix(y.column("embedding")))
+            if i == j:
+                np.fill_diagonal(d, np.inf)
+            for own, other, far in ((a, b, d), (b, a, d.T)) if i != j else ((a, b, d),):
+                bound = np.partition(far, min(k, len(other)) - 1, axis=1)[:, min(k, len(other)) - 1]
+                r, c = np.nonzero((far <= bound[:, None]) & np.isfinite(far))
+                order = np.lexsort((c, far[r, c], r))
+                r, c = r[order], c[order]
+                near = np.arange(len(r)) - np.searchsorted(r, r) < k
+                found.append((own[r[near]], other[c[near]], far[r[near], c[near]]))
+        node, nbr, dist = (np.concatenate(z) for z in zip(*found, strict=True)) if found else ([], [], [])
+        return pa.table({"node": pa.array(node, pa.int32()), "nbr": pa.array(nbr, pa.int32()), "dist": pa.array(dist, pa.float64())})
+
+    keyed = vectors.select(F.col("pos").cast("int").alias("pos"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(hashed, "pos int, embedding array<double>, keys array<bigint>")
+    keyed = cut(keyed).select("pos", "embedding", F.explode("keys").alias("key"))
+    # At most tables * 2 ** bits rows.
+    sizes = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / rows).alias("parts"))
+    dealt = keyed.join(F.broadcast(sizes), "key").withColumn("part", F.pmod(F.xxhash64("pos"), "parts")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    groups = dealt.select("key", "pos", "embedding", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
+    return exact.top(groups.groupBy("key", "i", "j").applyInArrow(run, "node int, nbr int, dist double"), k)

@@ -47,6 +47,24 @@ def test_recall(spark, truth, name, least):
     assert len(found & truth) / len(truth) >= least
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_hashed_recall(spark, sf):
+    want, found = ({(r.node, r.nbr) for r in f(spark, f"/root/testdata/{sf}").collect()} for f in (q.exact_knn_graph, q.lsh_knn_graph))
+    print("recall", sf, len(want & found) / len(want))
+    assert len(want & found) >= 0.9 * len(want)
+
+
+def test_approximate_index_recall(spark):
+    want, found = ({(r.node, r.nbr) for r in f(spark, SF).collect()} for f in (q.range_knn_graph, q.approximate_index_graph))
+    print("recall of approximate_index_graph", len(want & found) / len(want))
+    assert len(want & found) >= 0.9 * len(want)
+
+
+def test_hashed_graph_in_parts(spark):
+    v = q.by_label(spark, SF)
+    assert q.edges(q.nndescent.hashed_graph(v, q.K, rows=7)).exceptAll(q.lsh_knn_graph(spark, SF)).count() == 0
+
+
 def test_beam_search(spark):
     exact_ = {r.pos for r in q.range_knn_query(spark, SF).collect()}
     assert len(exact_ & {r.pos for r in q.beam_search(spark, SF).collect()}) >= 8
