@@ -367,6 +367,20 @@ def test_op9_recall(spark):
     assert (found <= near.sum(axis=1)).all() and found.sum() >= 0.95 * near.sum()
 
 
+@pytest.mark.parametrize(("low", "high", "least"), [(0.93, 0.935, 0.96), (0.94, 0.941, 0.985)])
+def test_op9_cells_at_the_least_cosine(low, high, least):
+    rng = np.random.default_rng(6)
+    a, r = rng.standard_normal((2, 4000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    r -= (r * a).sum(axis=1, keepdims=True) * a
+    r /= np.linalg.norm(r, axis=1, keepdims=True)
+    c = rng.uniform(low, high, (4000, 1))
+    x, y = embeddings.cells(a), embeddings.cells(c * a + np.sqrt(1 - c * c) * r)
+    met = ((x[:, :, :1] == y) | (y[:, :, :1] == x)).any(axis=(1, 2))
+    print("met", low, high, met.mean())
+    assert met.mean() >= least
+
+
 def accuracy(rows, truth, of):
     own = [(of(r), truth[r.doc_id]) for r in rows if r.held_out and truth.get(r.doc_id) is not None]
     return np.mean([a == b for a, b in own])
