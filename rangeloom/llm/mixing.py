@@ -1,29 +1,39 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-The documents of a source, in the order of a hash of their ids, make one stream of words; its second
-pass (for targets above the source's size) follows the first. The source's target, rounded to a whole
-word, is a prefix of that stream, so each of its documents is taken whole, cut at one place, or left
-out, and no document is taken more than twice. The prefix is cut into blocks of ``block_words`` words.
-
-A tree splits the block quotas of all sources among the output shards: each node deals the blocks of
-its shards to its two halves by one multivariate-hypergeometric draw, so each leaf has exact quotas and
-the leaves' quotas add up to the sources'. A keyed permutation of each source's block numbers then gives
-each shard blocks of its own, and within a shard the blocks come in the order of another keyed hash.
+The documents of a source, in the order of a hash of their ids and texts, make one stream of words, which
+is cut into blocks of ``block_words`` words (the last may be shorter). A pass over the source is a keyed
+permutation of its block numbers; the second pass (for targets above the source's size) has another key and
+follows the first. The first so many blocks of these passes that reach the target, rounded to a whole word,
+are drawn, the last of them cut where the target ends. So the drawn blocks of a pass are disjoint, a
+source's words add up to its target, and no word is taken more than twice.
+
+A tree splits the block quotas of all sources among the output shards: each node deals the blocks of its
+shards to its two halves by one multivariate-hypergeometric draw, so each leaf has exact quotas and the
+leaves' quotas add up to the sources'. The places that the permutation gives to the drawn blocks are dealt
+to the shards by these quotas; within a shard blocks come in the order of another keyed hash.
+
+``mix`` tells for each document which of its words are drawn, and for which shard. ``mixed_documents``
+returns the documents in the order of shards and of each shard: a run of neighbouring drawn words of one
+pass is one row, in the shard where its first block is, so that documents stay whole where they can.
 
 Defined results: a null text counts as empty; a document of no words takes nothing; documents of null
-source make a source of their own, last in order; rows that repeat an id stand side by side in the
-stream, each with its own size; an empty table gives an empty mix. Other columns are ignored or, by
-``mixed_documents``, carried along.
+source make a source of their own, last in order; rows that repeat an id and a text stand side by side in
+the stream, in any order; an empty table gives an empty mix. Other columns are ignored or, by
+``mixed_documents``, carried along, whatever their names. ``docs`` is read twice by ``mixed_documents``,
+so it has to be a table or a checkpoint, whose rows come in the same order each time; if not, it fails.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import checkpointed, mixed, table
@@ -32,26 +42,40 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_REPEATS = 2
 BLOCK_WORDS = 4096
-SHARDS = 16
+#: Words of a shard, where the caller names no number of shards; and the numbers that a plan may hold (sources times shards).
+SHARD_WORDS, PLAN_NUMBERS = 1 << 26, 1 << 22
+LEAST_SHARDS = 16
+#: Words of a shard's order that a task puts out.
+TASK_WORDS = 1 << 22
 BUCKET_BITS = 12
-#: The plan of the sources (a few numbers for each shard) goes to every task, so there may be so many.
+#: The plan of the sources goes to every task, so there may be so many.
 MOST_SOURCES = 100_000
+#: Blocks that one draw of the tree may be of, by numpy's limit; more are dealt by several trees.
+TREE_BLOCKS = 1 << 29
+#: The rounds of the permutation: a multiplier, a prime and the bits dropped.
+_TIMES, _PRIME, _DROPPED = 668_265_263, (1 << 61) - 1, 20
 _WORD = r"[^\x20\x09-\x0D]+"
 _PIECE = "array<struct<shard:int,slot:bigint,rank:bigint,epoch:int,first:bigint,past:bigint>>"
 
 
 @dataclass
 class Plan:
-    """For each source, in order: words in it, target, words to take, blocks, and where each shard's block slots begin."""
+    """For each source, in order: words in it, target, words to take, blocks of a pass, blocks drawn, words of the last one drawn, where each shard's places end, and the keys of its passes."""
 
     names: list
     sizes: np.ndarray
     targets: np.ndarray
     quotas: np.ndarray
     blocks: np.ndarray
-    slots: np.ndarray
+    drawn: np.ndarray
+    last: np.ndarray
+    ends: np.ndarray
+    keys: list
     block_words: int
-    seed: int
+
+    @property
+    def shards(self) -> int:
+        return self.ends.shape[1]
 
 
 def targets_of(sizes: np.ndarray, weights=WEIGHTS, share: float = SHARE, repeats: int = MOST_REPEATS) -> np.ndarray:
@@ -73,136 +97,170 @@ def targets_of(sizes: np.ndarray, weights=WEIGHTS, share: float = SHARE, repeats
 
 
 def split_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Each source's blocks in each shard: (sources, shards), rows adding up to ``quotas``, columns equal to within one."""
-    rng = np.random.default_rng(seed)
+    """Each source's blocks in each shard: (sources, shards), rows adding up to ``quotas``, columns equal to within one (a tree)."""
     out = np.zeros((len(quotas), shards), dtype=np.int64)
-
-    def split(have: np.ndarray, first: int, past: int) -> None:
-        if past - first == 1:
-            out[:, first] = have
-            return
-        middle = (first + past) // 2
-        draws = int(have.sum()) * (middle - first) // (past - first)
-        left = rng.multivariate_hypergeometric(have, draws, method="marginals")
-        split(have - left, middle, past)
-        split(left, first, middle)
-
-    if len(quotas):
-        split(quotas.astype(np.int64), 0, shards)
+    trees = max(1, -(-int(quotas.sum()) // TREE_BLOCKS)) if len(quotas) else 0
+    for tree in range(trees):
+        rng = np.random.default_rng((seed, tree))
+
+        def split(have: np.ndarray, first: int, past: int, rng=rng) -> None:
+            if past - first == 1:
+                out[:, first] += have
+                return
+            middle = (first + past) // 2
+            draws = int(have.sum()) * (middle - first) // (past - first)
+            left = rng.multivariate_hypergeometric(have, draws, method="marginals")
+            split(have - left, middle, past)
+            split(left, first, middle)
+
+        share = quotas.astype(np.int64)
+        split(share * (tree + 1) // trees - share * tree // trees if trees > 1 else share, 0, shards)
     return out
 
 
-def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
+def pass_keys(seed: int, source: int, epoch: int) -> list[int]:
+    """The four numbers that key the permutation of a source's blocks in a pass."""
+    return [int(hashlib.md5(f"{seed}/{source}/{epoch}/{r}".encode()).hexdigest()[:8], 16) for r in range(4)]
+
+
+def permuted(x: np.ndarray, n: int, keys: list[int]) -> np.ndarray:
     """A keyed permutation of 0 .. n - 1: four Feistel rounds, walked until the value is below n."""
     half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
-    mask = np.uint64((1 << half) - 1)
-    out = x.astype(np.uint64)
+    mask = (1 << half) - 1
+    out = np.array(x, dtype=np.int64)
     todo = np.arange(len(out))
     while len(todo):
-        left, right = out[todo] >> np.uint64(half), out[todo] & mask
-        for r in range(4):
-            left, right = right, left ^ (mixed(right + np.uint64((key * 4 + r) & 0xFFFFFFFFFFFFFFFF)) & mask)
-        out[todo] = (left << np.uint64(half)) | right
+        left, right = out[todo] >> half, out[todo] & mask
+        for k in keys:
+            left, right = right, left ^ (((right + k) * _TIMES % _PRIME >> _DROPPED) & mask)
+        out[todo] = (left << half) | right
         todo = todo[out[todo] >= n]
-    return out.astype(np.int64)
+    return out
+
+
+def draw(words: int, size: int, blocks: int, block_words: int, keys: list[list[int]]) -> tuple[int, int]:
+    """How many blocks of a source's passes hold ``words`` words, and how many words of the last of them."""
+    if not words:
+        return 0, 0
+    lacks = blocks * block_words - size
+    short = sorted(e * blocks + int(permuted(np.array([blocks - 1]), blocks, k)[0]) for e, k in enumerate(keys))
+    for passed in range(len(short) + 1):
+        n = -(-(words + passed * lacks) // block_words)
+        # The short blocks among the first n.
+        if sum(p < n for p in short) <= passed:
+            held = n * block_words - sum(p < n for p in short) * lacks
+            of = block_words - (lacks if n - 1 in short else 0)
+            return n, words - (held - of)
+    raise AssertionError("a target is above its source's passes")
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """``docs`` with its size in words, its source as a key that is never null, and its place in the order of a hash."""
-    key = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("bigint")
-    return (
-        docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("bigint"))
-        .withColumn("__source", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("="), F.col("source"))))
-        .withColumn("__key", key)
-        .withColumn("__bucket", F.shiftright("__key", 60 - BUCKET_BITS).cast("int"))
+    """rid, a mark of the row, doc_id, size in words, the source as a key that is never null, and the place in the order of a hash; one row per row of ``docs``."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    own = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text.cast("binary")))
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("rid"),
+        F.xxhash64("doc_id", "text", "source").alias("mark"),
+        "doc_id",
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"),
+        F.regexp_count(text, F.lit(_WORD)).cast("bigint").alias("size"),
+        F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("="), F.col("source"))).alias("source"),
+        F.conv(F.substring(F.md5(own.cast("binary")), 1, 15), 16, 10).cast("bigint").alias("key"),
     )
+    return rows.withColumn("bucket", F.shiftright("key", 60 - BUCKET_BITS).cast("int")).withColumn("part", F.shiftright("rid", 33))
 
 
-def plan_of(bucket_sizes: DataFrame, shards: int, block_words: int, seed: int) -> Plan:
+def plan_of(bucket_sizes: DataFrame, shards: int | None, block_words: int, seed: int) -> Plan:
     """The plan from the (source, bucket) sizes; only one row for each source comes to the driver."""
-    rows = bucket_sizes.groupBy("__source").agg(F.sum("__words").alias("words")).limit(MOST_SOURCES + 1).collect()
+    rows = bucket_sizes.groupBy("source").agg(F.sum("words").alias("words")).limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources; group them first")
     rows = sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] == "n", r[0].encode()))
     sizes = np.array([r[1] for r in rows], dtype=np.int64)
     targets = targets_of(sizes) if len(rows) else np.zeros(0)
     quotas = np.floor(targets + 0.5).astype(np.int64)
-    block_words = max(block_words, -(-int(quotas.sum()) // 2**29))
-    blocks = -(-quotas // block_words)
-    ends = np.cumsum(split_tree(blocks, shards, seed), axis=1)
-    return Plan([r[0] for r in rows], sizes, targets, quotas, blocks, ends, block_words, seed)
+    if shards is None:
+        shards = max(LEAST_SHARDS, min(-(-int(quotas.sum()) // SHARD_WORDS), PLAN_NUMBERS // max(len(rows), 1)))
+    blocks = -(-sizes // block_words)
+    keys = [[pass_keys(seed, s, e) for e in range(MOST_REPEATS)] for s in range(len(rows))]
+    drawn = np.array([draw(int(q), int(n), int(b), block_words, k) for q, n, b, k in zip(quotas, sizes, blocks, keys, strict=True)], dtype=np.int64).reshape(-1, 2)
+    ends = np.cumsum(split_tree(drawn[:, 0], shards, seed), axis=1)
+    return Plan([r[0] for r in rows], sizes, targets, quotas, blocks, drawn[:, 0], drawn[:, 1], ends, keys, block_words)
 
 
-def placed(docs: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = 7) -> tuple[DataFrame, Plan]:
-    """``docs`` with where each begins in its source's stream, and the plan.
+def placed(docs: DataFrame, shards: int | None = None, block_words: int = BLOCK_WORDS, seed: int = 7) -> tuple[DataFrame, Plan]:
+    """rid, mark, doc_id, source, size and start (the words before it in its source's stream) of each row, and the plan.
 
-    A source's stream is ordered in 2 ** BUCKET_BITS buckets of the hash, so that no task ever holds
-    a whole source: sizes are summed by bucket first, and each bucket then adds up its own rows.
+    A source's stream is ordered in 2 ** BUCKET_BITS buckets of the hash, so that no task ever holds a
+    whole source. Equal rows, however many, are counted first, by the partition they were read in; each
+    row then finds its place from its number among the equal ones of its partition.
     """
-    docs = sized(docs)
-    by_bucket = checkpointed(docs.groupBy("__source", "__bucket").agg(F.sum("__size").alias("__words")))  # used twice
+    rows = checkpointed(sized(docs))  # the texts are read once
+    same = ["source", "bucket", "key", "id", "size", "part"]
+    groups = checkpointed(rows.groupBy(*same).agg(F.count(F.lit(1)).alias("n")))
+    by_bucket = groups.groupBy("source", "bucket").agg(F.sum(F.col("n") * F.col("size")).alias("words"))
     plan = plan_of(by_bucket, shards, block_words, seed)
-    earlier = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = by_bucket.select("__source", "__bucket", F.coalesce(F.sum("__words").over(earlier), F.lit(0)).alias("__base"))
-    within = Window.partitionBy("__source", "__bucket").orderBy("__key", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
-    out = docs.join(base, ["__source", "__bucket"]).withColumn("__start", F.col("__base") + F.coalesce(F.sum("__size").over(within), F.lit(0)))
-    return out, plan
+    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = by_bucket.select("source", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
+    within = Window.partitionBy("source", "bucket").orderBy("key", "id", "size", "part").rowsBetween(Window.unboundedPreceding, -1)
+    begun = groups.join(base, ["source", "bucket"]).select(*same, (F.col("base") + F.coalesce(F.sum(F.col("n") * F.col("size")).over(within), F.lit(0))).alias("begin"))
+    number = F.row_number().over(Window.partitionBy(*same).orderBy("rid")) - 1
+    return rows.join(begun, same).select("rid", "mark", "doc_id", "source", "size", (F.col("begin") + number * F.col("size")).alias("start")), plan
 
 
 def _pieces(source: np.ndarray, start: np.ndarray, size: np.ndarray, plan: Plan):
-    """For rows of given source number, start and size: row, shard, slot, rank, epoch, first and past word of each piece."""
+    """For rows of given source number, start and size: row, shard, slot, rank, epoch, first and past word of each piece, by row, epoch and word."""
+    rows = np.flatnonzero(size > 0)
+    b0, b1 = start[rows] // plan.block_words, (start[rows] + size[rows] - 1) // plan.block_words
+    n = b1 - b0 + 1
+    row = np.repeat(rows, n)
+    block = np.repeat(b0, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     found = []
-    for epoch in range(MOST_REPEATS):
-        low = start + epoch * plan.sizes[source]
-        high = np.minimum(low + size, plan.quotas[source])
-        rows = np.flatnonzero(high > low)
-        if not len(rows):
-            continue
-        b0, b1 = low[rows] // plan.block_words, (high[rows] - 1) // plan.block_words
-        n = b1 - b0 + 1
-        row = np.repeat(rows, n)
-        block = np.repeat(b0, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        first = np.maximum(block * plan.block_words, low[row]) - low[row]
-        past = np.minimum((block + 1) * plan.block_words, high[row]) - low[row]
-        found.append((row, block, np.full(len(row), epoch), first, past))
+    for s in np.unique(source[rows]):
+        own = np.flatnonzero(source[row] == s)
+        different, at = np.unique(block[own], return_inverse=True)
+        for epoch in range(MOST_REPEATS):
+            slot = (epoch * plan.blocks[s] + permuted(different, int(plan.blocks[s]), plan.keys[s][epoch]))[at]
+            on = slot < plan.drawn[s]
+            r, b, t = row[own[on]], block[own[on]], slot[on]
+            begin = b * plan.block_words
+            end = np.minimum(begin + np.where(t == plan.drawn[s] - 1, plan.last[s], plan.block_words), plan.sizes[s])
+            first, past = np.maximum(begin - start[r], 0), np.minimum(end - start[r], size[r])
+            some = past > first
+            shard = np.searchsorted(plan.ends[s], t[some], side="right")
+            found.append((r[some], shard, t[some], np.full(some.sum(), epoch), first[some], past[some]))
     if not found:
         return [np.zeros(0, dtype=np.int64)] * 7
-    row, block, epoch, first, past = (np.concatenate(x) for x in zip(*found, strict=True))
-    slot, shard = np.zeros_like(block), np.zeros_like(block)
-    for s in np.unique(source[row]):
-        own = np.flatnonzero(source[row] == s)
-        slot[own] = permuted(block[own], int(plan.blocks[s]), plan.seed * 1_000_003 + int(s))
-        shard[own] = np.searchsorted(plan.slots[s], slot[own], side="right")
+    row, shard, slot, epoch, first, past = (np.concatenate(x) for x in zip(*found, strict=True))
     with np.errstate(over="ignore"):
-        rank = (mixed(slot.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + source[row].astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+        rank = (mixed(mixed(slot.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + source[row].astype(np.uint64))) >> np.uint64(1)).astype(np.int64)
     order = np.lexsort((first, epoch, row))
     return [x[order] for x in (row, shard, slot, rank, epoch, first, past)]
 
 
-def mix(docs: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, shards: int | None = None, block_words: int = BLOCK_WORDS, seed: int = 7) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, pieces.
 
-    ``pieces`` tells each run of its words that the mix takes: the shard, the source's block slot, the
-    slot's rank in the shard's order, the epoch, and the first and past-the-last word.
+    ``pieces`` tells each run of its words that the mix takes: the shard, the block's place among the
+    drawn ones of its source, its rank in the shard's order, the epoch, and the first and past-the-last word.
     """
-    rows, plan = placed(docs.select("doc_id", "text", "source"), shards, block_words, seed)
+    rows, plan = placed(docs, shards, block_words, seed)
     numbers = {name: k for k, name in enumerate(plan.names)}
     fields = pa.struct([("shard", pa.int32()), ("slot", pa.int64()), ("rank", pa.int64()), ("epoch", pa.int32()), ("first", pa.int64()), ("past", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            source = np.array([numbers[x] for x in batch.column("__source").to_pylist()], dtype=np.int64)
-            size = batch.column("__size").to_numpy()
-            row, shard, slot, rank, epoch, first, past = _pieces(source, batch.column("__start").to_numpy(), size, plan)
+            source = np.array([numbers[x] for x in batch.column("source").to_pylist()], dtype=np.int64)
+            size = batch.column("size").to_numpy()
+            row, shard, slot, rank, epoch, first, past = _pieces(source, batch.column("start").to_numpy(), size, plan)
             values = pa.StructArray.from_arrays([pa.array(shard, pa.int32()), pa.array(slot), pa.array(rank), pa.array(epoch, pa.int32()), pa.array(first), pa.array(past)], fields=list(fields))
             offsets = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("__size"), pa.array(plan.sizes[source]), pa.array(plan.targets[source]), pa.ListArray.from_arrays(offsets, values)],
+                [batch.column("doc_id"), batch.column("size"), pa.array(plan.sizes[source]), pa.array(plan.targets[source]), pa.ListArray.from_arrays(offsets, values)],
                 names=["doc_id", "size", "source_size", "target", "pieces"],
             )
 
-    narrow = rows.select("doc_id", "__source", "__size", "__start")
-    return narrow.mapInArrow(run, f"doc_id bigint, size bigint, source_size bigint, target double, pieces {_PIECE}")
+    return rows.select("doc_id", "source", "size", "start").mapInArrow(run, f"doc_id bigint, size bigint, source_size bigint, target double, pieces {_PIECE}")
 
 
 def shard_rows(mix_rows: DataFrame) -> DataFrame:
@@ -211,41 +269,67 @@ def shard_rows(mix_rows: DataFrame) -> DataFrame:
     return pieces.repartition("shard").sortWithinPartitions("shard", "rank", "slot", "doc_id", "epoch", "first")
 
 
-def cut_words(text: str, past: int) -> str:
-    """The text up to the end of its word number ``past`` (from 1)."""
+def cut_words(text: str, first: int, past: int, size: int) -> str:
+    """The text from its word ``first`` (from 0) to before its word ``past``; of its ``size`` words, with what stands before the first and after the last."""
     import re
 
-    for k, m in enumerate(re.finditer(_WORD, text), 1):
-        if k == past:
-            return text[: m.end()]
-    return text
+    begin, end = 0, len(text)
+    for k, m in enumerate(re.finditer(_WORD, text)):
+        if k == first and first:
+            begin = m.start()
+        if k == past - 1:
+            end = m.end() if past < size else end
+            break
+    return text[begin:end]
+
 
+def mixed_documents(docs: DataFrame, shards: int | None = None, seed: int = 7) -> DataFrame:
+    """The documents that the mix takes, with the columns of ``docs``, by shard and in each shard's order: one row for each run of neighbouring words taken in one pass, cut to it.
 
-def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """The documents that the mix takes, with the columns of ``docs``: twice if its source repeats, the one at the quota's end cut there."""
-    columns = docs.columns
-    rows, plan = placed(docs, seed=seed)
+    Numbers alone are placed; the texts then meet their places on the row's number, and cross one more
+    shuffle to their shards. A shard is put out by as many tasks as its words ask for, each a range of its order.
+    """
+    rows, plan = placed(docs.select("doc_id", "text", "source"), shards, seed=seed)
     numbers = {name: k for k, name in enumerate(plan.names)}
-    schema = docs.schema
+    tasks = 1 << max(0, (-(-int(plan.quotas.sum()) // (plan.shards * TASK_WORDS)) - 1).bit_length())
+    schema = T.StructType([T.StructField("row", docs.schema), *(T.StructField(c, T.LongType()) for c in ("task", "rank", "slot", "at"))])
 
     def run(batches):
         for batch in batches:
-            source = np.array([numbers[x] for x in batch.column("__source").to_pylist()], dtype=np.int64)
-            start, size = batch.column("__start").to_numpy(), batch.column("__size").to_numpy()
-            for epoch in range(MOST_REPEATS):
-                low = start + epoch * plan.sizes[source]
-                taken = np.clip(plan.quotas[source] - low, 0, size)
-                whole = np.flatnonzero((taken == size) & (size > 0))
-                if len(whole):
-                    yield batch.select(columns).take(pa.array(whole))
-                for k in np.flatnonzero((taken > 0) & (taken < size)):
-                    row = batch.select(columns).slice(k, 1).to_pylist()[0]
-                    row["text"] = cut_words(row["text"], int(taken[k]))
-                    if "n_chars" in row:
-                        row["n_chars"] = len(row["text"])
-                    yield pa.RecordBatch.from_pylist([row], schema=batch.select(columns).schema)
-
-    return rows.select(*columns, "__source", "__size", "__start").mapInArrow(run, schema)
+            source = np.array([numbers[x] for x in batch.column("source").to_pylist()], dtype=np.int64)
+            size = batch.column("size").to_numpy()
+            row, shard, slot, rank, epoch, first, past = _pieces(source, batch.column("start").to_numpy(), size, plan)
+            if not len(row):
+                continue
+            # Neighbouring pieces of a row and an epoch are one run.
+            new = np.ones(len(row), dtype=bool)
+            new[1:] = (row[1:] != row[:-1]) | (epoch[1:] != epoch[:-1]) | (first[1:] != past[:-1])
+            head = np.flatnonzero(new)
+            row, past = row[head], past[np.append(head[1:], len(new)) - 1]
+            shard, slot, rank, first = shard[head], slot[head], rank[head], first[head]
+            task = shard * tasks + (rank >> (63 - (tasks.bit_length() - 1)))
+            # A few rows at a time, since a row may be there twice.
+            for a in range(0, len(row), 1000):
+                own = slice(a, a + 1000)
+                taken = batch.column("row").take(pa.array(row[own]))
+                parts = dict(zip([f.name for f in taken.type], taken.flatten(), strict=True))
+                partial = np.flatnonzero((first[own] > 0) | (past[own] < size[row[own]]))
+                if len(partial):
+                    texts = parts["text"].take(pa.array(partial)).to_pylist()
+                    cut = [cut_words(t, int(first[own][k]), int(past[own][k]), int(size[row[own]][k])) for t, k in zip(texts, partial, strict=True)]
+                    mask = np.zeros(len(taken), dtype=bool)
+                    mask[partial] = True
+                    parts["text"] = pc.replace_with_mask(parts["text"], pa.array(mask), pa.array(cut, parts["text"].type))
+                    if "n_chars" in parts and pa.types.is_integer(parts["n_chars"].type):
+                        parts["n_chars"] = pc.replace_with_mask(parts["n_chars"], pa.array(mask), pa.array([len(t) for t in cut], parts["n_chars"].type))
+                    taken = pa.StructArray.from_arrays(list(parts.values()), fields=list(taken.type))
+                yield pa.RecordBatch.from_arrays([taken, *(pa.array(x[own]) for x in (task, rank, slot, first))], names=["row", "task", "rank", "slot", "at"])
+
+    wide = docs.select(F.monotonically_increasing_id().alias("rid"), F.xxhash64("doc_id", "text", "source").alias("own"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    source = F.when(F.col("own") == F.col("mark"), F.col("source")).otherwise(F.raise_error(F.lit("the documents came in another order when read again; write them as a table first")))
+    met = wide.join(rows.where("size > 0").select("rid", "mark", "source", "size", "start"), "rid").select("row", source.alias("source"), "size", "start")
+    found = met.mapInArrow(run, schema).repartitionById(max(1, plan.shards * tasks), F.col("task").cast("int"))
+    return found.sortWithinPartitions("task", "rank", "slot", "row.doc_id", "at").select("row.*")
 
 
 def op2_mixing(spark, sf_dir) -> DataFrame:
@@ -254,10 +338,12 @@ def op2_mixing(spark, sf_dir) -> DataFrame:
     return mixes.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
-OP2_SQL = r"""
-WITH sized AS (
+#: By arithmetic of its own for what is drawn: words are summed over the blocks in the order of their places.
+OP2_SQL = rf"""
+WITH RECURSIVE sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS k
+         coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS k
   FROM documents),
 sources AS (
   SELECT source, sum(size)::DOUBLE AS words, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n FROM sized GROUP BY source),
@@ -268,12 +354,33 @@ levels AS (
 rest AS (
   SELECT (max(total) - coalesce(sum(cap) FILTER (WHERE is_full), 0)) / sum(w) FILTER (WHERE NOT is_full) AS level FROM levels),
 targets AS (
-  SELECT source, words::BIGINT AS source_size, CASE WHEN is_full THEN cap ELSE w * level END AS target FROM levels, rest),
+  SELECT *, floor(target + 0.5)::BIGINT AS quota, (source_size + {BLOCK_WORDS - 1}) // {BLOCK_WORDS} AS blocks
+  FROM (SELECT source, n, words::BIGINT AS source_size, CASE WHEN is_full THEN cap ELSE w * level END AS target FROM levels, rest)),
+passes AS (
+  SELECT n, blocks, e, greatest(1, (length(bin(greatest(blocks - 1, 1))) + 1) // 2)::BIGINT AS half,
+         {", ".join(f"CAST('0x' || substr(md5('7/' || n || '/' || e || '/{r}'), 1, 8) AS BIGINT) AS k{r}" for r in range(4))}
+  FROM targets, range({MOST_REPEATS}) p(e)),
+walk AS (
+  SELECT n, e, b, b AS x, 0 AS steps FROM passes, LATERAL (SELECT unnest(range(blocks)) AS b)
+  UNION ALL
+  SELECT n, e, b, (r3 << half) | r4, steps + 1 FROM (
+    SELECT *, xor(r2, (((r3 + k3) * {_TIMES} % {_PRIME}) >> {_DROPPED}) & mask) AS r4 FROM (
+      SELECT *, xor(r1, (((r2 + k2) * {_TIMES} % {_PRIME}) >> {_DROPPED}) & mask) AS r3 FROM (
+        SELECT *, xor(r0, (((r1 + k1) * {_TIMES} % {_PRIME}) >> {_DROPPED}) & mask) AS r2 FROM (
+          SELECT *, xor(x >> half, (((r0 + k0) * {_TIMES} % {_PRIME}) >> {_DROPPED}) & mask) AS r1 FROM (
+            SELECT w.*, p.* EXCLUDE (n, e), (1::BIGINT << half) - 1 AS mask, x & ((1::BIGINT << half) - 1) AS r0
+            FROM walk w JOIN passes p USING (n, e) WHERE steps = 0 OR x >= blocks)))))),
+blocks AS (
+  SELECT w.n, e, b, e * t.blocks + x AS slot, least({BLOCK_WORDS}, source_size - b * {BLOCK_WORDS}) AS held, quota
+  FROM walk w JOIN targets t USING (n) WHERE steps > 0 AND x < t.blocks),
+drawn AS (
+  SELECT n, b, greatest(0, least(held, quota - coalesce(sum(held) OVER (PARTITION BY n ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS words FROM blocks),
 placed AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS quota,
-         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.k, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, quota - start)) + greatest(0, least(size, quota - start - source_size)))::BIGINT AS taken
-FROM placed
+  SELECT s.doc_id, s.size, t.n, t.source_size, t.target, row_number() OVER () AS r,
+         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.k, s.id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+taken AS (
+  SELECT r, sum(greatest(0, least(start + size, b * {BLOCK_WORDS} + words) - greatest(start, b * {BLOCK_WORDS}))) AS words
+  FROM placed p JOIN drawn d ON p.n = d.n AND d.b BETWEEN p.start // {BLOCK_WORDS} AND (p.start + p.size - 1) // {BLOCK_WORDS} WHERE p.size > 0 GROUP BY r)
+SELECT doc_id, size, source_size, target, coalesce(taken.words, 0)::BIGINT AS taken FROM placed LEFT JOIN taken USING (r)
 """

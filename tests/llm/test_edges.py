@@ -24,7 +24,7 @@ ROWS = [
     (10, "Ünïcödé 中文 😀 text", "de", "ü", 17),
 ]
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-CLASH = {c: "x" for c in ("score", "predicted", "lang_pred", "lang_score", "ids", "id_offsets", "fp", "u", "v", "top", "size", "part", "guest", "row", "packed", "component_id", "kept", "quality", "start", "family", "w", "label")}
+CLASH = {c: "x" for c in ("score", "predicted", "lang_pred", "lang_score", "ids", "id_offsets", "fp", "u", "v", "top", "size", "part", "guest", "row", "packed", "component_id", "kept", "quality", "start", "family", "w", "label", "__size", "__mark", "__row", "__source", "__start", "__id", "__kept", "__lettered", "rid", "task", "rank", "slot", "at", "id", "key", "bucket", "bytes")}
 
 
 @pytest.fixture(scope="module")
@@ -81,10 +81,28 @@ def test_mixing(wide, none):
     for r in got:
         assert sum(p["past"] - p["first"] for p in r.pieces) <= 2 * r.size
     assert mixing.mix(none).count() == 0
+    mixed = mixing.mixed_documents(wide).collect()
+    assert all(r[c] == "x" for r in mixed for c in CLASH)
+    again = {}
+    for r in mixed:
+        again[r.doc_id, r.source] = again.get((r.doc_id, r.source), 0) + len(r.text.split())
+    want = {}
+    for r, source in ((r, s) for r in got for s in {x[3] for x in ROWS if x[0] == r.doc_id and len((x[1] or "").split()) == r["size"]}):
+        want[r.doc_id, source] = want.get((r.doc_id, source), 0) + sum(p["past"] - p["first"] for p in r.pieces)
+    assert again == {k: n for k, n in want.items() if n}
     assert mixing.mixed_documents(wide).columns == wide.columns
     assert mixing.mixed_documents(none).count() == 0
 
 
+def test_mixing_of_a_hot_id(spark):
+    """Equal rows, rows of one id, and rows of none: each has its own place in the stream."""
+    rows = [(7, "same words here", "a")] * 300 + [(None, f"text {k}", "a") for k in range(100)] + [(8, f"other text {k % 5}", "a") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    found, _ = mixing.placed(docs)
+    spans = sorted((r.start, r.start + r["size"]) for r in found.collect())
+    assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False)) and len(spans) == 500
+
+
 def test_quality(wide, labels, none):
     model = quality.fit(wide, labels)
     rows = quality.scored(wide, model).collect()

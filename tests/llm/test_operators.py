@@ -229,13 +229,31 @@ def test_components(spark):
     assert got == {x: find(x) for x in root if find(x) != x}
 
 
-def test_mixing_tree_and_permutation():
+def test_mixing_tree_and_permutation(monkeypatch):
     quotas = np.array([1000, 0, 37, 5])
     out = mixing.split_tree(quotas, 6, 1)
     assert (out.sum(axis=1) == quotas).all() and np.ptp(out.sum(axis=0)) <= 1
     assert (out == mixing.split_tree(quotas, 6, 1)).all()
+    monkeypatch.setattr(mixing, "TREE_BLOCKS", 100)  # several trees
+    out = mixing.split_tree(quotas, 6, 1)
+    assert (out.sum(axis=1) == quotas).all() and np.ptp(out.sum(axis=0)) <= 11
     for n in (1, 2, 7, 1000):
-        assert sorted(mixing.permuted(np.arange(n), n, 5).tolist()) == list(range(n))
+        assert sorted(mixing.permuted(np.arange(n), n, mixing.pass_keys(7, 1, 0)).tolist()) == list(range(n))
+
+
+def test_mixing_draws_whole_words():
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        size, width = int(rng.integers(1, 400)), int(rng.integers(1, 40))
+        blocks, words = -(-size // width), int(rng.integers(0, 2 * size + 1))
+        keys = [mixing.pass_keys(1, 2, e) for e in range(2)]
+        held = sorted((e * blocks + int(mixing.permuted(np.array([b]), blocks, keys[e])[0]), min(width, size - b * width)) for e in range(2) for b in range(blocks))
+        total, n, last = 0, 0, 0
+        for place, h in held:
+            if total < words:
+                n, last = place + 1, min(h, words - total)
+                total += last
+        assert mixing.draw(words, size, blocks, width, keys) == (n, last)
 
 
 def test_targets():
@@ -243,6 +261,10 @@ def test_targets():
     assert t.sum() == pytest.approx(1.5 * 2110) and t[0] == 200 and (t <= 2 * np.array([100, 1000, 1000, 10])).all()
 
 
+def taken_of(rows):
+    return {r.doc_id: sum(p["past"] - p["first"] for p in r.pieces) for r in rows}
+
+
 def test_mix_is_whole(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     mix = mixing.mix(docs, shards=5, block_words=100)
@@ -255,12 +277,58 @@ def test_mix_is_whole(spark):
             seen |= own
     by_shard = mixing.shard_rows(mix).groupBy("shard").count().collect()
     assert {x["shard"] for x in by_shard} == set(range(5))
-    taken = {r.doc_id: sum(p["past"] - p["first"] for p in r.pieces) for r in rows}
-    cut = mixing.mixed_documents(docs).collect()
+
+
+def test_mix_comes_from_the_drawn_blocks(spark):
+    """Another seed draws other blocks and takes other words, the targets hold, and each shard has the tree's quota of each source's blocks."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    _, plan = mixing.placed(docs, 5, 100, 7)
+    assert (np.diff(plan.ends, axis=1, prepend=0) == mixing.split_tree(plan.drawn, 5, 7)).all()
+    rows = mixing.mix(docs, 5, 100, 7).collect()
+    slots = {}
+    source = {r.doc_id: r.source for r in docs.collect()}
+    for r in rows:
+        for p in r.pieces:
+            slots.setdefault((source[r.doc_id], p.shard), set()).add(p.slot)
+    for s, name in enumerate(plan.names):
+        own = None if name == "n" else name[1:]
+        assert [len(slots.get((own, j), ())) for j in range(5)] == np.diff(plan.ends[s], prepend=0).tolist()
+    other = mixing.mix(docs, 5, 100, 8).collect()
+    assert taken_of(rows) != taken_of(other) and sum(taken_of(rows).values()) == sum(taken_of(other).values())
+    by_source = {}
+    for r in rows:
+        by_source.setdefault(source[r.doc_id], [r.target, 0])[1] += taken_of([r])[r.doc_id]
+    assert all(abs(t - got) <= 0.5 + 1e-9 for t, got in by_source.values())
+
+
+def test_mixed_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = mixing.mixed_documents(docs).collect()
+    dealt = docs.repartition(3)
+    assert rows == mixing.mixed_documents(dealt.checkpoint()).collect()
+    with pytest.raises(Exception, match="another order"):
+        mixing.mixed_documents(dealt).collect()
     again = {}
-    for r in cut:
+    whole = {r.doc_id: r.text for r in docs.collect()}
+    for r in rows:
         again[r.doc_id] = again.get(r.doc_id, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
-    assert again == {d: n for d, n in taken.items() if n}
+        assert r.text in whole[r.doc_id] and r.n_chars == len(r.text)
+    pieces = mixing.mix(docs).collect()
+    assert again == {d: n for d, n in taken_of(pieces).items() if n}
+    # Runs come by shard and by rank, in the place of their first piece.
+    want = []
+    for r in pieces:
+        before = None
+        for p in r.pieces:
+            if before != (p.epoch, p.first):
+                want.append((p.shard, p["rank"], p.slot, r.doc_id, p["first"]))
+            before = (p.epoch, p.past)
+    assert [r.doc_id for r in rows] == [w[3] for w in sorted(want)]
+
+
+def test_cut_words():
+    text = " a bb  ccc d "
+    assert [mixing.cut_words(text, a, b, 4) for a, b in ((0, 4), (0, 1), (1, 3), (3, 4), (0, 3))] == [text, " a", "bb  ccc", "d ", " a bb  ccc"]
 
 
 def test_chat_round_trip():
