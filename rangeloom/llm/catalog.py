@@ -6,7 +6,7 @@ import corpus_pipeline
 
 from .bpe import op5_bpe
 from .chat import OP6_SQL, op6_chat
-from .embeddings import op9_embeddings
+from .embeddings import OP9_SQL, op9_embeddings
 from .fingerprints import op1_fingerprints
 from .language import op10_language
 from .licenses import op4_licenses
@@ -33,5 +33,5 @@ def queries():
 
 
 def oracle_sql():
-    own = {"op2_mixing": OP2_SQL, "op6_chat": OP6_SQL}
+    own = {"op2_mixing": OP2_SQL, "op6_chat": OP6_SQL, "op9_embeddings": OP9_SQL}
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -6,14 +6,19 @@ filed under its own cell, and looks into that and the ``PROBES`` neighbouring ce
 (one half moved by one of E8's 240 shortest vectors). Vectors that meet are compared by exact cosine.
 Of pairs of cosine 0.931, 98 of 100 meet (16 to 768 dimensions); of cosine 0.95 and more, over 99.
 
-Only different vectors are hashed: copies (same label, same components) collapse before and count by
-their number after, so a vector that fills a third of the table is one row in the search. What the
-search emits are candidate pairs of different vectors, of which nearly all are links.
+Only different vectors are hashed: copies (same label, same components) are one class, told apart by a
+128-bit hash, and count by their number after, so a vector that fills a third of the table is one row in
+the search. Of a cell where at most ``SMALL`` classes meet, the pairs go on as pairs of numbers, each once,
+and fetch their vectors. Of a larger cell each class goes on once for every block of ``BLOCK_ROWS`` that it
+is compared with; there a pair counts only in the first of the larger cells where it meets, and the cell
+gives each class's number of links and as many links as connect it, never its pairs. A pair that meets in
+cells of both kinds counts in the larger one.
 
 Defined results: rows with null vec_id, null label, or a vector that is null, empty, zero, or holds a
 null or non-finite component link with nothing and are their own component; vectors of different
-lengths do not link; rows that repeat a vec_id with one vector count as copies; an empty table gives no
-rows. Other columns are ignored.
+lengths do not link; each row counts as a vector of its own, so rows that repeat a vec_id with one vector
+and label are copies, and with others may lie in different components; an empty table gives no rows.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +29,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import checkpointed, mixed, table
-from .simhash import components
+from .simhash import _connected, components
 
 COSINE = 0.93
 TABLES = 10
 PROBES = 6
 SCALE = 0.65  # lattice units that two vectors at the least cosine lie apart, before projection
+#: Classes that meet in a cell whose pairs go on as pairs; classes of a larger cell that a task compares with as many.
+SMALL, BLOCK_ROWS = 64, 1024
+#: Links that a task works on at a time.
+_STRIP = 50_000
 _BLOCKS = 2
 _SEED = 20
 
@@ -111,32 +121,73 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False).astype(np.float64)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _rows(flat: np.ndarray, offsets: np.ndarray, rows: np.ndarray, d: int) -> np.ndarray:
+    return flat[(offsets[rows][:, None] + np.arange(d)).ravel()].reshape(-1, d)
+
+
 def keyed(classes: DataFrame) -> DataFrame:
-    """cid, key and home (whether the key is of the vector's own cell)."""
+    """``classes`` (with label and embedding) and keys: for each table the key of its own cell, then those of the cells that it looks into."""
 
     def run(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 own = batch.slice(k, 2000)
                 flat, offsets = _matrix(own.column("embedding"))
-                sizes, cid = np.diff(offsets), own.column("cid").to_numpy()
-                label = own.column("label").to_numpy().astype(np.int64).view(np.uint64)
+                sizes, label = np.diff(offsets), own.column("label").to_numpy().view(np.uint64)
+                keys = np.empty((own.num_rows, TABLES * (1 + PROBES)), dtype=np.int64)
                 for d in np.unique(sizes):
                     rows = np.flatnonzero(sizes == d)
-                    x = flat[(offsets[rows][:, None] + np.arange(d)).ravel()].reshape(-1, d)
+                    x = _rows(flat, offsets, rows, d)
                     x /= np.abs(x).max(axis=1, keepdims=True)
                     found = cells(x / np.linalg.norm(x, axis=1, keepdims=True))
                     with np.errstate(over="ignore"):
-                        found = mixed(found + mixed(label[rows] * np.uint64(64) + np.uint64(d))[:, None, None])
-                    home = np.zeros(found.shape, dtype=bool)
-                    home[:, :, 0] = True
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cid[rows], found[0].size)), pa.array(found.ravel().view(np.int64)), pa.array(home.ravel())], names=["cid", "key", "home"])
-
-    return classes.select("cid", "label", "embedding").mapInArrow(run, "cid bigint, key bigint, home boolean")
+                        keys[rows] = mixed(found + mixed(label[rows] * np.uint64(64) + np.uint64(d))[:, None, None]).view(np.int64).reshape(len(rows), -1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([*own.columns, lists], names=[*own.schema.names, "keys"])
+
+    return classes.mapInArrow(run, T.StructType([*classes.schema.fields, T.StructField("keys", T.ArrayType(T.LongType()))]))
+
+
+def live_cells(classes: DataFrame) -> DataFrame:
+    """key, cid, home, n: who meets in each cell that is some class's own and where ``n`` > 1 classes meet."""
+    members = classes.select("cid", F.posexplode("keys").alias("at", "key")).select("cid", "key", (F.col("at") % (1 + PROBES) == 0).alias("home"))
+    many = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("own")).where("n > 1 AND own").select("key", "n")
+    return members.join(many, "key")
+
+
+def _meet(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For rows of keys of two sides (0: none), the first key under which they meet: by table, then the smaller; 0 if under none."""
+    first = np.zeros(len(x), dtype=np.int64)
+    todo = np.arange(len(x))
+    none = np.iinfo(np.int64).max
+    for t in range(0, x.shape[1], 1 + PROBES):
+        a, b = x[todo, t : t + 1 + PROBES], y[todo, t : t + 1 + PROBES]
+        own = np.where((a[:, 0] != 0) & (b == a[:, :1]).any(axis=1), a[:, 0], none)
+        other = np.where((b[:, 0] != 0) & (a == b[:, :1]).any(axis=1), b[:, 0], none)
+        least = np.minimum(own, other)
+        met = least != none
+        first[todo[met]] = least[met]
+        todo = todo[~met]
+        if not len(todo):
+            break
+    return first
+
+
+def _keys(column: pa.Array) -> np.ndarray:
+    """The lists of keys as rows; zeros for null."""
+    out = np.zeros((len(column), TABLES * (1 + PROBES)), dtype=np.int64)
+    there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    if len(there):
+        out[there] = column.drop_null().flatten().to_numpy().reshape(len(there), -1)
+    return out
 
 
-def _cosines(pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose cosine is at least ``least``."""
+def pair_links(live: DataFrame, wide: DataFrame, least: float) -> DataFrame:
+    """a, b, na, nb: the links that are found in small cells and in no larger one, and the copies of either class."""
+    small = live.where(F.col("n") <= SMALL)
+    home = small.where("home").select("key", F.col("cid").alias("x"))
+    met = home.join(small.select("key", F.col("cid").alias("y"), "home"), "key").where("x <> y AND (NOT home OR x < y)")
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     def run(batches):
         for batch in batches:
@@ -147,19 +198,54 @@ def _cosines(pairs: DataFrame, least: float) -> DataFrame:
                 same = sx == np.diff(oy)
                 for d in np.unique(sx[same]):
                     rows = np.flatnonzero(same & (sx == d))
-                    p, q = x[(ox[rows][:, None] + np.arange(d)).ravel()].reshape(-1, d), y[(oy[rows][:, None] + np.arange(d)).ravel()].reshape(-1, d)
+                    p, q = _rows(x, ox, rows, d), _rows(y, oy, rows, d)
                     keep[rows] = np.einsum("ij,ij->i", p, q) / np.sqrt(np.einsum("ij,ij->i", p, p) * np.einsum("ij,ij->i", q, q)) >= least
-                yield own.select(["a", "b"]).filter(pa.array(keep))
-
-    return pairs.mapInArrow(run, "a bigint, b bigint")
-
-
-def candidates(keys: DataFrame) -> DataFrame:
-    """Different pairs a < b of vectors of which one looks into the other's cell."""
-    home = keys.where("home").select("key", F.col("cid").alias("x"))
-    look = keys.select("key", F.col("cid").alias("y"), "home")
-    met = home.join(look, "key").where("x <> y AND (NOT home OR x < y)")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+                rows = np.flatnonzero(keep)
+                if own.column("ka").null_count < own.num_rows:
+                    keep[rows] = _meet(_keys(own.column("ka").take(pa.array(rows))), _keys(own.column("kb").take(pa.array(rows)))) == 0
+                yield own.select(["a", "b", "na", "nb"]).filter(pa.array(keep))
+
+    of = lambda c: wide.select(F.col("cid").alias(c), F.col("embedding").alias(f"v{c}"), F.col("copies").alias(f"n{c}"), F.col("large").alias(f"k{c}"))
+    full = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "va", "vb", "ka", "kb")
+    return full.mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint")
+
+
+def block_links(live: DataFrame, wide: DataFrame, least: float) -> DataFrame:
+    """cid, others, top: of each pair of blocks of a large cell, each class's linked copies (of pairs that meet there first) and the smallest class that its links connect it with there."""
+    large = live.where(F.col("n") > SMALL).withColumn("parts", F.ceil(F.col("n") / BLOCK_ROWS))
+    dealt = large.withColumn("part", F.pmod(F.xxhash64("cid"), "parts")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    groups = dealt.select("key", "cid", "home", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("cid").combine_chunks()
+        key, i, j = (t.column(c)[0].as_py() for c in ("key", "i", "j"))
+        part, cid, copies, home = (t.column(c).to_numpy() for c in ("part", "cid", "copies", "home"))
+        keys = _keys(t.column("large").chunk(0))
+        flat, offsets = _matrix(t.column("embedding").chunk(0))
+        sizes = np.diff(offsets)
+        others, found = np.zeros(len(cid), dtype=np.int64), []
+        a, b = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        for d in np.unique(sizes):
+            p, q = a[sizes[a] == d], b[sizes[b] == d]
+            x, y = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (_rows(flat, offsets, p, d), _rows(flat, offsets, q, d)))
+            step = max(1, _STRIP // max(len(q), 1))
+            for k in range(0, len(p), step):
+                near = x[k : k + step] @ y.T >= least
+                near &= home[p[k : k + step]][:, None] | home[q][None]
+                if i == j:
+                    near &= p[k : k + step][:, None] < q[None]
+                r, c = np.nonzero(near)
+                r, c = p[k + r], q[c]
+                first = _meet(keys[r], keys[c]) == key
+                r, c = r[first], c[first]
+                others += np.bincount(r, copies[c], len(cid)).astype(np.int64) + np.bincount(c, copies[r], len(cid)).astype(np.int64)
+                found.append((r, c))
+        top = _connected(len(cid), *(np.concatenate(z) for z in zip(*found, strict=True))) if found else np.arange(len(cid))
+        rows = np.flatnonzero(others)
+        return pa.table({"cid": pa.array(cid[rows]), "others": pa.array(others[rows]), "top": pa.array(cid[top[rows]])})
+
+    full = groups.join(wide, "cid").select("key", "i", "j", "part", "cid", "home", "copies", "embedding", "large")
+    return full.groupBy("key", "i", "j").applyInArrow(run, "cid bigint, others bigint, top bigint")
 
 
 def near_duplicates(vectors: DataFrame, least: float = COSINE) -> DataFrame:
@@ -171,22 +257,44 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE) -> DataFrame:
         & F.coalesce(F.exists(x, lambda v: v != 0), F.lit(False))
     )
     rows = vectors.select("vec_id", "label", "embedding", F.coalesce(sound, F.lit(False)).alias("sound"))
-    classes = checkpointed(rows.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("cid"), F.count(F.lit(1)).alias("copies")))
-    pairs = candidates(keyed(classes))
-    of = lambda a, v: classes.select(F.col("cid").alias(a), F.col("embedding").alias(v))
-    links = checkpointed(_cosines(pairs.join(of("a", "va"), "a").join(of("b", "vb"), "b").select("a", "b", "va", "vb"), least))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(classes.select(F.col("cid").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    top = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    known = (
-        classes.join(degree.withColumnRenamed("a", "cid"), "cid", "left")
-        .join(top.select(F.col("u").alias("cid"), F.col("v").alias("top")), "cid", "left")
-        .select("label", "embedding", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("top", "cid").alias("component_id"))
-    )
-    linked = rows.where("sound").join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    of = rows.where("sound").select("vec_id", "label", "embedding", F.xxhash64(F.lit(1), "label", "embedding").alias("h"), F.xxhash64(F.lit(2), "embedding", "label").alias("g"))
+    classes = of.groupBy("h", "g").agg(F.xxhash64(F.first("label")).alias("label"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
+    classes = checkpointed(keyed(classes.select(F.monotonically_increasing_id().alias("cid"), "*")))
+    live = checkpointed(live_cells(classes))
+    # Which of a class's keys, in their places, are of large cells.
+    held = live.where(F.col("n") > SMALL).groupBy("cid").agg(F.collect_set("key").alias("held"))  # at most as many as a class has keys
+    large = F.when(F.col("held").isNotNull(), F.transform("keys", lambda k: F.when(F.array_contains("held", k), k).otherwise(F.lit(0).cast("bigint"))))
+    wide = classes.join(held, "cid", "left").select("cid", "embedding", "copies", large.alias("large"))
+    links = checkpointed(pair_links(live, wide, least))
+    blocks = checkpointed(block_links(live, wide, least))
+    degree = links.select(F.col("a").alias("cid"), F.col("nb").alias("others")).unionByName(links.select(F.col("b").alias("cid"), F.col("na").alias("others"))).unionByName(blocks.select("cid", "others"))
+    degree = degree.groupBy("cid").agg(F.sum("others").alias("others"))
+    top = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(blocks.select(F.col("cid").alias("u"), F.col("top").alias("v"))))
+    named = classes.select("cid", "h", "g", "least_id", "copies").join(top.select(F.col("u").alias("cid"), F.col("v").alias("top")), "cid", "left").withColumn("top", F.coalesce("top", "cid"))
+    smallest = named.groupBy("top").agg(F.min("least_id").alias("component_id"))
+    known = named.join(smallest, "top").join(degree, "cid", "left").select("h", "g", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    linked = of.select("vec_id", "h", "g").join(known, ["h", "g"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT sound").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op9_embeddings(spark, sf_dir) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: By brute force over all pairs of a label.
+OP9_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, len(embedding) AS d FROM embeddings),
+n AS MATERIALIZED (
+  SELECT *, list_sum(list_transform(e, lambda x: x * x)) AS s FROM v
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND d > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.d = b.d AND a.vec_id <> b.vec_id
+  WHERE a.s > 0 AND b.s > 0 AND list_sum(list_transform(range(1, a.d + 1), lambda i: a.e[i] * b.e[i])) / sqrt(a.s * b.s) >= 0.93),
+r AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT a, min(b) AS least FROM r GROUP BY a),
+l AS (SELECT a, count(*) AS links FROM p GROUP BY a)
+SELECT vec_id, coalesce(links, 0)::BIGINT AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(least, vec_id)) AS kept
+FROM v LEFT JOIN c ON vec_id = c.a LEFT JOIN l ON vec_id = l.a
+"""

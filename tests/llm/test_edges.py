@@ -195,6 +195,9 @@ def test_embeddings(spark):
     assert by[1] == (4, 1, True) and by[2] == (4, 1, False) and by[3] == (4, 1, False) and by[13] == (4, 1, False)
     for k in (4, 5, 6, 7, 8, 9, 10, 11, 12):
         assert by[k] == (0, k, True)
+    # A vec_id under two labels: each row has its own links.
+    twice = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 2), (2, [1.0, 0.1], 1), (3, [1.0, 0.1], 2)], "vec_id bigint, embedding array<float>, label int")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(twice).collect()) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 

@@ -435,6 +435,48 @@ def test_op9_recall(spark):
     assert (found <= near.sum(axis=1)).all() and found.sum() >= 0.95 * near.sum()
 
 
+def linked(rows, least=0.93):
+    """(n_links, component_id, kept) of rows (vec_id, label, vector), by brute force."""
+    x = np.array([r[2] for r in rows], dtype=np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r[1] for r in rows])
+    near = (x @ x.T >= least) & (label[:, None] == label[None])
+    np.fill_diagonal(near, False)
+    out = []
+    for k in range(len(rows)):
+        seen, todo = {k}, [k]
+        while todo:
+            new = set(np.flatnonzero(near[todo.pop()]).tolist()) - seen
+            seen |= new
+            todo += new
+        least_id = min(rows[j][0] for j in seen)
+        out.append((rows[k][0], int(near[k].sum()), least_id, rows[k][0] == least_id))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("small", "block"), [(64, 1024), (2, 8), (0, 5)])
+def test_op9_all_columns(spark, monkeypatch, small, block):
+    """Clouds, copies, chains and repeated ids; with small cells alone, and with cells of both kinds in several blocks."""
+    monkeypatch.setattr(embeddings, "SMALL", small)
+    monkeypatch.setattr(embeddings, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(12):
+        centre = rng.standard_normal(32)
+        for _ in range(int(rng.integers(1, 14))):
+            v = centre + rng.standard_normal(32) * 0.06
+            rows += [(len(rows), k % 3, v)] * int(rng.integers(1, 3))
+        step = rng.standard_normal(32)
+        step -= (step @ centre) / (centre @ centre) * centre
+        step *= 0.27 * np.linalg.norm(centre) / np.linalg.norm(step)  # no cosine is near the bound
+        rows += [(1000 * (k + 1) - j, k % 3, centre + j * step) for j in range(6)]
+    rows += [(5, 0, rng.standard_normal(32)), (5, 2, rows[0][2]), (5, 1, rows[40][2])]
+    df = spark.createDataFrame([(int(v), [float(a) for a in x], int(n)) for v, n, x in rows], "vec_id bigint, embedding array<float>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df).collect())
+    want = linked(rows)
+    assert sum(w[1] for w in want) > 500 and got == want
+
+
 @pytest.mark.parametrize(("low", "high", "least"), [(0.93, 0.935, 0.96), (0.94, 0.941, 0.985)])
 def test_op9_cells_at_the_least_cosine(low, high, least):
     rng = np.random.default_rng(6)
