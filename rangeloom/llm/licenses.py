@@ -11,14 +11,17 @@ confirms the family, or not.
 
 The lines of a paragraph are judged one by one as well, and stand instead of it where they confirm a
 family and it does not (an identifier among lines of code), or where they confirm different families
-(notices below each other).
-
-Training is a small fit on the driver from the templates below, with words dropped and foreign words
-around, and from sentences that speak of rights without granting any. Scanning is DataFrame operations
-only: paragraphs are filtered by an expression, their n-grams exploded and joined with the weights, which
-are broadcast (their number is fixed by the templates), and summed by paragraph, then by document. The
-filter drops no family: it asks for one of the words without which the weights of all other words
-together cannot outweigh *unknown* (``needed``), or for an anchor word.
+(notices below each other). A line that speaks of licensing and names several licences is cut before each
+further one. A sentence that denies a licence is *unknown*.
+
+Training is a small fit on the driver from the templates below (whole notices and short forms), with words
+dropped or exchanged and foreign words around; from their denials; from sentences that speak of rights
+without granting any, word salads and single words. Its temperature is fitted to paragraphs that are not
+learnt from. Scanning is DataFrame operations only, in one pass over the texts: paragraphs are filtered by
+an expression, their n-grams exploded and joined with the weights, which are broadcast (their number is
+fixed by the templates), and summed by paragraph, then by document. The filter drops no family: it asks for
+one of the words without which the weights of all other words together cannot outweigh *unknown*
+(``needed``), or for an anchor word.
 
 Defined results: paragraphs that have an anchor word or a family count. A null or empty text, or one
 without such a paragraph, has family ``none``, probability 1, confirmed false, no paragraphs; a text whose
@@ -38,44 +41,97 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: How licences are named and granted, by family.
+#: How licences are named, granted and noted, by family.
 TEMPLATES = {
-    "agpl-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0", "This program is licensed under the terms of the GNU AGPL v3."],
+    "agpl-3.0": [
+        "Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0", "This program is licensed under the terms of the GNU AGPL v3.", "GNU Affero General Public License", "Published under the AGPL.", "Affero GPL", "GNU AGPL", "GNU AGPL version 3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
     "all-rights-reserved": ["All rights reserved.", "Copyright 2020 the authors. All rights reserved.", "No part of this publication may be reproduced without permission. All rights reserved."],
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0", "Released under the Apache 2.0 license."],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Released under the BSD License.", "Licensed under the 3-clause BSD license.", "SPDX-License-Identifier: BSD-3-Clause"],
-    "cc-by-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0", "Released under the Apache 2.0 license.", "Licensed under Apache-2.0.", "Licence: Apache-2.0", "Apache License 2.0", "The Apache License", "Apache License Version 2.0, January 2004",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ],
+    "bsd": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Released under the BSD License.", "Licensed under the 3-clause BSD license.", "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause", "BSD 3-Clause License", "BSD 2-Clause License", "Licensed under BSD.", "BSD License", "Licence: BSD", "Distributed under the BSD license.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "cc-by-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
     "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "cc0-1.0": ["Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work. Public domain dedication."],
-    "gpl-2.0": ["This work is licensed under the GNU General Public License, version 2.", "Licensed under the GPL, version 2.", "SPDX-License-Identifier: GPL-2.0"],
-    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it under the terms of the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0", "Licensed under the GPL v3."],
-    "lgpl": ["Licensed under the GNU Lesser General Public License, version 3.", "Licensed under the LGPL.", "SPDX-License-Identifier: LGPL-2.1"],
-    "mit": ["Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, to deal in the Software without restriction. MIT License.", "SPDX-License-Identifier: MIT"],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0."],
-    "public-domain": ["This work is in the public domain.", "Released into the public domain."],
-}
+    "cc0-1.0": ["Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work. Public domain dedication.", "CC0 1.0 Universal"],
+    "gpl-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.", "Licensed under the GPL, version 2.", "SPDX-License-Identifier: GPL-2.0", "Licensed under the GPL v2.", "Licence: GPLv2", "Licensed under GPL-2.0-or-later.", "GNU General Public License Version 2, June 1991", "GNU General Public License version 2", "GNU GPL version 2",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
+    "gpl-3.0": [
+        "This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it under the terms of the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0", "Licensed under the GPL v3.", "Licence: GPLv3", "Licensed under GPL-3.0-or-later.", "GNU General Public License Version 3, 29 June 2007", "GNU General Public License version 3", "GNU GPL version 3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "isc": [
+        "ISC License", "Released under the ISC License.", "SPDX-License-Identifier: ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "lgpl": [
+        "Licensed under the GNU Lesser General Public License, version 3.", "Licensed under the LGPL.", "SPDX-License-Identifier: LGPL-2.1", "GNU Lesser General Public License",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "mit": [
+        "Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, to deal in the Software without restriction. MIT License.", "SPDX-License-Identifier: MIT", "MIT License", "The MIT License (MIT)", "Licensed under MIT.", "Licence: MIT", "Licensed to you under the MIT license.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ],
+    "mpl-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0", "Mozilla Public License Version 2.0", "Licensed under MPL 2.0.", "Mozilla Public License 2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ],
+    "public-domain": ["This work is in the public domain.", "In the public domain.", "Released into the public domain.", "The author places this in the public domain."],
+}
 _OTHERS = [
     "She showed the officer a driving licence.", "The shop lost its liquor license last year.", "Copyright law differs between countries.", "The warranty covers parts and labour for two years.",
     "A license is needed to fish in this lake.", "They argued about copyright and free speech.", "The pilot license test is hard.", "No license information is given.", "Ask the owner before you redistribute the flyers.",
     "The Apache helicopter landed near the village.", "Apache warriors rode north.", "MIT students built the robot.", "He studied at MIT and reserved a table.", "The general public was not licensed to enter version 3 of the park.",
     "Creative people commonly like commons.", "GPL prices rose.", "The public house has a licence until midnight.", "License plates are reserved for residents.", "See the license for details.", "Terms and conditions apply under this license.",
+    "The report was released under embargo.", "Permission is granted by the council.", "The software is free of charge.", "Er ging mit dem Hund und mit der Frau in die Stadt.", "A copy of the notice was published in the journal.", "The library lends this work to members.", "The lesser known foundation published version 2.0 of its guide.",
 ]
+#: What turns a grant into its denial, put before it; such sentences are learnt as unknown.
+_DENIALS = ("not", "no longer", "never", "this is not", "it is not", "was never", "is no longer", "not to be")
+#: Words that stand for each other in a grant.
+_VERBS = ("licensed", "released", "distributed", "published", "available", "provided", "covered", "offered")
+#: Paragraphs that calibrate the probabilities, and are not learnt from.
+_CALIBRATION = {
+    "agpl-3.0": ["This code is available under the GNU Affero General Public License version 3."],
+    "apache-2.0": ["This project is licensed under the Apache License 2.0.", "Apache License, Version 2.0"],
+    "bsd": ["This package is distributed under the BSD license."],
+    "gpl-2.0": ["This module is covered by the GNU General Public License version 2."],
+    "gpl-3.0": ["The source is available under the GNU General Public License version 3."],
+    "isc": ["This tool is licensed under the ISC license."],
+    "lgpl": ["This library is licensed under the LGPL version 2.1."],
+    "mit": ["This project is licensed under the MIT License.", "The code is available under the MIT license."],
+    "mpl-2.0": ["The code is licensed under the Mozilla Public License 2.0."],
+    "public-domain": ["The text is in the public domain."],
+    "unknown": ["The restaurant has a licence to serve wine.", "Copyright was the topic of the lecture.", "Apache is a county in Arizona.", "He works at MIT.", "The public domain of the lake is closed.", "Do not redistribute the keys.", "All seats are reserved.", "The version 2.0 report is free.", "They were granted permission to leave.", "The commons were crowded."],
+}
+#: Before a licence named after another one; each is judged for itself, as if it were the first named, in lines that speak of licensing before.
+ALSO = r"(?:\s+(?i:and|or|as well as)\s+|\s*[/&]\s*)(?:(?i:under|by)\s+)?(?:(?i:the)\s+)?(?=(?:MIT|Apache|BSD|[AL]?GPL|GNU|Mozilla|MPL|ISC|CC|Creative Commons)\b)"
+GRANT = r"(?i:licen[sc]ed?|released|distributed|available|published|identifier)\b.*"
 ANCHORS = r"(?i)licen[sc]|copyright|rights\s+reserved|public\s+domain|redistribut|creative\s+commons|\bgpl|\blgpl|\bagpl|\bapache\b|\bbsd\b|spdx|\bcc0\b|\bcc\s+by"
 #: Where a text is split into paragraphs.
 BREAK = r"\n(?:[^\p{L}\p{N}]*\n|(?<=[.!?\u3002\uFF01\uFF1F][\"'\u201D\u2019)\]*_]{0,3}[ \t\r]{0,4}\n)(?=[^\p{L}\p{N}\n]*[\p{Lu}\p{Lo}]))"
 #: Words that the filter asks for only if it must, since ordinary prose has them.
 _COMMON = set("the of and in to a is with this are for that it be or by".split())
 ACCEPT = 0.5
-CONFIRM = 0.6
+#: The share of a template's n-grams that confirms a paragraph, and a line by itself (whose end may be the beginning of another name).
+CONFIRM, CONFIRM_LINE = 0.6, 0.9
 WIDTH = 3
-_WORD = r"[a-z0-9]+"
+_WORD, _WORD_JAVA = r"[^\W_]+", r"[\p{L}\p{N}]+"
 UNKNOWN = "unknown"
 
 
 def grams_of(text: str) -> list[str]:
-    """The different n-grams of a text's words."""
-    words = re.findall(_WORD, text.lower())
+    """The different n-grams of a text's words, those of ``licence`` spelt ``license``."""
+    words = re.findall(_WORD, text.lower().replace("licence", "license"))
     return sorted({" ".join(words[i : i + n]) for n in range(1, WIDTH + 1) for i in range(len(words) - n + 1)})
 
 
@@ -102,40 +158,53 @@ class Model:
 
 
 def train(seed: int = 4) -> Model:
-    """The model, from the templates and the other sentences; a second's work, always the same."""
+    """The model, from the templates, their denials and the other sentences; a few seconds' work, always the same."""
     rng = np.random.default_rng(seed)
     classes = [*sorted(TEMPLATES), UNKNOWN]
     templates = [(f, t) for f in sorted(TEMPLATES) for t in TEMPLATES[f]]
-    vocabulary = sorted({g for _, t in templates for g in grams_of(t)} | {g for t in _OTHERS for g in grams_of(t) if " " not in g})
+    denied = [f"{d} {t[0].lower()}{t[1:]}" for _, t in templates if re.match(r"(?i)(?:licensed|released|published)\b", t) for d in _DENIALS]
+    denied += [re.sub(r"(?i)\bis (licensed|subject|in|free)\b", r"is not \1", t) for _, t in templates if re.search(r"(?i)\bis (?:licensed|subject|in the public|free)\b", t)]
+    vocabulary = sorted({g for _, t in templates for g in grams_of(t)} | {g for t in _OTHERS for g in grams_of(t) if " " not in g} | {g for t in denied for g in grams_of(t) if re.search(r"\b(?:not|never|longer)\b", g)} | {f"{v} {rest}" for v in _VERBS for rest in ("under", "under the", "by")})
     number = {g: k for k, g in enumerate(vocabulary)}
     pool = [w for t in [*_OTHERS, *(t for _, t in templates)] for w in re.findall(_WORD, t.lower())]
 
     def varied(text: str, drop: float) -> str:
-        words = [w for w in re.findall(_WORD, text.lower()) if rng.random() >= drop]
+        words = [str(rng.choice(_VERBS)) if w in _VERBS[:4] and rng.random() < 0.5 else w for w in re.findall(_WORD, text.lower().replace("licence", "license")) if rng.random() >= drop]
         around = [f"word{rng.integers(1000)}" for _ in range(rng.integers(0, 12))]
         k = int(rng.integers(0, len(around) + 1))
         return " ".join(around[:k] + words + around[k:])
 
+    def rows_of(rows: list[str]) -> np.ndarray:
+        x = np.zeros((len(rows), len(vocabulary)), dtype=np.float32)
+        for r, text in enumerate(rows):
+            x[r, [number[g] for g in grams_of(text) if g in number]] = 1
+        return x
+
     def draw(copies: int):
         rows, of = [], []
         for family, text in templates:
             for c in range(copies):
-                rows.append(text if c == 0 else varied(text, float(rng.choice([0, 0, 0.1]))))
+                rows.append(text if c == 0 else varied(text, float(rng.choice([0, 0, 0.1, 0.2]))))
                 of.append(classes.index(family))
-        for text in _OTHERS:
-            for c in range(copies):
-                rows.append(text if c == 0 else varied(text, 0.1))
+        for text in [*_OTHERS, *denied]:
+            for c in range(copies if text in _OTHERS else max(copies // 4, 1)):
+                rows.append(text if c == 0 else varied(text, 0.1 if text in _OTHERS else 0))
                 of.append(len(classes) - 1)
-        for _ in range(copies * 40):
+        for _ in range(copies * 25):
             rows.append(" ".join(rng.choice(pool, rng.integers(1, 9))))
             of.append(len(classes) - 1)
+        # No word by itself makes a licence (one of another language may look the same).
+        for word in (g for g in vocabulary if " " not in g):
+            rows += [word, *(varied(word, 0) for _ in range(copies // 4))]
+            of += [len(classes) - 1] * (1 + copies // 4)
+        for _ in range(copies * 40):
+            apart = [str(rng.choice(pool)) for _ in range(rng.integers(2, 4))]
+            rows.append(" ".join(f"{w} {varied('', 0)} x" for w in apart))
+            of.append(len(classes) - 1)
         for _ in range(copies * 10):
             rows.append(varied("", 0))
             of.append(len(classes) - 1)
-        x = np.zeros((len(rows), len(vocabulary)), dtype=np.float32)
-        for r, text in enumerate(rows):
-            x[r, [number[g] for g in grams_of(text) if g in number]] = 1
-        return x, np.array(of)
+        return rows_of(rows), np.array(of)
 
     x, of = draw(8)
     goal = np.eye(len(classes), dtype=np.float32)[of]
@@ -150,8 +219,10 @@ def train(seed: int = 4) -> Model:
         w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         b -= 0.5 * (p - goal).mean(axis=0)
     w[np.abs(w) < 0.02] = 0
-    fresh, of = draw(3)
-    z = (fresh @ w + b).astype(float)
+    # The temperature is that of paragraphs which were not learnt from.
+    kept = [(f, t) for f in sorted(_CALIBRATION) for t in _CALIBRATION[f]]
+    of = np.array([classes.index(f) for f, _ in kept])
+    z = (rows_of([t for _, t in kept]) @ w + b).astype(float)
     nll = lambda t: -(z[np.arange(len(z)), of] * t - np.logaddexp.reduce(z * t, axis=1)).mean()
     t = min((0.25, 0.35, 0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0), key=nll)
     weights = {g: np.round(w[k].astype(float) * t, 6) for g, k in number.items() if w[k].any()}
@@ -203,10 +274,12 @@ def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
     kept = F.filter(F.transform(F.split("text", BREAK), lambda x, k: F.struct(k.alias("at"), x.alias("run"))), lambda x: passes(x["run"]))
     mark = F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("string").alias("run")))
     runs = docs.select("row", "doc_id", F.explode(F.concat(mark, F.coalesce(kept, F.array().cast("array<struct<at:int,run:string>>")))).alias("x")).select("row", "doc_id", "x.*")
-    lines = F.filter(F.transform(F.split("run", "\n"), lambda x, k: F.struct((k + 1).alias("part"), x.alias("line"))), lambda x: passes(x["line"]))
+    several = lambda x: F.when(x.rlike(GRANT + ALSO), F.regexp_replace(x, ALSO, "\nLicensed under ")).otherwise(x)
+    lined = F.array_join(F.transform(F.split("run", "\n"), several), "\n")
+    lines = F.filter(F.transform(F.split(lined, "\n"), lambda x, k: F.struct((k + 1).alias("part"), x.alias("line"))), lambda x: passes(x["line"]))
     own = F.array(F.struct(F.lit(0).alias("part"), F.col("run").alias("line")))
-    units = runs.select("row", "doc_id", "at", F.explode(F.when(F.contains("run", F.lit("\n")), F.concat(own, lines)).otherwise(own)).alias("x"))
-    words = units.select("row", "doc_id", "at", "x.part", F.coalesce(F.col("x.line").rlike(ANCHORS), F.lit(False)).alias("anchored"), F.coalesce(F.regexp_extract_all(F.lower("x.line"), F.lit(f"({_WORD})"), 1), F.array().cast("array<string>")).alias("words"))
+    units = runs.select("row", "doc_id", "at", F.explode(F.when(F.contains(lined, F.lit("\n")), F.concat(own, lines)).otherwise(own)).alias("x"))
+    words = units.select("row", "doc_id", "at", "x.part", F.coalesce(F.col("x.line").rlike(ANCHORS), F.lit(False)).alias("anchored"), F.coalesce(F.regexp_extract_all(F.replace(F.lower("x.line"), F.lit("licence"), F.lit("license")), F.lit(f"({_WORD_JAVA})"), 1), F.array().cast("array<string>")).alias("words"))
     n = F.size("words")
     of = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice("words", i, k), " "))
     grams = F.concat(*[F.when(n >= k, of(k)).otherwise(F.array().cast("array<string>")) for k in range(1, WIDTH + 1)], F.array(F.lit(None).cast("string")))
@@ -231,7 +304,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
         .withColumn("p", 1 / total)
         .withColumn("name", F.when(F.col("p") >= ACCEPT, F.element_at(names, F.array_position("z", top).cast("int"))).otherwise(UNKNOWN))
         .withColumn("counts", (F.col("at") >= 0) & (F.col("anchored") | (F.col("name") != UNKNOWN)))
-        .select("row", "doc_id", "at", "part", "counts", "name", "p", (fits >= CONFIRM).alias("confirmed"))
+        .select("row", "doc_id", "at", "part", "counts", "name", "p", (fits >= F.when(F.col("part") > 0, CONFIRM_LINE).otherwise(CONFIRM)).alias("confirmed"))
     )
     line = (F.col("part") > 0) & F.col("confirmed")
     unit = F.struct("at", "part", "counts", "name", "p", "confirmed")

@@ -394,6 +394,116 @@ def test_op4_lines_of_a_paragraph(spark):
     assert got == {0: ["mit"], 1: ["mit", "apache-2.0"], 2: ["agpl-3.0"], 3: []}
 
 
+#: Whole licence texts and headers as files hold them, none of them a template as it stands.
+WHOLE = {
+    "mit": """MIT License
+
+Copyright (c) 2021 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    "bsd": """Copyright 2020 Jane Doe
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors
+may be used to endorse or promote products derived from this software without
+specific prior written permission.""",
+    "apache-2.0": """// Copyright 2019 The Authors
+//
+// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at
+//
+//     http://www.apache.org/licenses/LICENSE-2.0
+//
+// Unless required by applicable law or agreed to in writing, software
+// distributed under the License is distributed on an "AS IS" BASIS,
+// WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+// See the License for the specific language governing permissions and
+// limitations under the License.""",
+    "gpl-2.0": """ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+    "gpl-3.0": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.""",
+    "lgpl": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "mpl-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */""",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+}
+#: Phrases of each family that the model has not seen; and what grants nothing.
+PHRASES = {
+    "agpl-3.0": ["You may use it under the GNU AGPL version 3.", "Published under the Affero GPL"],
+    "apache-2.0": ["Code released under the Apache License 2.0", "It comes under the Apache License, version 2.0."],
+    "bsd": ["Offered under the 3-clause BSD licence."],
+    "cc-by-sa-4.0": ["Content is available under CC BY-SA 4.0"],
+    "gpl-2.0": ["You may copy it under the GNU General Public License, version 2."],
+    "gpl-3.0": ["Licence : GPLv3", "GPL-3.0-or-later", "Our code is released under the GNU GPL version 3."],
+    "isc": ["Distributed under the ISC licence."],
+    "lgpl": ["The library is distributed under the LGPL."],
+    "mit": ["MIT License", "This code is licensed to you under the MIT licence", "Distributed under the terms of the MIT license.", "Everything here is under the MIT license."],
+    "mpl-2.0": ["Distributed under the Mozilla Public License 2.0."],
+    "public-domain": ["The photographs are in the public domain."],
+    "unknown": ["Not licensed under the MIT License.", "This project is not licensed under the Apache License 2.0.", "It is no longer released under the BSD License.", "The MIT campus is large.", "Copyright (c) 2021 Jane Doe", "See the LICENSE file for details.", "The hunting licence of the general was public.", "This text is not in the public domain."],
+}
+
+
+def test_op4_whole_texts_and_phrases(spark):
+    rows = [(f, t) for f, t in WHOLE.items()] + [(f, f"Some prose stands here, and goes on.\n\n{t}\n\nMore of it, below.") for f, t in WHOLE.items()] + [(f, t) for f, ts in PHRASES.items() for t in ts]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id bigint, text string")).collect()}
+    for k, (family, text) in enumerate(rows):
+        assert ("unknown" if got[k].family == "none" else got[k].family, got[k].confirmed) == (family, family != "unknown"), (family, text, got[k])
+        assert set(got[k].families) <= {family, "unknown"}, (family, text, got[k])
+
+
+def test_op4_several_in_one_line(spark):
+    rows = ["Licensed under MIT or Apache-2.0.", "Licensed under the Apache License, Version 2.0 and the MIT license.", "SPDX-License-Identifier: MIT OR Apache-2.0", "Released under the MIT License."]
+    got = {r.doc_id: sorted(r.families) for r in licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()}
+    assert got == {0: ["apache-2.0", "mit"], 1: ["apache-2.0", "mit"], 2: ["apache-2.0", "mit"], 3: ["mit"]}
+
+
+def test_op4_unknown_is_calibrated():
+    """Held-out sentences: what the model calls unknown with a probability is so about as often."""
+    model = licenses.train()
+    kept = [(f, t) for f, ts in PHRASES.items() for t in ts]
+    judged = [(f, *model.judge(t)[:2]) for f, t in kept]
+    sure = [f == name for f, name, p in judged if p >= 0.8]
+    assert len(sure) >= 0.7 * len(kept) and np.mean(sure) >= 0.9
+
+
 def test_op4_filter_drops_no_family():
     model = licenses.train()
     words = set(licenses.needed(model))
