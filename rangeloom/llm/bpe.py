@@ -13,7 +13,7 @@ equal width, each its leftmost lowest-ranked pair a round. The slices' offsets s
 lead back to the bytes they stand for.
 
 Defined results: a null text counts as empty; an empty text has no tokens; other columns pass through
-``encode`` unless they have the names it adds; rows that repeat repeat; an empty table stays empty.
+``encode``, whose added columns get an underscore behind a name that is taken; rows that repeat repeat; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import chunks, table, texts_of
+from .common import added, chunks, table, texts_of
 
 #: Pieces that a worker remembers at most.
 CACHE_PIECES = 300_000
@@ -381,8 +381,8 @@ def default_path() -> str:
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``docs`` with the columns ids (array<int>) and id_offsets (array<int>: where each id's bytes begin in the text's UTF-8)."""
     shared = shared_vocabulary(docs.sparkSession, path)
-    docs = docs.drop("ids", "id_offsets")
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("id_offsets", T.ArrayType(T.IntegerType()))])
+    names = [added(docs, "ids"), added(docs, "id_offsets")]
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.ArrayType(T.IntegerType())), T.StructField(names[1], T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         encoder = encoder_of(shared)
@@ -394,7 +394,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             ends = np.cumsum(sizes) - sizes
             starts = ends - np.repeat(ends[cuts[:-1].clip(max=max(len(ends) - 1, 0))] if len(ends) else np.zeros(len(rows), dtype=np.int64), np.diff(cuts))
             offsets = pa.array(cuts, pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.ListArray.from_arrays(offsets, pa.array(starts, pa.int32()))], names=[*batch.schema.names, "ids", "id_offsets"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.ListArray.from_arrays(offsets, pa.array(starts, pa.int32()))], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 

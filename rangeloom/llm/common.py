@@ -40,6 +40,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def added(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind as keep it apart from the columns of ``df`` (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_hash(*columns: str):
     """A 64-bit hash of some columns, the same in each run."""
     return F.xxhash64(*[F.col(c) for c in columns])

@@ -1,21 +1,26 @@
-"""Language identification in two steps: the family, then the language within it.
+"""Language identification in steps: the family, then the language within it.
 
 A text's features are the shares of its hashed byte trigrams (letters lower-cased, everything else that
-is ASCII a blank), so a linear classifier's margin is a mean of one weight a trigram, and a whole text
-needs no more memory than its bytes. Linear support vector machines (squared hinge) tell the families
-apart pair by pair, and then, within a family, its languages pair by pair; votes decide, margins break
-ties. Learnt from a bounded sample of each language: whole texts and a short excerpt of each.
+is ASCII a blank). Linear support vector machines (squared hinge) tell the families apart pair by pair, and
+then, only for texts of a family, its languages pair by pair; votes decide, margins break ties. Where more
+than ``WIDTH`` families or languages of a family meet, they are first told apart in up to ``WIDTH`` groups
+of like ones, so that the number of machines grows with that of languages, not with its square. Trigrams are
+counted once a text, and each step is one product with its machines' weights.
+
+Learnt from a bounded sample: of the ``MOST_LANGUAGES`` languages with the most documents (ties by name)
+up to ``SAMPLE`` documents each, ``SAMPLE_ALL`` in all (but 20 of each); whole texts and a short excerpt of each.
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0; so is every text if
 nothing could be learnt. With one language learnt, every other text is it, with score 1. Documents of
 null lang are classified but not learnt from; rows that repeat are classified alike; an empty table
-stays empty. Other columns pass through ``identified`` unless they have the names it adds.
+stays empty. Other columns pass through ``identified``; where one has the name of an added column, the
+added one gets an underscore behind its name.
 """
 
 from __future__ import annotations
 
 import itertools
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import below_share, chunks, lowered, table, texts_of
+from .common import added, chunks, lowered, table, texts_of
 from .quality import remainder
 
 #: Families of languages, by ISO 639-1 code. A language that is not here is a family of its own.
@@ -44,7 +49,10 @@ _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.
 BITS = 12
 #: Documents of a language to learn from at most, and of all languages.
 SAMPLE, SAMPLE_ALL = 400, 4000
-MOST_LANGUAGES = 200
+MOST_LANGUAGES = 1000
+WIDTH = 16
+#: Texts whose shares a task holds at a time.
+ROWS = 512
 EXCERPT_BYTES = 80
 ACCEPT = 0.3
 
@@ -107,16 +115,22 @@ def train_svm(x: np.ndarray, y: np.ndarray, c: float = 30.0, rounds: int = 12) -
 
 
 @dataclass
-class Model:
-    """Planes: weights by trigram hash, bias, and the scale of a margin; families: numbers of each one's languages."""
+class Node:
+    """Children (numbers of languages, or nodes) and, for each pair of them, the weights by trigram hash, the bias, and the scale of a margin."""
 
-    languages: list[str]
-    families: list[list[int]] = field(default_factory=list)
+    children: list
     weights: np.ndarray | None = None
     bias: np.ndarray | None = None
     scale: np.ndarray | None = None
-    family_pairs: list[tuple[int, int]] = field(default_factory=list)
-    language_pairs: list[tuple[int, int]] = field(default_factory=list)
+
+    def languages(self) -> list[int]:
+        return [k for c in self.children for k in (c.languages() if isinstance(c, Node) else [c])]
+
+
+@dataclass
+class Model:
+    languages: list[str]
+    root: Node | None = None
 
 
 def _scale(margin: np.ndarray, y: np.ndarray) -> float:
@@ -124,37 +138,50 @@ def _scale(margin: np.ndarray, y: np.ndarray) -> float:
     return min((k for k in (0.5, 1, 1.5, 2, 3, 4, 6, 8, 12)), key=lambda k: np.logaddexp(0, -k * y * margin).mean())
 
 
+def _grouped(children: list, centres: np.ndarray) -> list:
+    """The children or, of more than ``WIDTH``, as many nodes of like ones: neighbours along the direction in which their centres (a row a language) differ most."""
+    if len(children) <= WIDTH:
+        return children
+    own = np.array([centres[c.languages() if isinstance(c, Node) else [c]].mean(axis=0) for c in children])
+    own = own - own.mean(axis=0)
+    place = own @ np.linalg.svd(own, full_matrices=False)[2][0]
+    groups = np.array_split(np.argsort(place, kind="stable"), WIDTH)
+    return [Node(_grouped([children[k] for k in g], centres)) if len(g) > 1 else children[g[0]] for g in groups]
+
+
 def fit_shares(x: np.ndarray, names: list[str]) -> Model:
     """The model from shares of trigrams (a row each) and their languages. Changes ``x``."""
     languages = sorted(set(names))
-    of = np.array([languages.index(n) for n in names])
+    number = {name: k for k, name in enumerate(languages)}
+    of = np.array([number[n] for n in names])
     groups: dict[str, list[int]] = {}
     for k, name in enumerate(languages):
         groups.setdefault(_FAMILY.get(name.lower().split("-")[0], f"only {name}"), []).append(k)
-    model = Model(languages, list(groups.values()))
     if len(languages) < 2:
-        return model
+        return Model(languages)
     # In place: the shares are the only large array here.
     mean = x.mean(axis=0)
     spread = (np.sqrt(np.maximum(mean - np.array([np.sqrt(x[:, k]).mean() for k in range(x.shape[1])]) ** 2, 0)) * np.sqrt(mean) + 1e-4).astype(x.dtype)
     x /= spread
     size = float(np.sqrt(np.einsum("ij,ij->", x, x) / len(x)))
     x /= x.dtype.type(size)
-    family = np.zeros(len(languages), dtype=int)
-    for f, own in enumerate(model.families):
-        family[own] = f
-    planes = []
-    train = lambda a, b: planes.append(_plane(x if (a | b).all() else x[a | b], np.where(a[a | b], 1.0, -1.0)))
-    for a, b in itertools.combinations(range(len(model.families)), 2):
-        model.family_pairs.append((a, b))
-        train(family[of] == a, family[of] == b)
-    for own in model.families:
-        for a, b in itertools.combinations(own, 2):
-            model.language_pairs.append((a, b))
-            train(of == a, of == b)
-    model.weights = np.array([p[0] / spread / size for p in planes])
-    model.bias, model.scale = np.array([p[1] for p in planes]), np.array([p[2] for p in planes])
-    return model
+    centres = np.array([x[of == k].mean(axis=0) for k in range(len(languages))])
+    families = [own[0] if len(own) == 1 else Node(_grouped(own, centres)) for own in groups.values()]
+    root = families[0] if len(families) == 1 else Node(_grouped(families, centres))
+
+    def train(node: Node) -> None:
+        members = [np.isin(of, c.languages() if isinstance(c, Node) else [c]) for c in node.children]
+        planes = []
+        for a, b in itertools.combinations(members, 2):
+            planes.append(_plane(x if (a | b).all() else x[a | b], np.where(a[a | b], 1.0, -1.0)))
+        node.weights = np.array([p[0] / spread / size for p in planes], dtype=np.float32)
+        node.bias, node.scale = np.array([p[1] for p in planes]), np.array([p[2] for p in planes])
+        for c in node.children:
+            if isinstance(c, Node):
+                train(c)
+
+    train(root)
+    return Model(languages, root)
 
 
 def _plane(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, float]:
@@ -165,34 +192,30 @@ def _plane(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, float]:
 def predict(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The number of each row's language and its score."""
     n = len(offsets) - 1
-    if model.weights is None:
-        return np.zeros(n, dtype=np.int64), np.ones(n)
-    hashed, first = trigrams(data, offsets)
-    sums = np.zeros(len(hashed) + 1)
-    margins = np.empty((n, len(model.bias)))
-    for k, w in enumerate(model.weights):
-        np.cumsum(w[hashed], out=sums[1:])
-        margins[:, k] = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(np.diff(first), 1) + model.bias[k]
-    sure = 1 / (1 + np.exp(-np.clip(margins * model.scale, -35, 35)))
-    many = len(model.family_pairs)
-    best, trust = _vote(sure[:, :many], model.family_pairs, list(range(len(model.families))))
-    out, score = np.zeros(n, dtype=np.int64), trust.copy()
-    at = many
-    for f, own in enumerate(model.families):
-        pairs = list(itertools.combinations(range(len(own)), 2))
-        rows = np.flatnonzero(best == f)
-        choice, trust = _vote(sure[rows, at : at + len(pairs)], pairs, list(range(len(own))))
-        at += len(pairs)
-        out[rows] = np.array(own)[choice]
+    out, score = np.zeros(n, dtype=np.int64), np.ones(n)
+    if model.root is None:
+        return out, score
+
+    def descend(node, rows: np.ndarray, x: np.ndarray) -> None:
+        """Rows (of numbers ``rows``, shares ``x``) to the child that wins, and on from there."""
+        if not isinstance(node, Node):
+            out[rows] = node
+            return
+        sure = 1 / (1 + np.exp(-np.clip((x @ node.weights.T + node.bias) * node.scale, -35, 35)))
+        best, trust = _vote(sure, list(itertools.combinations(range(len(node.children)), 2)), len(node.children))
         score[rows] *= trust
+        for k in np.unique(best):
+            descend(node.children[k], rows[best == k], x[best == k])
+
+    for first in range(0, n, ROWS):
+        own = offsets[first : first + ROWS + 1]
+        descend(model.root, np.arange(first, first + len(own) - 1), shares(data[own[0] : own[-1]], own - own[0]).astype(np.float32))
     return out, score
 
 
-def _vote(sure: np.ndarray, pairs: list[tuple[int, int]], names: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def _vote(sure: np.ndarray, pairs: list[tuple[int, int]], many: int) -> tuple[np.ndarray, np.ndarray]:
     """The winner of one-versus-one votes in each row, and the least certainty of its duels."""
-    if len(names) == 1:
-        return np.zeros(len(sure), dtype=np.int64), np.ones(len(sure))
-    votes = np.zeros((len(sure), len(names)))
+    votes = np.zeros((len(sure), many))
     for k, (a, b) in enumerate(pairs):
         votes[:, a] += (sure[:, k] >= 0.5) + sure[:, k] * 1e-3
         votes[:, b] += (sure[:, k] < 0.5) + (1 - sure[:, k]) * 1e-3
@@ -206,17 +229,17 @@ def _vote(sure: np.ndarray, pairs: list[tuple[int, int]], names: list[int]) -> t
 def fit(docs: DataFrame) -> Model:
     """A model from documents whose remainder by 5 is not 0: for each lang the ``SAMPLE`` of smallest hash, fewer if there are many langs."""
     known = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").where(remainder(5) != 0)
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return Model([])
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     many = max(20, min(SAMPLE, SAMPLE_ALL // len(counts)))
     mark = F.xxhash64("doc_id", F.lit(12))
     # Of each language about three times as many by hash, so that ranking them moves few rows, however many tasks there are.
-    near = F.coalesce(*[F.when(F.col("lang") == name, below_share(F.col("__mark"), 3 * many / n)) for name, n in sorted(counts.items())])
-    nearest = Window.partitionBy("lang").orderBy("__mark", "doc_id")
-    sample = known.select("doc_id", "lang", mark.alias("__mark")).where(near).withColumn("__rank", F.row_number().over(nearest)).where(F.col("__rank") <= many)
+    bounds = docs.sparkSession.createDataFrame([(name, 3 * many / n) for name, n in sorted(counts.items())], "lang string, near double")
+    near = F.col("mark") / F.lit(2.0**64) + 0.5 < F.col("near")
+    nearest = Window.partitionBy("lang").orderBy("mark", "doc_id")
+    # As many rows of bounds as languages.
+    sample = known.select("doc_id", "lang", mark.alias("mark")).join(F.broadcast(bounds), "lang").where(near).withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= many)
     # At most SAMPLE_ALL ids (or 20 of each lang), whatever the input.
     rows = known.select("doc_id", "text", "lang").join(F.broadcast(sample.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
 
@@ -248,19 +271,19 @@ def fit(docs: DataFrame) -> Model:
 
 def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with the columns lang_pred and lang_score."""
-    docs = docs.drop("lang_pred", "lang_score")
-    lettered = docs.withColumn("__lettered", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    lettered = docs.select("*", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(added(docs, "lettered")))
+    found = [added(docs, "lang_pred"), added(docs, "lang_score")]
+    schema = T.StructType([*docs.schema.fields, T.StructField(found[0], T.StringType()), T.StructField(found[1], T.DoubleType())])
     names = np.array([*model.languages, "und"], dtype=object)
 
     def run(batches):
         for batch in chunks(batches, text):
             best, score = predict(model, *texts_of(batch.column(text)))
-            unknown = ~np.array(batch.column("__lettered").to_pylist(), dtype=bool)
+            unknown = ~np.array(batch.columns[-1].to_pylist(), dtype=bool)
             if not model.languages:
                 unknown[:] = True
             best[unknown], score[unknown] = len(names) - 1, 0.0
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[best], pa.string()), pa.array(score)], names=[*batch.schema.names[:-1], "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[best], pa.string()), pa.array(score)], names=[*batch.schema.names[:-1], *found])
 
     return lettered.mapInArrow(run, schema)
 

@@ -1,14 +1,15 @@
 """Quality by compression: zstandard dictionaries of good and of bad text.
 
-Half of a bounded sample of labelled documents trains two dictionaries. A text, cut into blocks, is
-compressed with either; (good size - bad size) / (good size + bad size) says which it is nearer to, and
-its plain compressed size over its length says how much it repeats itself. A logistic fit on the other
-half of the sample turns these into the probability of label 1.
-
-Defined results: a null text counts as empty; empty texts get the score of the fit at difference 0;
-rows of null label, or whose doc_id has no label, are scored but not learnt from; a doc_id labelled
-twice counts with its smaller label; if a label has no rows, all scores are (ones + 1) / (rows + 2);
-an empty table stays empty. Other columns pass through ``scored``, unless they have the names it adds.
+Half of a bounded sample of labelled documents trains two dictionaries, from their whole texts. A text, cut
+into blocks (so that a dictionary counts all along it), is compressed with either; (bad size - good size)
+over the text's length, the bytes a byte of it that the good dictionary saves, is its difference. A logistic
+fit on the other half of the sample turns the difference alone into the probability of label 1.
+
+Defined results: a null text counts as empty; an empty text has difference 0, which neither dictionary
+favours, and the score of the fit there; rows of null label, or whose doc_id has no label, are scored but
+not learnt from; a doc_id labelled twice counts with its smaller label; if a label has no rows, all scores
+are (ones + 1) / (rows + 2); an empty table stays empty. Other columns pass through ``scored``; where
+one has the name of an added column, the added one gets an underscore behind its name.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import below_share, chunks, table, texts_of
+from .common import added, below_share, chunks, table, texts_of
 
-#: Labelled documents of each class to learn from at most, and the pieces of each that may train a dictionary.
+#: Labelled documents of each class to learn from at most; their texts are cut into pieces for the training of dictionaries.
 SAMPLE = 4000
-PIECES, PIECE_BYTES = 4, 2048
-DICTIONARY_BYTES = 128 << 10
-BLOCK_BYTES = 4096
+PIECE_BYTES = 2048
+DICTIONARY_BYTES = 112 << 10
+BLOCK_BYTES = 512
+#: Added to a text's length, so that the few bytes of a very short one weigh little.
+LEAST_BYTES = 16
 LEVEL = 3
 ACCEPT = 0.7
 
@@ -44,31 +47,27 @@ class Model:
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        if model.weights is not None or model.good:
-            self.packers = []
+        self.packers = []
+        if model.good:
             for raw in (model.good, model.bad):
                 own = zstandard.ZstdCompressionDict(raw)
                 own.precompute_compress(level=LEVEL)
-                self.packers.append(zstandard.ZstdCompressor(dict_data=own))
-        self.plain = zstandard.ZstdCompressor(level=LEVEL)
+                self.packers.append(zstandard.ZstdCompressor(dict_data=own, write_content_size=False, write_dict_id=False))
 
-    def features(self, text: bytes) -> tuple[float, float]:
-        """The normalised difference of the compressed sizes, and the plain compressed size over the length."""
-        if not text:
-            return 0.0, 1.0
+    def difference(self, text: bytes) -> float:
+        """The normalised difference of the compressed sizes."""
         blocks = [text[k : k + BLOCK_BYTES] for k in range(0, len(text), BLOCK_BYTES)]
         good, bad = (sum(len(p.compress(b)) for b in blocks) for p in self.packers)
-        return (good - bad) / (good + bad), len(self.plain.compress(text)) / (len(text) + 40)
+        return (bad - good) / (len(text) + LEAST_BYTES)
 
-    def score(self, features: np.ndarray) -> np.ndarray:
+    def score(self, differences: np.ndarray) -> np.ndarray:
         if self.model.weights is None:
-            return np.full(len(features), self.model.base)
-        return 1 / (1 + np.exp(-np.clip(_design(features) @ self.model.weights, -35, 35)))
+            return np.full(len(differences), self.model.base)
+        return 1 / (1 + np.exp(-np.clip(_design(differences) @ self.model.weights, -35, 35)))
 
 
-def _design(features: np.ndarray) -> np.ndarray:
-    difference, ratio = features[:, 0], features[:, 1]
-    return np.stack([difference * 10, ratio * 5, np.minimum(ratio, 0.25) * 20, np.ones(len(features))], axis=1)
+def _design(differences: np.ndarray) -> np.ndarray:
+    return np.stack([differences * 20, np.ones(len(differences))], axis=1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> np.ndarray:
@@ -105,9 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             data, offsets = texts_of(batch.column("text"))
             out = {"doc_id": [], "quality": [], "piece": []}
             for doc, quality, a, b in zip(batch.column("doc_id").to_pylist(), batch.column("__quality").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                # Pieces from all along the text.
-                places = sorted({a + (b - a) * k // PIECES for k in range(PIECES)}) if b - a > PIECES * PIECE_BYTES else range(a, b, PIECE_BYTES)
-                for at in places:
+                for at in range(a, b, PIECE_BYTES):
                     out["doc_id"].append(doc)
                     out["quality"].append(quality)
                     out["piece"].append(data[at : min(at + PIECE_BYTES, b)].tobytes())
@@ -127,36 +124,35 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         scorer = Scorer(model)
         for batch in chunks(batches, "text"):
             data, offsets = texts_of(batch.column("text"))
-            found = np.array([scorer.features(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__quality"), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["doc_id", "quality", "difference", "ratio"])
+            found = np.array([scorer.difference(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], dtype=np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__quality"), pa.array(found)], names=["doc_id", "quality", "difference"])
 
-    points = sorted(map(tuple, rows.where(~trains).select("doc_id", F.col("__quality").cast("int").alias("__quality"), "text").mapInArrow(measure, "doc_id bigint, quality int, difference double, ratio double").collect()))
+    points = sorted(map(tuple, rows.where(~trains).select("doc_id", F.col("__quality").cast("int").alias("__quality"), "text").mapInArrow(measure, "doc_id bigint, quality int, difference double").collect()))
     y = np.array([p[1] for p in points], dtype=float)
     if not len(y) or y.min() == y.max():
         return Model(b"", b"", None, base)
     # The sample may hold more of one label than the table does; the fit is of the table's shares.
     share = {q: counts[q] / max((y == q).sum(), 1) for q in (0, 1)}
-    x = _design(np.array([p[2:] for p in points]))
-    w = _logistic(x, y)
+    w = _logistic(_design(np.array([p[2] for p in points])), y)
     w[-1] += np.log(share[1] / share[0])
     model.weights = w
     return model
 
 
 def _dictionary(pieces: list[bytes]) -> bytes:
-    """A trained dictionary; of too little text, the text itself."""
+    """A trained dictionary; of too little text for that, which is short of a dictionary's size, the text itself."""
     order = np.random.default_rng(5).permutation(len(pieces))
     pieces = [pieces[k] for k in order]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, pieces, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return b"\n".join(pieces)[:DICTIONARY_BYTES].ljust(8, b" ")
+        return b"\n".join(pieces).ljust(8, b" ")
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with the columns score (of its whole text) and predicted."""
-    docs = docs.drop("score", "predicted")
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    names = [added(docs, "score"), added(docs, "predicted")]
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
 
     def run(batches):
         scorer = Scorer(model)
@@ -165,8 +161,8 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             if model.weights is None:
                 score = np.full(batch.num_rows, model.base)
             else:
-                score = scorer.score(np.array([scorer.features(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]).reshape(-1, 2))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= ACCEPT).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
+                score = scorer.score(np.array([scorer.difference(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], dtype=np.float64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= ACCEPT).astype(np.int32))], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 

@@ -268,14 +268,13 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Dat
 
 def first_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without near-duplicates: of each component, the row of smallest doc_id stays (of rows that repeat it, one)."""
-    columns = docs.columns
-    mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    found = near_duplicates(docs.select("doc_id", "text", mark.alias("__mark")), ("doc_id", "__mark"))
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("top").agg(F.min("__mark").alias("__mark"), F.first("component_id").alias("__id"))
-    wide = docs.withColumn("__mark", mark)
-    kept = kept.select("__id", F.col("__mark").alias("__kept"))
-    own = wide.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__kept")), "left_semi")
-    return own.dropDuplicates(["doc_id", "__mark"]).select(*columns)
+    mark = F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")
+    found = near_duplicates(docs.select("doc_id", "text", mark), ("doc_id", "mark"))
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("top").agg(F.min("mark").alias("kept"), F.first("component_id").alias("id")).select("id", "kept")
+    # A row travels as one column, so its columns may have any names.
+    wide = docs.select("doc_id", mark, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    own = wide.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("kept")), "left_semi")
+    return own.dropDuplicates(["doc_id", "mark"]).select("row.*")
 
 
 def op7_simhash(spark, sf_dir) -> DataFrame:

@@ -106,7 +106,7 @@ def test_mixing_of_a_hot_id(spark):
 def test_quality(wide, labels, none):
     model = quality.fit(wide, labels)
     rows = quality.scored(wide, model).collect()
-    assert len(rows) == len(ROWS) and all(0 <= r["score"] <= 1 for r in rows)
+    assert len(rows) == len(ROWS) and all(0 <= r["score_"] <= 1 and r["score"] == "x" for r in rows)
     empty = quality.fit(none, labels.limit(0))
     assert empty.weights is None and empty.base == 0.5
     assert quality.scored(none, empty).count() == 0
@@ -127,8 +127,8 @@ def test_bpe(wide, none):
     for r, (_, text, *_) in zip(sorted(got.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens)), sorted(ROWS, key=lambda r: (r[0] is None, r[0] or 0, len(r[1] or ""))), strict=True):
         assert r.decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
     assert bpe.digests(none, path).count() == 0
-    full = bpe.encode(wide, path)
-    assert full.count() == len(ROWS)
+    full = bpe.encode(wide, path).collect()
+    assert len(full) == len(ROWS) and all(r.ids == "x" and len(r.ids_) == len(r.id_offsets_) for r in full)
     assert bpe.encode(none, path).count() == 0
 
 
@@ -161,11 +161,11 @@ def test_simhash(wide, none):
 def test_language(wide, none):
     model = language.fit(wide)
     rows = {r.doc_id: r for r in language.identified(wide, model).collect() if r.doc_id is not None}
-    assert all(rows[k].lang_pred == "und" and rows[k].lang_score == 0 for k in (2, 3, 4, 8))
-    assert rows[5].lang_pred in model.languages
+    assert all(rows[k].lang_pred_ == "und" and rows[k].lang_score_ == 0 and rows[k].lang_pred == "x" for k in (2, 3, 4, 8))
+    assert rows[5].lang_pred_ in model.languages
     nothing = language.fit(none)
     assert nothing.languages == []
-    assert {r.lang_pred for r in language.identified(wide, nothing).collect()} == {"und"}
+    assert {r.lang_pred_ for r in language.identified(wide, nothing).collect()} == {"und"}
     assert language.identified(none, model).count() == 0
 
 

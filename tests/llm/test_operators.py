@@ -1,6 +1,7 @@
 """The operators against brute force, exact round trips, SQL and held-out accuracy."""
 
 import hashlib
+import math
 import random
 import re
 import textwrap
@@ -14,7 +15,7 @@ import tiktoken
 import xxhash
 
 import corpus_pipeline
-from rangeloom.llm import bpe, catalog, chat, embeddings, fingerprints, licenses, mixing, simhash, token_counts
+from rangeloom.llm import bpe, catalog, chat, embeddings, fingerprints, language, licenses, mixing, quality, simhash, token_counts
 from rangeloom.llm.common import texts_of
 
 SF = "/root/testdata/sf0.001"
@@ -506,11 +507,13 @@ def test_op4_unknown_is_calibrated():
 
 def test_op4_filter_drops_no_family():
     model = licenses.train()
-    words = set(licenses.needed(model))
-    rest = [g for g in model.weights if not words.intersection(g.split())]
-    last = len(model.classes) - 1
-    for f in range(last):
-        assert model.bias[f] - model.bias[last] + sum(max(model.weights[g][f] - model.weights[g][last], 0) for g in rest) < 0
+    strong, weak = licenses.needed(model)
+    last, rng = len(model.classes) - 1, random.Random(5)
+    gains = [(set(g.split()), np.maximum(w[:last] - w[last], 0)) for g, w in model.weights.items()]
+    assert not set(strong) & set(weak) and all(words & {*strong, *weak} for words, g in gains if g.any())
+    for _ in range(400):
+        there = {*rng.sample(weak, licenses.LEAST_WORDS - 1), *licenses._COMMON}
+        assert (model.bias[:last] - model.bias[last] + sum((g for words, g in gains if words <= there), np.zeros(last)) < 0).all()
 
 
 def test_lattice():
@@ -622,6 +625,79 @@ def test_op10_held_out(spark):
     assert accuracy(rows, truth, lambda r: r.lang_pred) > 0.97
 
 
+def test_op3_score_is_the_calibrated_difference(spark):
+    """The scores again, by zstandard and the logistic function on the difference alone; and of an empty text."""
+    import zstandard
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    packers = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, ""), (-2, None)], "doc_id bigint, text string"))
+    got = {r.doc_id: r for r in quality.scored(rows, model).collect()}
+    slope, bias = model.weights
+    for r in rows.collect():
+        raw = (r.text or "").encode()
+        good, bad = (sum(len(p.compress(raw[k : k + 512])) for k in range(0, len(raw), 512)) for p in packers)
+        score = 1 / (1 + math.exp(-(slope * 20 * (bad - good) / (len(raw) + 16) + bias)))
+        assert got[r.doc_id].score == pytest.approx(score, abs=1e-9) and got[r.doc_id].predicted == (got[r.doc_id].score >= 0.7)
+    assert slope > 0 and got[-1].score == got[-2].score == pytest.approx(1 / (1 + math.exp(-bias))) and got[-1].predicted == 0
+
+
+def slow_language(model, text):
+    """The language and score by one dictionary of trigrams and loops over the machines of the nodes on the way."""
+    raw = "".join(c.lower() if c.isascii() else c for c in text).encode()
+    raw = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in raw)
+    counts = {}
+    for k in range(len(raw) - 2):
+        code = raw[k] << 16 | raw[k + 1] << 8 | raw[k + 2]
+        if code != 0x202020:
+            h = (code * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - language.BITS)
+            counts[h] = counts.get(h, 0) + 1
+    total, node, score = max(sum(counts.values()), 1), model.root, 1.0
+    while isinstance(node, language.Node):
+        many = len(node.children)
+        votes, duels = [0.0] * many, []
+        for k, (a, b) in enumerate((a, b) for a in range(many) for b in range(a + 1, many)):
+            margin = sum(float(node.weights[k][h]) * c / total for h, c in counts.items()) + node.bias[k]
+            p = 1 / (1 + math.exp(-margin * node.scale[k]))
+            votes[a] += (p >= 0.5) + p * 1e-3
+            votes[b] += (p < 0.5) + (1 - p) * 1e-3
+            duels.append((a, b, p))
+        best = votes.index(max(votes))
+        score *= min(p if best == a else 1 - p for a, b, p in duels if best in (a, b))
+        node = node.children[best]
+    return model.languages[node], score
+
+
+def test_op10_by_loops(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 7 = 0")
+    model = language.fit(spark.read.parquet(f"{sf}/documents.parquet"))
+    for r in language.identified(docs, model).collect():
+        name, score = slow_language(model, r.text or "")
+        if any(c.isalpha() for c in r.text or ""):
+            assert r.lang_pred == name and r.lang_score == pytest.approx(score, abs=1e-3)
+
+
+def test_many_languages():
+    """Three hundred made-up languages, of known and unknown families: no refusal, few machines, and the right answer."""
+    rng = np.random.default_rng(3)
+    codes = [c for own in language.FAMILIES.values() for c in own.split()] + [f"x{k}" for k in range(250)]
+    words = {c: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 8))) for _ in range(30)] for c in codes}
+    text = lambda c: " ".join(rng.choice(words[c], 60))
+    names = [c for c in codes for _ in range(12)]
+    model = language.fit_shares(language.shares(*texts_of(pa.array([text(c) for c in names]))).astype(np.float32), names)
+
+    def machines(node):
+        return len(node.weights) + sum(machines(c) for c in node.children if isinstance(c, language.Node))
+
+    assert len(model.languages) == len(codes) and machines(model.root) < 10 * len(codes)
+    held = [c for c in codes for _ in range(2)]
+    best, _ = language.predict(model, *texts_of(pa.array([text(c) for c in held])))
+    assert np.mean([model.languages[k] == c for k, c in zip(best, held, strict=True)]) > 0.97
+
+
 def test_pipeline(spark, reference):
     """Stage by stage on whole tables: what is dropped is what the stage's operator says, and the last stage's rows are the library's."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
