@@ -20,8 +20,8 @@ without granting any, word salads and single words. Its temperature is fitted to
 learnt from. Scanning is DataFrame operations only, in one pass over the texts: paragraphs are filtered by
 an expression, their n-grams exploded and joined with the weights, which are broadcast (their number is
 fixed by the templates), and summed by paragraph, then by document. The filter drops no family: it asks for
-one of the words without which the weights of all other words together cannot outweigh *unknown*
-(``needed``), or for an anchor word.
+an anchor word, for one of the strong words, or for three of the weak ones; with fewer the weights together
+cannot outweigh *unknown* (``needed``).
 
 Defined results: paragraphs that have an anchor word or a family count. A null or empty text, or one
 without such a paragraph, has family ``none``, probability 1, confirmed false, no paragraphs; a text whose
@@ -119,8 +119,13 @@ GRANT = r"(?i:licen[sc]ed?|released|distributed|available|published|identifier)\
 ANCHORS = r"(?i)licen[sc]|copyright|rights\s+reserved|public\s+domain|redistribut|creative\s+commons|\bgpl|\blgpl|\bagpl|\bapache\b|\bbsd\b|spdx|\bcc0\b|\bcc\s+by"
 #: Where a text is split into paragraphs.
 BREAK = r"\n(?:[^\p{L}\p{N}]*\n|(?<=[.!?\u3002\uFF01\uFF1F][\"'\u201D\u2019)\]*_]{0,3}[ \t\r]{0,4}\n)(?=[^\p{L}\p{N}\n]*[\p{Lu}\p{Lo}]))"
-#: Words that the filter asks for only if it must, since ordinary prose has them.
-_COMMON = set("the of and in to a is with this are for that it be or by".split())
+#: Words that tell nothing by themselves, since ordinary prose has them; an n-gram counts only if it has another word.
+_COMMON = set(
+    "a above all an and any are as at be but by copy do either following for from if in included including into is it its june january later list may met mit must name names neither no nor of on or other part "
+    "persons places provided shall that the their there this to under use used was whom with without work writing you your 0 1 2 3 4 5 6 7 8 9 29 1991 2004 2007 2020".split()
+)
+#: So many different words of lesser weight the filter asks for, where there is none of greater.
+LEAST_WORDS = 3
 ACCEPT = 0.5
 #: The share of a template's n-grams that confirms a paragraph, and a line by itself (whose end may be the beginning of another name).
 CONFIRM, CONFIRM_LINE = 0.6, 0.9
@@ -165,6 +170,7 @@ def train(seed: int = 4) -> Model:
     denied = [f"{d} {t[0].lower()}{t[1:]}" for _, t in templates if re.match(r"(?i)(?:licensed|released|published)\b", t) for d in _DENIALS]
     denied += [re.sub(r"(?i)\bis (licensed|subject|in|free)\b", r"is not \1", t) for _, t in templates if re.search(r"(?i)\bis (?:licensed|subject|in the public|free)\b", t)]
     vocabulary = sorted({g for _, t in templates for g in grams_of(t)} | {g for t in _OTHERS for g in grams_of(t) if " " not in g} | {g for t in denied for g in grams_of(t) if re.search(r"\b(?:not|never|longer)\b", g)} | {f"{v} {rest}" for v in _VERBS for rest in ("under", "under the", "by")})
+    vocabulary = [g for g in vocabulary if not _COMMON.issuperset(g.split())]
     number = {g: k for k, g in enumerate(vocabulary)}
     pool = [w for t in [*_OTHERS, *(t for _, t in templates)] for w in re.findall(_WORD, t.lower())]
 
@@ -183,7 +189,7 @@ def train(seed: int = 4) -> Model:
     def draw(copies: int):
         rows, of = [], []
         for family, text in templates:
-            for c in range(copies):
+            for c in range(copies * 3):
                 rows.append(text if c == 0 else varied(text, float(rng.choice([0, 0, 0.1, 0.2]))))
                 of.append(classes.index(family))
         for text in [*_OTHERS, *denied]:
@@ -195,8 +201,8 @@ def train(seed: int = 4) -> Model:
             of.append(len(classes) - 1)
         # No word by itself makes a licence (one of another language may look the same).
         for word in (g for g in vocabulary if " " not in g):
-            rows += [word, *(varied(word, 0) for _ in range(copies // 4))]
-            of += [len(classes) - 1] * (1 + copies // 4)
+            rows += [word, varied(word, 0)]
+            of += [len(classes) - 1] * 2
         for _ in range(copies * 40):
             apart = [str(rng.choice(pool)) for _ in range(rng.integers(2, 4))]
             rows.append(" ".join(f"{w} {varied('', 0)} x" for w in apart))
@@ -219,6 +225,10 @@ def train(seed: int = 4) -> Model:
         w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         b -= 0.5 * (p - goal).mean(axis=0)
     w[np.abs(w) < 0.02] = 0
+    # What stands in no template speaks for no family.
+    ours = {g for _, t in templates for g in grams_of(t)}
+    foreign = [k for g, k in number.items() if g not in ours]
+    w[foreign, :-1] = np.minimum(w[foreign, :-1], w[foreign, -1:])
     # The temperature is that of paragraphs which were not learnt from.
     kept = [(f, t) for f in sorted(_CALIBRATION) for t in _CALIBRATION[f]]
     of = np.array([classes.index(f) for f, _ in kept])
@@ -242,30 +252,45 @@ def _weights_table(spark: SparkSession, model: Model) -> DataFrame:
     return spark.range(1).select(F.explode(F.from_json(F.lit(text), schema)).alias("x")).select("x.*")
 
 
-def needed(model: Model) -> list[str]:
-    """Words of which every paragraph has one that the model gives a family: all n-grams without them together cannot make a family as likely as unknown."""
+def needed(model: Model) -> tuple[list[str], list[str]]:
+    """Strong and weak words: without a strong word, and with fewer than ``LEAST_WORDS`` of the weak ones, no paragraph's n-grams can make any family as likely as unknown."""
     last = len(model.classes) - 1
-    gain = {g: np.maximum(w[:last] - w[last], 0) for g, w in ((g, np.array(w)) for g, w in model.weights.items())}
-    found: list[str] = []
+    need = model.bias[last] - model.bias[:last]
+    alone: dict[str, np.ndarray] = {}
+    both: dict[tuple[str, ...], np.ndarray] = {}
+    for g, w in model.weights.items():
+        gain, words = np.maximum(w[:last] - w[last], 0), tuple(sorted(set(g.split()) - _COMMON))
+        if not gain.any():
+            continue
+        for word in words:
+            alone.setdefault(word, np.zeros(last))
+        if len(words) == 1:
+            alone[words[0]] = alone[words[0]] + gain
+        elif len(words) == 2:
+            both[words] = both.get(words, np.zeros(last)) + gain
+    weak, strong = sorted(alone), []
     while True:
-        most = np.array(model.bias[:last]) - model.bias[last] + sum(gain.values(), np.zeros(last))
-        if not gain or most.max() < 0:
-            return sorted(found)
-        by_word: dict[str, float] = {}
-        for g, w in gain.items():
-            for word in set(g.split()):
-                by_word[word] = by_word.get(word, 0.0) + float(w[most.argmax()])
-        found.append(max(by_word, key=lambda x: (by_word[x] > 0 and x not in _COMMON, by_word[x], x)))
-        gain = {g: w for g, w in gain.items() if found[-1] not in g.split()}
+        # The most that two weak words can bring, and the pair that brings it.
+        most = max(((float((alone[u] + alone[v] + both.get((u, v), 0) - need).max()), u, v) for k, u in enumerate(weak) for v in weak[k + 1 :]), default=(-1.0, "", ""))
+        if most[0] < 0:
+            return sorted(strong), weak
+        part = lambda word: (float((alone[word] - need).max()), sum(word in pair for pair in both), word)
+        strong.append(max(most[1:], key=part))
+        weak.remove(strong[-1])
 
 
-def _filter(model: Model):
-    """Whether a text has an anchor word or one of the needed words; these are tried by first letter."""
+def _any_of(words: list[str]) -> str:
+    """A pattern of any of the words, tried by first letter."""
     by_first: dict[str, list[str]] = {}
-    for word in needed(model):
+    for word in words:
         by_first.setdefault(word[0], []).append(word[1:])
-    words = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in sorted(by_first.items()))
-    return lambda x: x.rlike(ANCHORS) | F.lower(x).rlike(f"(?<![a-z0-9])(?:{words})(?![a-z0-9])")
+    return f"(?<![a-z0-9])(?:{'|'.join(f'{first}(?:{"|".join(rest)})' for first, rest in sorted(by_first.items()))})(?![a-z0-9])"
+
+
+def _filter(model: Model):
+    """Whether a text has an anchor word, a strong word, or enough weak ones."""
+    strong, weak = needed(model)
+    return lambda x: x.rlike(ANCHORS) | F.lower(x).rlike(_any_of(strong)) | (F.regexp_count(F.lower(x), F.lit(_any_of(weak))) >= LEAST_WORDS)
 
 
 def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
