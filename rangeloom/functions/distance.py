@@ -71,7 +71,13 @@ def unrolled(a: Column, b: Column, dimensions: int) -> Column:
     return out
 
 
-METRICS: dict[str, Callable[[Column, Column], Column]] = {"l2sqr": l2sqr, "l2": l2, "ip": inner_product_distance}
+def cosine_distance(a: Column, b: Column) -> Column:
+    """One less the cosine; 1 where either vector is zero."""
+    size = F.sqrt(norm2(a) * norm2(b))
+    return 1 - F.when(size == 0, 0.0).otherwise(dot(a, b) / size)
+
+
+METRICS: dict[str, Callable[[Column, Column], Column]] = {"l2sqr": l2sqr, "l2": l2, "ip": inner_product_distance, "cosine": cosine_distance}
 
 
 def metric(name: str) -> Callable[[Column, Column], Column]:
@@ -82,11 +88,29 @@ def metric(name: str) -> Callable[[Column, Column], Column]:
 
 def block_distances(x: np.ndarray, y: np.ndarray, name: str = "l2sqr") -> np.ndarray:
     """All distances between the rows of two blocks."""
+    metric(name)
     if name == "ip":
         return 1 - x @ y.T
+    if name == "cosine":
+        size = np.sqrt(np.einsum("ij,ij->i", x, x)[:, None] * np.einsum("ij,ij->i", y, y))
+        return 1 - np.divide(x @ y.T, size, out=np.zeros(size.shape), where=size > 0)
     out = np.empty((len(x), len(y)))
     step = max(1, (1 << 22) // max(1, y.size))
     for k in range(0, len(x), step):
         gap = x[k : k + step, None, :] - y[None, :, :]
         out[k : k + step] = np.einsum("ijk,ijk->ij", gap, gap)
     return np.sqrt(out) if name == "l2" else out
+
+
+def row_distances(x: np.ndarray, y: np.ndarray, name: str = "l2sqr") -> np.ndarray:
+    """The distances between rows of the same number."""
+    metric(name)
+    if name in ("ip", "cosine"):
+        dots = np.einsum("ij,ij->i", x, y)
+        if name == "ip":
+            return 1 - dots
+        size = np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
+        return 1 - np.divide(dots, size, out=np.zeros(len(size)), where=size > 0)
+    gap = x - y
+    out = np.einsum("ij,ij->i", gap, gap)
+    return np.sqrt(out) if name == "l2" else out

@@ -1,9 +1,13 @@
 """Pairs of blocks: a nested loop over vectors, in pieces that fit a task.
 
 Both sides are cut into blocks by position; each pair of blocks is one group, worked on as two numpy
-matrices, and what leaves it is already reduced (a few neighbours for each node). Every vector is sent
-to as many groups as the other side has blocks, so the traffic is rows times blocks, and no task ever
-holds more than two blocks.
+matrices, and what leaves it is already reduced (a few neighbours for each node). A vector is sent to as
+many groups as the other side has blocks, as it is stored; no task ever holds more than two blocks. Where
+both sides are the same vectors, a pair of blocks is met once and its distances serve both directions.
+
+``valid`` says which vectors an operator works on: those that are not null, not empty, hold neither nulls
+nor NaN nor infinities, and are all of one length. The first three kinds are left out everywhere (they are
+near to nothing); vectors of several lengths are refused.
 """
 
 from __future__ import annotations
@@ -15,35 +19,107 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 512
+from ..functions.distance import block_distances
+
+#: Vectors of a block at most and at least; between these the block count follows the session's parallelism.
+BLOCK_ROWS, LEAST_ROWS = 4096, 128
+#: Distances that a task holds at a time.
+STRIP = 1 << 20
 
 
-def matrix(column: pa.ChunkedArray) -> np.ndarray:
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a list column as rows of doubles; nulls, null components and several lengths are refused."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    n = len(column)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+    if not len(column):
+        return np.zeros((0, 0))
+    values = column.flatten()
+    sizes = np.diff(column.offsets.to_numpy())
+    if column.null_count or values.null_count or (sizes != sizes[0]).any():
+        raise ValueError("vectors must not be null, hold no nulls, and be of one length; leave out the others first (blocks.valid)")
+    return values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def is_valid(embedding="embedding"):
+    """Whether a vector can be compared: not null, not empty, all components finite."""
+    x = F.col(embedding)
+    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return F.coalesce((F.size(x) > 0) & ~F.coalesce(bad, F.lit(True)), F.lit(False))
+
+
+def valid(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
+    """The rows whose vectors can be compared."""
+    return vectors.where(is_valid(embedding))
+
+
+def block_rows(n: int, parallelism: int) -> int:
+    """Vectors of a block: so many that the pairs of blocks keep every core busy twice, within the bounds."""
+    blocks = max(1, int(np.ceil(np.sqrt(4 * parallelism))))
+    return int(min(BLOCK_ROWS, max(LEAST_ROWS, -(-n // blocks))))
 
 
-def pairs(nodes: DataFrame, data: DataFrame, work: Callable, schema: str, rows: int = BLOCK_ROWS) -> DataFrame:
-    """``work(node pos, node matrix, data pos, data matrix)`` on each pair of blocks of two (pos, embedding) tables; it returns columns of ``schema``."""
-    last = lambda df: F.floor(F.col("pos") / rows).cast("int")
-    most = data.agg(F.max("pos")).first()[0]
-    mine = nodes.agg(F.max("pos")).first()[0]
-    names = [c.split()[0] for c in schema.split(",")]
+KINDS = {"int": pa.int32(), "double": pa.float64(), "string": pa.string(), "bigint": pa.int64()}
+
+
+def pairs(nodes: DataFrame | None, data: DataFrame, work: Callable, schema: str, rows: int | None = None, name: str = "l2sqr") -> DataFrame:
+    """``work(node pos, data pos, distances)`` on each pair of blocks of two (pos, embedding) tables; it returns columns of ``schema``. Without ``nodes``, all data are nodes too.
+
+    The distances are by node and data, in order of position; they come in strips of nodes.
+    """
+    data = valid(data.select("pos", "embedding"))
+    same = nodes is None
+    nodes = data if same else valid(nodes.select("pos", "embedding"))
+    ends = lambda df: df.agg(F.min("pos"), F.max("pos"), F.count(F.lit(1))).first()
+    first, last, n = ends(data)
+    own_first, own_last, _ = (first, last, n) if same else ends(nodes)
+    rows = rows or block_rows(n, data.sparkSession.sparkContext.defaultParallelism)
+    fields = [c.split() for c in schema.split(",")]
+    empty = pa.table({c: pa.array([], KINDS[k]) for c, k in fields})
+
+    def strips(a, x, b, y):
+        step = max(1, STRIP // max(len(b), 1))
+        for k in range(0, len(a), step):
+            yield a[k : k + step], b, block_distances(x[k : k + step], y, name)
 
     def run(t: pa.Table) -> pa.Table:
-        side = t.column("side").to_numpy()
-        parts = [t.filter(pa.array(side == s)) for s in (0, 1)]
+        t = t.sort_by([("side", "ascending"), ("pos", "ascending")])
+        i, j, side = t.column("i")[0].as_py(), t.column("j")[0].as_py(), t.column("side").to_numpy()
+        cut = int((side == 0).sum())
+        parts = [t.slice(0, cut), t.slice(cut)]
+        if same and i == j:
+            parts = [parts[0], parts[0]]
         if not all(p.num_rows for p in parts):
             return empty
-        pos = [p.column("pos").to_numpy() for p in parts]
-        found = work(pos[0], matrix(parts[0].column("embedding")), pos[1], matrix(parts[1].column("embedding")))
-        return pa.table(dict(zip(names, found, strict=True)))
-
-    kinds = {"int": pa.int32(), "double": pa.float64(), "string": pa.string(), "bigint": pa.int64()}
-    empty = pa.table({c.split()[0]: pa.array([], kinds[c.split()[1]]) for c in schema.split(",")})
-    there = lambda df, side, own, other, top: df.select(
-        F.lit(side).alias("side"), F.col("pos").cast("int").alias("pos"), F.col("embedding").cast("array<double>").alias("embedding"), last(df).alias(own), F.explode(F.sequence(F.lit(0), F.lit(int((top or 0) // rows)))).alias(other)
-    )
-    both = there(nodes, 0, "i", "j", most).unionByName(there(data, 1, "j", "i", mine))
+        (a, x), (b, y) = ((p.column("pos").to_numpy(), matrix(p.column("embedding"))) for p in parts)
+        if x.shape[1] != y.shape[1]:
+            raise ValueError("vectors of several lengths")
+        out = []
+        for p, q, d in strips(a, x, b, y):
+            out.append(work(p, q, d))
+            if same and i != j:
+                out.append(work(q, p, d.T))
+        return pa.table({c: pa.concat_arrays([pa.array(o[k], KINDS[kind]) for o in out]) for k, (c, kind) in enumerate(fields)})
+
+    block = F.floor(F.col("pos") / rows).cast("bigint")
+    span = lambda low, high: F.sequence(F.lit(int(low or 0) // rows).cast("bigint"), F.lit(int(high or 0) // rows).cast("bigint"))
+    if same:
+        # Each block meets itself and every other one once; as the lower of the two it is side 0.
+        other = F.explode(span(first, last))
+        both = data.select(F.col("pos").cast("bigint").alias("pos"), "embedding", block.alias("own"), other.alias("other"))
+        both = both.select(F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "pos", "embedding", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    else:
+        there = lambda df, side, own, other, low, high: df.select(F.lit(side).alias("side"), F.col("pos").cast("bigint").alias("pos"), "embedding", block.alias(own), F.explode(span(low, high)).alias(other))
+        both = there(nodes, 0, "i", "j", first, last).unionByName(there(data, 1, "j", "i", own_first, own_last))
     return both.groupBy("i", "j").applyInArrow(run, schema)
+
+
+def nearest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``k`` smallest finite entries of each row, nearest first, ties by column."""
+    if not d.size:
+        return (np.zeros(0, dtype=np.int64),) * 2
+    least = min(k, d.shape[1]) - 1
+    bound = np.partition(d, least, axis=1)[:, least]
+    r, c = np.nonzero((d <= bound[:, None]) & np.isfinite(d))
+    order = np.lexsort((c, d[r, c], r))
+    r, c = r[order], c[order]
+    on = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return r[on], c[on]

@@ -1,17 +1,19 @@
-"""Exact nearest neighbours: of a free query, of every node, within a key range, within a radius."""
+"""Exact nearest neighbours: of a free query, of every node, within a key range, within a radius.
+
+Vectors that cannot be compared (``blocks.valid``) are nobody's neighbours and have none.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.distance import block_distances, l2sqr, metric, unrolled
-from .blocks import BLOCK_ROWS, pairs
+from ..functions.distance import metric, unrolled
+from .blocks import nearest, pairs, valid
 
 
 def between(vectors: DataFrame, low: int | None, high: int | None) -> DataFrame:
@@ -24,7 +26,7 @@ def query(vectors: DataFrame, point: Sequence[float], k: int, low: int | None =
     """The ``k`` vectors nearest to a point, nearest first: pos, dist, rank. With a radius, none farther."""
     where = F.array(*[F.lit(float(x)) for x in point])
     dist = unrolled(F.col("embedding"), where, len(point)) if name == "l2sqr" else metric(name)(F.col("embedding"), where)
-    found = between(vectors, low, high).select("pos", dist.alias("dist"))
+    found = valid(between(vectors, low, high)).select("pos", dist.alias("dist"))
     if radius is not None:
         found = found.where(F.col("dist") <= radius)
     found = found.orderBy("dist", "pos").limit(k)
@@ -37,33 +39,29 @@ def top(edges: DataFrame, k: int) -> DataFrame:
     return edges.dropDuplicates(["node", "nbr"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def graph(vectors: DataFrame, k: int, low: int | None = None, high: int | None = None, radius: float | None = None, name: str = "l2sqr", with_self: bool = False, nodes: DataFrame | None = None, rows: int = BLOCK_ROWS) -> DataFrame:
+def graph(vectors: DataFrame, k: int, low: int | None = None, high: int | None = None, radius: float | None = None, name: str = "l2sqr", with_self: bool = False, nodes: DataFrame | None = None, rows: int | None = None) -> DataFrame:
     """The exact K-NN graph of a key range: node, nbr, dist, rank. ``nodes`` restricts for whom, not among whom."""
 
-    def work(node, x, data, y):
-        d = block_distances(x, y, name)
+    def work(node, data, d):
+        d = d.copy()
         if not with_self:
             d[node[:, None] == data[None, :]] = np.inf
         if radius is not None:
             d[d > radius] = np.inf
-        keep = min(k, len(data))
-        at = np.lexsort((np.broadcast_to(data, d.shape), d), axis=1)[:, :keep]
-        a = np.repeat(np.arange(len(node)), keep)
-        b = at.ravel()
-        ok = np.isfinite(d[a, b])
-        a, b = a[ok], b[ok]
-        return pa.array(node[a], pa.int32()), pa.array(data[b], pa.int32()), pa.array(d[a, b])
-
-    own = between(vectors, low, high).select("pos", "embedding")
-    found = pairs(between(nodes if nodes is not None else vectors, low, high).select("pos", "embedding"), own, work, "node int, nbr int, dist double", rows)
+        r, c = nearest(d, k)
+        return node[r], data[c], d[r, c]
+
+    own = None if nodes is None else between(nodes, low, high)
+    found = pairs(own, between(vectors, low, high), work, "node bigint, nbr bigint, dist double", rows, name)
     order = Window.partitionBy("node").orderBy("dist", "nbr")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def rerank(edges: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def rerank(edges: DataFrame, vectors: DataFrame, k: int, name: str = "l2sqr") -> DataFrame:
     """The ``k`` nearest of each node's listed neighbours, their distances computed anew."""
     of = lambda a, v: vectors.select(F.col("pos").alias(a), F.col("embedding").alias(v))
-    far = edges.select("node", "nbr").join(of("node", "x"), "node").join(of("nbr", "y"), "nbr").select("node", "nbr", l2sqr(F.col("x"), F.col("y")).alias("dist"))
+    vectors = valid(vectors)
+    far = edges.select("node", "nbr").join(of("node", "x"), "node").join(of("nbr", "y"), "nbr").select("node", "nbr", metric(name)(F.col("x"), F.col("y")).alias("dist"))
     return top(far, k)
 
 
@@ -71,3 +69,18 @@ def hybrid(vectors: DataFrame, point: Sequence[float], k: int, low: int, high: i
     """Nearest first, range second: of the ``many`` nearest anywhere, the ``k`` nearest within the range. May miss some."""
     found = query(vectors, point, many).where(F.col("pos").between(low, high)).orderBy("dist", "pos").limit(k)
     return found.withColumn("rank", F.row_number().over(Window.orderBy("dist", "pos")))
+
+
+def pages(vectors: DataFrame, point: Sequence[float], size: int, low: int | None = None, high: int | None = None, name: str = "l2sqr") -> Iterator[DataFrame]:
+    """The nearest vectors to a point page by page, each computed when it is asked for: pos, dist, rank (counted on). A page reads on behind the last one's end, so none is held."""
+    where = F.array(*[F.lit(float(x)) for x in point])
+    every = valid(between(vectors, low, high)).select("pos", metric(name)(F.col("embedding"), where).alias("dist"))
+    after, done = None, 0
+    while True:
+        rest = every if after is None else every.where((F.col("dist") > after[0]) | ((F.col("dist") == after[0]) & (F.col("pos") > after[1])))
+        page = rest.orderBy("dist", "pos").limit(size)
+        last = page.agg(F.max_by(F.struct("dist", "pos"), F.struct("dist", "pos")).alias("x"), F.count(F.lit(1)).alias("n")).first()
+        if not last["n"]:
+            return
+        yield page.withColumn("rank", F.row_number().over(Window.orderBy("dist", "pos")) + F.lit(done))
+        after, done = (last["x"]["dist"], last["x"]["pos"]), done + last["n"]

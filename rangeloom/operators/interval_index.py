@@ -6,9 +6,10 @@ from nbr on and before ``sub``. On the left ``sub`` is the K-th largest position
 nearer to node, -1 if there are fewer; on the right the K-th smallest, or ``OPEN``. A row exists if
 fewer than K nearer points lie between nbr and node.
 
-Build: each pair of blocks keeps the points that survive among its own; a point that K nearer points of
-its block separate from the node can never be the K-th for any other, so merging the survivors in the
-same way gives the whole index.
+Build: each pair of blocks keeps the points that survive among its own, found by one walk outwards from the
+node that remembers the K nearest so far; a point that K nearer points of its block separate from the node
+can never be the K-th for any other, so merging the survivors gives the whole index. Vectors that cannot be
+compared (``blocks.valid``) are in no row. Any metric of ``functions.distance`` will do.
 """
 
 from __future__ import annotations
@@ -19,13 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.distance import block_distances, l2sqr
-from .blocks import BLOCK_ROWS, pairs
+from ..functions.distance import metric, row_distances
+from ..plans.lineage import cut
+from .blocks import matrix, pairs, valid
 
-OPEN = 2**31 - 1
+OPEN = 2**63 - 1
 #: Nodes whose candidates a task merges at a time; each has about K log(blocks) survivors a side.
 NODES_A_GROUP = 128
-SCHEMA = "node int, side string, nbr int, dist double, sub int"
+SCHEMA = "node bigint, side string, nbr bigint, dist double, sub bigint"
 
 
 def walk(keys: np.ndarray, there: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,29 +46,37 @@ def walk(keys: np.ndarray, there: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return sub, keep
 
 
-def _side(node, data, d, k: int, left: bool):
-    """Survivors of one side in a block pair: rows, columns, and their subs."""
-    inside = data[None, :] < node[:, None] if left else data[None, :] > node[:, None]
-    if not inside.any():
-        return (np.zeros(0, dtype=int),) * 2
-    order = np.lexsort((np.broadcast_to(data, d.shape), d), axis=1)
-    keys = data[order].astype(np.int64) if left else OPEN - data[order].astype(np.int64)
-    _, keep = walk(keys, np.take_along_axis(inside, order, axis=1), k)
-    r, c = np.nonzero(keep)
-    return r, order[r, c]
-
-
-def build(vectors: DataFrame, k: int, rows: int = BLOCK_ROWS) -> DataFrame:
+def _survivors(data: np.ndarray, node: np.ndarray, d: np.ndarray, k: int, left: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the points of one side that fewer than ``k`` nearer points separate from the node; ``data`` ascends. Of equal distances the smaller position is nearer."""
+    d = np.where(data[:, None] < node[None] if left else data[:, None] > node[None], d.T, np.inf)
+    if not np.isfinite(d).any():
+        return (np.zeros(0, dtype=np.int64),) * 2
+    best, bound = np.full((len(node), k), np.inf), np.full(len(node), np.inf)
+    kept = np.zeros(d.shape, dtype=bool)
+    for c in range(len(data) - 1, -1, -1) if left else range(len(data)):
+        far = d[c]
+        rows = np.flatnonzero(((far <= bound) if left else (far < bound)) & np.isfinite(far))
+        if not len(rows):
+            continue
+        kept[c, rows] = True
+        # On the left an equally near point farther out does not push out the one before.
+        closer = rows[far[rows] < bound[rows]]
+        best[closer, best[closer].argmax(axis=1)] = far[closer]
+        bound[closer] = best[closer].max(axis=1)
+    c, r = np.nonzero(kept)
+    return r, c
+
+
+def build(vectors: DataFrame, k: int, rows: int | None = None, name: str = "l2sqr") -> DataFrame:
     """The index of (pos, embedding) for K = ``k``."""
 
-    def work(node, x, data, y):
-        d = block_distances(x, y)
-        out = [_side(node, data, d, k, left) for left in (True, False)]
+    def work(node, data, d):
+        out = [_survivors(data, node, d, k, left) for left in (True, False)]
         a, b = (np.concatenate(p) for p in zip(*out, strict=True))
         side = np.repeat(np.array(["L", "R"], dtype=object), [len(out[0][0]), len(out[1][0])])
-        return pa.array(node[a], pa.int32()), pa.array(side, pa.string()), pa.array(data[b], pa.int32()), pa.array(d[a, b])
+        return node[a], side, data[b], d[a, b]
 
-    found = pairs(vectors.select("pos", "embedding"), vectors.select("pos", "embedding"), work, "node int, side string, nbr int, dist double", rows)
+    found = pairs(None, vectors, work, "node bigint, side string, nbr bigint, dist double", rows, name)
     return settle(found, k)
 
 
@@ -90,25 +100,26 @@ def settle(candidates: DataFrame, k: int) -> DataFrame:
             rows = np.flatnonzero(np.isin(group, own))
             r = np.searchsorted(own, group[rows])
             keys, there = np.full((len(own), width), -1, dtype=np.int64), np.zeros((len(own), width), dtype=bool)
-            keys[r, at[rows]] = np.where(left[rows], nbr[rows], OPEN - nbr[rows].astype(np.int64))
+            keys[r, at[rows]] = np.where(left[rows], nbr[rows], OPEN - nbr[rows])
             there[r, at[rows]] = True
             s, kept = walk(keys, there, k)
             sub[rows], keep[rows] = s[r, at[rows]], kept[r, at[rows]]
         sub = np.where(left, sub, np.where(sub < 0, OPEN, OPEN - sub))
-        return pa.table({"node": pa.array(node[keep], pa.int32()), "side": pa.array(np.where(left[keep], "L", "R").astype(object), pa.string()), "nbr": pa.array(nbr[keep], pa.int32()), "dist": pa.array(dist[keep]), "sub": pa.array(sub[keep], pa.int32())})
+        return pa.table({"node": pa.array(node[keep]), "side": pa.array(np.where(left[keep], "L", "R").astype(object), pa.string()), "nbr": pa.array(nbr[keep]), "dist": pa.array(dist[keep]), "sub": pa.array(sub[keep])})
 
     return many.groupBy("__part").applyInArrow(run, SCHEMA)
 
 
-def build_by_windows(vectors: DataFrame, k: int) -> DataFrame:
+def build_by_windows(vectors: DataFrame, k: int, name: str = "l2sqr") -> DataFrame:
     """The same index by window functions over all pairs; each node's list of nearer points is held, so for small tables."""
+    vectors = valid(vectors)
     of = lambda a, v: vectors.select(F.col("pos").alias(a), F.col("embedding").alias(v))
-    every = of("node", "x").join(of("nbr", "y"), F.col("node") != F.col("nbr")).select("node", "nbr", F.when(F.col("nbr") < F.col("node"), "L").otherwise("R").alias("side"), l2sqr(F.col("x"), F.col("y")).alias("dist"))
+    every = of("node", "x").join(of("nbr", "y"), F.col("node") != F.col("nbr")).select("node", "nbr", F.when(F.col("nbr") < F.col("node"), "L").otherwise("R").alias("side"), metric(name)(F.col("x"), F.col("y")).alias("dist"))
     before = Window.partitionBy("node", "side").orderBy("dist", "nbr").rowsBetween(Window.unboundedPreceding, -1)
     near = every.withColumn("nearer", F.collect_list("nbr").over(before))
-    sub = F.when(F.col("side") == "L", F.coalesce(F.try_element_at(F.sort_array("nearer", False), F.lit(k)), F.lit(-1))).otherwise(F.coalesce(F.try_element_at(F.sort_array("nearer", True), F.lit(k)), F.lit(OPEN)))
+    sub = F.when(F.col("side") == "L", F.coalesce(F.try_element_at(F.sort_array("nearer", False), F.lit(k)), F.lit(-1).cast("bigint"))).otherwise(F.coalesce(F.try_element_at(F.sort_array("nearer", True), F.lit(k)), F.lit(OPEN)))
     kept = near.withColumn("sub", sub).where("(side = 'L' AND sub < nbr) OR (side = 'R' AND nbr < sub)")
-    return kept.select("node", "side", "nbr", "dist", F.col("sub").cast("int").alias("sub"))
+    return kept.select("node", "side", "nbr", "dist", F.col("sub").cast("bigint").alias("sub"))
 
 
 def stabbed(index: DataFrame, low: int, high: int) -> DataFrame:
@@ -157,6 +168,7 @@ def windows(index: DataFrame, k: int) -> DataFrame:
     return met.groupBy("node", "side", "bound").agg(pts.alias("pts"))
 
 
+#: Nodes of a block by which a batch of ranges meets the index.
 BLOCK = 64
 
 
@@ -175,51 +187,107 @@ def graphs(index: DataFrame, ranges: DataFrame, k: int) -> DataFrame:
     return blocked.join(covered, "block").where(holds).select("qid", "node", "nbr", "dist").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def sizes(index: DataFrame, row_bytes: int = 21) -> DataFrame:
-    """Rows, nodes, rows a node, and bytes of the index."""
+#: Bytes of a row as it is held: three positions, a distance, a side.
+ROW_BYTES = 33
+
+
+def sizes(index: DataFrame, row_bytes: int = ROW_BYTES) -> DataFrame:
+    """Rows, nodes, rows a node, and bytes of the index (rows times what a row holds)."""
     return index.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("node").alias("n_nodes")).select("n_rows", "n_nodes", (F.col("n_rows") / F.col("n_nodes")).alias("rows_per_node"), (F.col("n_rows") * row_bytes).alias("n_bytes"))
 
 
-def append(index: DataFrame, vectors: DataFrame, new: DataFrame, k: int) -> DataFrame:
-    """The index after one vector (pos, embedding) of the largest key is added.
+def appended(open_rows: DataFrame, old: DataFrame, new: DataFrame, k: int, name: str = "l2sqr") -> DataFrame:
+    """Index rows after vectors (pos, embedding) of larger keys than all old ones are added: all rows of the new nodes, and the right rows of old nodes that a new one may reach, in the place of their open rows.
 
-    Its own left list is built; of the others, only open right rows can change: where fewer than K of a
-    node's open rows are nearer than the new one, it joins them, and bounds the K-th if there are K.
+    Of an old node only the open right rows, its K nearest on that side, can change: a new point is
+    among the K nearest for some range only if fewer than K of them are nearer, and it can bound only them.
     """
-    of = lambda a, v: vectors.select(F.col("pos").alias(a), F.col("embedding").alias(v))
-    point = new.select(F.col("pos").alias("p"), F.col("embedding").alias("q"))
-    far = of("x", "v").crossJoin(F.broadcast(point)).select("x", "p", l2sqr(F.col("v"), F.col("q")).alias("d"))
-    left = settle(far.select(F.col("p").alias("node"), F.lit("L").alias("side"), F.col("x").alias("nbr"), F.col("d").alias("dist")), k)
-    open_ = index.where((F.col("side") == "R") & (F.col("sub") == OPEN))
-    order = Window.partitionBy("node").orderBy("dist", "nbr")
-    ranked = open_.withColumn("__r", F.row_number().over(order)).join(far.select(F.col("x").alias("node"), "p", "d"), "node")
-    nearer = F.sum(F.when(F.col("dist") <= F.col("d"), 1).otherwise(0)).over(Window.partitionBy("node"))
-    many = F.count(F.lit(1)).over(Window.partitionBy("node"))
-    judged = ranked.withColumn("__near", nearer).withColumn("__many", many)
-    bounded = judged.select("node", "side", "nbr", "dist", F.when((F.col("__near") < k) & (F.col("__many") >= k) & (F.col("__r") == k), F.col("p")).otherwise(F.col("sub")).cast("int").alias("sub"))
-    counts = judged.groupBy("node").agg(F.first("__near").alias("__near"))
-    fresh = far.join(counts.withColumnRenamed("node", "x"), "x", "left").where(F.coalesce("__near", F.lit(0)) < k)
-    fresh = fresh.select(F.col("x").alias("node"), F.lit("R").alias("side"), F.col("p").alias("nbr"), F.col("d").alias("dist"), F.lit(OPEN).alias("sub"))
-    same = index.where(~((F.col("side") == "R") & (F.col("sub") == OPEN)))
-    return same.unionByName(bounded).unionByName(fresh).unionByName(left)
+    old, new = (valid(v.select("pos", "embedding")) for v in (old, new))
+    base = new.agg(F.min("pos")).first()[0]
+
+    def work(node, data, d):
+        # New nodes among all, and old nodes among the new.
+        before = data < base
+        out = [_survivors(data, node, d, k, True), _survivors(data, node, d, k, False)]
+        c, r = _survivors(node, data[before], d[:, before].T, k, False)
+        parts = [(node[x], np.full(len(x), s, dtype=object), data[y], d[x, y]) for (x, y), s in zip(out, "LR", strict=True)]
+        parts.append((data[before][c], np.full(len(c), "R", dtype=object), node[r], d[r, np.flatnonzero(before)[c]]))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    found = cut(pairs(new, old.unionByName(new), work, "node bigint, side string, nbr bigint, dist double", name=name))
+    touched = found.select("node").distinct()
+    before = open_rows.join(touched, "node", "left_semi").select("node", "side", "nbr", "dist")
+    return settle(found.unionByName(before), k)
+
+
+def is_open():
+    return (F.col("side") == "R") & (F.col("sub") == OPEN)
+
+
+def append(index: DataFrame, vectors: DataFrame, new: DataFrame, k: int, name: str = "l2sqr") -> DataFrame:
+    """The index after any number of vectors (pos, embedding) of the largest keys are added."""
+    rows = cut(appended(index.where(is_open()), vectors, new, k, name))
+    changed = rows.select("node").distinct()
+    return index.where(~is_open()).unionByName(index.where(is_open()).join(changed, "node", "left_anti")).unionByName(rows)
 
 
-def build_near(vectors: DataFrame, graph: DataFrame, k: int, hops: int = 2) -> DataFrame:
-    """The index from candidates only: each node's neighbours in an approximate graph, those of ``hops`` steps, and every position between its K-th left and K-th right of them.
+def repair(index: DataFrame, vectors: DataFrame, changed: DataFrame, k: int, name: str = "l2sqr") -> DataFrame:
+    """The index after the vectors at some positions (``changed``: pos) were replaced or taken away; ``vectors`` are those of now.
+
+    Nodes that changed, or have a changed neighbour, are worked out anew; in the lists of all others a
+    changed vector can only come in.
+    """
+    vectors = valid(vectors.select("pos", "embedding"))
+    changed = changed.select("pos").distinct()
+    anew = cut(index.join(changed.withColumnRenamed("pos", "nbr"), "nbr", "left_semi").select(F.col("node").alias("pos")).unionByName(changed).distinct())
+    now = vectors.join(changed, "pos", "left_semi")
+
+    def work(node, data, d):
+        out = [_survivors(data, node, d, k, left) for left in (True, False)]
+        a, b = (np.concatenate(p) for p in zip(*out, strict=True))
+        return node[a], np.repeat(np.array(["L", "R"], dtype=object), [len(out[0][0]), len(out[1][0])]), data[b], d[a, b]
+
+    schema = "node bigint, side string, nbr bigint, dist double"
+    whole = pairs(vectors.join(anew, "pos", "left_semi"), vectors, work, schema, name=name)
+    others = vectors.join(anew, "pos", "left_anti")
+    come = cut(pairs(others, now, work, schema, name=name))
+    kept = index.join(anew.withColumnRenamed("pos", "node"), "node", "left_anti")
+    reached = come.select("node").distinct()
+    again = settle(whole.unionByName(come).unionByName(kept.join(reached, "node", "left_semi").select("node", "side", "nbr", "dist")), k)
+    return again.unionByName(kept.join(reached, "node", "left_anti"))
+
+
+#: Positions on either side of a node that ``build_near`` always looks at.
+NEAR = 256
+
+
+def build_near(vectors: DataFrame, graph: DataFrame, k: int, hops: int = 2, near: int = NEAR, name: str = "l2sqr") -> DataFrame:
+    """The index from candidates only: each node's neighbours in an approximate graph (or several, of parts of the keys), those of ``hops`` steps, every position at most ``near`` away, and every one between its K-th left and K-th right of them.
 
     Near keys are exact, since all of them are scanned; far ones are as good as the graph. The cost
     grows with the candidates, not with all pairs.
     """
+    vectors = valid(vectors.select("pos", "embedding"))
+    ends = vectors.agg(F.min("pos"), F.max("pos")).first()
     edges = graph.select("node", "nbr").distinct()
     found = edges
     for _ in range(hops - 1):
-        further = found.select("node", F.col("nbr").alias("__mid")).join(edges.select(F.col("node").alias("__mid"), "nbr"), "__mid").select("node", "nbr")
+        further = found.select("node", F.col("nbr").alias("mid")).join(edges.select(F.col("node").alias("mid"), "nbr"), "mid").select("node", "nbr")
         found = found.unionByName(further).where("node <> nbr").distinct()
-    left = F.row_number().over(Window.partitionBy("node", F.col("nbr") < F.col("node")).orderBy(F.abs(F.col("nbr") - F.col("node"))))
-    near = found.withColumn("__r", left).where(F.col("__r") <= k).groupBy("node").agg(F.min(F.when(F.col("nbr") < F.col("node"), F.col("nbr"))).alias("l"), F.max(F.when(F.col("nbr") > F.col("node"), F.col("nbr"))).alias("r"))
-    between = near.select("node", F.explode(F.sequence(F.coalesce("l", "node"), F.coalesce("r", "node"))).alias("nbr")).where("node <> nbr")
+    found = cut(found)
+    place = F.row_number().over(Window.partitionBy("node", F.col("nbr") < F.col("node")).orderBy(F.abs(F.col("nbr") - F.col("node"))))
+    reach = found.withColumn("place", place).where(F.col("place") <= k).groupBy("node").agg(F.min(F.when(F.col("nbr") < F.col("node"), F.col("nbr"))).alias("l"), F.max(F.when(F.col("nbr") > F.col("node"), F.col("nbr"))).alias("r"))
+    first, last = (F.lit(int(x or 0)).cast("bigint") for x in ends)
+    span = F.sequence(F.greatest(first, F.least(F.col("node") - near, F.coalesce("l", "node"))), F.least(last, F.greatest(F.col("node") + near, F.coalesce("r", "node"))))
+    between = vectors.select(F.col("pos").alias("node")).join(reach, "node", "left").select("node", F.explode(span).alias("nbr")).where("node <> nbr")
     every = found.unionByName(between).distinct()
     of = lambda a, v: vectors.select(F.col("pos").alias(a), F.col("embedding").alias(v))
-    far = every.join(of("node", "x"), "node").join(of("nbr", "y"), "nbr")
+
+    def measured(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("side"), b.column("nbr"), pa.array(row_distances(matrix(b.column("x")), matrix(b.column("y")), name))], names=["node", "side", "nbr", "dist"])
+
     side = F.when(F.col("nbr") < F.col("node"), "L").otherwise("R")
-    return settle(far.select("node", side.alias("side"), "nbr", l2sqr(F.col("x"), F.col("y")).alias("dist")), k)
+    far = every.join(of("node", "x"), "node").join(of("nbr", "y"), "nbr").select("node", side.alias("side"), "nbr", "x", "y")
+    return settle(far.mapInArrow(measured, "node bigint, side string, nbr bigint, dist double"), k)

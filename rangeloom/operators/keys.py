@@ -17,17 +17,18 @@ def rank(df: DataFrame, *order: str) -> DataFrame:
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
-    within = Window.partitionBy("__part").orderBy(*order)
-    sizes = dealt.groupBy("__part").count()
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__shift"))
-    numbered = dealt.withColumn("__row", F.row_number().over(within)).join(shift, "__part")
-    return numbered.withColumn("pos", (F.col("__row") - 1 + F.col("__shift")).cast("int")).drop("__part", "__row", "__shift")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")  # one column, so that columns may have any names
+    dealt = cut(df.repartitionByRange(parts, *order).select(row, F.spark_partition_id().alias("part")))
+    within = Window.partitionBy("part").orderBy(*[f"row.{c}" for c in order])
+    sizes = dealt.groupBy("part").count()
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("shift"))
+    numbered = dealt.withColumn("number", F.row_number().over(within)).join(F.broadcast(shift), "part")  # a row a partition
+    return numbered.select(*[F.col(f"row.`{c}`") for c in df.columns if c != "pos"], (F.col("number") - 1 + F.col("shift")).cast("bigint").alias("pos"))
 
 
 def vectors(df: DataFrame, key: str, id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """pos, id, search_key, embedding: the vectors in the order of their key, ties by id."""
+    """pos, id, search_key, embedding: the vectors in the order of their key, ties by id; null keys first. A vector that cannot be compared keeps its position."""
     named = df.select(F.col(id).cast("bigint").alias("id"), F.col(key).alias("search_key"), F.col(embedding).alias("embedding"))
     return rank(named, "search_key", "id").select("pos", "id", "search_key", "embedding")
 

@@ -15,8 +15,8 @@ def graph_recall(truth: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def precision(truth, found):
-    """Of two array columns, the share of the first that the second has."""
-    return F.size(F.array_intersect(truth, found)) / F.size(truth)
+    """Of two array columns, the share of the first that the second has; 0 of an empty one."""
+    return F.when(F.size(truth) > 0, F.size(F.array_intersect(truth, found)) / F.size(truth)).otherwise(0.0)
 
 
 def approximation_ratio(truth: DataFrame, found: DataFrame) -> DataFrame:
@@ -28,20 +28,26 @@ def approximation_ratio(truth: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def distance_recall(truth: DataFrame, found: DataFrame) -> DataFrame:
-    """Per node: the share of true distances that the found ones reach, rank by rank (equal distances count, whoever they belong to)."""
-    t = truth.groupBy("node").agg(F.sort_array(F.collect_list("dist")).alias("t"))
-    f = found.groupBy("node").agg(F.sort_array(F.collect_list("dist")).alias("f"))
-    reached = F.size(F.filter("t", lambda d: F.exists("f", lambda x: x == d)))
-    return t.join(f, "node", "left").select("node", (F.coalesce(reached, F.lit(0)) / F.size("t")).alias("recall"))
+    """Per node: recall by merging the two lists of distances, each found one meeting one true one at most, and ``unstable``, the found ones that are smaller than the largest true one without being any (there should be none)."""
+    t = truth.groupBy("node", "dist").agg(F.count(F.lit(1)).alias("t"))
+    f = found.groupBy("node", "dist").agg(F.count(F.lit(1)).alias("f"))
+    far = truth.groupBy("node").agg(F.max("dist").alias("far"), F.count(F.lit(1)).alias("n"))
+    met = t.join(f, ["node", "dist"], "full_outer").join(far, "node")
+    hits = F.sum(F.least(F.coalesce("t", F.lit(0)), F.coalesce("f", F.lit(0))))
+    wrong = F.sum(F.when(F.col("t").isNull() & (F.col("dist") < F.col("far")), F.col("f")).otherwise(0))
+    return met.groupBy("node").agg((hits / F.first("n")).alias("recall"), wrong.alias("unstable"))
 
 
 def accuracy(truth: DataFrame, found: DataFrame) -> DataFrame:
-    """One row: mean relative distance error over ranks, and the share of nodes whose nearest is right."""
-    met = truth.select("node", "rank", F.col("nbr").alias("t"), F.col("dist").alias("td")).join(found.select("node", "rank", "nbr", "dist"), ["node", "rank"])
-    error = F.when(F.col("td") == 0, 0.0).otherwise(F.abs(F.col("dist") - F.col("td")) / F.col("td"))
-    return met.agg(F.avg(error).alias("error"), F.avg(F.when(F.col("rank") == 1, (F.col("t") == F.col("nbr")).cast("int"))).alias("one_recall"))
-
-
-def delta(graph: DataFrame, k: int):
-    """The share of new edges among each node's first ``k``."""
-    return graph.where(F.col("rank") <= k).agg(F.avg(F.col("is_new").cast("int")).alias("delta"))
+    """One row, means over nodes: the relative distance error over the ranks that both have (true distances of 0 left out; 0 if none remains), and whether the nearest distances are equal."""
+    met = truth.select("node", "rank", F.col("dist").alias("td")).join(found.select("node", "rank", "dist"), ["node", "rank"])
+    error = F.coalesce(F.avg(F.when(F.col("td") > 0, F.abs(F.col("dist") - F.col("td")) / F.col("td"))), F.lit(0.0))
+    first = F.max(F.when(F.col("rank") == 1, (F.col("td") == F.col("dist")).cast("int")))
+    per = met.groupBy("node").agg(error.alias("error"), first.alias("one"))
+    return per.agg(F.avg("error").alias("error"), F.avg("one").alias("one_recall"))
+
+
+def delta(graph: DataFrame, k: int) -> DataFrame:
+    """One row: the mean over nodes of the share (of ``k``) of new edges among each one's first ``k``."""
+    per = graph.where(F.col("rank") <= k).groupBy("node").agg((F.sum(F.col("is_new").cast("int")) / F.lit(k)).alias("share"))
+    return per.agg(F.avg("share").alias("delta"))

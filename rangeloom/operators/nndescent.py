@@ -1,12 +1,16 @@
-"""Approximate K-NN graphs: descent over neighbours of neighbours, and hashing.
+"""Approximate K-NN graphs: descent over neighbours of neighbours, and hashing; and what is done with graphs.
 
-Every round joins each node's sampled new neighbours with its new and old ones, and reverse ones, on
-the node they share; keeps the nearest; and writes the lists to the checkpoint folder. Samples are by
-hash, so a run repeats. Where a graph has hubs, their sampled lists bound the join.
+Every round takes each node's nearest neighbours that were not yet used, up to ``sample`` of them, and the
+older ones before them; joins the new with both, and with reverse ones, on the node they share; keeps the
+nearest; and writes the lists to the checkpoint folder. Samples are by hash, so a run repeats. A node that
+is many others' neighbour meets at most ``reverse`` of them a round, which bounds the join.
+
+Vectors that cannot be compared (``blocks.valid``) are in no graph. Any metric of ``functions.distance``.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,15 +20,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.arrays import sampled
-from ..functions.distance import block_distances
+from ..functions.distance import block_distances, row_distances
 from ..plans.lineage import cut
 from . import exact
-from .blocks import BLOCK_ROWS, matrix
+from .blocks import matrix, nearest, valid
+
+EDGES = "node bigint, nbr bigint, dist double"
 
 
 @dataclass(frozen=True)
 class Params:
+    """Rounds, keep (L), k (K), sample (S), reverse (R), controls, least_delta, enough_recall default to those in common use for this method."""
+
     k: int = 25
     keep: int = 100
     sample: int = 10
@@ -33,60 +40,90 @@ class Params:
     controls: int = 100
     least_delta: float = 0.002
     enough_recall: float = 0.99
-    seed: int = 1998
+    seed: int = 17
+    name: str = "l2sqr"
 
 
-def _near(edges: DataFrame, keep: int) -> DataFrame:
-    order = Window.partitionBy("node").orderBy("dist", "nbr")
-    once = edges.groupBy("node", "nbr").agg(F.min("dist").alias("dist"), F.min("is_new").alias("is_new"))
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
+_LISTS = "node bigint, nbr bigint, dist double, is_new boolean, rank int, picked boolean, worst double"
+#: Nodes whose lists a task merges at a time, and hubs that it joins at a time.
+NODES_A_GROUP, HUBS_A_GROUP = 256, 64
+
 
+def _near(edges: DataFrame, p: Params) -> DataFrame:
+    """Each node's ``p.keep`` nearest edges, ranked; of an edge that is there twice the old flag stays.
 
-def _measured(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    ``picked`` are those that the next round uses: the nearest new ones, up to ``p.sample``, and the old
+    ones before the last of these. ``worst`` is the distance that a further neighbour has to beat.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        node, nbr, dist, new = (t.column(c).to_numpy() for c in ("node", "nbr", "dist", "is_new"))
+        order = np.lexsort((dist, new, nbr, node))
+        node, nbr, dist, new = node[order], nbr[order], dist[order], new[order]
+        once = np.ones(len(node), dtype=bool)
+        once[1:] = (node[1:] != node[:-1]) | (nbr[1:] != nbr[:-1])
+        order = np.flatnonzero(once)
+        order = order[np.lexsort((nbr[order], dist[order], node[order]))]
+        node, nbr, dist, new = node[order], nbr[order], dist[order], new[order]
+        place = np.arange(len(node)) - np.searchsorted(node, node)
+        on = place < p.keep
+        node, nbr, dist, new, place = node[on], nbr[on], dist[on], new[on], place[on]
+        first = np.searchsorted(node, node)
+        before = np.cumsum(new) - new
+        last = np.searchsorted(node, node, side="right") - 1
+        worst = np.where(place[last] == p.keep - 1, dist[last], np.inf)
+        return pa.table({"node": node, "nbr": nbr, "dist": dist, "is_new": new, "rank": pa.array(place + 1, pa.int32()), "picked": before - before[first] < p.sample, "worst": worst})
+
+    own = edges.select(F.col("node").cast("bigint").alias("node"), F.col("nbr").cast("bigint").alias("nbr"), F.col("dist").cast("double").alias("dist"), "is_new")
+    return own.groupBy(F.floor(F.col("node") / NODES_A_GROUP)).applyInArrow(run, _LISTS)
+
+
+def measured(pairs: DataFrame, vectors: DataFrame, name: str = "l2sqr") -> DataFrame:
     """Pairs (node, nbr) with their distance."""
     of = lambda a, v: vectors.select(F.col("pos").alias(a), F.col("embedding").alias(v))
 
     def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            gap = matrix(b.column("x")) - matrix(b.column("y"))
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("nbr"), pa.array(np.einsum("ij,ij->i", gap, gap))], names=["node", "nbr", "dist"])
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("nbr"), pa.array(row_distances(matrix(b.column("x")), matrix(b.column("y")), name))], names=["node", "nbr", "dist"])
 
     met = pairs.join(of("node", "x"), "node").join(of("nbr", "y"), "nbr").select("node", "nbr", "x", "y")
-    return met.mapInArrow(run, "node int, nbr int, dist double")
-
+    return met.mapInArrow(run, EDGES)
 
-#: Hubs that a task joins at a time.
-HUBS_A_GROUP = 32
 
-
-def _local_join(members: DataFrame, vectors: DataFrame, worst: DataFrame) -> DataFrame:
-    """Pairs (node, nbr, dist) of members (hub, pos, is_new) of the same hub, one of them new, that are nearer than the farther end's worst neighbour so far.
+def _local_join(members: DataFrame, vectors: DataFrame, name: str) -> DataFrame:
+    """Edges (node, nbr, dist) between members (hub, pos, is_new) of the same hub, one of them new, that beat the node's ``worst`` neighbour so far.
 
     Each member's vector travels once for each hub it belongs to, not once a pair.
     """
-    wide = members.join(vectors, "pos").join(worst, "pos", "left").select("hub", "pos", "is_new", "embedding", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
+    wide = members.join(vectors, "pos").select("hub", "pos", "is_new", "embedding", "worst")
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("hub", "ascending"), ("pos", "ascending")])
-        hub, pos, new, worst_ = (t.column(c).to_numpy() for c in ("hub", "pos", "is_new", "worst"))
+        hub, pos, new = (t.column(c).to_numpy() for c in ("hub", "pos", "is_new"))
+        # A member that is there as a neighbour and as a reverse one counts once, as new if it is either way.
+        order = np.lexsort((~new, pos, hub))
+        once = np.ones(len(order), dtype=bool)
+        once[1:] = (hub[order][1:] != hub[order][:-1]) | (pos[order][1:] != pos[order][:-1])
+        t = t.take(pa.array(order[once]))
+        hub, pos, new, worst = (t.column(c).to_numpy() for c in ("hub", "pos", "is_new", "worst"))
         x = matrix(t.column("embedding"))
         cuts = np.append(np.flatnonzero(np.diff(hub, prepend=hub[0] - 1)), len(hub))
         out = []
         for a, b in zip(cuts, cuts[1:], strict=False):
-            i, j = np.triu_indices(b - a, 1)
-            i, j = i + a, j + a
-            on = (new[i] | new[j]) & (pos[i] != pos[j])
-            i, j = i[on], j[on]
-            gap = x[i] - x[j]
-            d = np.einsum("ij,ij->i", gap, gap)
-            near = d < np.maximum(worst_[i], worst_[j])
-            out.append((pos[i[near]], pos[j[near]], d[near]))
+            d = block_distances(x[a:b], x[a:b], name)
+            fresh = new[a:b]
+            near = (d < worst[a:b][:, None]) & (fresh[:, None] | fresh)
+            np.fill_diagonal(near, False)
+            i, j = np.nonzero(near)
+            out.append((pos[a:b][i], pos[a:b][j], d[i, j]))
         p, q, d = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pa.table({"node": pa.array(p, pa.int32()), "nbr": pa.array(q, pa.int32()), "dist": pa.array(d)})
+        order = np.lexsort((d, q, p))
+        p, q, d = p[order], q[order], d[order]
+        once = np.ones(len(p), dtype=bool)
+        once[1:] = (p[1:] != p[:-1]) | (q[1:] != q[:-1])
+        return pa.table({"node": pa.array(p[once]), "nbr": pa.array(q[once]), "dist": pa.array(d[once])})
 
-    return wide.groupBy(F.floor(F.col("hub") / HUBS_A_GROUP)).applyInArrow(run, "node int, nbr int, dist double")
+    return wide.groupBy(F.floor(F.col("hub") / HUBS_A_GROUP)).applyInArrow(run, EDGES)
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -94,50 +131,55 @@ def _both(edges: DataFrame) -> DataFrame:
 
 
 def start(vectors: DataFrame, p: Params) -> DataFrame:
-    """Some random neighbours of each node: node, nbr, dist, is_new, rank."""
-    n = vectors.count()
-    draws = F.transform(F.sequence(F.lit(0), F.lit(2 * p.sample)), lambda s: F.pmod(F.xxhash64(F.col("pos"), s, F.lit(p.seed)), F.lit(max(n, 1))).cast("int"))
+    """Some random neighbours of each node: node, nbr, dist, is_new, rank. Positions may have gaps."""
+    ends = vectors.agg(F.min("pos"), F.max("pos"), F.count(F.lit(1))).first()
+    first, wide = int(ends[0] or 0), int(ends[1] or 0) - int(ends[0] or 0) + 1
+    many = math.ceil((2 * p.sample + 1) * wide / max(ends[2], 1))  # where positions are missing, some draws fall into gaps
+    draws = F.transform(F.sequence(F.lit(0), F.lit(many)), lambda s: F.pmod(F.xxhash64(F.col("pos"), s, F.lit(p.seed)), F.lit(wide)) + F.lit(first))
     drawn = vectors.select(F.col("pos").alias("node"), F.explode(F.array_distinct(draws)).alias("nbr")).where("node <> nbr")
-    return _near(_measured(drawn, vectors).withColumn("is_new", F.lit(True)), p.keep)
+    return _near(measured(drawn, vectors, p.name).withColumn("is_new", F.lit(True)), p)
+
 
+def _state(lists: DataFrame, truth: DataFrame, many: int, k: int) -> tuple[float, float]:
+    """The share of new edges among each node's first ``k``, and the controls' recall; one pass over the lists."""
+    own = lists.where(F.col("rank") <= k).join(F.broadcast(truth.withColumn("hit", F.lit(1))), ["node", "nbr"], "left")  # controls times k rows
+    row = own.agg(F.avg(F.col("is_new").cast("int")), F.sum("hit")).first()
+    return float(row[0] or 0), float(row[1] or 0) / max(many, 1)
 
-def control_recall(lists: DataFrame, truth: DataFrame, k: int) -> float:
-    own = lists.where(F.col("rank") <= k).select("node", "nbr")
-    hits = truth.join(own, ["node", "nbr"], "left_semi").count()
-    return hits / max(truth.count(), 1)
 
+def build(vectors: DataFrame, p: Params = Params(), graph: DataFrame | None = None) -> tuple[DataFrame, dict]:
+    """The graph (node, nbr, dist, rank, is_new; ``keep`` a node) and how it ended: rounds, delta, recall, accuracy, m, stop.
 
-def build(vectors: DataFrame, p: Params = Params()) -> tuple[DataFrame, dict]:
-    """The graph (node, nbr, dist, rank, is_new; ``keep`` a node) and how it ended: rounds, delta, recall, cost."""
-    vectors = cut(vectors.select("pos", "embedding"))
+    It begins at random neighbours or at a given graph (node, nbr, dist). ``accuracy`` is the controls' mean
+    relative error of distance, ``m`` the mean number of neighbours that a round uses.
+    """
+    vectors = cut(valid(vectors.select(F.col("pos").cast("bigint").alias("pos"), "embedding")))
     n = vectors.count()
     if n < 2:
-        return vectors.select(F.col("pos").alias("node"), F.col("pos").alias("nbr"), F.lit(0.0).alias("dist"), F.lit(1).alias("rank"), F.lit(False).alias("is_new")).where("false"), {"rounds": 0, "delta": 0.0, "recall": 1.0, "stop": "size"}
-    controls = vectors.withColumn("__h", F.xxhash64("pos", F.lit(p.seed))).orderBy("__h", "pos").limit(p.controls)
-    truth = cut(exact.graph(vectors, p.k, nodes=controls).select("node", "nbr"))
-    lists = cut(start(vectors, p))
-    info = {"rounds": 0, "delta": 1.0, "recall": control_recall(lists, truth, p.k), "stop": "rounds"}
+        none = vectors.select(F.col("pos").alias("node"), F.col("pos").alias("nbr"), F.lit(0.0).alias("dist"), F.lit(1).alias("rank"), F.lit(False).alias("is_new")).where("false")
+        return none, {"rounds": 0, "delta": 0.0, "recall": 1.0, "accuracy": 0.0, "m": 0.0, "stop": "size"}
+    controls = vectors.orderBy(F.xxhash64("pos", F.lit(p.seed)), "pos").limit(p.controls)
+    truth = cut(exact.graph(vectors, p.k, nodes=controls, name=p.name))
+    edges, many = truth.select("node", "nbr"), truth.count()
+    lists = cut(start(vectors, p) if graph is None else _near(graph.select("node", "nbr", "dist").withColumn("is_new", F.lit(True)), p))
+    info = {"rounds": 0, "delta": 1.0, "recall": _state(lists, edges, many, p.k)[1], "stop": "rounds"}
     for round_ in range(p.rounds):
-        seed = p.seed + round_ + 1
-        fresh = sampled(lists.where("is_new"), "node", "nbr", p.sample, seed).select("node", "nbr")
-        old = sampled(lists.where("NOT is_new"), "node", "nbr", p.sample * 2, seed).select("node", "nbr")
-        fresh = sampled(_both(fresh).distinct(), "node", "nbr", p.reverse, seed)
-        old = sampled(_both(old).distinct(), "node", "nbr", p.reverse, seed)
-        members = fresh.withColumn("is_new", F.lit(True)).unionByName(old.withColumn("is_new", F.lit(False))).groupBy("node", "nbr").agg(F.max("is_new").alias("is_new"))
-        worst = lists.where(F.col("rank") == p.keep).select(F.col("node").alias("pos"), F.col("dist").alias("worst"))
-        met = _local_join(members.select(F.col("node").alias("hub"), F.col("nbr").alias("pos"), "is_new"), vectors, worst)
-        found = _both(met.dropDuplicates(["node", "nbr"])).withColumn("is_new", F.lit(True))
-        # An edge that was sampled as new is old from now on; the smaller flag of an edge met twice is the old one.
-        used = sampled(lists.where("is_new"), "node", "nbr", p.sample, seed).select("node", "nbr", F.lit(True).alias("used"))
-        kept = lists.select("node", "nbr", "dist", "is_new").join(used, ["node", "nbr"], "left").select("node", "nbr", "dist", (F.col("is_new") & F.col("used").isNull()).alias("is_new"))
-        before = lists.where(F.col("rank") <= p.k).select("node", "nbr")
-        lists = cut(_near(kept.unionByName(found.join(kept.select("node", "nbr"), ["node", "nbr"], "left_anti")), p.keep))
-        own = lists.where(F.col("rank") <= p.k).select("node", "nbr")
-        changed = own.join(before, ["node", "nbr"], "left_anti").count()
-        info |= {"rounds": round_ + 1, "delta": changed / max(own.count(), 1), "recall": control_recall(lists, truth, p.k)}
-        if info["recall"] >= p.enough_recall or info["delta"] <= p.least_delta:
-            info["stop"] = "recall" if info["recall"] >= p.enough_recall else "delta"
+        order = Window.partitionBy("node", "is_new").orderBy(F.xxhash64("node", "nbr", F.lit(p.seed + round_)), "nbr")
+        mutual = _both(lists.where("picked").select("node", "nbr", "is_new"))
+        members = mutual.withColumn("place", F.row_number().over(order)).where(F.col("place") <= p.reverse).select(F.col("node").alias("hub"), F.col("nbr").alias("pos"), "is_new")
+        known = vectors.join(lists.where("rank = 1").select(F.col("node").alias("pos"), "worst"), "pos", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf"))))
+        found = _local_join(members, known, p.name).withColumn("is_new", F.lit(True))
+        # An edge that was used is old from now on.
+        kept = lists.select("node", "nbr", "dist", (F.col("is_new") & ~F.col("picked")).alias("is_new"))
+        lists = cut(_near(kept.unionByName(found), p))
+        delta, recall = _state(lists, edges, many, p.k)
+        info |= {"rounds": round_ + 1, "delta": delta, "recall": recall}
+        if recall >= p.enough_recall or delta <= p.least_delta:
+            info["stop"] = "recall" if recall >= p.enough_recall else "delta"
             break
+    error = lists.select("node", "rank", F.col("dist").alias("got")).join(F.broadcast(truth.select("node", "rank", "dist")), ["node", "rank"]).where("dist > 0")
+    info["accuracy"] = float(error.agg(F.avg(F.abs(F.col("got") - F.col("dist")) / F.col("dist"))).first()[0] or 0)
+    info["m"] = float(lists.agg(F.sum(F.col("picked").cast("int")) / F.countDistinct("node")).first()[0] or 0)
     return lists.select("node", "nbr", "dist", "rank", "is_new"), info
 
 
@@ -157,22 +199,31 @@ def two_hops(graph: DataFrame) -> DataFrame:
 
 
 def without_detours(graph: DataFrame) -> DataFrame:
-    """Each node's edges, nearest first, less those that two of its kept edges' neighbours reach already; a fold in order of rank."""
-    mids = graph.select("node", F.col("nbr").alias("mid"), F.col("rank").alias("first")).join(graph.select(F.col("node").alias("mid"), "nbr"), "mid").where("node <> nbr")
-    detours = mids.groupBy("node", "nbr").agg(F.collect_set(F.col("mid")).alias("mids"))
-    wide = graph.select("node", "nbr", "dist", "rank").join(detours, ["node", "nbr"], "left")
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("rank")
-        kept: set[int] = set()
-        keep = []
-        for nbr, mids in zip(t.column("nbr").to_pylist(), t.column("mids").to_pylist(), strict=True):
-            keep.append(not (mids and kept.intersection(mids)))
-            if keep[-1]:
-                kept.add(nbr)
-        return t.select(["node", "nbr", "dist", "rank"]).filter(pa.array(keep))
+    """The graph's edges without those that two kept edges replace.
 
-    return wide.groupBy("node").applyInArrow(run, "node int, nbr int, dist double, rank int")
+    Edges come in order of rank, those of a rank in order of node; an edge goes if two edges kept before
+    it lead the same way. Which edges could go for which detours is joined once; then every round settles,
+    everywhere at once, the edges all of whose detours are settled, until none is left open.
+    """
+    edges = graph.select("node", "nbr", "dist", "rank")
+    before = lambda rank, node: (F.col(rank) < F.col("rank")) | ((F.col(rank) == F.col("rank")) & (F.col(node) < F.col("node")))
+    first = edges.select("node", F.col("nbr").alias("mid"), F.col("rank").alias("r1"))
+    second = edges.select(F.col("node").alias("mid"), "nbr", F.col("rank").alias("r2"))
+    ways = first.join(second, "mid").join(edges.select("node", "nbr", "rank"), ["node", "nbr"]).where((F.col("r1") < F.col("rank")) & before("r2", "mid"))
+    ways = cut(ways.select("node", "mid", "nbr"))
+    # Edges without a detour stay at once.
+    asked = ways.select("node", "nbr").distinct().withColumn("asked", F.lit(True))
+    state = cut(edges.join(asked, ["node", "nbr"], "left").select("node", "nbr", "dist", "rank", F.when(F.col("asked").isNull(), True).alias("kept")))
+    while not state.where("kept IS NULL").isEmpty():
+        known = state.select("node", "nbr", "kept")
+        leg = lambda a, b, name: known.select(F.col("node").alias(a), F.col("nbr").alias(b), F.col("kept").alias(name))
+        open_ = ways.join(known.where("kept IS NULL").select("node", "nbr"), ["node", "nbr"], "left_semi")
+        judged = open_.join(leg("node", "mid", "k1"), ["node", "mid"]).join(leg("mid", "nbr", "k2"), ["mid", "nbr"])
+        gone = F.max(F.coalesce(F.col("k1") & F.col("k2"), F.lit(False)))
+        unsure = F.max(F.when(F.coalesce(F.col("k1"), F.lit(True)) & F.coalesce(F.col("k2"), F.lit(True)), (F.col("k1") & F.col("k2")).isNull()).otherwise(False))
+        verdict = judged.groupBy("node", "nbr").agg(F.when(gone, False).when(unsure, None).otherwise(True).alias("now"))
+        state = cut(state.join(verdict, ["node", "nbr"], "left").select("node", "nbr", "dist", "rank", F.coalesce("kept", "now").alias("kept")))
+    return state.where("kept").select("node", "nbr", "dist", "rank")
 
 
 def with_reverse(graph: DataFrame, most: int | None = None) -> DataFrame:
@@ -183,46 +234,63 @@ def with_reverse(graph: DataFrame, most: int | None = None) -> DataFrame:
     return ranked if most is None else ranked.where(F.col("rank") <= most)
 
 
-def diverse(candidates: DataFrame, vectors: DataFrame, k: int, refill: bool = False) -> DataFrame:
-    """Of each node's candidates, nearest first, those nearer to the node than to any kept one, at most ``k``; with ``refill``, the nearest others after them."""
-    wide = candidates.select("node", "nbr", "dist").join(vectors.select(F.col("pos").alias("nbr"), "embedding"), "nbr")
+def diverse(candidates: DataFrame, vectors: DataFrame, k: int, refill: bool = False, name: str = "l2sqr") -> DataFrame:
+    """Of each node's candidates, nearest first, those nearer to the node than to any kept one, at most ``k``; with ``refill``, the nearest others after them. Nodes with fewer than ``k`` candidates keep them all."""
+    wide = candidates.select("node", "nbr", "dist").join(valid(vectors).select(F.col("pos").alias("nbr"), "embedding"), "nbr")
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("dist", "ascending"), ("nbr", "ascending")])
-        x, d = matrix(t.column("embedding")), t.column("dist").to_numpy()
-        kept: list[int] = []
-        for i in range(len(d)):
-            if len(kept) < k and all(((x[i] - x[j]) ** 2).sum() >= d[i] for j in kept):
-                kept.append(i)
-        if refill:
-            kept += [i for i in range(len(d)) if i not in set(kept)][: k - len(kept)]
-        out = t.select(["node", "nbr", "dist"]).take(pa.array(kept, pa.int64()))
-        return out.append_column("rank", pa.array(range(1, len(kept) + 1), pa.int32()))
-
-    return wide.groupBy("node").applyInArrow(run, "node int, nbr int, dist double, rank int")
-
-
-def hashed_graph(vectors: DataFrame, k: int, tables: int = 40, bits: int = 5, seed: int = 7, rows: int = BLOCK_ROWS) -> DataFrame:
-    """A K-NN graph from candidates that share a cell of random hyperplanes in some table.
-
-    Cells are cut into parts of about ``rows`` vectors, and each pair of parts is one group, which emits
-    only its ``k`` nearest for each node, so no pair of candidates travels and no task holds a large cell.
+        t = t.sort_by([("node", "ascending"), ("dist", "ascending"), ("nbr", "ascending")]).combine_chunks()
+        x, d, node = matrix(t.column("embedding")), t.column("dist").to_numpy(), t.column("node").to_numpy()
+        rows, ranks = [], []
+        for own in np.split(np.arange(len(node)), np.flatnonzero(np.diff(node)) + 1):
+            between = block_distances(x[own], x[own], name)
+            kept: list[int] = []
+            for i in range(len(own)):
+                if len(kept) < k and (len(own) < k or (between[i, kept] >= d[own[i]]).all()):
+                    kept.append(i)
+            if refill:
+                there = set(kept)
+                kept += [i for i in range(len(own)) if i not in there][: k - len(kept)]
+            rows.append(own[kept])
+            ranks += range(1, len(kept) + 1)
+        out = t.select(["node", "nbr", "dist"]).take(pa.array(np.concatenate(rows)))
+        return out.append_column("rank", pa.array(ranks, pa.int32()))
+
+    return wide.groupBy(F.floor(F.col("node") / HUBS_A_GROUP)).applyInArrow(run, EDGES + ", rank int")
+
+
+#: Vectors of a cell of the hashing, about; and those of a part of a large cell that meets another part.
+CELL_ROWS, PART_ROWS = 256, 512
+
+
+def hashed_edges(vectors: DataFrame, k: int, tables: int = 8, seed: int = 7, rows: int = PART_ROWS, segment: int | None = None, name: str = "l2sqr") -> DataFrame:
+    """The ``k`` nearest of those that share a cell of random hyperplanes in some table: node, nbr, dist, rank.
+
+    There are so many hyperplanes that a cell holds about ``CELL_ROWS`` vectors, however many there are.
+    With ``segment``, only positions of the same stretch of so many keys meet. Cells are cut into parts
+    of about ``rows`` vectors, and each pair of parts is one group, which emits only its ``k`` nearest for
+    each node, so no pair of candidates travels and no task holds a large cell.
     """
+    vectors = valid(vectors.select(F.col("pos").cast("bigint").alias("pos"), "embedding"))
     first = vectors.select("embedding").first()
     if first is None:
         return vectors.select(F.col("pos").alias("node"), F.col("pos").alias("nbr"), F.lit(0.0).alias("dist"), F.lit(1).alias("rank"))
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, len(first[0])))
-    centre = np.array(vectors.select(*[F.avg(F.get("embedding", F.lit(j))).alias(f"m{j}") for j in range(len(first[0]))]).first())
+    means = vectors.agg(F.count(F.lit(1)), *[F.avg(F.get("embedding", F.lit(j))) for j in range(len(first[0]))]).first()
+    n, centre = int(means[0]), np.array(means[1:], dtype=float)
+    bits = max(0, math.ceil(math.log2(max(min(n, segment or n), 1) / CELL_ROWS)))
+    tables = tables if bits else 1  # of a single cell, one is enough
+    planes = np.random.default_rng(seed).standard_normal((tables, bits, len(centre)))
 
     def hashed(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             x = matrix(b.column("embedding")) - centre
-            code = ((np.einsum("nd,tbd->ntb", x, planes) > 0) << np.arange(bits)).sum(axis=2)
-            key = code + (np.arange(tables) << bits)
+            code = ((np.einsum("nd,tbd->ntb", x, planes) > 0) << np.arange(bits)).sum(axis=2) if bits else np.zeros((len(x), tables), dtype=np.int64)
+            part = b.column("pos").to_numpy() // segment if segment else np.zeros(len(x), dtype=np.int64)
+            key = (part[:, None] * tables + np.arange(tables) << bits) + code
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1) * tables, pa.int32()), pa.array(key.ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("pos"), b.column("embedding"), lists], names=["pos", "embedding", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("pos"), lists], names=["pos", "keys"])
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("pos")
@@ -231,23 +299,37 @@ def hashed_graph(vectors: DataFrame, k: int, tables: int = 40, bits: int = 5, se
         found = []
         if x.num_rows and y.num_rows:
             a, b = (side.column("pos").to_numpy() for side in (x, y))
-            d = block_distances(matrix(x.column("embedding")), matrix(y.column("embedding")))
+            d = block_distances(matrix(x.column("embedding")), matrix(y.column("embedding")), name)
             if i == j:
                 np.fill_diagonal(d, np.inf)
             for own, other, far in ((a, b, d), (b, a, d.T)) if i != j else ((a, b, d),):
-                bound = np.partition(far, min(k, len(other)) - 1, axis=1)[:, min(k, len(other)) - 1]
-                r, c = np.nonzero((far <= bound[:, None]) & np.isfinite(far))
-                order = np.lexsort((c, far[r, c], r))
-                r, c = r[order], c[order]
-                near = np.arange(len(r)) - np.searchsorted(r, r) < k
-                found.append((own[r[near]], other[c[near]], far[r[near], c[near]]))
+                r, c = nearest(far, k)
+                found.append((own[r], other[c], far[r, c]))
         node, nbr, dist = (np.concatenate(z) for z in zip(*found, strict=True)) if found else ([], [], [])
-        return pa.table({"node": pa.array(node, pa.int32()), "nbr": pa.array(nbr, pa.int32()), "dist": pa.array(dist, pa.float64())})
+        return pa.table({"node": pa.array(node, pa.int64()), "nbr": pa.array(nbr, pa.int64()), "dist": pa.array(dist, pa.float64())})
 
-    keyed = vectors.select(F.col("pos").cast("int").alias("pos"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(hashed, "pos int, embedding array<double>, keys array<bigint>")
-    keyed = cut(keyed).select("pos", "embedding", F.explode("keys").alias("key"))
-    # At most tables * 2 ** bits rows.
+    keyed = cut(vectors.mapInArrow(hashed, "pos bigint, keys array<bigint>")).select("pos", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / rows).alias("parts"))
-    dealt = keyed.join(F.broadcast(sizes), "key").withColumn("part", F.pmod(F.xxhash64("pos"), "parts")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    groups = dealt.select("key", "pos", "embedding", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
-    return exact.top(groups.groupBy("key", "i", "j").applyInArrow(run, "node int, nbr int, dist double"), k)
+    dealt = keyed.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("pos"), "parts")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    groups = dealt.join(vectors, "pos").select("key", "pos", "embedding", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
+    return exact.top(groups.groupBy("key", "i", "j").applyInArrow(run, EDGES), k)
+
+
+def hashed_graph(vectors: DataFrame, k: int, tables: int = 8, seed: int = 7, rounds: int = 4, rows: int = PART_ROWS, name: str = "l2sqr") -> DataFrame:
+    """A K-NN graph from hashing, which rounds of descent then refine until it changes little."""
+    keep = 2 * k
+    edges = hashed_edges(vectors, keep, tables, seed, rows, name=name)
+    if not rounds:
+        return truncated(edges, k)
+    graph, _ = build(vectors, Params(k=k, keep=keep, sample=k, reverse=2 * k, rounds=rounds, least_delta=0.01, seed=seed, name=name), edges)
+    return truncated(graph, k).drop("is_new")
+
+
+def segments(vectors: DataFrame, k: int, smallest: int = 1024, times: int = 8, tables: int = 8, name: str = "l2sqr") -> DataFrame:
+    """Candidates (node, nbr) for an index: the ``k`` nearest by hashing among the keys of stretches of several sizes, up to all, so that ranges of any width have neighbours of their own."""
+    wide = vectors.agg(F.max("pos") - F.min("pos")).first()[0] or 0
+    out, size = hashed_edges(vectors, k, tables, name=name).select("node", "nbr"), smallest
+    while size <= wide:
+        out = out.unionByName(hashed_edges(vectors, k, tables, segment=size, name=name).select("node", "nbr"))
+        size *= times
+    return out.distinct()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import interval_index
 
-SCHEMA = "node int, l_lo int, l_hi int, r_lo int, r_hi int, pts array<int>"
+SCHEMA = "node bigint, l_lo bigint, l_hi bigint, r_lo bigint, r_hi bigint, pts array<bigint>"
 
 
 def _rectangles(node: int, nbrs: np.ndarray, k: int, open_: int):
@@ -54,7 +54,7 @@ def build(vectors: DataFrame, k: int) -> DataFrame:
             rows += [(int(node[a]), *r) for r in _rectangles(int(node[a]), nbr[a:b], k, interval_index.OPEN)]
         names = ["node", "l_lo", "l_hi", "r_lo", "r_hi"]
         columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-        return pa.table({**{n: pa.array(c, pa.int32()) for n, c in zip(names, columns, strict=False)}, "pts": pa.array(columns[5], pa.list_(pa.int32()))})
+        return pa.table({**{n: pa.array(c, pa.int64()) for n, c in zip(names, columns, strict=False)}, "pts": pa.array(columns[5], pa.list_(pa.int64()))})
 
     return index.withColumn("__part", F.floor(F.col("node") / interval_index.NODES_A_GROUP)).groupBy("__part").applyInArrow(run, SCHEMA)
 

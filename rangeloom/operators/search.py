@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,39 +12,127 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.distance import l2sqr
+from ..functions.distance import metric
 from ..plans.lineage import cut
-from . import interval_index
-from .blocks import matrix
-from .exact import between
+from . import exact, interval_index, nndescent
+from .blocks import matrix, valid
+from .exact import between, query
 
 
-def graph_search(edges: DataFrame, vectors: DataFrame, point: Sequence[float], k: int, starts: Sequence[int], width: int = 64, most_hops: int = 12, radius: float | None = None) -> DataFrame:
-    """Best-first search over any graph (node, nbr) from given nodes: pos, dist, rank.
+@dataclass(frozen=True)
+class Search:
+    """Random starts (P), trials (T) and the largest distance (epsilon) default to those in common use; ``width`` is the beam."""
 
-    Each hop expands, at once, all of the ``width`` nearest found that were not expanded before; it ends
-    when none is left. The starts count as found. ``radius`` bounds the result, not the walk.
+    starts: int = 100
+    trials: int = 1
+    epsilon: float = 1e30
+    width: int = 64
+    seed: int = 17
+
+
+def graph_search(edges: DataFrame, vectors: DataFrame, point: Sequence[float], k: int, p: Search = Search(), starts: Sequence[int] | None = None, name: str = "l2sqr", info: dict | None = None) -> DataFrame:
+    """Best-first search over any graph (node, nbr): pos, dist, rank.
+
+    It begins at ``p.starts`` nodes drawn by hash, other ones in every trial, or at given ones (one trial).
+    Each hop expands, at once, all of the ``p.width`` nearest found that were not expanded before, until
+    none is left; results of the trials are put together. The starts count as found. ``p.epsilon`` bounds
+    the result, not the walk. With as many starts as vectors it is the exact scan. ``info`` is given the
+    hops, the vectors compared (``cost``, a share of all) and why it ended.
+
+    Only a beam, ``p.width`` numbers, is held by the driver; a hop reads the edges of the beam's open nodes
+    and the vectors that these lead to, both by position.
     """
-    where = F.array(*[F.lit(float(x)) for x in point])
-    far = vectors.select("pos", l2sqr(F.col("embedding"), where).alias("dist"))
+    vectors = valid(vectors.select("pos", "embedding"))
     order = Window.orderBy("dist", "pos")
-    beam_ = cut(far.where(F.col("pos").isin(list(starts))).withColumn("done", F.lit(False)))
-    for _ in range(most_hops):
-        open_ = beam_.where("NOT done").select("pos")
-        if open_.isEmpty():
-            break
-        reached = edges.join(open_.withColumnRenamed("pos", "node"), "node").select(F.col("nbr").alias("pos")).distinct().join(beam_.select("pos"), "pos", "left_anti")
-        found = far.join(reached, "pos").withColumn("done", F.lit(False))
-        beam_ = cut(beam_.withColumn("done", F.lit(True)).unionByName(found).orderBy("dist", "pos").limit(width))
-    found = beam_ if radius is None else beam_.where(F.col("dist") <= radius)
-    return found.orderBy("dist", "pos").limit(k).select("pos", "dist").withColumn("rank", F.row_number().over(order))
-
-
-def beam(index: DataFrame, vectors: DataFrame, point: Sequence[float], k: int, low: int, high: int, width: int = 64, entries: int = 10, most_hops: int = 12) -> DataFrame:
+    n = vectors.count()
+    if starts is None and p.starts >= n:
+        if info is not None:
+            info |= {"hops": 0, "cost": 1.0, "stop": "exact"}
+        found = query(vectors, point, k, name=name)
+        return found.where(F.col("dist") <= p.epsilon)
+    where = F.array(*[F.lit(float(x)) for x in point])
+    far = metric(name)(F.col("embedding"), where).alias("dist")
+    seen: dict[int, float] = {}
+    hops = compared = 0
+    for trial in range(1 if starts is not None else p.trials):
+        if starts is not None:
+            doors = vectors.where(F.col("pos").isin([int(x) for x in starts]))
+        else:
+            doors = vectors.orderBy(F.xxhash64("pos", F.lit(p.seed + trial)), "pos").limit(p.starts)
+        rows = doors.select("pos", far).collect()
+        compared += len(rows)
+        beam_ = sorted((float(r.dist), int(r.pos)) for r in rows)[: max(p.width, k)]
+        visited = {x for _, x in beam_}
+        done: set[int] = set()
+        while open_ := [x for _, x in beam_ if x not in done]:
+            hops += 1
+            done |= set(open_)
+            reached = edges.where(F.col("node").isin(open_)).select(F.col("nbr").alias("pos")).distinct().where(~F.col("pos").isin(list(visited)))
+            # So many can enter the beam at most; what is counted beside them is one number.
+            near = vectors.join(reached, "pos").select("pos", far).withColumn("many", F.count(F.lit(1)).over(Window.partitionBy())).orderBy("dist", "pos").limit(max(p.width, k)).collect()
+            compared += int(near[0].many) if near else 0
+            beam_ = sorted({*beam_, *((float(r.dist), int(r.pos)) for r in near)})[: max(p.width, k)]
+            visited |= {x for _, x in beam_}
+        seen |= {x: d for d, x in beam_}
+    if info is not None:
+        info |= {"hops": hops, "cost": compared / max(n, 1), "stop": "no open node is left"}
+    best = sorted((d, x) for x, d in seen.items() if d <= p.epsilon)[:k]
+    out = vectors.sparkSession.createDataFrame([(x, d) for d, x in best], "pos bigint, dist double")
+    return out.withColumn("rank", F.row_number().over(order))
+
+
+def beam(index: DataFrame, vectors: DataFrame, point: Sequence[float], k: int, low: int, high: int, width: int = 64, entries: int = 10, name: str = "l2sqr", info: dict | None = None) -> DataFrame:
     """``graph_search`` over the range's graph, which the index holds, from ``entries`` nodes spread evenly over the range."""
     edges = interval_index.stabbed(index, low, high).select("node", "nbr")
     doors = sorted({low + (high - low) * i // (entries + 1) for i in range(1, entries + 1)})
-    return graph_search(edges, between(vectors, low, high), point, k, doors, width, most_hops)
+    return graph_search(edges, between(vectors, low, high), point, k, Search(width=width), doors, name, info)
+
+
+@dataclass(frozen=True)
+class Layers:
+    """Neighbours a node (M; twice as many in the lowest layer), candidates for them, and the seed of the levels default to those in common use."""
+
+    m: int = 16
+    candidates: int = 200
+    seed: int = 100
+    name: str = "l2sqr"
+
+
+def layered(vectors: DataFrame, p: Layers = Layers()) -> DataFrame:
+    """A layered navigable graph as a table: level, node, nbr, dist.
+
+    Each node is on the levels up to one drawn by hash, exponentially fewer on higher ones. On every level a
+    node chooses diverse ones among its nearest of that level, edges are made mutual, and a node with
+    more than the level allows chooses again among them.
+    """
+    vectors = cut(valid(vectors.select(F.col("pos").cast("bigint").alias("pos"), "embedding")))
+    drawn = (F.pmod(F.xxhash64("pos", F.lit(p.seed)), F.lit(1 << 40)) + 1) / float(1 << 40)
+    levels = vectors.withColumn("top", F.floor(-F.log(drawn) / math.log(p.m)))
+    out = None
+    for level in range(int(levels.agg(F.max("top")).first()[0] or 0) + 1):
+        own = levels.where(F.col("top") >= level).select("pos", "embedding")
+        most = p.m * (1 if level else 2)
+        chosen = nndescent.diverse(exact.graph(own, p.candidates, name=p.name), own, p.m, name=p.name)
+        mutual = nndescent.with_reverse(chosen)
+        edges = nndescent.diverse(mutual, own, most, name=p.name).select(F.lit(level).alias("level"), "node", "nbr", "dist")
+        out = edges if out is None else out.unionByName(edges)
+    return cut(out)
+
+
+def layered_search(layers: DataFrame, vectors: DataFrame, point: Sequence[float], k: int, width: int = 64, low: int | None = None, high: int | None = None, name: str = "l2sqr") -> DataFrame:
+    """Best-first search from the highest layer down, each beginning where the one above ended: pos, dist, rank. With a range, the walk goes on outside it, and only positions inside are results."""
+    top = layers.agg(F.max("level")).first()[0]
+    if top is None:  # a single vector, or none
+        return query(vectors, point, k, low, high, name=name)
+    doors = [r[0] for r in layers.where(F.col("level") == top).select("node").distinct().orderBy("node").limit(1).collect()]
+    for level in range(top, -1, -1):
+        edges = layers.where(F.col("level") == level).select("node", "nbr")
+        wide = width if level == 0 else 1
+        found = graph_search(edges, vectors, point, wide, Search(width=wide), doors, name)
+        if level:
+            doors = [r.pos for r in found.collect()]
+    found = between(found.select("pos", "dist"), low, high).orderBy("dist", "pos").limit(k)
+    return found.withColumn("rank", F.row_number().over(Window.orderBy("dist", "pos")))
 
 
 class ProductQuantizer:
@@ -55,7 +145,11 @@ class ProductQuantizer:
         self.books: np.ndarray | None = None
 
     def fit(self, vectors: DataFrame, rounds: int = 12) -> ProductQuantizer:
-        rows = vectors.select("pos", "embedding", F.xxhash64("pos", F.lit(self.seed)).alias("h")).orderBy("h", "pos").limit(self.SAMPLE).collect()
+        rows = valid(vectors).select("pos", "embedding", F.xxhash64("pos", F.lit(self.seed)).alias("h")).orderBy("h", "pos").limit(self.SAMPLE).collect()
+        if not rows:
+            raise ValueError("nothing to learn from")
+        if len(rows[0]["embedding"]) % self.parts:
+            raise ValueError(f"vectors of {len(rows[0]['embedding'])} dimensions have no {self.parts} equal parts")
         x = np.array([r["embedding"] for r in rows], dtype=np.float64)
         rng, width = np.random.default_rng(self.seed), x.shape[1] // self.parts
         books = []
@@ -83,13 +177,19 @@ class ProductQuantizer:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, len(books)), pa.int32()), pa.array(codes.ravel(), pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column("pos"), lists], names=["pos", "codes"])
 
-        return vectors.select("pos", "embedding").mapInArrow(run, "pos int, codes array<int>")
+        return valid(vectors.select(F.col("pos").cast("bigint").alias("pos"), "embedding")).mapInArrow(run, "pos bigint, codes array<int>")
+
+    def query(self, encoded: DataFrame, point: Sequence[float], k: int, low: int, high: int, vectors: DataFrame | None = None, many: int = 10) -> DataFrame:
+        """Range first: of the codes in the range, the ``k`` of least distance to the point by look-up sums: pos, dist, rank.
 
-    def query(self, encoded: DataFrame, point: Sequence[float], k: int, low: int, high: int) -> DataFrame:
-        """Range first: of the codes in the range, the ``k`` of least distance to the point by look-up sums: pos, dist, rank."""
+        With ``vectors``, the ``many`` times ``k`` of least such distance are ranked by their exact one.
+        """
         q = np.asarray(point, dtype=np.float64).reshape(self.parts, -1)
         tables = ((q[:, None, :] - self.books) ** 2).sum(axis=2)
         book = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in tables])
         dist = F.aggregate(F.zip_with(F.col("codes"), book, lambda c, row: F.get(row, c)), F.lit(0.0), lambda s, x: s + x)
-        near = between(encoded, low, high).select("pos", dist.alias("dist")).orderBy("dist", "pos").limit(k)
+        near = between(encoded, low, high).select("pos", dist.alias("dist")).orderBy("dist", "pos").limit(k if vectors is None else k * many)
+        if vectors is not None:
+            # The few that are left are fetched by position.
+            near = query(vectors.join(F.broadcast(near.select("pos")), "pos", "left_semi"), point, k).select("pos", "dist")
         return near.withColumn("rank", F.row_number().over(Window.orderBy("dist", "pos")))

@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import distance
+from ..functions import arrays, distance
 from ..functions.arrays import argsort
 from ..operators import exact, interval_index, keys, metrics, nndescent, rectangles, search, store
-from .lineage import cut
+from ..sources import vectors as sources
+from ..streaming.append import Maintainer
+from . import experiment, sql
+from .lineage import cut, remove, shared_folder, stamp
 
 K = 8
 LOW, HIGH = 100, 299
+
+
+def middle(n: int) -> tuple[int, int]:
+    """Two fifths of ``n`` positions, from the first fifth on; the metrics' range, which grows with the table."""
+    return n // 5, 3 * n // 5 - 1
+
+
 RANGES = [(0, 0, 49), (1, 100, 299), (2, 250, 250), (3, 400, 499), (4, 37, 412)]
 
 
@@ -88,7 +98,7 @@ def cal_rectangle_lookup(spark, sf_dir):
 
 
 def multi_range_graph(spark, sf_dir):
-    ranges = spark.createDataFrame(RANGES, "qid int, l int, r int")
+    ranges = spark.createDataFrame(RANGES, "qid int, l bigint, r bigint")
     return interval_index.graphs(index_of(spark, sf_dir), ranges, K).select("qid", "node", "nbr", F.col("rank").cast("int").alias("rank"), F.round("dist", 6).alias("dist"))
 
 
@@ -135,35 +145,51 @@ def pre_filter_knn(spark, sf_dir):
     v = by_label(spark, sf_dir)
     out = None
     for q in (110, 250, 290):
-        own = found(exact.query(v, point(v, q), 5, LOW, HIGH)).withColumn("q", F.lit(q))
+        own = found(exact.query(v, point(v, q), 5, LOW, HIGH)).withColumn("q", F.lit(q).cast("bigint"))
         out = own if out is None else out.unionByName(own)
     return out
 
 
-def _post_filtered_graph(v):
-    """The range's part of the graph of all: what building first and filtering after finds."""
-    return exact.top(exact.graph(v, 2 * K).where(F.col("node").between(LOW, HIGH) & F.col("nbr").between(LOW, HIGH)).drop("rank"), K)
+def _judged(spark, sf_dir):
+    """The exact graph of the middle range, and the range's part of the graph of all: what building first and filtering after finds."""
+    v = cut(by_label(spark, sf_dir))
+    low, high = middle(v.count())
+    found = exact.top(exact.graph(v, 2 * K).where(F.col("node").between(low, high) & F.col("nbr").between(low, high)).drop("rank"), K)
+    return exact.graph(v, K, low, high), found
 
 
 def knng_recall(spark, sf_dir):
-    v = by_label(spark, sf_dir)
-    m = metrics.graph_recall(exact.graph(v, K, LOW, HIGH), _post_filtered_graph(v))
-    return m.select("hits", F.round("recall", 9).alias("recall"), F.round("precision", 9).alias("precision"))
+    return metrics.graph_recall(*_judged(spark, sf_dir)).select("hits", F.round("recall", 9).alias("recall"), F.round("precision", 9).alias("precision"))
 
 
 def approximation_ratio(spark, sf_dir):
-    v = by_label(spark, sf_dir)
-    truth = exact.graph(v, K, LOW, HIGH).withColumnRenamed("node", "qid")
-    m = metrics.approximation_ratio(truth, _post_filtered_graph(v).withColumnRenamed("node", "qid"))
+    m = metrics.approximation_ratio(*(g.withColumnRenamed("node", "qid") for g in _judged(spark, sf_dir)))
     return m.select("qid", F.round("ratio", 6).alias("ratio"))
 
 
 def knng_accuracy(spark, sf_dir):
-    v = by_label(spark, sf_dir)
-    m = metrics.accuracy(exact.graph(v, K, LOW, HIGH), _post_filtered_graph(v))
+    m = metrics.accuracy(*_judged(spark, sf_dir))
     return m.select(F.round("error", 6).alias("error"), F.round("one_recall", 6).alias("one_recall"))
 
 
+def merge_recall(spark, sf_dir):
+    """Distances are rounded first, so that a table with copies has equal ones."""
+    t, f = (g.withColumn("dist", F.round("dist", 2)) for g in _judged(spark, sf_dir))
+    return metrics.distance_recall(t, f).select("node", F.round("recall", 9).alias("recall"), F.col("unstable").cast("bigint").alias("unstable"))
+
+
+def count_precision(spark, sf_dir):
+    """Per node, the share of the true neighbours that were found."""
+    lists = [g.groupBy("node").agg(F.collect_list("nbr").alias(name)) for g, name in zip(_judged(spark, sf_dir), ("t", "f"), strict=True)]
+    return lists[0].join(lists[1], "node", "left").select("node", F.round(metrics.precision(F.col("t"), F.coalesce("f", F.array().cast("array<bigint>"))), 9).alias("precision"))
+
+
+def graph_delta(spark, sf_dir):
+    """The share of new edges, where the edges to even positions count as new."""
+    g = exact.graph(by_label(spark, sf_dir), 2 * K).withColumn("is_new", F.col("nbr") % 2 == 0)
+    return metrics.delta(g, K).select(F.round("delta", 9).alias("delta"))
+
+
 def reverse_graph(spark, sf_dir):
     return edges(nndescent.with_reverse(exact.graph(by_label(spark, sf_dir), K)))
 
@@ -191,7 +217,7 @@ def upsert_delete_knn(spark, sf_dir):
     new = rows.where("label = 3").select("id", F.reverse("embedding").alias("embedding"), "label", F.lit(1).cast("bigint").alias("version"))
     kept = store.live(store.mark_deleted(store.upsert(rows, new), rows.where("label = 5").select("id")))
     q = list(rows.where("id = 3").select("embedding").first()[0])
-    return found(exact.query(kept.select(F.col("id").cast("int").alias("pos"), "embedding"), q, 10))
+    return found(exact.query(kept.select(F.col("id").alias("pos"), "embedding"), q, 10))
 
 
 def index_size_stats(spark, sf_dir):
@@ -199,19 +225,86 @@ def index_size_stats(spark, sf_dir):
 
 
 def index_integrity(spark, sf_dir):
-    return store.integrity(index_of(spark, sf_dir))
+    return store.integrity(index_of(spark, sf_dir), K)
+
+
+def index_profile(spark, sf_dir):
+    return store.profile(index_of(spark, sf_dir)).select("side", "n_rows", "n_nodes", "n_open", "fewest", F.round("mean", 6).alias("mean"), "most")
+
+
+def saved_index(spark, sf_dir) -> str:
+    """The path of the index of ``embeddings`` in the shared folder: built and saved once for a table, then only read."""
+    return store.kept(spark, f"index-{K}", stamp(spark, f"{sf_dir}/embeddings.parquet"), lambda path: store.save_index(index_of(spark, sf_dir), path))
+
+
+def saved_index_range_graph(spark, sf_dir):
+    """The K-NN graph of a key range, of what is read of the saved index."""
+    index = store.load_index(spark, saved_index(spark, sf_dir), LOW, HIGH)
+    return edges(interval_index.graph(index, K, LOW, HIGH))
+
+
+def saved_index_multi_range(spark, sf_dir):
+    ranges = spark.createDataFrame(RANGES, "qid int, l bigint, r bigint")
+    index = store.load_index(spark, saved_index(spark, sf_dir))
+    return interval_index.graphs(index, ranges, K).select("qid", "node", "nbr", F.col("rank").cast("int").alias("rank"), F.round("dist", 6).alias("dist"))
 
 
 def append_maintenance(spark, sf_dir):
-    """The index of all vectors, of which the last four are appended one by one."""
+    """The index of all vectors, of which the last tenth is appended in two batches."""
     v = cut(by_label(spark, sf_dir))
     n = v.count()
-    index = cut(interval_index.build(v.where(F.col("pos") < n - 4), K))
-    for p in range(max(n - 4, 0), n):
-        index = cut(interval_index.append(index, v.where(F.col("pos") < p), v.where(F.col("pos") == p), K))
+    cuts = [n - n // 10, n - n // 20, n]
+    index = cut(interval_index.build(v.where(F.col("pos") < cuts[0]), K))
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        index = cut(interval_index.append(index, v.where(F.col("pos") < a), v.where(F.col("pos").between(a, b - 1)), K))
     return index.select("node", "side", "nbr", "sub", F.round("dist", 6).alias("dist"))
 
 
+def index_repair(spark, sf_dir):
+    """The index after every 50th vector was reversed and every 70th taken away, repaired, not rebuilt."""
+    v = cut(by_label(spark, sf_dir))
+    index = cut(interval_index.build(v, K))
+    changed = v.where("id % 50 = 0 OR id % 70 = 0").select("pos")
+    now = v.where("id % 70 <> 0").withColumn("embedding", F.when(F.col("id") % 50 == 0, F.reverse("embedding")).otherwise(F.col("embedding")))
+    return interval_index.repair(index, now, changed, K).select("node", "side", "nbr", "sub", F.round("dist", 6).alias("dist"))
+
+
+def stream_append_index(spark, sf_dir):
+    """The index that a stream of three files of growing keys leaves behind."""
+    top = f"{shared_folder(spark)}/stream-{spark.sparkContext.applicationId}"
+    remove(spark, top)
+    v = cut(by_label(spark, sf_dir)).select("id", F.col("pos").alias("search_key"), "embedding")
+    n = v.count()
+    keeper = Maintainer(spark, f"{top}/state", K)
+    schema = "id bigint, search_key bigint, embedding array<float>"
+    for a, b in ((0, n // 2), (n // 2, n - n // 10), (n - n // 10, n)):
+        v.where(F.col("search_key").between(a, b - 1)).coalesce(1).write.mode("append").parquet(f"{top}/in")
+        keeper.start(spark.readStream.schema(schema).parquet(f"{top}/in"), f"{top}/progress").awaitTermination()
+    return keeper.index().select("node", "side", "nbr", "sub", F.round("dist", 6).alias("dist"))
+
+
+def sql_range_graph(spark, sf_dir):
+    """The range's graph by the table function of the SQL surface."""
+    v = cut(by_label(spark, sf_dir))
+    sql.register(spark, v, cut(interval_index.build(v, K)), "rloom")
+    return spark.sql(f"SELECT node, nbr, CAST(rank AS INT) AS rank, round(dist, 6) AS dist FROM rloom_neighbours({LOW}, {HIGH}, {K})")
+
+
+def inner_product_range_graph(spark, sf_dir):
+    return edges(interval_index.graph(interval_index.build(by_label(spark, sf_dir), K, name="ip"), K, LOW, HIGH))
+
+
+def cosine_range_graph(spark, sf_dir):
+    return edges(interval_index.graph(interval_index.build(by_label(spark, sf_dir), K, name="cosine"), K, LOW, HIGH))
+
+
+def next_neighbours(spark, sf_dir):
+    """The third page of ten of the neighbours of vector 250 in the range."""
+    v = by_label(spark, sf_dir)
+    pages = exact.pages(v, point(v, 250), 10, LOW, HIGH)
+    return found([next(pages) for _ in range(3)][-1])
+
+
 def time_key_range_graph(spark, sf_dir):
     v = by_event(spark, sf_dir, "ts")
     low, high = (v.where(F.col("pos") == p).select("search_key").first()[0] for p in (LOW, HIGH))
@@ -223,82 +316,289 @@ def value_key_range_graph(spark, sf_dir):
     return edges(interval_index.graph(interval_index.build(by_event(spark, sf_dir, "value"), K), K, LOW, HIGH))
 
 
+def _reached(want: DataFrame, got: DataFrame, by: tuple[str, ...], least: float = 0.9) -> DataFrame:
+    """One row: how many there are to find, and whether the share ``least`` of them was found."""
+    hits = want.select(*by).join(got.select(*by).distinct().withColumn("hit", F.lit(1)), list(by), "left")
+    return hits.agg(F.count(F.lit(1)).alias("n_true"), (F.coalesce(F.sum("hit"), F.lit(0)) >= F.lit(least) * F.count(F.lit(1))).alias("reached"))
+
+
+EDGE, PLACE = ("node", "nbr"), ("pos",)
+
+
 def nn_descent_graph(spark, sf_dir):
-    graph, _ = nndescent.build(by_label(spark, sf_dir), nndescent.Params(k=K, keep=24, sample=8, reverse=16, rounds=6))
+    graph, _ = nndescent.build(by_label(spark, sf_dir), nndescent.Params(k=K, keep=4 * K, sample=12, reverse=32, rounds=5))
     return edges(nndescent.truncated(graph, K))
 
 
+def nn_descent_recall(spark, sf_dir):
+    return _reached(exact.graph(by_label(spark, sf_dir), K), nn_descent_graph(spark, sf_dir), EDGE)
+
+
 def lsh_knn_graph(spark, sf_dir):
     return edges(nndescent.hashed_graph(by_label(spark, sf_dir), K))
 
 
+def lsh_knn_recall(spark, sf_dir):
+    return _reached(exact.graph(by_label(spark, sf_dir), K), lsh_knn_graph(spark, sf_dir), EDGE)
+
+
 def beam_search(spark, sf_dir):
     v = by_label(spark, sf_dir)
-    return found(search.beam(interval_index.build(v, K), v, point(v, 250), 10, LOW, HIGH))
+    index = store.load_index(spark, saved_index(spark, sf_dir), LOW, HIGH)
+    return found(search.beam(index, v, point(v, 250), 10, LOW, HIGH))
+
+
+def beam_search_recall(spark, sf_dir):
+    return _reached(range_knn_query(spark, sf_dir), beam_search(spark, sf_dir), PLACE)
+
+
+def _near_index(spark, sf_dir):
+    v = cut(by_label(spark, sf_dir))
+    return v, interval_index.build_near(v, nndescent.segments(v, 2 * K), K)
 
 
 def approximate_index_graph(spark, sf_dir):
-    v = by_label(spark, sf_dir)
-    index = interval_index.build_near(v, nndescent.hashed_graph(v, 2 * K), K)
-    return edges(interval_index.graph(index, K, LOW, HIGH))
+    return edges(interval_index.graph(_near_index(spark, sf_dir)[1], K, LOW, HIGH))
+
+
+def approximate_index_recall(spark, sf_dir):
+    """Over the range of the queries, the middle of the table, and all of it."""
+    v, index = _near_index(spark, sf_dir)
+    index, n = cut(index), v.count()
+    want = got = None
+    for low, high in ((LOW, HIGH), middle(n), (0, n - 1)):
+        w, g = exact.graph(v, K, low, high), interval_index.graph(index, K, low, high)
+        w, g = (x.select("node", "nbr", F.lit(low * 10**9 + high).alias("q")) for x in (w, g))
+        want, got = (w, g) if want is None else (want.unionByName(w), got.unionByName(g))
+    return _reached(want, got, ("node", "nbr", "q"))
 
 
 def graph_search(spark, sf_dir):
+    """Over the K-NN graph and its reverse edges, from a hundred starts drawn from all of the table."""
+    v = cut(by_label(spark, sf_dir))
+    graph = cut(nndescent.with_reverse(exact.graph(v, K)))
+    return found(search.graph_search(graph, v, point(v, 250), 10))
+
+
+def graph_search_recall(spark, sf_dir):
+    v = by_label(spark, sf_dir)
+    return _reached(exact.query(v, point(v, 250), 10), graph_search(spark, sf_dir), PLACE)
+
+
+def layered_search(spark, sf_dir):
+    v = cut(by_label(spark, sf_dir))
+    layers = search.layered(v, search.Layers(m=8, candidates=32))
+    return found(search.layered_search(layers, v, point(v, 250), 10))
+
+
+def layered_search_recall(spark, sf_dir):
     v = by_label(spark, sf_dir)
-    graph = nndescent.with_reverse(exact.graph(v, K))
-    return found(search.graph_search(graph, v, point(v, 250), 10, range(0, 500, 50)))
+    return _reached(exact.query(v, point(v, 250), 10), layered_search(spark, sf_dir), PLACE)
 
 
 def diverse_neighbours(spark, sf_dir):
     v = by_label(spark, sf_dir)
-    return edges(nndescent.diverse(exact.graph(v, 3 * K, LOW, HIGH), v, K, refill=True))
+    return edges(nndescent.diverse(exact.graph(v, 3 * K), v, K, refill=True))
 
 
 def quantized_range_search(spark, sf_dir):
-    v = by_label(spark, sf_dir)
+    v = cut(by_label(spark, sf_dir))
     pq = search.ProductQuantizer(parts=16, centres=32).fit(v)
-    return found(pq.query(pq.encode(v), point(v, 250), 10, LOW, HIGH))
+    return found(pq.query(pq.encode(v), point(v, 250), 10, LOW, HIGH, v))
+
+
+def quantized_search_recall(spark, sf_dir):
+    return _reached(range_knn_query(spark, sf_dir), quantized_range_search(spark, sf_dir), PLACE)
+
+
+def _scratch(spark, name: str) -> str:
+    path = f"{shared_folder(spark)}/files-{spark.sparkContext.applicationId}/{name}"
+    remove(spark, path)
+    return path
+
+
+def _seen(df: DataFrame, key: str = "pos") -> DataFrame:
+    """What a reader gave: the key, the dimensions, the first and last number, and the sum."""
+    x = F.col("embedding")
+    total = F.aggregate(x.cast("array<double>"), F.lit(0.0), lambda a, b: a + b)
+    return df.select(F.col(key).cast("bigint").alias("pos"), F.size(x).cast("bigint").alias("n"), F.round(F.get(x, F.lit(0)).cast("double"), 4).alias("first"), F.round(F.element_at(x, -1).cast("double"), 4).alias("last"), F.round(total, 4).alias("total"))
+
+
+def _by_id(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), "embedding")
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    return _by_id(spark, sf_dir).select("pos", F.transform("embedding", lambda x: x.cast("string")).alias("x"))
+
+
+def _text(df: DataFrame, path: str, head: str | None = None) -> None:
+    """Lines (value) in order of pos, in one file, since the layouts have one header or none."""
+    ordered = df.coalesce(1).sortWithinPartitions("pos").select("value")
+    if head is not None:
+        ordered = df.sparkSession.createDataFrame([(-1, head)], "pos bigint, value string").unionByName(df).coalesce(1).sortWithinPartitions("pos").select("value")
+    ordered.write.mode("overwrite").text(path)
+
+
+def fvecs_file(spark, sf_dir):
+    path = _scratch(spark, "fvecs")
+    sources.write_matrix(_by_id(spark, sf_dir), path, "fvecs")
+    return _seen(sources.read(spark, "deep1b", path))
+
+
+def raw_file(spark, sf_dir):
+    """The same records read as raw rows between which four bytes stand."""
+    path = _scratch(spark, "raw")
+    sources.write_matrix(_by_id(spark, sf_dir).coalesce(1), path, "fvecs")
+    return _seen(sources.read(spark, "raw", path, dim=64, skip=4, gap=4))
+
+
+def bvecs_file(spark, sf_dir):
+    """Numbers as whole ones from 0 to 255."""
+    path = _scratch(spark, "bvecs")
+    whole = _by_id(spark, sf_dir).withColumn("embedding", F.transform("embedding", lambda x: F.floor(F.abs(x) * 100).cast("float")))
+    sources.write_matrix(whole, path, "bvecs")
+    return _seen(sources.read(spark, "sift", path))
+
+
+def headed_matrix_file(spark, sf_dir):
+    path = _scratch(spark, "matrix")
+    sources.write_matrix(_by_id(spark, sf_dir), path)
+    return _seen(sources.read(spark, "lshkit", path, 300))
+
+
+def dense_text_file(spark, sf_dir):
+    """Vectors as text, written by ``write_text`` and read again; their order is not that of a file, so the sums alone are given."""
+    path = _scratch(spark, "text")
+    sources.write_text(_by_id(spark, sf_dir), path)
+    return _seen(sources.read(spark, "ml25m", path).withColumn("pos", F.lit(0))).drop("pos")
+
+
+def word_text_file(spark, sf_dir):
+    path = _scratch(spark, "word")
+    _text(_lines(spark, sf_dir).select("pos", F.concat_ws(" ", F.col("pos").cast("string"), "x").alias("value")), path)
+    return _seen(sources.read(spark, "glove", path, 200), "id")
+
+
+def tsv_file(spark, sf_dir):
+    path = _scratch(spark, "tsv")
+    _text(_lines(spark, sf_dir).select("pos", F.concat_ws("\t", F.col("pos").cast("string"), "x").alias("value")), path, "\t".join(["id", *(f"x{k}" for k in range(64))]))
+    return _seen(sources.read(spark, "biggraph", path), "id")
+
+
+def keyed_csv_file(spark, sf_dir):
+    path = _scratch(spark, "csv")
+    _text(_lines(spark, sf_dir).select("pos", F.concat(F.col("pos").cast("string"), F.lit(","), (F.col("pos") * 3).cast("string"), F.lit(',"'), F.concat_ws(" ", "x"), F.lit('"')).alias("value")), path)
+    df = sources.read(spark, "yt8m", path)
+    return _seen(df, "id").join(df.select(F.col("id").cast("bigint").alias("pos"), "search_key"), "pos")
+
+
+def truth_file(spark, sf_dir):
+    """The exact graph of the range written as ground truth, a line a node, and read again."""
+    path = _scratch(spark, "truth")
+    sources.write_truth(exact.graph(by_label(spark, sf_dir), K, LOW, HIGH), path)
+    rows = sources.truth_lists(spark, path)
+    return rows.select(F.get("nbrs", F.lit(0)).alias("node"), F.posexplode(F.slice("nbrs", 2, K)).alias("rank", "nbr")).select("node", "nbr", (F.col("rank") + 1).alias("rank"))
+
+
+def truth_query_file(spark, sf_dir):
+    """Three range queries with their true neighbours in the seventh column."""
+    path = _scratch(spark, "queries")
+    v = cut(by_label(spark, sf_dir))
+    for q in (110, 250, 290):
+        near = exact.query(v, point(v, q), 5, LOW, HIGH).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "pos"))), lambda x: x["pos"].cast("string")), " ").alias("ids"))
+        near.select(F.concat(F.lit(f'{q},{LOW},{HIGH},a,b,c,"'), "ids", F.lit('"'))).write.mode("append").text(path)
+    return sources.truth_queries(spark, path).select(F.col("qid").cast("bigint").alias("qid"), "l", "r", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), ",").alias("nbrs"))
+
+
+def graph_file(spark, sf_dir):
+    """A K-NN graph saved and loaded, its rows checked."""
+    path = _scratch(spark, "graph")
+    store.save_graph(exact.graph(by_label(spark, sf_dir), K), path)
+    return edges(store.load_graph(spark, path))
+
+
+def graph_file_without_distances(spark, sf_dir):
+    path = _scratch(spark, "bare")
+    store.save_graph(exact.graph(by_label(spark, sf_dir), K), path, with_distance=False)
+    return store.load_graph(spark, path).select("node", "nbr", F.col("rank").cast("int").alias("rank"))
+
+
+def graph_text(spark, sf_dir):
+    path = _scratch(spark, "lines")
+    store.save_graph(exact.graph(by_label(spark, sf_dir), K), path, text=True)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def vector_store_file(spark, sf_dir):
+    """The store of vectors after an upsert, saved and loaded."""
+    path = _scratch(spark, "store")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    new = rows.where("id % 10 = 0").select("id", F.reverse("embedding").alias("embedding"), F.lit(1).cast("bigint").alias("version"))
+    store.save_vectors(store.upsert(rows, new), path)
+    return _seen(store.load_vectors(spark, path), "id")
+
+
+def result_rows_file(spark, sf_dir):
+    """Result rows appended twice to a folder of CSV files, and read again."""
+    path = _scratch(spark, "results")
+    v = cut(by_label(spark, sf_dir))
+    for q in (110, 250):
+        store.append_rows(found(exact.query(v, point(v, q), 5, LOW, HIGH)).withColumn("q", F.lit(q)), path)
+    return spark.read.option("header", True).schema("pos bigint, rank int, dist double, q int").csv(path)
+
+
+def index_experiment(spark, sf_dir):
+    """Rows of the experiment of indexes, their times left out."""
+    return experiment.index_rows(by_label(spark, sf_dir), K, 2 * K).where("method = 'exact'").select("method", "n", "k1", "k2", "nodes", "windows", "bytes")
+
+
+def range_experiment(spark, sf_dir):
+    """Rows of the experiment of range graphs: what the exact indexes find."""
+    return experiment.range_graphs(by_label(spark, sf_dir), K, LOW, HIGH).where("method LIKE 'index%'").select("method", "n", "k", "l", "r", "recall", "precision")
+
+
+def split_keeping_empty(spark, sf_dir):
+    parts = arrays.split_keeping_empty(F.col("props"), ",:")
+    return table(spark, sf_dir, "events").select("event_id", F.size(parts).cast("bigint").alias("n"), F.element_at(parts, -1).alias("last"))
+
+
+def base100_ids(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", arrays.base100_id(F.rpad("event_type", 4, "_")).alias("code"))
+
+
+def distinct_sample(spark, sf_dir):
+    """How many vectors of each label a seeded sample of at most 20 has; the same ones when drawn again."""
+    e = table(spark, sf_dir, "embeddings").select("label", "vec_id")
+    one, again = (arrays.sampled(e, "label", "vec_id", 20, 3) for _ in range(2))
+    same = one.join(again.withColumn("again", F.lit(1)), ["label", "vec_id"], "left")
+    return same.groupBy("label").agg(F.countDistinct("vec_id").alias("n"), F.count("again").alias("n_again"))
+
+
+def synthetic_vectors(spark, sf_dir):
+    """A thousand made-up vectors with noise and the queries made of them: how many, and whether they are as they should be."""
+    v = cut(sources.synthetic(spark, 1000, 8, noise=0.1))
+    q = sources.synthetic_queries(v, 20)
+    own = v.select(F.explode("embedding").alias("x")).agg(F.count(F.lit(1)).alias("n_numbers"), (F.abs(F.avg("x")) < 0.05).alias("centred"), F.stddev_pop("x").between(0.55, 0.61).alias("spread"))
+    drawn = q.select("qid", F.posexplode("embedding").alias("k", "x")).join(v.select(F.posexplode("embedding").alias("k", "x")).distinct(), ["k", "x"], "left_semi").agg(F.count(F.lit(1)).alias("n_drawn"))
+    return own.crossJoin(drawn)  # two single rows
 
 
 QUERIES = {
-    "exact_knn_graph": exact_knn_graph,
-    "range_knn_graph": range_knn_graph,
-    "range_knn_query": range_knn_query,
-    "radius_knn": radius_knn,
     "interval_index": interval_index_rows,
-    "index_node_lookup": index_node_lookup,
-    "range_graph_from_index": range_graph_from_index,
-    "raw_delta_range_graph": raw_delta_range_graph,
-    "partial_windows": partial_windows,
-    "cal_rectangle_lookup": cal_rectangle_lookup,
-    "multi_range_graph": multi_range_graph,
-    "l2_distance": l2_distance,
-    "inner_product_distance": inner_product_distance,
-    "subrange_distance": subrange_distance,
-    "l2_normalize": l2_normalize,
-    "integer_distance": integer_distance,
-    "argsort_array": argsort_array,
-    "post_filter_knn": post_filter_knn,
-    "pre_filter_knn": pre_filter_knn,
-    "knng_recall": knng_recall,
-    "approximation_ratio": approximation_ratio,
-    "knng_accuracy": knng_accuracy,
-    "reverse_graph": reverse_graph,
-    "prune_level1": prune_level1,
-    "prune_level2": prune_level2,
-    "two_hop_candidates": two_hop_candidates,
-    "rerank_graph": rerank_graph,
-    "upsert_delete_knn": upsert_delete_knn,
-    "index_size_stats": index_size_stats,
-    "index_integrity": index_integrity,
-    "append_maintenance": append_maintenance,
-    "time_key_range_graph": time_key_range_graph,
-    "value_key_range_graph": value_key_range_graph,
-    "nn_descent_graph": nn_descent_graph,
-    "lsh_knn_graph": lsh_knn_graph,
-    "beam_search": beam_search,
-    "approximate_index_graph": approximate_index_graph,
-    "graph_search": graph_search,
-    "diverse_neighbours": diverse_neighbours,
-    "quantized_range_search": quantized_range_search,
-}
+    **{
+        f.__name__: f
+        for f in (
+            exact_knn_graph, range_knn_graph, range_knn_query, radius_knn, index_node_lookup, range_graph_from_index, raw_delta_range_graph, partial_windows, cal_rectangle_lookup, multi_range_graph,
+            saved_index_range_graph, saved_index_multi_range, inner_product_range_graph, cosine_range_graph, sql_range_graph, next_neighbours,
+            l2_distance, inner_product_distance, subrange_distance, l2_normalize, integer_distance, argsort_array, split_keeping_empty, base100_ids, distinct_sample,
+            post_filter_knn, pre_filter_knn, knng_recall, approximation_ratio, knng_accuracy, merge_recall, count_precision, graph_delta,
+            reverse_graph, prune_level1, prune_level2, two_hop_candidates, rerank_graph, diverse_neighbours,
+            upsert_delete_knn, index_size_stats, index_integrity, index_profile, append_maintenance, index_repair, stream_append_index, time_key_range_graph, value_key_range_graph,
+            nn_descent_graph, nn_descent_recall, lsh_knn_graph, lsh_knn_recall, beam_search, beam_search_recall, approximate_index_graph, approximate_index_recall, graph_search, graph_search_recall,
+            layered_search, layered_search_recall, quantized_range_search, quantized_search_recall,
+            fvecs_file, raw_file, bvecs_file, headed_matrix_file, dense_text_file, word_text_file, tsv_file, keyed_csv_file, truth_file, truth_query_file,
+            graph_file, graph_file_without_distances, graph_text, vector_store_file, result_rows_file, index_experiment, range_experiment, synthetic_vectors,
+        )
+    },
+}

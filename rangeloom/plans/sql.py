@@ -13,8 +13,8 @@ def register(spark: SparkSession, vectors: DataFrame, index: DataFrame, prefix:
         CREATE OR REPLACE TEMPORARY FUNCTION {prefix}_l2sqr(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS DOUBLE
         RETURN aggregate(zip_with(CAST(a AS ARRAY<DOUBLE>), CAST(b AS ARRAY<DOUBLE>), (x, y) -> (x - y) * (x - y)), 0D, (s, t) -> s + t)""")
     spark.sql(f"""
-        CREATE OR REPLACE TEMPORARY FUNCTION {prefix}_neighbours(l INT, r INT, k INT)
-        RETURNS TABLE (node INT, nbr INT, dist DOUBLE, rank INT)
+        CREATE OR REPLACE TEMPORARY FUNCTION {prefix}_neighbours(l BIGINT, r BIGINT, k INT)
+        RETURNS TABLE (node BIGINT, nbr BIGINT, dist DOUBLE, rank INT)
         RETURN SELECT node, nbr, dist, rank FROM (
             SELECT node, nbr, dist, row_number() OVER (PARTITION BY node ORDER BY dist, nbr) AS rank FROM {prefix}_index
             WHERE node BETWEEN l AND r AND ((side = 'L' AND sub < l AND l <= nbr) OR (side = 'R' AND nbr <= r AND r < sub)))

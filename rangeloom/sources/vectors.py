@@ -1,5 +1,8 @@
 """Reading and writing vector sets.
 
+Rows come in file order; "the first n" of a text file are its first lines. A line that is empty is no row; a
+number that cannot be read is a null component, which the operators leave out with its vector.
+
 Text layouts go through Spark's own readers. The binary layouts (records of a dimension and that many
 floats or bytes; a headed matrix; raw rows) are a Python data source, ``vectors``, whose partitions seek
 to their own records, so a large file is read by many tasks. Its files must be where executors can
@@ -35,8 +38,8 @@ class _Part(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.path, self.layout = options["path"], options.get("layout", "fvecs")
+    def __init__(self, options: dict, first: int = 0):
+        self.path, self.layout, self.first = options["path"], options.get("layout", "fvecs"), first
         self.limit = int(options.get("limit", -1))
         fs, inner = _open(self.path)
         size = fs.get_file_info(inner).size
@@ -81,7 +84,30 @@ class _Reader(DataSourceReader):
                     raise ValueError(f"{self.path}: records of several dimensions")
                 values = raw[:, self.lead : self.lead + self.dim * self.type.itemsize].copy().view(self.type).astype(np.float32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, max(self.dim, 1)), pa.int32()), pa.array(values.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + n), pa.int64()), lists], names=["pos", "embedding"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + n) + self.first, pa.int64()), lists], names=["pos", "embedding"])
+
+
+class _Folder(DataSourceReader):
+    """The files of a folder, in order of their names, one after the other."""
+
+    def __init__(self, options: dict, paths: list[str]):
+        self.readers, limit = [], int(options.get("limit", -1))
+        for path in paths:
+            first = self.readers[-1].first + self.readers[-1].count if self.readers else 0
+            left = {} if limit < 0 else {"limit": str(max(limit - first, 0))}
+            self.readers.append(_Reader({**options, "path": path, **left}, first))
+
+    def partitions(self):
+        parts = []
+        for k, reader in enumerate(self.readers):
+            for p in reader.partitions():
+                p.file = k
+                parts.append(p)
+        return parts or [_Part(0, 0)]
+
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+        if self.readers:
+            yield from self.readers[partition.file].read(partition)
 
 
 class VectorSource(DataSource):
@@ -95,14 +121,20 @@ class VectorSource(DataSource):
         return "pos bigint, embedding array<float>"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(dict(self.options))
+        options = dict(self.options)
+        fs, inner = _open(options["path"])
+        if fs.get_file_info(inner).type != pafs.FileType.Directory:
+            return _Reader(options)
+        lead = options["path"][: len(options["path"]) - len(inner)] if options["path"].endswith(inner) else ""
+        found = fs.get_file_info(pafs.FileSelector(inner))
+        return _Folder(options, [lead + f.path for f in sorted(found, key=lambda f: f.path) if f.type == pafs.FileType.File and not f.base_name.startswith(("_", "."))])
 
 
 def binary(spark: SparkSession, path: str, layout: str, limit: int = -1, **options) -> DataFrame:
-    """pos, embedding of a binary file: fvecs, bvecs, lshkit, or raw (dim, skip, gap)."""
+    """pos, embedding of a binary file, or of a folder of such files: fvecs, bvecs, lshkit, or raw (dim, skip, gap)."""
     spark.dataSource.register(VectorSource)
     df = spark.read.format("vectors").options(layout=layout, limit=str(limit), **{k: str(v) for k, v in options.items()}).load(path)
-    return df.select(F.col("pos").cast("int").alias("pos"), "embedding")
+    return df
 
 
 def _floats(parts):
@@ -110,7 +142,8 @@ def _floats(parts):
 
 
 def _limited(df: DataFrame, limit: int) -> DataFrame:
-    return df if limit < 0 else df.limit(limit)
+    """The first rows in file order."""
+    return df if limit < 0 else df.withColumn("__line", F.monotonically_increasing_id()).orderBy("__line").limit(limit).drop("__line")
 
 
 def dense_text(spark: SparkSession, path: str, limit: int = -1) -> DataFrame:
@@ -134,18 +167,20 @@ def tsv(spark: SparkSession, path: str, limit: int = -1) -> DataFrame:
 def keyed_csv(spark: SparkSession, path: str, header: bool = False, limit: int = -1) -> DataFrame:
     """id, search_key, embedding: an id, a whole-number key, and a quoted vector with blanks. All values are read."""
     df = spark.read.option("header", header).option("quote", '"').csv(path).toDF("id", "key", "v")
-    return _limited(df.select("id", F.col("key").cast("int").alias("search_key"), _floats(F.split(F.trim("v"), " +")).alias("embedding")), limit)
+    return _limited(df.select("id", F.col("key").cast("bigint").alias("search_key"), _floats(F.split(F.trim("v"), " +")).alias("embedding")), limit)
 
 
 #: Names of public vector sets and the layouts they come in.
 DATASETS = {"local": "fvecs", "deep1b": "fvecs", "deep10m": "fvecs", "sift": "bvecs", "glove": "word", "ml25m": "text", "biggraph": "tsv", "yt8m": "csv"}
 
 
-def read(spark: SparkSession, dataset: str, path: str, limit: int = -1) -> DataFrame:
-    """A named set's file, or any file by the name of its layout."""
+def read(spark: SparkSession, dataset: str, path: str, limit: int = -1, **options) -> DataFrame:
+    """A named set's file, or any file by the name of its layout; ``raw`` needs ``dim`` and takes ``skip`` and ``gap``."""
     layout = DATASETS.get(dataset, dataset)
-    if layout in ("fvecs", "bvecs", "lshkit"):
-        return binary(spark, path, layout, limit)
+    if layout == "raw" and "dim" not in options:
+        raise ValueError("the layout raw needs dim, the numbers of a vector")
+    if layout in ("fvecs", "bvecs", "lshkit", "raw"):
+        return binary(spark, path, layout, limit, **options)
     readers = {"text": dense_text, "word": word_text, "tsv": tsv, "csv": keyed_csv}
     if layout not in readers:
         raise ValueError(f"unknown dataset or layout {dataset!r}; known: {sorted({*DATASETS, *DATASETS.values(), 'lshkit', 'raw'})}")
@@ -154,14 +189,14 @@ def read(spark: SparkSession, dataset: str, path: str, limit: int = -1) -> DataF
 
 def truth_lists(spark: SparkSession, path: str) -> DataFrame:
     """ids of each line of a ground-truth text file."""
-    return spark.read.text(path).where("trim(value) <> ''").select(F.transform(F.split(F.trim("value"), " +"), lambda x: x.cast("int")).alias("nbrs"))
+    return spark.read.text(path).where("trim(value) <> ''").select(F.transform(F.split(F.trim("value"), " +"), lambda x: x.cast("bigint")).alias("nbrs"))
 
 
 def truth_queries(spark: SparkSession, path: str) -> DataFrame:
     """qid, l, r, nbrs: range queries with their true neighbours in the seventh column."""
     df = spark.read.option("quote", '"').csv(path)
     c = df.columns
-    return df.select(F.col(c[0]).cast("int").alias("qid"), F.col(c[1]).cast("int").alias("l"), F.col(c[2]).cast("int").alias("r"), F.transform(F.split(F.trim(F.col(c[6])), " +"), lambda x: x.cast("int")).alias("nbrs"))
+    return df.select(F.col(c[0]).cast("int").alias("qid"), F.col(c[1]).cast("bigint").alias("l"), F.col(c[2]).cast("bigint").alias("r"), F.transform(F.split(F.trim(F.col(c[6])), " +"), lambda x: x.cast("bigint")).alias("nbrs"))
 
 
 def write_text(vectors: DataFrame, path: str) -> None:
@@ -169,11 +204,56 @@ def write_text(vectors: DataFrame, path: str) -> None:
     vectors.select(F.concat_ws(" ", F.transform("embedding", lambda x: x.cast("string")))).write.mode("append").text(path)
 
 
+def write_truth(graph: DataFrame, path: str) -> None:
+    """A K-NN graph (node, nbr, rank) added as lines of ground truth: the node, then its neighbours, nearest first."""
+    lists = graph.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "nbr"))), lambda p: p["nbr"].cast("string")).alias("n"))
+    lists.orderBy("node").select(F.concat_ws(" ", F.col("node").cast("string"), "n")).write.mode("append").text(path)
+
+
+def write_matrix(vectors: DataFrame, path: str, layout: str = "lshkit") -> None:
+    """Vectors (pos, embedding) in order of position as a folder of headed matrices, fvecs or bvecs files, one a task; ``binary`` reads them as one. A task that comes again writes the same file."""
+    if layout not in ("lshkit", "fvecs", "bvecs"):
+        raise ValueError(f"cannot write layout {layout!r}")
+    fs, inner = _open(path)
+    fs.create_dir(inner, recursive=True)
+    fs.delete_dir_contents(inner)
+    width = vectors.select(F.size("embedding").alias("d")).first()
+    dim = int(width["d"]) if width else 0
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        fs, inner = _open(path)
+        held = [b for b in batches if b.num_rows]
+        n = sum(b.num_rows for b in held)
+        if n:
+            with fs.open_output_stream(f"{inner.rstrip('/')}/part-{TaskContext.get().partitionId():06d}.{layout}") as f:
+                if layout == "lshkit":
+                    f.write(struct.pack("<III", 4, n, dim))
+                for b in held:
+                    x = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(b.num_rows, -1)
+                    if x.shape[1] != dim:
+                        raise ValueError("vectors of several lengths")
+                    if layout == "fvecs":
+                        x = np.concatenate([np.full((len(x), 1), dim, dtype="<i4").view("<f4"), x], axis=1)
+                    if layout == "bvecs":
+                        x = np.concatenate([np.full((len(x), 1), dim, dtype="<i4").view(np.uint8), x.astype(np.uint8)], axis=1)
+                    f.write(x.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    dealt = vectors.select("pos", "embedding").repartitionByRange("pos").sortWithinPartitions("pos")
+    dealt.mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+
+
 def synthetic(spark: SparkSession, n: int, dimensions: int, noise: float = 0.0, seed: int = 1) -> DataFrame:
-    """pos, embedding: ``n`` vectors uniform in (-1, 1), and Gaussian noise of ``noise`` times their spread (that of the distribution)."""
-    spread = noise / 3**0.5
-    values = [(F.rand(seed * 1000 + k) * 2 - 1 + (F.randn(seed * 1000 + 500 + k) * spread if noise else F.lit(0.0))).cast("float") for k in range(dimensions)]
-    return spark.range(n).select(F.col("id").cast("int").alias("pos"), F.array(*values).alias("embedding"))
+    """pos, embedding: ``n`` vectors uniform in (-1, 1), and Gaussian noise of ``noise`` times the standard deviation of all their numbers."""
+    plain = [F.rand(seed * 1000 + k) * 2 - 1 for k in range(dimensions)]
+    spread = 0.0
+    if noise and n and dimensions:
+        numbers = spark.range(n).select(F.explode(F.array(*plain)).alias("x"))
+        spread = float(numbers.agg(F.stddev_pop("x")).first()[0])
+    values = [(c + (F.randn(seed * 1000 + 500 + k) * (noise * spread) if noise else F.lit(0.0))).cast("float") for k, c in enumerate(plain)]
+    return spark.range(n).select(F.col("id").alias("pos"), F.array(*values).alias("embedding"))
 
 
 def synthetic_queries(vectors: DataFrame, n: int, seed: int = 1) -> DataFrame:
@@ -182,8 +262,8 @@ def synthetic_queries(vectors: DataFrame, n: int, seed: int = 1) -> DataFrame:
     many = vectors.count()
     first = vectors.select(F.size("embedding").alias("d")).first()
     if not many:
-        return spark.range(0).select(F.col("id").cast("int").alias("qid"), F.array().cast("array<float>").alias("embedding"))
-    wanted = spark.range(n).select(F.col("id").cast("int").alias("qid"), F.explode(F.sequence(F.lit(0), F.lit(first["d"] - 1))).alias("k"))
-    wanted = wanted.withColumn("pos", F.pmod(F.xxhash64("qid", "k", F.lit(seed)), F.lit(many)).cast("int"))
+        return spark.range(0).select(F.col("id").alias("qid"), F.array().cast("array<float>").alias("embedding"))
+    wanted = spark.range(n).select(F.col("id").alias("qid"), F.explode(F.sequence(F.lit(0), F.lit(first["d"] - 1))).alias("k"))
+    wanted = wanted.withColumn("pos", F.pmod(F.xxhash64("qid", "k", F.lit(seed)), F.lit(many)))
     drawn = wanted.join(vectors.select("pos", "embedding"), "pos").select("qid", "k", F.element_at("embedding", F.col("k") + 1).alias("x"))
     return drawn.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias("embedding"))

@@ -1,8 +1,13 @@
 """Keeping an interval index up to date from a stream of vectors with growing keys.
 
-Each micro-batch is ordered by key, its vectors get the next positions, and the index is changed for
-them in turn; every state is a folder of its own, and the newest one's name is written last, so a batch
-that is lost halfway, or comes again, changes nothing twice. Keys must arrive in order of batches.
+Each micro-batch is ordered by key and its vectors get the next positions. A batch writes only what is new:
+its vectors, the rows that can change no more, and the open right rows (a node's K nearest on that side) of
+the nodes that it reached; of a node's open rows the newest batch's hold. A note of the batch is written
+last, so a batch that is lost halfway, or comes again, changes nothing twice; its number is the version.
+Every ``compact_every`` batches the open rows of all nodes are written anew, so that few files are read.
+
+Keys must come in order: a batch with a key below the largest so far is refused, since it would move
+positions. Vectors that cannot be compared keep a position and have no rows.
 """
 
 from __future__ import annotations
@@ -10,50 +15,78 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
 from ..operators import interval_index
-from ..plans.lineage import cut
+from ..operators.keys import rank
+from ..plans.lineage import cut, file_system
+
+COMPACT_EVERY = 16
 
 
 class Maintainer:
     """The vectors and the index under ``path``, after the newest batch."""
 
-    def __init__(self, spark: SparkSession, path: str, k: int):
-        self.spark, self.path, self.k = spark, path.rstrip("/"), k
+    def __init__(self, spark: SparkSession, path: str, k: int, compact_every: int = COMPACT_EVERY):
+        self.spark, self.path, self.k, self.compact_every = spark, path.rstrip("/"), k, compact_every
+
+    def _versions(self) -> list[tuple[int, bool]]:
+        """The batches that are done and whether each holds all open rows."""
+        fs, at = file_system(self.spark, f"{self.path}/done")
+        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted((int(n.removesuffix("-whole")), n.endswith("-whole")) for n in names)
 
-    def _versions(self) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/done")
-        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return sorted(int(s.getPath().getName()) for s in fs.listStatus(folder)) if fs.exists(folder) else []
+    def _read(self, what: str, versions: list[int], schema: str) -> DataFrame:
+        out = None
+        for v in versions:
+            df = self.spark.read.schema(schema).parquet(f"{self.path}/{v}/{what}").withColumn("version", F.lit(v))
+            out = df if out is None else out.unionByName(df)
+        return out if out is not None else self.spark.createDataFrame([], schema + ", version int")
 
     def vectors(self) -> DataFrame:
-        v = self._versions()
-        return self.spark.read.parquet(f"{self.path}/{v[-1]}/vectors") if v else self.spark.createDataFrame([], "pos int, id bigint, embedding array<float>")
+        return self._read("vectors", [v for v, _ in self._versions()], self._vectors_schema()).drop("version")
+
+    def _vectors_schema(self) -> str:
+        done = self._versions()
+        if not done:
+            return "pos bigint, id bigint, search_key bigint, embedding array<float>"
+        return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self.spark.read.parquet(f"{self.path}/{done[0][0]}/vectors").schema)
+
+    def _open(self) -> DataFrame:
+        done = self._versions()
+        first = max((v for v, whole in done if whole), default=-1)
+        rows = self._read("open", [v for v, _ in done if v >= first], interval_index.SCHEMA)
+        newest = F.max("version").over(Window.partitionBy("node"))
+        return rows.withColumn("newest", newest).where("version = newest").drop("version", "newest")
 
     def index(self) -> DataFrame:
-        v = self._versions()
-        return self.spark.read.parquet(f"{self.path}/{v[-1]}/index") if v else self.spark.createDataFrame([], interval_index.SCHEMA)
+        closed = self._read("closed", [v for v, _ in self._versions()], interval_index.SCHEMA).drop("version")
+        return closed.unionByName(self._open().where(F.col("nbr").isNotNull()))
 
     def add(self, batch: DataFrame, version: int) -> None:
         """Add rows (id, search_key, embedding) as batch number ``version``."""
-        if version in self._versions():
+        done = self._versions()
+        if version in (v for v, _ in done):
             return
-        old, index = self.vectors(), self.index()
-        base = old.count()
-        from ..operators.keys import rank
-
-        fresh = cut(rank(batch.select("id", "search_key", "embedding"), "search_key", "id").withColumn("pos", F.col("pos") + F.lit(base)).select("pos", "id", "embedding"))
-        every = cut(old.unionByName(fresh))
-        n = fresh.count()
-        if base and n <= 8:
-            for p in range(base, base + n):
-                index = cut(interval_index.append(index, every.where(F.col("pos") < p), every.where(F.col("pos") == p), self.k))
-        elif n:
-            index = interval_index.build(every, self.k)
-        every.write.mode("overwrite").parquet(f"{self.path}/{version}/vectors")
-        index.write.mode("overwrite").parquet(f"{self.path}/{version}/index")
-        self.spark.range(1).write.mode("overwrite").parquet(f"{self.path}/done/{version}")
+        old = self.vectors()
+        before = old.agg(F.count(F.lit(1)).alias("n"), F.max("search_key").alias("key")).first()
+        fresh = cut(rank(batch.select("id", "search_key", "embedding"), "search_key", "id").select((F.col("pos") + F.lit(before["n"])).alias("pos"), "id", "search_key", "embedding"))
+        least = fresh.agg(F.min("search_key")).first()[0]
+        if before["key"] is not None and least is not None and least < before["key"]:
+            raise ValueError(f"a key of batch {version}, {least!r}, is below {before['key']!r}: keys must come in order")
+        fresh.write.mode("overwrite").parquet(f"{self.path}/{version}/vectors")
+        rows = cut(interval_index.appended(self._open().where(F.col("nbr").isNotNull()), old, fresh, self.k)) if fresh.count() else self.spark.createDataFrame([], interval_index.SCHEMA)
+        rows.where(~interval_index.is_open()).write.mode("overwrite").parquet(f"{self.path}/{version}/closed")
+        # A node whose open rows all closed is noted as having none.
+        now = rows.where(interval_index.is_open())
+        none = rows.select("node").distinct().join(now.select("node"), "node", "left_anti")
+        empty = none.select("node", *[F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in interval_index.SCHEMA.split(", ")[1:]])
+        changed = now.unionByName(empty)
+        whole = len(done) % self.compact_every == self.compact_every - 1
+        if whole:
+            changed = self._open().join(rows.select("node").distinct(), "node", "left_anti").unionByName(changed).where(F.col("nbr").isNotNull())
+        changed.write.mode("overwrite").parquet(f"{self.path}/{version}/open")
+        self.spark.range(1).write.mode("overwrite").parquet(f"{self.path}/done/{version}{'-whole' if whole else ''}")
 
     def start(self, stream: DataFrame, checkpoint: str, once: bool = True) -> StreamingQuery:
         """Follow a streaming DataFrame (id, search_key, embedding)."""

@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rangeloom.operators import exact, interval_index, keys, metrics, nndescent, rectangles, store
+from rangeloom.operators import exact, interval_index, keys, metrics, nndescent, rectangles, search, store
 from rangeloom.plans import sql
 from rangeloom.streaming.append import Maintainer
 
@@ -14,7 +14,7 @@ K = 3
 
 
 def frame(spark, x):
-    return spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "pos int, embedding array<float>")
+    return spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "pos bigint, embedding array<float>")
 
 
 @pytest.fixture(scope="module")
@@ -88,17 +88,127 @@ def test_rectangles(vectors):
         assert got == {a: s for a, s in want.items() if high - low >= K}
 
 
-def test_append_equals_rebuild(spark, vectors):
+def rows_of(df):
+    return sorted((r.node, r.side, r.nbr, r["sub"]) for r in df.collect())
+
+
+@pytest.mark.parametrize("sizes", [(1, 1), (7, 12)])
+def test_append_equals_rebuild(spark, vectors, sizes):
+    x, v = vectors
+    index, n = interval_index.build(v.where("pos < 20"), K), 20
+    for m in sizes:
+        index = spark.createDataFrame(interval_index.append(index, v.where(F.col("pos") < n), v.where(F.col("pos").between(n, n + m - 1)), K).toPandas(), interval_index.SCHEMA)
+        n += m
+    assert rows_of(index) == rows_of(interval_index.build(v.where(F.col("pos") < n), K))
+
+
+def test_repair_equals_rebuild(spark, vectors, index):
     x, v = vectors
-    index = interval_index.build(v.where("pos < 20"), K)
-    for p in (20, 21):
-        index = spark.createDataFrame(interval_index.append(index, v.where(F.col("pos") < p), v.where(F.col("pos") == p), K).toPandas(), interval_index.SCHEMA)
-    key = lambda df: sorted((r.node, r.side, r.nbr, r["sub"]) for r in df.collect())
-    assert key(index) == key(interval_index.build(v.where("pos < 22"), K))
+    changed, gone = [3, 30, 31, 59], [0, 12, 44]
+    now = v.where(~F.col("pos").isin(gone)).withColumn("embedding", F.when(F.col("pos").isin(changed), F.reverse("embedding")).otherwise(F.col("embedding")))
+    got = interval_index.repair(index[0], now, spark.createDataFrame([(p,) for p in changed + gone], "pos bigint"), K)
+    assert rows_of(got) == rows_of(interval_index.build(now, K))
+
+
+@pytest.mark.parametrize("name", ["ip", "cosine", "l2"])
+def test_metrics_of_choice(vectors, name):
+    x, v = vectors
+    low, high = 10, 40
+    x = x.astype(float)
+    size = np.sqrt((x**2).sum(axis=1))
+    dots = x @ x.T
+    d = {"ip": 1 - dots, "cosine": 1 - np.divide(dots, size[:, None] * size, out=np.zeros_like(dots), where=size[:, None] * size > 0), "l2": np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))}[name]
+    want = {(a, r): d[a, b] for a in range(low, high + 1) for r, b in enumerate(sorted((b for b in range(low, high + 1) if b != a), key=lambda b: (d[a, b], b))[:K], 1)}
+    for g in (interval_index.graph(interval_index.build(v, K, name=name), K, low, high), exact.graph(v, K, low, high, name=name)):
+        got = {(r.node, r.rank): r.dist for r in g.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)  # ties may fall either way by rounding
+    graph, _ = nndescent.build(v, nndescent.Params(k=K, keep=3 * K, rounds=8, name=name))
+    best = {(r.node, r.rank): r.dist for r in exact.graph(v, K, name=name).collect()}
+    near = {(r.node, r.rank): r.dist for r in nndescent.truncated(graph, K).collect()}
+    assert np.mean([abs(near[k] - best[k]) < 1e-9 for k in best]) > 0.9
+
+
+BAD = [None, [], [1.0, None, 0.0, 0.0], [float("nan")] * 4, [float("inf"), 0.0, 0.0, 0.0]]
+
+
+def test_vectors_that_cannot_be_compared(spark, vectors):
+    """Nulls, empty ones, null and non-finite components keep their positions, and are in no result; several lengths are refused."""
+    x, v = vectors
+    rows = [(k, [float(a) for a in row]) for k, row in enumerate(x[:30])]
+    mixed = spark.createDataFrame([r for k, r in enumerate(rows) if k % 6] + [(6 * k, b) for k, b in enumerate(BAD)], "pos bigint, embedding array<float>")
+    sound = spark.createDataFrame([r for k, r in enumerate(rows) if k % 6], "pos bigint, embedding array<float>")
+    assert rows_of(interval_index.build(mixed, K)) == rows_of(interval_index.build(sound, K)) == rows_of(interval_index.build_by_windows(mixed, K))
+    assert triples(exact.graph(mixed, K)) == triples(exact.graph(sound, K))
+    assert triples(exact.graph(mixed, K, nodes=mixed.where("pos < 9"))) == triples(exact.graph(sound, K, nodes=sound.where("pos < 9")))
+    assert [r.pos for r in exact.query(mixed, rows[1][1], 5).collect()] == [r.pos for r in exact.query(sound, rows[1][1], 5).collect()]
+    assert rows_of(interval_index.build_near(mixed, nndescent.segments(mixed, 2 * K), K)) == rows_of(interval_index.build(sound, K))
+    edges = exact.graph(sound, 2 * K)
+    assert triples(nndescent.diverse(edges, mixed, K)) == triples(nndescent.diverse(edges, sound, K))
+    assert triples(exact.rerank(edges, mixed, K)) == triples(exact.rerank(edges, sound, K))
+    assert {r.node for r in nndescent.build(mixed, nndescent.Params(k=K, keep=9, rounds=3))[0].collect()} <= {r[0] for r in rows if r[0] % 6}
+    assert {r.node for r in nndescent.hashed_graph(mixed, K).collect()} == {r[0] for r in rows if r[0] % 6}
+    assert [r.pos for r in search.graph_search(edges, mixed, rows[1][1], 5).collect()] == [r.pos for r in exact.query(sound, rows[1][1], 5).collect()]
+    pq = search.ProductQuantizer(parts=2, centres=8).fit(mixed)
+    assert {r.pos for r in pq.encode(mixed).collect()} == {r[0] for r in rows if r[0] % 6}
+    assert rectangles.build(mixed, K).count() == rectangles.build(sound, K).count()
+    none = mixed.where("pos % 6 = 0")
+    for empty in (exact.graph(none, K), interval_index.build(none, K), exact.query(none, rows[1][1], 5), nndescent.hashed_graph(none, K), nndescent.build(none)[0], search.layered(none), rectangles.build(none, K)):
+        assert empty.count() == 0
+    for ragged in ([(0, [1.0, 2.0]), (1, [1.0])], [(0, [1.0, 2.0, 3.0]), (1, [1.0])]):
+        with pytest.raises(Exception, match="length"):
+            exact.graph(spark.createDataFrame(ragged, "pos bigint, embedding array<float>"), K).collect()
+
+
+def test_a_range_far_from_zero(spark, vectors):
+    """Positions beyond 32 bits, with gaps: nothing depends on where they begin."""
+    x, v = vectors
+    base = 5 * 10**9
+    far = v.select((F.col("pos") * 3 + base).alias("pos"), "embedding")
+    assert triples(exact.graph(far, K)) == {((a * 3) + base, (b * 3) + base, r) for a, b, r in brute(x, 0, 59)}
+    index = interval_index.build(far, K)
+    assert triples(interval_index.graph(index, K, base + 30, base + 120)) == {((a * 3) + base, (b * 3) + base, r) for a, b, r in brute(x, 10, 40)}
+    graph, _ = nndescent.build(far, nndescent.Params(k=K, keep=9, rounds=8))
+    want = {(r.node, r.rank): r.dist for r in exact.graph(far, K).collect()}
+    got = {(r.node, r.rank): r.dist for r in nndescent.truncated(graph, K).collect()}
+    assert np.mean([got.get(k) == d for k, d in want.items()]) > 0.9
+
+
+def test_pruning_by_the_pruned_graph(spark):
+    """Edge by edge in order of rank and node: one goes if two that were kept lead the same way."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((120, 3))
+    graph = exact.graph(frame(spark, x), 9)
+    edges = sorted((r.rank, r.node, r.nbr) for r in graph.collect())
+    kept: dict[int, set[int]] = {}
+    for _, node, nbr in edges:
+        if not any(nbr in kept.get(m, ()) for m in kept.get(node, ())):
+            kept.setdefault(node, set()).add(nbr)
+    assert {(r.node, r.nbr) for r in nndescent.without_detours(graph).collect()} == {(a, b) for a, s in kept.items() for b in s}
+
+
+def test_pages(vectors):
+    x, v = vectors
+    point = [float(a) for a in x[5]]
+    pages = [[(r.pos, r.rank) for r in p.orderBy("rank").collect()] for p in exact.pages(v, point, 7, 3, 30)]
+    assert [len(p) for p in pages] == [7, 7, 7, 7]
+    assert [r for p in pages for r in p] == [(r.pos, r.rank) for r in exact.query(v, point, 99, 3, 30).collect()]
+
+
+def test_layers(spark):
+    x = np.random.default_rng(3).standard_normal((300, 6))
+    v = frame(spark, x)
+    layers = search.layered(v, search.Layers(m=5, candidates=20)).cache()
+    per = {(r.level, r.node): r["count"] for r in layers.groupBy("level", "node").count().collect()}
+    assert all(n <= (10 if level == 0 else 5) for (level, _), n in per.items()) and {level for level, _ in per} >= {0, 1}
+    above = {(r.level, r.node) for r in layers.select("level", "node").distinct().collect()}
+    assert all((0, node) in above for _, node in above)
+    for q in (3, 77):
+        want = {r.pos for r in exact.query(v, x[q].tolist(), 10).collect()}
+        assert len(want & {r.pos for r in search.layered_search(layers, v, x[q].tolist(), 10).collect()}) >= 9
 
 
 def test_empty_and_single(spark):
-    empty = spark.createDataFrame([], "pos int, embedding array<float>")
+    empty = spark.createDataFrame([], "pos bigint, embedding array<float>")
     assert interval_index.build(empty, K).count() == 0
     assert exact.graph(empty, K).count() == 0
     one = frame(spark, np.ones((1, 4)))
@@ -117,7 +227,45 @@ def test_rank(spark):
 def test_save_and_load(spark, index, tmp_path):
     store.save_index(index[0], str(tmp_path / "ix"))
     assert store.load_index(spark, str(tmp_path / "ix"), 0, 59).count() == len(index[1])
-    assert store.integrity(index[0]).first().asDict() == {"wrong_side": 0, "wrong_bound": 0, "own": 0}
+    found = store.integrity(index[0], K).first().asDict()
+    assert found.pop("n_rows") == len(index[1]) and set(found.values()) == {0}
+    bad = index[0].limit(1).select("node", "side", F.col("node").alias("nbr"), "dist", "sub")
+    wrong = store.integrity(index[0].unionByName(bad).unionByName(index[0].where("node = 30")), K).first()
+    assert wrong.own == 1 and wrong.wrong_side == 1 and wrong.repeated > 0 and wrong.crowded > 0
+
+
+def test_saved_things_are_checked(spark, index, tmp_path):
+    path = str(tmp_path / "g")
+    with pytest.raises(ValueError, match="nothing was saved"):
+        store.load_graph(spark, path)
+    edges = spark.createDataFrame([(0, 1, 0.5, 1), (1, 0, 0.5, 1)], "node bigint, nbr bigint, dist double, rank int")
+    store.save_graph(edges, path)
+    assert sorted(store.load_graph(spark, path).collect()) == sorted(edges.collect())
+    with pytest.raises(ValueError, match="holds 'graph'"):
+        store.load_vectors(spark, path)
+    edges.limit(1).write.mode("append").parquet(f"{path}/data")
+    with pytest.raises(ValueError, match="corrupt"):
+        store.load_graph(spark, path)
+    store.save_graph(edges, path)
+    later = spark.read.json(f"{path}/about").withColumn("format", F.lit(99).cast("bigint")).collect()
+    spark.createDataFrame(later).write.mode("overwrite").json(f"{path}/about")
+    with pytest.raises(ValueError, match="later"):
+        store.load_graph(spark, path)
+
+
+def test_range_reads_little_of_a_saved_index(spark, index, tmp_path):
+    """The folders of other nodes are left out, and the bounds reach the files."""
+    wide = index[0].unionByName(index[0].withColumn("node", F.col("node") + 3 * store.NODES_A_FOLDER))
+    store.save_index(wide, str(tmp_path / "ix"))
+    graph = interval_index.graph(store.load_index(spark, str(tmp_path / "ix"), 10, 40), K, 10, 40)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    plan = graph._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scans = [line for line in plan.split("\n") if "FileScan" in line]
+    assert len(scans) == 2 and all("PartitionFilters: [isnotnull(block" in s for s in scans)
+    pushed = [s.split("PushedFilters: ")[1] for s in scans]
+    assert all("GreaterThanOrEqual(node,10)" in s and "LessThanOrEqual(node,40)" in s for s in pushed)
+    assert any("LessThan(sub,10)" in s and "GreaterThanOrEqual(nbr,10)" in s for s in pushed) and any("GreaterThan(sub,40)" in s and "LessThanOrEqual(nbr,40)" in s for s in pushed)
 
 
 def test_sql_surface(spark, vectors, index):
@@ -129,16 +277,30 @@ def test_sql_surface(spark, vectors, index):
 def test_stream(spark, tmp_path):
     x = np.random.default_rng(1).standard_normal((30, 4))
     folder = tmp_path / "in"
-    rows = lambda a, b: spark.createDataFrame([(k, k, [float(v) for v in x[k]]) for k in range(a, b)], "id bigint, search_key int, embedding array<float>")
+    rows = lambda a, b: spark.createDataFrame([(k, k, [float(v) for v in x[k]]) for k in range(a, b)], "id bigint, search_key bigint, embedding array<float>")
     keeper = Maintainer(spark, str(tmp_path / "state"), K)
     for a, b in ((0, 25), (25, 27), (27, 30)):
         rows(a, b).coalesce(1).write.mode("append").parquet(str(folder))
-        stream = spark.readStream.schema("id bigint, search_key int, embedding array<float>").parquet(str(folder))
+        stream = spark.readStream.schema("id bigint, search_key bigint, embedding array<float>").parquet(str(folder))
         keeper.start(stream, str(tmp_path / "progress")).awaitTermination()
     want = interval_index.build(keeper.vectors(), K).toPandas()
     key = ["node", "side", "nbr", "sub"]
     assert keeper.vectors().count() == 30
     assert sorted(map(tuple, keeper.index().toPandas()[key].values)) == sorted(map(tuple, want[key].values))
+    with pytest.raises(ValueError, match="in order"):
+        keeper.add(rows(3, 4), 99)
+
+
+def test_stream_state_is_compacted(spark, tmp_path):
+    """Open rows of all nodes are written anew now and then; batches that come again change nothing; an empty one neither."""
+    x = np.random.default_rng(2).integers(0, 4, (24, 3))
+    keeper = Maintainer(spark, str(tmp_path / "state"), K, compact_every=2)
+    rows = lambda a, b: spark.createDataFrame([(k, k, [float(v) for v in x[k]]) for k in range(a, b)], "id bigint, search_key bigint, embedding array<float>")
+    for version, (a, b) in enumerate([(0, 9), (9, 10), (10, 10), (10, 16), (16, 24)]):
+        for _ in range(2):
+            keeper.add(rows(a, b), version)
+    assert [whole for _, whole in keeper._versions()] == [False, True, False, True, False]
+    assert rows_of(keeper.index()) == rows_of(interval_index.build(keeper.vectors(), K))
 
 
 def test_metrics(spark):
@@ -148,5 +310,12 @@ def test_metrics(spark):
     assert metrics.graph_recall(truth, found).first().asDict() == {"hits": 1, "recall": 1 / 3, "precision": 0.5}
     ratios = {r.qid: r.ratio for r in metrics.approximation_ratio(truth.withColumnRenamed("node", "qid"), found.withColumnRenamed("node", "qid")).collect()}
     assert ratios == {0: 2.0, 1: 0.0}
-    assert {r.node: r.recall for r in metrics.distance_recall(truth, found).collect()} == {0: 0.5, 1: 0.0}
+    assert {r.node: (r.recall, r.unstable) for r in metrics.distance_recall(truth, found).collect()} == {0: (0.5, 0), 1: (0.0, 0)}
     assert metrics.accuracy(truth, found).first().asDict() == {"error": 0.5, "one_recall": 1.0}
+    # Equal distances meet one by one; a found one that is too small is told; true distances of 0 are left out.
+    ties = spark.createDataFrame([(0, 1, 1.0, 1), (0, 2, 1.0, 2)], edge)
+    assert metrics.distance_recall(ties, ties.limit(1)).first().recall == 0.5
+    assert metrics.distance_recall(ties, ties.withColumn("dist", F.lit(0.5))).first().unstable == 2
+    zero = spark.createDataFrame([(0, 1, 0.0, 1), (0, 2, 2.0, 2)], edge)
+    assert metrics.accuracy(zero, zero.withColumn("dist", F.col("dist") + 1)).first().asDict() == {"error": 0.5, "one_recall": 0.0}
+    assert metrics.delta(truth.withColumn("is_new", F.col("nbr") == 1), 2).first().delta == 0.25

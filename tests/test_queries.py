@@ -41,63 +41,58 @@ def truth(spark):
     return {(r.node, r.nbr) for r in q.exact_knn_graph(spark, SF).collect()}
 
 
-@pytest.mark.parametrize(("name", "least"), [("nn_descent_graph", 0.9), ("lsh_knn_graph", 0.5)])
-def test_recall(spark, truth, name, least):
-    found = {(r.node, r.nbr) for r in catalog.queries()[name](spark, SF).collect()}
-    assert len(found & truth) / len(truth) >= least
-
-
-@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
-def test_hashed_recall(spark, sf):
-    want, found = ({(r.node, r.nbr) for r in f(spark, f"/root/testdata/{sf}").collect()} for f in (q.exact_knn_graph, q.lsh_knn_graph))
-    print("recall", sf, len(want & found) / len(want))
+@pytest.mark.parametrize("name", ["nn_descent_graph", "lsh_knn_graph"])
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_recall(spark, name, sf):
+    want, found = ({(r.node, r.nbr) for r in f(spark, f"/root/testdata/{sf}").collect()} for f in (q.exact_knn_graph, catalog.queries()[name]))
+    print("recall", name, sf, len(want & found) / len(want))
     assert len(want & found) >= 0.9 * len(want)
 
 
 def test_approximate_index_recall(spark):
-    want, found = ({(r.node, r.nbr) for r in f(spark, SF).collect()} for f in (q.range_knn_graph, q.approximate_index_graph))
-    print("recall of approximate_index_graph", len(want & found) / len(want))
-    assert len(want & found) >= 0.9 * len(want)
+    """On the larger table, over a tenth of the keys, two fifths, and all."""
+    v, index = q._near_index(spark, "/root/testdata/sf0.1")
+    index, n = q.cut(index), v.count()
+    for low, high in ((100, 299), q.middle(n), (0, n - 1)):
+        want, found = ({(r.node, r.nbr) for r in g.collect()} for g in (q.exact.graph(v, q.K, low, high), q.interval_index.graph(index, q.K, low, high)))
+        print("recall", low, high, len(want & found) / len(want))
+        assert len(want & found) >= 0.9 * len(want)
 
 
-def test_hashed_graph_in_parts(spark):
+def test_parts_and_cells_do_not_matter(spark):
+    """The same neighbours however a cell is cut; many small cells find fewer, and descent the rest."""
     v = q.by_label(spark, SF)
-    assert q.edges(q.nndescent.hashed_graph(v, q.K, rows=7)).exceptAll(q.lsh_knn_graph(spark, SF)).count() == 0
+    assert q.edges(q.nndescent.hashed_edges(v, q.K, rows=7)).exceptAll(q.edges(q.nndescent.hashed_edges(v, q.K))).count() == 0
 
 
-def test_beam_search(spark):
-    exact_ = {r.pos for r in q.range_knn_query(spark, SF).collect()}
-    assert len(exact_ & {r.pos for r in q.beam_search(spark, SF).collect()}) >= 8
+@pytest.mark.parametrize(("truth", "name"), [("range_knn_query", "beam_search"), ("range_knn_query", "quantized_range_search")])
+def test_searches(spark, truth, name):
+    want, found = ({r.pos for r in catalog.queries()[n](spark, SF).collect()} for n in (truth, name))
+    assert len(want & found) >= 9
 
 
-def test_graph_search(spark):
+@pytest.mark.parametrize("name", ["graph_search", "layered_search"])
+def test_graph_searches(spark, name):
     v = q.by_label(spark, SF)
     want = {r.pos for r in q.exact.query(v, q.point(v, 250), 10).collect()}
-    assert len(want & {r.pos for r in q.graph_search(spark, SF).collect()}) >= 8
-
-
-def test_approximate_index(spark):
-    want = {(r.node, r.nbr) for r in q.range_knn_graph(spark, SF).collect()}
-    assert len(want & {(r.node, r.nbr) for r in q.approximate_index_graph(spark, SF).collect()}) >= 0.7 * len(want)
-
-
-def test_quantized_search(spark):
-    exact_ = {r.pos for r in q.range_knn_query(spark, SF).collect()}
-    assert len(exact_ & {r.pos for r in q.quantized_range_search(spark, SF).collect()}) >= 4
-
-
-def test_pruning_keeps_the_nearest_and_cuts_detours(spark):
-    graph = q.exact_knn_graph(spark, SF).toPandas()
-    kept = q.prune_level2(spark, SF).toPandas()
-    edges = {n: set(g.nbr) for n, g in graph.groupby("node")}
-    for node, own in list(kept.groupby("node"))[:40]:
-        near = []
-        for nbr in graph[graph.node == node].sort_values("rank").nbr:
-            if not any(nbr in edges[m] for m in near):
-                near.append(nbr)
-        assert near == list(own.sort_values("rank").nbr)
-
-
-def test_diverse_neighbours(spark):
-    rows = q.diverse_neighbours(spark, SF).toPandas()
-    assert rows.groupby("node").size().eq(q.K).all()
+    assert len(want & {r.pos for r in catalog.queries()[name](spark, SF).collect()}) >= 9
+
+
+def test_graph_search_as_defined(spark):
+    """Trials, starts that are given, the largest distance, and the exact scan where there are as many starts as vectors."""
+    v = q.by_label(spark, SF).cache()
+    graph = q.nndescent.with_reverse(q.exact.graph(v, q.K)).cache()
+    exact_ = [(r.pos, r.rank) for r in q.exact.query(v, q.point(v, 9), 5).collect()]
+    info = {}
+    found = q.search.graph_search(graph, v, q.point(v, 9), 5, q.search.Search(starts=500), info=info)
+    assert info["stop"] == "exact" and [(r.pos, r.rank) for r in found.collect()] == exact_
+    found = q.search.graph_search(graph, v, q.point(v, 9), 5, q.search.Search(starts=3, trials=3, width=40), info=info)
+    assert info["hops"] > 3 and info["cost"] > 0 and len({r.pos for r in found.collect()} & {p for p, _ in exact_}) >= 4
+    found = q.search.graph_search(graph, v, q.point(v, 9), 5, q.search.Search(epsilon=0.0), starts=[0, 400])
+    assert [r.pos for r in found.collect()] == [9]
+
+
+def test_every_query_has_sql_or_a_recall_row(spark):
+    without = set(catalog.queries()) - set(catalog.oracle_sql())
+    recall = {n.removesuffix("_recall") for n in catalog.oracle_sql() if n.endswith("_recall")}
+    assert {n.removesuffix("_graph").removesuffix("_knn") for n in without} <= {n.removesuffix("_graph").removesuffix("_knn") for n in recall} | {"quantized_range_search"}

@@ -32,6 +32,9 @@ def test_binary_layouts(spark, tmp_path):
     w = tmp_path / "a.raw"
     w.write_bytes(b"head" + b"".join(r.tobytes() + b"gap!" for r in X))
     assert np.array_equal(np.array(rows(V.binary(spark, str(w), "raw", dim=5, skip=4, gap=4).orderBy("pos")), dtype="<f4"), X)
+    assert rows(V.read(spark, "raw", str(w), dim=5, skip=4, gap=4, limit=2).orderBy("pos"))[1] == X[1].tolist()
+    with pytest.raises(ValueError, match="needs dim"):
+        V.read(spark, "raw", str(w))
     (tmp_path / "bad.fvecs").write_bytes(struct.pack("<i", 5) + b"xx")
     with pytest.raises(Exception, match="whole number"):
         V.read(spark, "local", str(tmp_path / "bad.fvecs")).count()
@@ -66,10 +69,33 @@ def test_write_text(spark, tmp_path):
     assert rows(V.dense_text(spark, str(tmp_path / "o"))) == [[1.0, 2.5]]
 
 
+@pytest.mark.parametrize("layout", ["lshkit", "fvecs", "bvecs"])
+def test_write_matrix(spark, tmp_path, layout):
+    """A folder of files in order of position reads as one, its first rows are those of the first files, and writing again replaces it."""
+    x = np.random.default_rng(1).integers(0, 255, (50, 3)).astype("<f4")
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "pos bigint, embedding array<float>").repartition(7)
+    for _ in range(2):
+        V.write_matrix(df, str(tmp_path / layout), layout)
+    got = V.read(spark, layout, str(tmp_path / layout)).orderBy("pos").collect()
+    assert [r.pos for r in got] == list(range(50)) and [list(r.embedding) for r in got] == x.tolist()
+    assert sorted(r.pos for r in V.read(spark, layout, str(tmp_path / layout), 11).collect()) == list(range(11))
+
+
+def test_first_lines(spark, tmp_path):
+    (tmp_path / "d.txt").write_text("".join(f"{k} {k}\n" for k in range(100)))
+    assert sorted(rows(V.read(spark, "ml25m", str(tmp_path / "d.txt"), 5))) == [[k, k] for k in range(5)]
+
+
+def test_write_truth(spark, tmp_path):
+    g = spark.createDataFrame([(0, 3, 1), (0, 4, 2), (1, 0, 1)], "node bigint, nbr bigint, rank int")
+    V.write_truth(g, str(tmp_path / "t"))
+    assert sorted(list(r.nbrs) for r in V.truth_lists(spark, str(tmp_path / "t")).collect()) == [[0, 3, 4], [1, 0]]
+
+
 def test_synthetic(spark):
     v = V.synthetic(spark, 50, 3, noise=0.1)
     x = np.array(rows(v.orderBy("pos")))
-    assert x.shape == (50, 3) and np.abs(x).max() < 1.6
+    assert x.shape == (50, 3) and np.abs(x).max() < 1.6 and np.array_equal(x, np.array(rows(V.synthetic(spark, 50, 3, noise=0.1).orderBy('pos'))))
     q = V.synthetic_queries(v, 9)
     assert all(y[k] in x[:, k] for y in rows(q) for k in range(3)) and q.count() == 9
 
