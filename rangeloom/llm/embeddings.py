@@ -149,10 +149,17 @@ def keyed(classes: DataFrame) -> DataFrame:
 
 
 def live_cells(classes: DataFrame) -> DataFrame:
-    """key, cid, home, n: who meets in each cell that is some class's own and where ``n`` > 1 classes meet."""
+    """key, cid, home, n: who meets in each cell that is some class's own and where ``n`` > 1 classes meet.
+
+    Most cells that are looked into are nobody's own; those go first, by a semi-join that keeps one copy of
+    each key and sorts nothing.
+    """
     members = classes.select("cid", F.posexplode("keys").alias("at", "key")).select("cid", "key", (F.col("at") % (1 + PROBES) == 0).alias("home"))
-    many = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("own")).where("n > 1 AND own").select("key", "n")
-    return members.join(many, "key")
+    own = members.where("home")
+    look = members.where("NOT home").join(own.select("key").hint("shuffle_hash"), "key", "left_semi")
+    there = checkpointed(own.unionByName(look))
+    many = there.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return there.join(many, "key")
 
 
 def _meet(x: np.ndarray, y: np.ndarray) -> np.ndarray:
