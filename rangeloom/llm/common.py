@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut, shared_folder
+
 #: Bytes of text that a worker turns into arrays at a time; a single longer text makes a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,22 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    """``df`` written to the shared folder's checkpoints."""
+    return cut(df)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the folder in ``spark.checkpoint.dir`` and read again; a folder of our own only where that is unset."""
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder (a new place, or one that is named) and read again."""
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="stages-")
-    path = f"{folder.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = path or new_place(spark)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
+def new_place(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -48,11 +49,6 @@ def added(df: DataFrame, name: str) -> str:
     return name
 
 
-def row_hash(*columns: str):
-    """A 64-bit hash of some columns, the same in each run."""
-    return F.xxhash64(*[F.col(c) for c in columns])
-
-
 def below_share(mark, share: float):
     """Whether a 64-bit hash is among the smallest ``share`` of all hashes."""
     return mark < F.lit(min(int(share * 2**64) - 2**63, 2**63 - 1)) if share < 1 else F.lit(True)

@@ -11,14 +11,16 @@ Serialised: base64 of six bytes for the bound and six for each hash, in order.
 
 Defined results: a null text counts as empty; a text of no words has an empty sketch, which is like
 another empty one (1.0) and unlike any other (0.0); rows of null doc_id come last in descending order;
-rows that repeat a doc_id follow each other in the order of a hash of their texts; the only row of a
-table is its own next document; an empty table gives no rows.
+rows that repeat a doc_id follow each other in the order of a hash of their texts, so that rows of one id
+(or of none), however many, are dealt out by their texts, and only rows that repeat both stay together; the
+only row of a table is its own next document; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -108,46 +110,77 @@ def sketches(data: np.ndarray, offsets: np.ndarray) -> list[Sketch]:
     return out
 
 
-def _edges(docs: DataFrame, parts: int) -> list[int]:
-    """Doc_ids, ascending, that cut the table into about equal parts; the last is the largest. Each one is in the table."""
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL")
-    found = ids.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 10_000).alias("cuts"), F.max("doc_id").alias("top")).first()
-    if found["top"] is None:
-        return []
-    wanted = sorted({*(found["cuts"] or []), found["top"]})
-    return sorted(r[0] for r in ids.where(F.col("doc_id").isin(wanted)).distinct().collect())
+_NULL_ID, _TOP = -(1 << 63), (1 << 63) - 1
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """id (never null), mark and text: rows of one id stand in the order of their marks, hashes of their texts of so few bits that percentiles are exact."""
+    return docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("id"), F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 12).alias("mark"), "text")
 
 
-_NULL_ID = -(1 << 63)
+def _edges(docs: DataFrame, parts: int) -> list[tuple[int, int]]:
+    """Places (id, mark), ascending, that cut the table into about equal parts; the last is the largest.
+
+    An id of so many rows that several cuts fall on it (a null one, say) is cut by marks as well; each of
+    these places is a row. Any other cut is behind all rows of its id, of which there is one at least.
+    """
+    rows = _marked(docs)
+    found = rows.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)] or [0.5], 10_000).alias("cuts"), F.max("id").alias("top")).first()
+    if found["top"] is None:
+        return []
+    counts = Counter([*(found["cuts"] or []), found["top"]])
+    hot = {id: n for id, n in counts.items() if n > 2}
+    edges = [(id, _TOP) for id in counts if id not in hot]
+    if hot:
+        most = max(hot.values())
+        marks = rows.where(F.col("id").isin(list(hot))).groupBy("id").agg(F.percentile_approx("mark", [k / most for k in range(1, most)], 10_000).alias("cuts"), F.max("mark").alias("top"))
+        for r in marks.collect():
+            step = max(1, most // hot[r["id"]])
+            edges += [(r["id"], m) for m in {*r["cuts"][step - 1 :: step], r["top"]}]
+    # A cut's id may not be in the table; the largest one below it stands for it.
+    plain = sorted(id for id, m in edges if m == _TOP)
+    there = {r[0] for r in rows.where(F.col("id").isin(plain)).select("id").distinct().collect()}
+    return sorted((id, m) for id, m in edges if m != _TOP or id in there)
+
+
+def _part_of(edges: list[tuple[int, int]], ids: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows, the number of the first edge that is not before them, and whether they may be the last row before that edge."""
+    edge_ids, edge_marks = (np.array(x, dtype=np.int64) for x in zip(*(edges or [(_TOP, _TOP)]), strict=True))
+    part, past = np.searchsorted(edge_ids, ids, side="left"), np.searchsorted(edge_ids, ids, side="right")
+    for k in np.unique(part[past > part]):
+        own = np.flatnonzero((part == k) & (past > part))
+        part[own] = k + np.searchsorted(edge_marks[k : past[own[0]]], marks[own], side="left")
+    part = np.minimum(part, len(edge_ids) - 1)
+    return part, (edge_ids[part] == ids) & ((edge_marks[part] == _TOP) | (edge_marks[part] == marks))
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """doc_id, packed text and flags, dealt so that each partition holds a stretch of descending doc_ids and, as a guest, the first document of the next stretch.
+    """doc_id, mark, packed text and flags, dealt so that each partition holds a stretch of descending (doc_id, mark) and, as a guest, the first document of the next stretch.
 
-    The texts cross one shuffle, packed. Of the cuts only the doc_ids come to the driver, one a partition.
+    The texts cross one shuffle, packed. Of the cuts only the places come to the driver, one a partition.
     """
     parts = shuffle_partitions(docs.sparkSession)
     edges = _edges(docs, parts)
-    spread = np.array(edges or [_NULL_ID], dtype=np.int64)
+    many = max(len(edges), 1)
 
     def pack(batches):
         packer = zstandard.ZstdCompressor(level=1)
         for batch in chunks(batches, "text"):
-            ids = batch.column("doc_id").fill_null(_NULL_ID).to_numpy()
-            part = np.minimum(np.searchsorted(spread, ids), len(spread) - 1)
+            ids, marks = batch.column("id").to_numpy(), batch.column("mark").to_numpy()
+            part, last = _part_of(edges, ids, marks)
             data, offsets = texts_of(batch.column("text"))
             texts = [packer.compress(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            # An edge is the largest id of its own part, so it is also the guest of the part above it; the largest of all is that of the lowest.
-            guests = np.flatnonzero(spread[part] == ids)
+            # The last row before an edge is also the guest of the part above it; the largest of all is that of the lowest.
+            guests = np.flatnonzero(last)
             rows = np.concatenate([np.arange(len(ids)), guests])
-            at = np.concatenate([part, (part[guests] + 1) % len(spread)])
+            at = np.concatenate([part, (part[guests] + 1) % many])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(at, pa.int32()), pa.array(rows_guest(len(ids), len(guests)), pa.bool_()), batch.column("doc_id").take(pa.array(rows)), pa.array([texts[r] for r in rows], pa.binary())],
-                names=["part", "guest", "doc_id", "packed"],
+                [pa.array(at, pa.int32()), pa.array(rows_guest(len(ids), len(guests)), pa.bool_()), pa.array(ids[rows], mask=ids[rows] == _NULL_ID), pa.array(marks[rows]), pa.array([texts[r] for r in rows], pa.binary())],
+                names=["part", "guest", "doc_id", "mark", "packed"],
             )
 
-    rows = docs.select("doc_id", "text").mapInArrow(pack, "part int, guest boolean, doc_id bigint, packed binary")
-    return rows.repartitionById(len(spread), F.col("part")).sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), F.xxhash64("packed"))
+    rows = _marked(docs).mapInArrow(pack, "part int, guest boolean, doc_id bigint, mark bigint, packed binary")
+    return rows.repartitionById(many, F.col("part")).sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), F.desc("mark"))
 
 
 def rows_guest(own: int, guests: int) -> np.ndarray:

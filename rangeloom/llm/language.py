@@ -52,7 +52,7 @@ SAMPLE, SAMPLE_ALL = 400, 4000
 MOST_LANGUAGES = 1000
 WIDTH = 16
 #: Texts whose shares a task holds at a time.
-ROWS = 512
+ROWS = 256
 EXCERPT_BYTES = 80
 ACCEPT = 0.3
 

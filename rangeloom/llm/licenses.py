@@ -268,15 +268,22 @@ def needed(model: Model) -> tuple[list[str], list[str]]:
             alone[words[0]] = alone[words[0]] + gain
         elif len(words) == 2:
             both[words] = both.get(words, np.zeros(last)) + gain
-    weak, strong = sorted(alone), []
-    while True:
-        # The most that two weak words can bring, and the pair that brings it.
-        most = max(((float((alone[u] + alone[v] + both.get((u, v), 0) - need).max()), u, v) for k, u in enumerate(weak) for v in weak[k + 1 :]), default=(-1.0, "", ""))
-        if most[0] < 0:
-            return sorted(strong), weak
-        part = lambda word: (float((alone[word] - need).max()), sum(word in pair for pair in both), word)
-        strong.append(max(most[1:], key=part))
-        weak.remove(strong[-1])
+    words = sorted(alone)
+    number = {word: k for k, word in enumerate(words)}
+    single = np.array([alone[word] for word in words]).reshape(-1, last)
+    # The most that two words can bring any family.
+    most = np.full((len(words), len(words)), -np.inf)
+    for k in range(len(words)):
+        most[k, k + 1 :] = (single[k] + single[k + 1 :] - need).max(axis=1)
+    for (u, v), gain in both.items():
+        most[number[u], number[v]] = (single[number[u]] + single[number[v]] + gain - need).max()
+    met = np.bincount([number[word] for pair in both for word in pair], minlength=len(words))
+    part = lambda k: (float((single[k] - need).max()), int(met[k]), words[k])
+    strong = []
+    while len(words) and most.max() >= 0:
+        strong.append(max(np.unravel_index(most.argmax(), most.shape), key=part))
+        most[strong[-1], :] = most[:, strong[-1]] = -np.inf
+    return sorted(words[k] for k in strong), [w for k, w in enumerate(words) if k not in set(strong)]
 
 
 def _any_of(words: list[str]) -> str:

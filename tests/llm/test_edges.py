@@ -75,6 +75,24 @@ def test_fingerprint_of_a_single_row(spark):
     assert r.edited_sha256 == hashlib.sha256((text[: 13 - 4] + text[:4]).encode()).hexdigest()
 
 
+def test_fingerprints_of_a_hot_id(spark):
+    """Null ids, and rows of one id, are dealt to many partitions; each still has the next one's text."""
+    rows = [(5, f"row {k} of the hot id, with some words") for k in range(300)] + [(5, "equal rows of the hot id")] * 30 + [(None, f"no id {k} but some words") for k in range(300)] + [(k, f"plain {k}") for k in range(10, 40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    dealt = fingerprints.neighbours(docs).where("NOT guest").groupBy("part").count().collect()
+    assert len(dealt) >= 6 and max(r["count"] for r in dealt) < 200
+    got = fingerprints.edited_fingerprints(docs).collect()
+    assert len(got) == len(rows)
+    # The texts in one round: by descending id, those of an id in the order of their hashes.
+    mark = {r.text: r.h for r in docs.selectExpr("text", "shiftrightunsigned(xxhash64(text), 12) AS h").distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -mark[r[1]]))
+    want = []
+    for (d, text), (_, after) in zip(order, [*order[1:], order[0]], strict=True):
+        n = len(text) // 3
+        want.append((d or -1, hashlib.sha256((text[: len(text) - n] + after[:n]).encode()).hexdigest()))
+    assert sorted((r.doc_id or -1, r.edited_sha256) for r in got) == sorted(want)
+
+
 def test_mixing(wide, none):
     got = mixing.mix(wide).collect()
     assert sorted((r.doc_id for r in got), key=lambda x: (x is None, x)) == EVERY
