@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangeloom.llm import bpe, language, mixing, quality, simhash
-from rangeloom.llm.common import stored, table
+from rangeloom.llm.common import new_place, stored, table
+from rangeloom.plans.lineage import remove
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes: twice where a source repeats, cut where its target ends."""
+    """The documents that the mix takes, by output shard and in each shard's order: twice where a source repeats, cut where the drawn blocks end."""
     return mixing.mixed_documents(docs)
 
 
@@ -59,10 +60,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; each stage before it is written as Parquet to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage; each stage before it is written as Parquet to the shared folder and read again, and then what it read is removed."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stored(docs)
+            place = new_place(spark)
+            docs = stored(docs, place)
+            if before:
+                remove(spark, before)
+            before = place
     return docs
