@@ -261,8 +261,8 @@ def repair(index: DataFrame, vectors: DataFrame, changed: DataFrame, k: int, nam
 NEAR = 256
 
 
-def build_near(vectors: DataFrame, graph: DataFrame, k: int, hops: int = 2, near: int = NEAR, name: str = "l2sqr") -> DataFrame:
-    """The index from candidates only: each node's neighbours in an approximate graph (or several, of parts of the keys), those of ``hops`` steps, every position at most ``near`` away, and every one between its K-th left and K-th right of them.
+def build_near(vectors: DataFrame, graph: DataFrame, k: int, hops: int = 1, near: int = NEAR, name: str = "l2sqr") -> DataFrame:
+    """The index from candidates only: each node's neighbours in an approximate graph (or several, of parts of the keys) and those of up to ``hops`` steps, every position at most ``near`` away, and every one between its K-th left and K-th right of them.
 
     Near keys are exact, since all of them are scanned; far ones are as good as the graph. The cost
     grows with the candidates, not with all pairs.

@@ -76,20 +76,31 @@ def interval_index_rows(spark, sf_dir):
     return index_of(spark, sf_dir).select("node", "side", "nbr", "sub", F.round("dist", 6).alias("dist"))
 
 
+def saved_index(spark, sf_dir) -> str:
+    """The path of the index of ``embeddings`` in the shared folder: built and saved once for a table, then only read."""
+    return store.kept(spark, f"index-{K}", stamp(spark, f"{sf_dir}/embeddings.parquet"), lambda path: store.save_index(index_of(spark, sf_dir), path))
+
+
+def held(spark, sf_dir, low: int | None = None, high: int | None = None) -> DataFrame:
+    """The saved index, or what a range needs of it; only its first use for a table builds it."""
+    return store.load_index(spark, saved_index(spark, sf_dir), low, high)
+
+
 def index_node_lookup(spark, sf_dir):
-    return interval_index.lookup(index_of(spark, sf_dir), 150, LOW, HIGH).select("side", "nbr", "sub", F.round("dist", 6).alias("dist"))
+    return interval_index.lookup(held(spark, sf_dir, 150, 150), 150, LOW, HIGH).select("side", "nbr", "sub", F.round("dist", 6).alias("dist"))
 
 
 def range_graph_from_index(spark, sf_dir):
-    return edges(interval_index.graph(index_of(spark, sf_dir), K, LOW, HIGH))
+    """Without the files' order to help: of all of the saved index."""
+    return edges(interval_index.graph(held(spark, sf_dir), K, LOW, HIGH))
 
 
 def raw_delta_range_graph(spark, sf_dir):
-    return edges(interval_index.replayed_graph(interval_index.raw(index_of(spark, sf_dir)), K, LOW, HIGH))
+    return edges(interval_index.replayed_graph(interval_index.raw(held(spark, sf_dir, LOW, HIGH)), K, LOW, HIGH))
 
 
 def partial_windows(spark, sf_dir):
-    return interval_index.windows(index_of(spark, sf_dir), K).select("node", "side", "bound", F.array_join(F.transform("pts", lambda x: x.cast("string")), ",").alias("pts"))
+    return interval_index.windows(held(spark, sf_dir), K).select("node", "side", "bound", F.array_join(F.transform("pts", lambda x: x.cast("string")), ",").alias("pts"))
 
 
 def cal_rectangle_lookup(spark, sf_dir):
@@ -99,7 +110,7 @@ def cal_rectangle_lookup(spark, sf_dir):
 
 def multi_range_graph(spark, sf_dir):
     ranges = spark.createDataFrame(RANGES, "qid int, l bigint, r bigint")
-    return interval_index.graphs(index_of(spark, sf_dir), ranges, K).select("qid", "node", "nbr", F.col("rank").cast("int").alias("rank"), F.round("dist", 6).alias("dist"))
+    return interval_index.graphs(interval_index.build(by_label(spark, sf_dir), K), ranges, K).select("qid", "node", "nbr", F.col("rank").cast("int").alias("rank"), F.round("dist", 6).alias("dist"))
 
 
 def _next_pairs(spark, sf_dir):
@@ -221,31 +232,26 @@ def upsert_delete_knn(spark, sf_dir):
 
 
 def index_size_stats(spark, sf_dir):
-    return interval_index.sizes(index_of(spark, sf_dir)).select("n_rows", "n_nodes", F.round("rows_per_node", 6).alias("rows_per_node"), "n_bytes")
+    return interval_index.sizes(held(spark, sf_dir)).select("n_rows", "n_nodes", F.round("rows_per_node", 6).alias("rows_per_node"), "n_bytes")
 
 
 def index_integrity(spark, sf_dir):
-    return store.integrity(index_of(spark, sf_dir), K)
+    return store.integrity(held(spark, sf_dir), K)
 
 
 def index_profile(spark, sf_dir):
-    return store.profile(index_of(spark, sf_dir)).select("side", "n_rows", "n_nodes", "n_open", "fewest", F.round("mean", 6).alias("mean"), "most")
-
-
-def saved_index(spark, sf_dir) -> str:
-    """The path of the index of ``embeddings`` in the shared folder: built and saved once for a table, then only read."""
-    return store.kept(spark, f"index-{K}", stamp(spark, f"{sf_dir}/embeddings.parquet"), lambda path: store.save_index(index_of(spark, sf_dir), path))
+    return store.profile(held(spark, sf_dir)).select("side", "n_rows", "n_nodes", "n_open", "fewest", F.round("mean", 6).alias("mean"), "most")
 
 
 def saved_index_range_graph(spark, sf_dir):
     """The K-NN graph of a key range, of what is read of the saved index."""
-    index = store.load_index(spark, saved_index(spark, sf_dir), LOW, HIGH)
+    index = held(spark, sf_dir, LOW, HIGH)
     return edges(interval_index.graph(index, K, LOW, HIGH))
 
 
 def saved_index_multi_range(spark, sf_dir):
     ranges = spark.createDataFrame(RANGES, "qid int, l bigint, r bigint")
-    index = store.load_index(spark, saved_index(spark, sf_dir))
+    index = held(spark, sf_dir)
     return interval_index.graphs(index, ranges, K).select("qid", "node", "nbr", F.col("rank").cast("int").alias("rank"), F.round("dist", 6).alias("dist"))
 
 
@@ -344,7 +350,7 @@ def lsh_knn_recall(spark, sf_dir):
 
 def beam_search(spark, sf_dir):
     v = by_label(spark, sf_dir)
-    index = store.load_index(spark, saved_index(spark, sf_dir), LOW, HIGH)
+    index = held(spark, sf_dir, LOW, HIGH)
     return found(search.beam(index, v, point(v, 250), 10, LOW, HIGH))
 
 

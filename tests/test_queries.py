@@ -1,6 +1,7 @@
 """Every registered query against its SQL on a small table, and what has no SQL against brute force."""
 
 import math
+import sys
 
 import duckdb
 import numpy as np
@@ -96,3 +97,17 @@ def test_every_query_has_sql_or_a_recall_row(spark):
     without = set(catalog.queries()) - set(catalog.oracle_sql())
     recall = {n.removesuffix("_recall") for n in catalog.oracle_sql() if n.endswith("_recall")}
     assert {n.removesuffix("_graph").removesuffix("_knn") for n in without} <= {n.removesuffix("_graph").removesuffix("_knn") for n in recall} | {"quantized_range_search"}
+
+
+def test_core_without_the_training_data_operators(monkeypatch):
+    """Where their subpackage, or something that it needs, is missing, all core queries are there."""
+    import __spark_entry__
+
+    monkeypatch.setitem(sys.modules, "rangeloom.llm", None)
+    assert set(__spark_entry__.queries()) == set(catalog.queries()) and set(__spark_entry__.oracle_sql()) == set(catalog.oracle_sql())
+    monkeypatch.undo()
+    monkeypatch.delitem(sys.modules, "rangeloom.llm.catalog", raising=False)
+    monkeypatch.setitem(sys.modules, "zstandard", None)
+    for name in [n for n in sys.modules if n.startswith("rangeloom.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    assert set(__spark_entry__.queries()) == set(catalog.queries())
