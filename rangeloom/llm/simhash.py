@@ -24,7 +24,6 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,38 +39,91 @@ _FAN = 8
 _ROWS, _PAIRS = 200_000, 1 << 20
 
 
+#: The five primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def xxh64(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """XXH64 of spans of bytes, all at once: step by step of the algorithm, for the spans that are long enough for it."""
+    data = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    words = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    halves = np.ndarray((len(data) - 7,), dtype="<u4", buffer=data, strides=(1,))
+    start = np.uint64(seed)
+    with np.errstate(over="ignore"):
+        at, left = starts.astype(np.int64), (ends - starts).astype(np.int64)
+        out = np.full(len(at), start + _P5)
+        long = np.flatnonzero(left >= 32)
+        if len(long):
+            lanes = [np.full(len(long), x) for x in (start + _P1 + _P2, start + _P2, start, start - _P1)]
+            todo = np.arange(len(long))
+            while len(todo):
+                rows = long[todo]
+                for k, v in enumerate(lanes):
+                    v[todo] = _turned(v[todo] + words[at[rows] + 8 * k] * _P2, 31) * _P1
+                at[rows] += 32
+                left[rows] -= 32
+                todo = todo[left[rows] >= 32]
+            total = _turned(lanes[0], 1) + _turned(lanes[1], 7) + _turned(lanes[2], 12) + _turned(lanes[3], 18)
+            for v in lanes:
+                total = (total ^ (_turned(v * _P2, 31) * _P1)) * _P1 + _P4
+            out[long] = total
+        out += (ends - starts).astype(np.uint64)
+        for _ in range(3):
+            rows = np.flatnonzero(left >= 8)
+            out[rows] = _turned(out[rows] ^ (_turned(words[at[rows]] * _P2, 31) * _P1), 27) * _P1 + _P4
+            at[rows] += 8
+            left[rows] -= 8
+        rows = np.flatnonzero(left >= 4)
+        out[rows] = _turned(out[rows] ^ (halves[at[rows]].astype(np.uint64) * _P1), 23) * _P2 + _P3
+        at[rows] += 4
+        left[rows] -= 4
+        for _ in range(3):
+            rows = np.flatnonzero(left > 0)
+            out[rows] = _turned(out[rows] ^ (data[at[rows]].astype(np.uint64) * _P5), 11) * _P1
+            at[rows] += 1
+            left[rows] -= 1
+        out = (out ^ (out >> np.uint64(33))) * _P2
+        out = (out ^ (out >> np.uint64(29))) * _P3
+        return out ^ (out >> np.uint64(32))
+
+
 def fingerprints_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The 64-bit SimHash of each row."""
-    starts, ends, before = words_of(lowered(data), offsets)
+    data = lowered(data)
+    starts, ends, before = words_of(data, offsets)
     n = len(offsets) - 1
     if not len(starts):
         return np.zeros(n, dtype=np.uint64)
-    data = lowered(data)
     # The words of all rows, each followed by one blank.
     sizes = ends - starts + 1
     place = np.cumsum(sizes) - sizes
     source = np.repeat(starts - place, sizes) + np.arange(sizes.sum())
     text = data[np.minimum(source, len(data) - 1)]
     text[place + sizes - 1] = 0x20
-    blob = text.tobytes()
     counts = np.diff(before)
     made = np.where(counts >= WORDS, counts - WORDS + 1, np.minimum(counts, 1))
     first = np.concatenate([[0], np.cumsum(made)])
     a = np.arange(first[-1]) - np.repeat(first[:-1] - before[:-1], made)
     b = np.minimum(a + WORDS, np.repeat(before[1:], made)) - 1
-    low, high = place[a].tolist(), (place[b] + sizes[b] - 1).tolist()
-    one = xxhash.xxh64_intdigest
-    hashes = np.fromiter((one(blob[x:y], SEED) for x, y in zip(low, high, strict=True)), dtype=np.uint64, count=len(low))
+    low, high = place[a], place[b] + sizes[b] - 1
     out = np.zeros(n, dtype=np.uint64)
     some = np.flatnonzero(made)
-    # Bits are counted a stretch of shingles at a time; a long row's stretches add up.
+    # Bits are counted a stretch of shingles at a time, and of those up to 255 of a row, eight counts in a number; a long row's add up.
     counted = np.zeros((n, 64), dtype=np.int64)
     rows = np.repeat(np.arange(n), made)
-    for k in range(0, len(hashes), 1 << 16):
-        bits = np.unpackbits(hashes[k : k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    for k in range(0, len(low), 1 << 16):
+        hashes = xxh64(text, low[k : k + (1 << 16)], high[k : k + (1 << 16)])
+        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         own = rows[k : k + (1 << 16)]
-        at = np.flatnonzero(np.diff(own, prepend=-1))
-        counted[own[at]] += np.add.reduceat(bits, at, axis=0, dtype=np.int64)
+        begins = np.flatnonzero(np.diff(own, prepend=-1))
+        at = np.flatnonzero((np.arange(len(own)) - np.repeat(begins, np.diff(np.append(begins, len(own))))) % 255 == 0)
+        sums = np.add.reduceat(bits.view(np.uint64), at, axis=0).view(np.uint8)
+        few = np.flatnonzero(np.diff(own[at], prepend=-1))
+        counted[own[at[few]]] += np.add.reduceat(sums, few, axis=0, dtype=np.int64)
     out[some] = np.packbits(counted[some] * 2 > made[some][:, None], axis=1).view(">u8").ravel()
     return out
 

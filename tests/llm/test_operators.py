@@ -169,6 +169,16 @@ def simhash_of(text):
     return sum(1 << b for b in range(64) if counts[b] * 2 > len(own))
 
 
+def test_xxh64_is_the_library_s():
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 256, 40_000, dtype=np.uint8)
+    starts = rng.integers(0, len(data) - 300, 3000)
+    ends = starts + np.concatenate([np.arange(300), rng.integers(0, 300, 2700)])
+    got = simhash.xxh64(data, starts, ends)
+    assert got.tolist() == [xxhash.xxh64_intdigest(data[a:b].tobytes(), seed=42) for a, b in zip(starts, ends, strict=True)]
+    assert simhash.xxh64(data, np.array([len(data) - 5]), np.array([len(data)])).tolist() == [xxhash.xxh64_intdigest(data[-5:].tobytes(), seed=42)]
+
+
 def test_op7(spark, docs):
     got = {r.doc_id: r for r in catalog.queries()["op7_simhash"](spark, SF).collect()}
     fps = {d: simhash_of(t) for d, t, _ in docs}
