@@ -132,13 +132,24 @@ def powers(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
+#: Bytes of text whose words are hashed at a time; hashing needs about 40 bytes for each of them.
+STRETCH = 1 << 20
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, from one prefix sum over all bytes."""
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_CODE[data] * powers(_BASE, len(data)), out=sums[1:])
-        back = powers(_BASE_INVERSE, len(data) + 1)
-        return mixed((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each span's bytes; spans ascend. A stretch of bytes at a time, each by one prefix sum, so that a very long text needs little more than itself (but a span longer than a stretch is hashed at once)."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    cuts = np.append(np.flatnonzero(np.diff(starts // STRETCH, prepend=-1)), len(starts))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        low, high = int(starts[a]), int(ends[b - 1])
+        own = data[low:high]
+        first, past = starts[a:b] - low, ends[a:b] - low
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(own) + 1, dtype=np.uint64)
+            np.cumsum(_BYTE_CODE[own] * powers(_BASE, len(own)), out=sums[1:])
+            back = powers(_BASE_INVERSE, len(own) + 1)
+            out[a:b] = mixed((sums[past] - sums[first]) * back[first] + (past - first).astype(np.uint64))
+    return out
 
 
 def shingle_hashes(words: np.ndarray, before: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -203,6 +203,26 @@ def test_chat(spark):
     assert chat.read_back(chat.format_turns(df.limit(0))).count() == 0
 
 
+def test_chat_of_a_very_long_text(spark):
+    long = "[INST] a [/INST] </s> " * 200_000 + "end"
+    df = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id bigint, turn bigint, role string, text string")
+    (r,) = chat.read_back(chat.format_turns(df)).collect()
+    assert (r.n_turns, r.loss_chars) == (2, len(long)) and r.turns_sha256 == hashlib.sha256(f"user\n{long}\nassistant\n{long}\n".encode()).hexdigest()
+
+
+def test_hashes_do_not_depend_on_stretches(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from rangeloom.llm import common
+
+    data, offsets = common.texts_of(pa.array([LONG, "a b c", "", "x" * 500 + " y"]))
+    starts, ends, _ = common.words_of(data, offsets)
+    want = common.span_hashes(data, starts, ends)
+    monkeypatch.setattr(common, "STRETCH", 64)
+    assert np.array_equal(want, common.span_hashes(data, starts, ends)) and len(common.span_hashes(data, starts[:0], ends[:0])) == 0
+
+
 def test_embeddings(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (3, [1.0, 0.0], 1), (4, [1.0, 0.0], 2), (5, None, 1), (6, [0.0, 0.0], 1), (7, [nan, 1.0], 1), (8, [inf, 1.0], 1), (9, [None, 1.0], 1), (10, [1.0, 0.0], None), (None, [1.0, 0.0], 1), (11, [], 1), (12, [1.0, 0.0, 0.0], 1), (13, [2.0, 0.0], 1), (13, [2.0, 0.0], 1)]
