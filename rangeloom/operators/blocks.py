@@ -60,6 +60,11 @@ def block_rows(n: int, parallelism: int) -> int:
 KINDS = {"int": pa.int32(), "double": pa.float64(), "string": pa.string(), "bigint": pa.int64()}
 
 
+def grouped(df: DataFrame, *keys: str):
+    """``df`` grouped by some columns, in as many partitions as the session's shuffles have, whatever its bytes: what is done with a group costs far more than reading it, so small partitions are not put together."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).groupBy(*keys)
+
+
 def pairs(nodes: DataFrame | None, data: DataFrame, work: Callable, schema: str, rows: int | None = None, name: str = "l2sqr") -> DataFrame:
     """``work(node pos, data pos, distances)`` on each pair of blocks of two (pos, embedding) tables; it returns columns of ``schema``. Without ``nodes``, all data are nodes too.
 
@@ -109,7 +114,7 @@ def pairs(nodes: DataFrame | None, data: DataFrame, work: Callable, schema: str,
     else:
         there = lambda df, side, own, other, low, high: df.select(F.lit(side).alias("side"), F.col("pos").cast("bigint").alias("pos"), "embedding", block.alias(own), F.explode(span(low, high)).alias(other))
         both = there(nodes, 0, "i", "j", first, last).unionByName(there(data, 1, "j", "i", own_first, own_last))
-    return both.groupBy("i", "j").applyInArrow(run, schema)
+    return grouped(both, "i", "j").applyInArrow(run, schema)
 
 
 def nearest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from ..functions.distance import metric, row_distances
 from ..plans.lineage import cut
-from .blocks import matrix, pairs, valid
+from .blocks import grouped, matrix, pairs, valid
 
 OPEN = 2**63 - 1
 #: Nodes whose candidates a task merges at a time; each has about K log(blocks) survivors a side.
@@ -82,7 +82,7 @@ def build(vectors: DataFrame, k: int, rows: int | None = None, name: str = "l2sq
 
 def settle(candidates: DataFrame, k: int) -> DataFrame:
     """The index rows among candidates (node, side, nbr, dist) that hold all that survive."""
-    many = candidates.withColumn("__part", F.floor(F.col("node") / NODES_A_GROUP))
+    many = candidates.select("node", "side", "nbr", "dist", F.floor(F.col("node") / NODES_A_GROUP).alias("part"))
 
     def run(t: pa.Table) -> pa.Table:
         node, nbr, dist = (t.column(c).to_numpy() for c in ("node", "nbr", "dist"))
@@ -107,7 +107,7 @@ def settle(candidates: DataFrame, k: int) -> DataFrame:
         sub = np.where(left, sub, np.where(sub < 0, OPEN, OPEN - sub))
         return pa.table({"node": pa.array(node[keep]), "side": pa.array(np.where(left[keep], "L", "R").astype(object), pa.string()), "nbr": pa.array(nbr[keep]), "dist": pa.array(dist[keep]), "sub": pa.array(sub[keep])})
 
-    return many.groupBy("__part").applyInArrow(run, SCHEMA)
+    return grouped(many, "part").applyInArrow(run, SCHEMA)
 
 
 def build_by_windows(vectors: DataFrame, k: int, name: str = "l2sqr") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from ..functions.distance import block_distances, row_distances
 from ..plans.lineage import cut
 from . import exact
-from .blocks import matrix, nearest, valid
+from .blocks import grouped, matrix, nearest, valid
 
 EDGES = "node bigint, nbr bigint, dist double"
 
@@ -75,7 +75,7 @@ def _near(edges: DataFrame, p: Params) -> DataFrame:
         return pa.table({"node": node, "nbr": nbr, "dist": dist, "is_new": new, "rank": pa.array(place + 1, pa.int32()), "picked": before - before[first] < p.sample, "worst": worst})
 
     own = edges.select(F.col("node").cast("bigint").alias("node"), F.col("nbr").cast("bigint").alias("nbr"), F.col("dist").cast("double").alias("dist"), "is_new")
-    return own.groupBy(F.floor(F.col("node") / NODES_A_GROUP)).applyInArrow(run, _LISTS)
+    return grouped(own.withColumn("part", F.floor(F.col("node") / NODES_A_GROUP)), "part").applyInArrow(run, _LISTS)
 
 
 def measured(pairs: DataFrame, vectors: DataFrame, name: str = "l2sqr") -> DataFrame:
@@ -123,7 +123,7 @@ def _local_join(members: DataFrame, vectors: DataFrame, name: str) -> DataFrame:
         once[1:] = (p[1:] != p[:-1]) | (q[1:] != q[:-1])
         return pa.table({"node": pa.array(p[once]), "nbr": pa.array(q[once]), "dist": pa.array(d[once])})
 
-    return wide.groupBy(F.floor(F.col("hub") / HUBS_A_GROUP)).applyInArrow(run, EDGES)
+    return grouped(wide.withColumn("part", F.floor(F.col("hub") / HUBS_A_GROUP)), "part").applyInArrow(run, EDGES)
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -256,7 +256,7 @@ def diverse(candidates: DataFrame, vectors: DataFrame, k: int, refill: bool = Fa
         out = t.select(["node", "nbr", "dist"]).take(pa.array(np.concatenate(rows)))
         return out.append_column("rank", pa.array(ranks, pa.int32()))
 
-    return wide.groupBy(F.floor(F.col("node") / HUBS_A_GROUP)).applyInArrow(run, EDGES + ", rank int")
+    return grouped(wide.withColumn("part", F.floor(F.col("node") / HUBS_A_GROUP)), "part").applyInArrow(run, EDGES + ", rank int")
 
 
 #: Vectors of a cell of the hashing, about; and those of a part of a large cell that meets another part.
@@ -312,7 +312,7 @@ def hashed_edges(vectors: DataFrame, k: int, tables: int = 8, seed: int = 7, row
     sizes = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / rows).alias("parts"))
     dealt = keyed.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("pos"), "parts")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     groups = dealt.join(vectors, "pos").select("key", "pos", "embedding", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
-    return exact.top(groups.groupBy("key", "i", "j").applyInArrow(run, EDGES), k)
+    return exact.top(grouped(groups, "key", "i", "j").applyInArrow(run, EDGES), k)
 
 
 def hashed_graph(vectors: DataFrame, k: int, tables: int = 8, seed: int = 7, rounds: int = 4, rows: int = PART_ROWS, name: str = "l2sqr") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import interval_index
+from .blocks import grouped
 
 SCHEMA = "node bigint, l_lo bigint, l_hi bigint, r_lo bigint, r_hi bigint, pts array<bigint>"
 
@@ -56,7 +57,7 @@ def build(vectors: DataFrame, k: int) -> DataFrame:
         columns = list(zip(*rows, strict=True)) if rows else [()] * 6
         return pa.table({**{n: pa.array(c, pa.int64()) for n, c in zip(names, columns, strict=False)}, "pts": pa.array(columns[5], pa.list_(pa.int64()))})
 
-    return index.withColumn("__part", F.floor(F.col("node") / interval_index.NODES_A_GROUP)).groupBy("__part").applyInArrow(run, SCHEMA)
+    return grouped(index.withColumn("part", F.floor(F.col("node") / interval_index.NODES_A_GROUP)), "part").applyInArrow(run, SCHEMA)
 
 
 def lookup(table: DataFrame, low: int, high: int) -> DataFrame:
