@@ -83,14 +83,16 @@ def _projections(dimensions: int, tables: int) -> np.ndarray:
     return np.random.default_rng((_SEED, dimensions)).standard_normal((tables, _BLOCKS * 8, dimensions))
 
 
+_FACTORS = mixed(np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
 def _cell_hash(points: np.ndarray) -> np.ndarray:
-    """64-bit hashes of lattice points (doubled coordinates are whole)."""
-    twice = np.rint(points * 2).astype(np.int64).view(np.uint64)
-    out = np.zeros(len(points), dtype=np.uint64)
+    """64-bit sums of lattice points' doubled coordinates, which are whole, each times a factor of its own; the sum of a moved point is that of the point and of the move."""
     with np.errstate(over="ignore"):
-        for k in range(points.shape[1]):
-            out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + twice[:, k])
-    return out
+        return (np.rint(points * 2).astype(np.int64).view(np.uint64) * _FACTORS).sum(axis=1, dtype=np.uint64)
+
+
+_MOVES = _cell_hash(SHORTEST)
 
 
 def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, cosine: float = COSINE) -> np.ndarray:
@@ -108,10 +110,9 @@ def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: f
             # How much farther each neighbouring cell's point is: |v|^2 / 2 - v . (y - p), for either half.
             farther = np.concatenate([1 - (y[:, 8 * b : 8 * b + 8] - points[b]) @ SHORTEST.T for b in range(_BLOCKS)], axis=1)
             nearest = np.argpartition(farther, probes, axis=1)[:, :probes]
-            for k in range(probes):
-                block, v = nearest[:, k] // len(SHORTEST), SHORTEST[nearest[:, k] % len(SHORTEST)]
-                moved = [np.where((block == b)[:, None], points[b] + v, points[b]) for b in range(_BLOCKS)]
-                out[:, t, 1 + k] = join(*[_cell_hash(m) for m in moved])
+            move = _MOVES[nearest % len(SHORTEST)]
+            first = nearest < len(SHORTEST)
+            out[:, t, 1:] = join(hashes[0][:, None] + np.where(first, move, np.uint64(0)), hashes[1][:, None] + np.where(first, np.uint64(0), move))
     return out
 
 
