@@ -297,13 +297,16 @@ def _any_of(words: list[str]) -> str:
 def _filter(model: Model):
     """Whether a text has an anchor word, a strong word, or enough weak ones."""
     strong, weak = needed(model)
-    return lambda x: x.rlike(ANCHORS) | F.lower(x).rlike(_any_of(strong)) | (F.regexp_count(F.lower(x), F.lit(_any_of(weak))) >= LEAST_WORDS)
+    one, some = f"{_any_of(strong)}|{ANCHORS.removeprefix('(?i)')}", _any_of(weak)
+    return lambda x: F.lower(x).rlike(one) | (F.regexp_count(F.lower(x), F.lit(some)) >= LEAST_WORDS)
 
 
 def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
     """row, doc_id, at, part, anchored, gram: the different n-grams of each paragraph that the filter lets through (part 0) and, if it has several, of its lines (from 1); one more n-gram, null, for each, and one with ``at`` -1 for each document."""
     passes = _filter(model)
     kept = F.filter(F.transform(F.split("text", BREAK), lambda x, k: F.struct(k.alias("at"), x.alias("run"))), lambda x: passes(x["run"]))
+    # A text that does not pass whole has no paragraph that does, and need not be split.
+    kept = F.when(passes(F.col("text")), kept)
     mark = F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("string").alias("run")))
     runs = docs.select("row", "doc_id", F.explode(F.concat(mark, F.coalesce(kept, F.array().cast("array<struct<at:int,run:string>>")))).alias("x")).select("row", "doc_id", "x.*")
     several = lambda x: F.when(x.rlike(GRANT + ALSO), F.regexp_replace(x, ALSO, "\nLicensed under ")).otherwise(x)
