@@ -158,8 +158,11 @@ def build(vectors: DataFrame, p: Params = Params(), graph: DataFrame | None = No
     if n < 2:
         none = vectors.select(F.col("pos").alias("node"), F.col("pos").alias("nbr"), F.lit(0.0).alias("dist"), F.lit(1).alias("rank"), F.lit(False).alias("is_new")).where("false")
         return none, {"rounds": 0, "delta": 0.0, "recall": 1.0, "accuracy": 0.0, "m": 0.0, "stop": "size"}
-    controls = vectors.orderBy(F.xxhash64("pos", F.lit(p.seed)), "pos").limit(p.controls)
-    truth = cut(exact.graph(vectors, p.k, nodes=controls, name=p.name))
+    if p.controls:
+        controls = vectors.orderBy(F.xxhash64("pos", F.lit(p.seed)), "pos").limit(p.controls)
+        truth = cut(exact.graph(vectors, p.k, nodes=controls, name=p.name))
+    else:
+        truth = vectors.sparkSession.createDataFrame([], EDGES + ", rank int")
     edges, many = truth.select("node", "nbr"), truth.count()
     lists = cut(start(vectors, p) if graph is None else _near(graph.select("node", "nbr", "dist").withColumn("is_new", F.lit(True)), p))
     info = {"rounds": 0, "delta": 1.0, "recall": _state(lists, edges, many, p.k)[1], "stop": "rounds"}
@@ -315,21 +318,30 @@ def hashed_edges(vectors: DataFrame, k: int, tables: int = 8, seed: int = 7, row
     return exact.top(grouped(groups, "key", "i", "j").applyInArrow(run, EDGES), k)
 
 
-def hashed_graph(vectors: DataFrame, k: int, tables: int = 8, seed: int = 7, rounds: int = 4, rows: int = PART_ROWS, name: str = "l2sqr") -> DataFrame:
-    """A K-NN graph from hashing, which rounds of descent then refine until it changes little."""
-    keep = 2 * k
-    edges = hashed_edges(vectors, keep, tables, seed, rows, name=name)
+#: Rounds of descent after hashing at most, and the controls' recall at which they end.
+REFINING, ENOUGH = 12, 0.95
+
+
+def hashed_graph(vectors: DataFrame, k: int, tables: int = 8, seed: int = 7, rounds: int = REFINING, rows: int = PART_ROWS, name: str = "l2sqr") -> DataFrame:
+    """A K-NN graph from hashing, which rounds of descent then refine until a sample of exact neighbours says that enough are found. Some random neighbours keep the descent from ending among those of like cells."""
+    p = Params(k=k, keep=4 * k, sample=5 * k // 2 + 1, reverse=6 * k, rounds=rounds, enough_recall=ENOUGH, seed=seed, name=name)
+    edges = hashed_edges(vectors, p.keep, tables, seed, rows, name=name)
     if not rounds:
         return truncated(edges, k)
-    graph, _ = build(vectors, Params(k=k, keep=keep, sample=k, reverse=2 * k, rounds=rounds, least_delta=0.01, seed=seed, name=name), edges)
+    own = cut(valid(vectors.select(F.col("pos").cast("bigint").alias("pos"), "embedding")))
+    graph, _ = build(own, p, edges.select("node", "nbr", "dist").unionByName(start(own, p).select("node", "nbr", "dist")))
     return truncated(graph, k).drop("is_new")
 
 
-def segments(vectors: DataFrame, k: int, smallest: int = 1024, times: int = 8, tables: int = 8, name: str = "l2sqr") -> DataFrame:
-    """Candidates (node, nbr) for an index: the ``k`` nearest by hashing among the keys of stretches of several sizes, up to all, so that ranges of any width have neighbours of their own."""
+def segments(vectors: DataFrame, k: int, smallest: int = 2048, times: int = 4, tables: int = 8, name: str = "l2sqr") -> DataFrame:
+    """Candidates (node, nbr) for an index: the ``k`` nearest, by hashing and descent, among the keys of stretches of several sizes, up to all, so that ranges of any width have neighbours of their own."""
     wide = vectors.agg(F.max("pos") - F.min("pos")).first()[0] or 0
-    out, size = hashed_edges(vectors, k, tables, name=name).select("node", "nbr"), smallest
+    out, size = hashed_graph(vectors, k, tables, name=name).select("node", "nbr"), smallest
     while size <= wide:
-        out = out.unionByName(hashed_edges(vectors, k, tables, segment=size, name=name).select("node", "nbr"))
+        # Neighbours of neighbours are of the same stretch, so a descent stays in it; there is no sample to end it.
+        edges = hashed_edges(vectors, 2 * k, tables, segment=size, name=name)
+        if size > CELL_ROWS * 2:
+            edges, _ = build(vectors, Params(k=k, keep=2 * k, sample=k, reverse=2 * k, rounds=4, controls=0, least_delta=0.05, name=name), edges)
+        out = out.unionByName(truncated(edges, k).select("node", "nbr"))
         size *= times
     return out.distinct()

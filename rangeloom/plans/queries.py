@@ -332,7 +332,7 @@ EDGE, PLACE = ("node", "nbr"), ("pos",)
 
 
 def nn_descent_graph(spark, sf_dir):
-    graph, _ = nndescent.build(by_label(spark, sf_dir), nndescent.Params(k=K, keep=4 * K, sample=20, reverse=48, rounds=3))
+    graph, _ = nndescent.build(by_label(spark, sf_dir), nndescent.Params(k=K, keep=4 * K, sample=20, reverse=48, enough_recall=0.95))
     return edges(nndescent.truncated(graph, K))
 
 
