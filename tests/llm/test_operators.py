@@ -405,7 +405,7 @@ def test_op4_lines_of_a_paragraph(spark):
     assert got == {0: ["mit"], 1: ["mit", "apache-2.0"], 2: ["agpl-3.0"], 3: []}
 
 
-#: Whole licence texts and headers as files hold them, none of them a template as it stands.
+#: Whole licence texts and headers as files hold them. The templates were adjusted until these were found, so they are no held-out measure.
 WHOLE = {
     "mit": """MIT License
 
@@ -475,7 +475,7 @@ version 2.1 of the License, or (at your option) any later version.""",
 purpose with or without fee is hereby granted, provided that the above
 copyright notice and this permission notice appear in all copies.""",
 }
-#: Phrases of each family that the model has not seen; and what grants nothing.
+#: Phrases of each family, and what grants nothing. They are no templates, but some templates were written because one of these failed.
 PHRASES = {
     "agpl-3.0": ["You may use it under the GNU AGPL version 3.", "Published under the Affero GPL"],
     "apache-2.0": ["Code released under the Apache License 2.0", "It comes under the Apache License, version 2.0."],
@@ -500,6 +500,32 @@ def test_op4_whole_texts_and_phrases(spark):
         assert set(got[k].families) <= {family, "unknown"}, (family, text, got[k])
 
 
+#: Written after the last change to the model and judged once: 24 of 30 right. Once the model is changed because of one of these, new ones are needed.
+FRESH = {
+    "mit": ["Feel free to reuse this; it is MIT licensed.", "All code samples are provided under the terms of the MIT License.", "License: MIT"],
+    "apache-2.0": ["Sources are covered by version 2.0 of the Apache License.", "We publish the project under Apache License, Version 2.0."],
+    "bsd": ["The parser is offered under a BSD-style license with two clauses.", "Covered by the 2-clause BSD licence."],
+    "gpl-2.0": ["This driver may be distributed under the terms of the GPL version 2.", "GPL-2.0-only"],
+    "gpl-3.0": ["You can redistribute it under version 3 of the GNU General Public License.", "Available under GPLv3."],
+    "agpl-3.0": ["The server is licensed under AGPL-3.0."],
+    "lgpl": ["The bindings are released under the GNU Lesser General Public License."],
+    "mpl-2.0": ["Files here are governed by the Mozilla Public License, version 2.0."],
+    "isc": ["It is published under the ISC license."],
+    "cc-by-4.0": ["Photos are shared under a Creative Commons Attribution 4.0 licence."],
+    "cc-by-sa-4.0": ["Text is available under the Creative Commons Attribution-ShareAlike 4.0 License."],
+    "cc0-1.0": ["The dataset is dedicated to the public domain under CC0 1.0."],
+    "public-domain": ["These maps are in the public domain."],
+    "all-rights-reserved": ["(c) 2019 Example Press. All rights reserved."],
+    "unknown": ["We have not released this under the GPL.", "The MIT Press published the book.", "Her fishing licence expired in June.", "The city reserved all rights of way.", "Apache is the name of a web server.", "The general public may use the park.", "Never distributed under the BSD license.", "Version 2 of the report was released on Monday.", "Software patents are a subject of debate.", "He lost his source of income."],
+}
+
+
+def test_op4_on_fresh_sentences():
+    model = licenses.train()
+    right = [f == model.judge(t)[0] for f, ts in FRESH.items() for t in ts]
+    assert len(right) == 30 and np.mean(right) >= 0.75
+
+
 def test_op4_several_in_one_line(spark):
     rows = ["Licensed under MIT or Apache-2.0.", "Licensed under the Apache License, Version 2.0 and the MIT license.", "SPDX-License-Identifier: MIT OR Apache-2.0", "Released under the MIT License."]
     got = {r.doc_id: sorted(r.families) for r in licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()}
@@ -507,7 +533,7 @@ def test_op4_several_in_one_line(spark):
 
 
 def test_op4_unknown_is_calibrated():
-    """Held-out sentences: what the model calls unknown with a probability is so about as often."""
+    """What the model is sure of is mostly right, on the phrases it was adjusted by (see ``FRESH`` for others)."""
     model = licenses.train()
     kept = [(f, t) for f, ts in PHRASES.items() for t in ts]
     judged = [(f, *model.judge(t)[:2]) for f, t in kept]
