@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
+from .alignment import op13_alignment
 from .bpe import op5_bpe
 from .chat import OP6_SQL, op6_chat
 from .embeddings import OP9_SQL, op9_embeddings
@@ -11,8 +12,10 @@ from .fingerprints import op1_fingerprints
 from .language import op10_language
 from .licenses import op4_licenses
 from .mixing import OP2_SQL, op2_mixing
+from .packing import op12_packing
 from .quality import op3_quality
 from .simhash import op7_simhash
+from .structure import op11_structure
 from .token_counts import op8_token_counts
 
 
@@ -28,6 +31,9 @@ def queries():
         "op8_token_counts": op8_token_counts,
         "op9_embeddings": op9_embeddings,
         "op10_language": op10_language,
+        "op11_structure": op11_structure,
+        "op12_packing": op12_packing,
+        "op13_alignment": op13_alignment,
         "pipeline": corpus_pipeline.run,
     }
 
