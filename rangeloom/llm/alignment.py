@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import chunks, stored, table, texts_of
+from .common import CHUNK_BYTES, chunks, stored, table, texts_of
 from .tokens import ByteTokens, PieceTokens, parts, shared
 
 #: Bytes of text in a block, unless one text is longer.
@@ -109,7 +109,7 @@ def aligner_of(a, b) -> Aligner:
 _BLOCKS = "block bigint, docs array<struct<doc_id: {}, n_a: bigint, n_b: bigint, n_groups: bigint, groups_sha256: string>>, a array<int>, b array<int>, n array<bigint>, links binary"
 
 
-def blocks(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def blocks(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row a block of documents: their groups, the block's different pairs (a, b, n), and all links as numbers of these. Write it before use: a block's number holds for one run."""
     a, b = shared(docs.sparkSession, ByteTokens, a_path), shared(docs.sparkSession, PieceTokens, b_path)
     schema = _BLOCKS.format(docs.schema[doc_id].dataType.simpleString())
@@ -129,12 +129,12 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", te
             held, size, number = [], 0, number + 1
             return pa.RecordBatch.from_arrays(out, names=["block", "docs", "a", "b", "n", "links"])
 
-        for batch in chunks(batches, text):
+        for batch in chunks(batches, text, limit=min(block_bytes, CHUNK_BYTES)):
             data, offsets = texts_of(batch.column(text))
             blob, cuts = data.tobytes(), offsets.tolist()
             held.append((batch.column(doc_id), *aligner.aligned([blob[x:y] for x, y in zip(cuts, cuts[1:], strict=False)])))
             size += len(blob)
-            if size >= BLOCK_BYTES:
+            if size >= block_bytes:
                 yield made()
         if held:
             yield made()
