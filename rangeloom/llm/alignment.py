@@ -7,7 +7,7 @@ that it spans are marked in a difference array. A gap that no A token spans ends
 token end together: a link.
 
 How often a pair of ids is linked is a count over all documents. Documents are worked on in blocks of some
-megabytes; a block keeps its different pairs, counted, and each document's links as numbers of these. The
+megabytes; a block keeps its different pairs, counted, and each document's links as numbers of these, compressed. The
 pairs of all blocks are added up, each B id's highest count is found, and what was found goes back to the
 blocks, so that a pair crosses the cluster once a block, not once a link, and the most common pair has as many rows as
 there are blocks.
@@ -24,9 +24,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from .common import CHUNK_BYTES, chunks, stored, table, texts_of
@@ -106,13 +109,36 @@ def aligner_of(a, b) -> Aligner:
     return _ALIGNER[2]
 
 
-_BLOCKS = "block bigint, docs array<struct<doc_id: {}, n_a: bigint, n_b: bigint, n_groups: bigint, groups_sha256: string>>, a array<int>, b array<int>, n array<bigint>, links binary"
+_FOUND = "block bigint, doc_id {}, n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string, links binary, a array<int>, b array<int>, n array<bigint>"
+
+
+def packed_links(numbers: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    """Each text's links, of the numbers between two cuts: its different numbers, ascending, as steps, and how often each is there; compressed."""
+    own = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    wide = int(numbers.max(initial=0)) + 1
+    keys, times = np.unique(own * wide + numbers, return_counts=True)
+    text, number = keys // wide, keys % wide
+    first = np.searchsorted(text, np.arange(len(cuts)))
+    steps = np.diff(number, prepend=0)
+    begins = first[:-1][np.diff(first) > 0]
+    steps[begins] = number[begins]
+    steps, times, press = steps.astype("<u4"), times.astype("<u4"), zstandard.ZstdCompressor(level=1).compress
+    return [press(steps[x:y].tobytes() + times[x:y].tobytes()) for x, y in zip(first, first[1:], strict=False)]
+
+
+def unpacked_links(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers and how often each is there."""
+    both = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype="<u4").astype(np.int64)
+    half = len(both) // 2
+    return np.cumsum(both[:half]), both[half:]
 
 
 def blocks(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row a block of documents: their groups, the block's different pairs (a, b, n), and all links as numbers of these. Write it before use: a block's number holds for one run."""
+    """A row a document, with its groups and its links as numbers of its block's pairs, and one a block, with its different pairs (a, b, n). Write it before use: a block's number holds for one run."""
     a, b = shared(docs.sparkSession, ByteTokens, a_path), shared(docs.sparkSession, PieceTokens, b_path)
-    schema = _BLOCKS.format(docs.schema[doc_id].dataType.simpleString())
+    schema = T.StructType.fromDDL(_FOUND.format("string"))
+    schema["doc_id"].dataType = docs.schema[doc_id].dataType
+    arrow = to_arrow_schema(schema)
 
     def run(batches):
         aligner, number = aligner_of(a, b), TaskContext.get().partitionId() << 32
@@ -121,13 +147,15 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", te
         def made():
             nonlocal held, size, number
             keys, numbers, counts = np.unique(np.concatenate([x[-1] for x in held]), return_inverse=True, return_counts=True)
-            ids = pa.concat_arrays([x[0] for x in held])
-            n_a, n_b, n_groups = (pa.array(np.concatenate([x[k] for x in held]), pa.int64()) for k in (1, 2, 3))
-            rows = pa.StructArray.from_arrays([ids, n_a, n_b, n_groups, pa.array([h for x in held for h in x[4]], pa.string())], names=["doc_id", "n_a", "n_b", "n_groups", "groups_sha256"])
+            n_groups = np.concatenate([x[3] for x in held])
+            cuts = np.concatenate([[0], np.cumsum(n_groups)])
+            n = len(n_groups)
+            own = [pa.array(np.full(n, number)), pa.concat_arrays([x[0] for x in held]), *(pa.array(np.concatenate([x[k] for x in held]), pa.int64()) for k in (1, 2)), pa.array(n_groups, pa.int64()), pa.array([h for x in held for h in x[4]], pa.string()), pa.array(packed_links(numbers, cuts), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(n, f.type) for f in list(arrow)[len(own) :])], schema=arrow)
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            out = [pa.array([number]), one(rows), one(pa.array((keys >> 32).astype(np.int32))), one(pa.array((keys & 0xFFFFFFFF).astype(np.int32))), one(pa.array(counts.astype(np.int64))), pa.array([numbers.astype("<u4").tobytes()], pa.binary())]
+            pairs = [one(pa.array((keys >> 32).astype(np.int32))), one(pa.array((keys & 0xFFFFFFFF).astype(np.int32))), one(pa.array(counts.astype(np.int64)))]
+            yield pa.RecordBatch.from_arrays([pa.array([number]), *(pa.nulls(1, f.type) for f in list(arrow)[1 : len(own)]), *pairs], schema=arrow)
             held, size, number = [], 0, number + 1
-            return pa.RecordBatch.from_arrays(out, names=["block", "docs", "a", "b", "n", "links"])
 
         for batch in chunks(batches, text, limit=min(block_bytes, CHUNK_BYTES)):
             data, offsets = texts_of(batch.column(text))
@@ -135,55 +163,42 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", te
             held.append((batch.column(doc_id), *aligner.aligned([blob[x:y] for x, y in zip(cuts, cuts[1:], strict=False)])))
             size += len(blob)
             if size >= block_bytes:
-                yield made()
+                yield from made()
         if held:
-            yield made()
+            yield from made()
 
     return docs.select(doc_id, text).mapInArrow(run, schema)
 
 
-def pair_counts(found: DataFrame) -> DataFrame:
-    """Over all blocks: a, b, count (links of the pair), is_best (no A id has more links with b). A B id has at most as many rows as A has ids."""
-    pairs = found.select(F.explode(F.arrays_zip("a", "b", "n")).alias("p")).select("p.a", "p.b", "p.n")
+def pair_counts(pairs: DataFrame) -> DataFrame:
+    """Of all blocks' pairs (a, b, n): a, b, count (links of the pair), is_best (no A id has more links with b). A B id has at most as many rows as A has ids."""
     counts = pairs.groupBy("a", "b").agg(F.sum("n").alias("count"))
     return counts.withColumn("is_best", F.col("count") == F.max("count").over(Window.partitionBy("b")))
 
 
 def judged(found: DataFrame) -> DataFrame:
     """One row a document of ``blocks`` (written before): doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
-    key = found.schema["docs"].dataType.elementType["doc_id"].dataType.simpleString()
-    pairs = found.select("block", F.posexplode(F.arrays_zip("a", "b")).alias("at", "p")).select("block", "at", "p.a", "p.b")
-    back = pairs.join(pair_counts(found), ["a", "b"]).select(F.col("block").alias("home"), "at", "count", "is_best")
+    pairs = found.where("a IS NOT NULL").select("block", F.posexplode(F.arrays_zip("a", "b", "n")).alias("at", "p")).select("block", "at", "p.a", "p.b", "p.n")
+    back = pairs.join(pair_counts(pairs), ["a", "b"]).select(F.col("block").alias("home"), "at", "count", "is_best")
+    schema = T.StructType([found.schema["doc_id"], *T.StructType.fromDDL("n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string").fields])
+    arrow = to_arrow_schema(schema)
 
     def run(t: pa.Table, counted: pa.Table) -> pa.Table:
-        out = []
         at = counted.column("at").to_numpy()
         count, best = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
         count[at], best[at] = counted.column("count").to_numpy(), counted.column("is_best").to_numpy(zero_copy_only=False)
-        for k in range(t.num_rows):
-            rows = t.column("docs").combine_chunks()[k].values
-            links = np.frombuffer(t.column("links")[k].as_py(), dtype="<u4")
-            n = rows.field("n_groups")
-            cuts = np.concatenate([[0], np.cumsum(n.to_numpy())])
-            sums = [np.concatenate([[0], np.cumsum(x[links])])[cuts] for x in (best, count)]
-            n_best, count_sum = (pa.array(np.diff(s), pa.int64()) for s in sums)
-            out.append(pa.table([rows.field("doc_id"), rows.field("n_a"), rows.field("n_b"), n, n, n_best, count_sum, rows.field("groups_sha256")], names=names))
-        return pa.concat_tables(out) if out else empty
-
-    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-    schema = f"doc_id {key}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
-    own = found.select("block", "docs", "links")
-    arrow = pa.schema([("doc_id", _arrow(found.schema["docs"].dataType.elementType["doc_id"].dataType)), *((n, pa.int64()) for n in names[1:-1]), ("groups_sha256", pa.string())])
-    empty = arrow.empty_table()
+        n_best, count_sum = [], []
+        for blob in t.column("links").to_pylist():
+            numbers, times = unpacked_links(blob)
+            n_best.append(int((best[numbers] * times).sum()))
+            count_sum.append(int((count[numbers] * times).sum()))
+        n = t.column("n_groups")  # in each group the last A and the last B token are linked
+        return pa.table([t.column("doc_id"), t.column("n_a"), t.column("n_b"), n, n, pa.array(n_best, pa.int64()), pa.array(count_sum, pa.int64()), t.column("groups_sha256")], schema=arrow)
+
+    own = found.where("a IS NULL").select("block", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links")
     return own.groupBy("block").cogroup(back.groupBy("home")).applyInArrow(run, schema)
 
 
-def _arrow(kind):
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
-
-
 def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """Each document's groups and links, judged by all documents' counts."""
     return judged(stored(blocks(docs, a_path, b_path)))
