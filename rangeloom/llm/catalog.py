@@ -7,7 +7,7 @@ import corpus_pipeline
 from .alignment import op13_alignment
 from .bpe import op5_bpe
 from .chat import OP6_SQL, op6_chat
-from .embeddings import OP9_SQL, op9_embeddings
+from .embeddings import OP9_SQL, PLANTED_SQL, op9_embeddings, planted_embeddings
 from .fingerprints import op1_fingerprints
 from .language import op10_language
 from .licenses import op4_licenses
@@ -30,6 +30,7 @@ def queries():
         "op7_simhash": op7_simhash,
         "op8_token_counts": op8_token_counts,
         "op9_embeddings": op9_embeddings,
+        "planted_embeddings": planted_embeddings,
         "op10_language": op10_language,
         "op11_structure": op11_structure,
         "op12_packing": op12_packing,
@@ -39,5 +40,5 @@ def queries():
 
 
 def oracle_sql():
-    own = {"op2_mixing": OP2_SQL, "op6_chat": OP6_SQL, "op9_embeddings": OP9_SQL}
+    own = {"op2_mixing": OP2_SQL, "op6_chat": OP6_SQL, "op9_embeddings": OP9_SQL, "planted_embeddings": PLANTED_SQL}
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -15,7 +15,8 @@ gives each class's number of links and as many links as connect it, never its pa
 cells of both kinds counts in the larger one.
 
 Defined results: rows with null vec_id, null label, or a vector that is null, empty, zero, or holds a
-null or non-finite component link with nothing and are their own component; vectors of different
+null or non-finite component link with nothing and are their own component; vectors of very small or large
+numbers are compared like any others (by their largest component first); vectors of different
 lengths do not link; each row counts as a vector of its own, so rows that repeat a vec_id with one vector
 and label are copies, and with others may lie in different components; an empty table gives no rows.
 Other columns are ignored.
@@ -190,6 +191,16 @@ def _keys(column: pa.Array) -> np.ndarray:
     return out
 
 
+#: More than cosines may differ by the order in which they are summed.
+_NEARLY = 1e-9
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows of length one. By the largest component first, whose squares neither vanish nor overflow."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
 def pair_links(live: DataFrame, wide: DataFrame, least: float) -> DataFrame:
     """a, b, na, nb: the links that are found in small cells and in no larger one, and the copies of either class."""
     small = live.where(F.col("n") <= SMALL)
@@ -206,8 +217,7 @@ def pair_links(live: DataFrame, wide: DataFrame, least: float) -> DataFrame:
                 same = sx == np.diff(oy)
                 for d in np.unique(sx[same]):
                     rows = np.flatnonzero(same & (sx == d))
-                    p, q = _rows(x, ox, rows, d), _rows(y, oy, rows, d)
-                    keep[rows] = np.einsum("ij,ij->i", p, q) / np.sqrt(np.einsum("ij,ij->i", p, p) * np.einsum("ij,ij->i", q, q)) >= least
+                    keep[rows] = np.einsum("ij,ij->i", _units(_rows(x, ox, rows, d)), _units(_rows(y, oy, rows, d))) >= least
                 rows = np.flatnonzero(keep)
                 if own.column("ka").null_count < own.num_rows:
                     keep[rows] = _meet(_keys(own.column("ka").take(pa.array(rows))), _keys(own.column("kb").take(pa.array(rows)))) == 0
@@ -235,15 +245,19 @@ def block_links(live: DataFrame, wide: DataFrame, least: float) -> DataFrame:
         a, b = np.flatnonzero(part == i), np.flatnonzero(part == j)
         for d in np.unique(sizes):
             p, q = a[sizes[a] == d], b[sizes[b] == d]
-            x, y = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (_rows(flat, offsets, p, d), _rows(flat, offsets, q, d)))
+            x, y = (_units(_rows(flat, offsets, z, d)) for z in (p, q))
             step = max(1, _STRIP // max(len(q), 1))
             for k in range(0, len(p), step):
-                near = x[k : k + step] @ y.T >= least
+                cosine = x[k : k + step] @ y.T
+                near = cosine >= least - _NEARLY
                 near &= home[p[k : k + step]][:, None] | home[q][None]
                 if i == j:
                     near &= p[k : k + step][:, None] < q[None]
                 r, c = np.nonzero(near)
-                r, c = p[k + r], q[c]
+                # A product of matrices rounds in another way; what is at the bound is decided as in ``pair_links``.
+                sure = cosine[r, c] >= least + _NEARLY
+                sure[~sure] = np.einsum("ij,ij->i", x[k + r[~sure]], y[c[~sure]]) >= least
+                r, c = p[k + r[sure]], q[c[sure]]
                 first = _meet(keys[r], keys[c]) == key
                 r, c = r[first], c[first]
                 others += np.bincount(r, copies[c], len(cid)).astype(np.int64) + np.bincount(c, copies[r], len(cid)).astype(np.int64)
@@ -306,3 +320,21 @@ l AS (SELECT a, count(*) AS links FROM p GROUP BY a)
 SELECT vec_id, coalesce(links, 0)::BIGINT AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(least, vec_id)) AS kept
 FROM v LEFT JOIN c ON vec_id = c.a LEFT JOIN l ON vec_id = l.a
 """
+
+
+def planted(vectors: DataFrame) -> DataFrame:
+    """Each vector and two others turned away from it (every second component times 1.2, and times 1.44), of cosines about 0.996 and 0.984."""
+    turned = lambda by: F.transform(F.col("embedding").cast("array<double>"), lambda x, k: F.when(k % 2 == 0, x * by).otherwise(x))
+    forms = F.array(*[F.struct(F.lit(k).alias("k"), turned(by).alias("e")) for k, by in enumerate((1.0, 1.2, 1.44))])
+    return vectors.select("vec_id", "label", F.explode(forms).alias("f")).select((F.col("vec_id") * 3 + F.col("f.k")).alias("vec_id"), "label", F.col("f.e").alias("embedding"))
+
+
+def planted_embeddings(spark, sf_dir) -> DataFrame:
+    """The operator where there are links: over vectors derived from the table's."""
+    return near_duplicates(planted(table(spark, sf_dir, "embeddings")))
+
+
+PLANTED_SQL = OP9_SQL.replace(
+    "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, len(embedding) AS d FROM embeddings",
+    "SELECT vec_id * 3 + k AS vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: CASE WHEN i % 2 = 1 THEN x * f ELSE x END) AS e, len(embedding) AS d FROM embeddings, (VALUES (0, 1.0::DOUBLE), (1, 1.2::DOUBLE), (2, 1.44::DOUBLE)) forms(k, f)",
+)

@@ -114,8 +114,9 @@ _CALIBRATION = {
     "unknown": ["The restaurant has a licence to serve wine.", "Copyright was the topic of the lecture.", "Apache is a county in Arizona.", "He works at MIT.", "The public domain of the lake is closed.", "Do not redistribute the keys.", "All seats are reserved.", "The version 2.0 report is free.", "They were granted permission to leave.", "The commons were crowded."],
 }
 #: Before a licence named after another one; each is judged for itself, as if it were the first named, in lines that speak of licensing before.
-ALSO = r"(?:\s+(?i:and|or|as well as)\s+|\s*[/&]\s*)(?:(?i:under|by)\s+)?(?:(?i:the)\s+)?(?=(?:MIT|Apache|BSD|[AL]?GPL|GNU|Mozilla|MPL|ISC|CC|Creative Commons)\b)"
-GRANT = r"(?i:licen[sc]ed?|released|distributed|available|published|identifier)\b.*"
+ALSO = r"(?<!\s)(?:\s+(?i:and|or|as well as)\s+|\s*[/&]\s*)(?:(?i:under|by)\s+)?(?:(?i:the)\s+)?(?=(?:MIT|Apache|BSD|[AL]?GPL|GNU|Mozilla|MPL|ISC|CC|Creative Commons)\b)"
+#: What stands behind the first word of a line that speaks of licensing; found in one pass, and searched in another, so that no line takes longer than it is long.
+GRANT = r"(?s)(?i:licen[sc]ed?|released|distributed|available|published|identifier)\b(.*)"
 ANCHORS = r"(?i)licen[sc]|copyright|rights\s+reserved|public\s+domain|redistribut|creative\s+commons|\bgpl|\blgpl|\bagpl|\bapache\b|\bbsd\b|spdx|\bcc0\b|\bcc\s+by"
 #: Where a text is split into paragraphs.
 BREAK = r"\n(?:[^\p{L}\p{N}]*\n|(?<=[.!?\u3002\uFF01\uFF1F][\"'\u201D\u2019)\]*_]{0,3}[ \t\r]{0,4}\n)(?=[^\p{L}\p{N}\n]*[\p{Lu}\p{Lo}]))"
@@ -309,7 +310,7 @@ def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
     kept = F.when(passes(F.col("text")), kept)
     mark = F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("string").alias("run")))
     runs = docs.select("row", "doc_id", F.explode(F.concat(mark, F.coalesce(kept, F.array().cast("array<struct<at:int,run:string>>")))).alias("x")).select("row", "doc_id", "x.*")
-    several = lambda x: F.when(x.rlike(GRANT + ALSO), F.regexp_replace(x, ALSO, "\nLicensed under ")).otherwise(x)
+    several = lambda x: F.when(F.regexp_extract(x, GRANT, 1).rlike(ALSO), F.regexp_replace(x, ALSO, "\nLicensed under ")).otherwise(x)
     lined = F.array_join(F.transform(F.split("run", "\n"), several), "\n")
     lines = F.filter(F.transform(F.split(lined, "\n"), lambda x, k: F.struct((k + 1).alias("part"), x.alias("line"))), lambda x: passes(x["line"]))
     own = F.array(F.struct(F.lit(0).alias("part"), F.col("run").alias("line")))

@@ -19,8 +19,7 @@ pass is one row, in the shard where its first block is, so that documents stay w
 Defined results: a null text counts as empty; a document of no words takes nothing; documents of null
 source make a source of their own, last in order; rows that repeat an id and a text stand side by side in
 the stream, in any order; an empty table gives an empty mix. Other columns are ignored or, by
-``mixed_documents``, carried along, whatever their names. ``docs`` is read twice by ``mixed_documents``,
-so it has to be a table or a checkpoint, whose rows come in the same order each time; if not, it fails.
+``mixed_documents``, carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import checkpointed, mixed, table
+from .common import added, checkpointed, mixed, stored, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -154,13 +153,12 @@ def draw(words: int, size: int, blocks: int, block_words: int, keys: list[list[i
     raise AssertionError("a target is above its source's passes")
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """rid, a mark of the row, doc_id, size in words, the source as a key that is never null, and the place in the order of a hash; one row per row of ``docs``."""
+def sized(docs: DataFrame, number: str | None = None) -> DataFrame:
+    """rid (the column ``number``, if there is one), doc_id, size in words, the source as a key that is never null, and the place in the order of a hash; one row per row of ``docs``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     own = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text.cast("binary")))
     rows = docs.select(
-        F.monotonically_increasing_id().alias("rid"),
-        F.xxhash64("doc_id", "text", "source").alias("mark"),
+        (F.monotonically_increasing_id() if number is None else F.col(number)).alias("rid"),
         "doc_id",
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"),
         F.regexp_count(text, F.lit(_WORD)).cast("bigint").alias("size"),
@@ -188,14 +186,14 @@ def plan_of(bucket_sizes: DataFrame, shards: int | None, block_words: int, seed:
     return Plan([r[0] for r in rows], sizes, targets, quotas, blocks, drawn[:, 0], drawn[:, 1], ends, keys, block_words)
 
 
-def placed(docs: DataFrame, shards: int | None = None, block_words: int = BLOCK_WORDS, seed: int = 7) -> tuple[DataFrame, Plan]:
-    """rid, mark, doc_id, source, size and start (the words before it in its source's stream) of each row, and the plan.
+def placed(docs: DataFrame, shards: int | None = None, block_words: int = BLOCK_WORDS, seed: int = 7, number: str | None = None) -> tuple[DataFrame, Plan]:
+    """rid, doc_id, source, size and start (the words before it in its source's stream) of each row, and the plan.
 
     A source's stream is ordered in 2 ** BUCKET_BITS buckets of the hash, so that no task ever holds a
     whole source. Equal rows, however many, are counted first, by the partition they were read in; each
     row then finds its place from its number among the equal ones of its partition.
     """
-    rows = checkpointed(sized(docs))  # the texts are read once
+    rows = checkpointed(sized(docs, number))  # the texts are read once
     same = ["source", "bucket", "key", "id", "size", "part"]
     groups = checkpointed(rows.groupBy(*same).agg(F.count(F.lit(1)).alias("n")))
     by_bucket = groups.groupBy("source", "bucket").agg(F.sum(F.col("n") * F.col("size")).alias("words"))
@@ -205,7 +203,7 @@ def placed(docs: DataFrame, shards: int | None = None, block_words: int = BLOCK_
     within = Window.partitionBy("source", "bucket").orderBy("key", "id", "size", "part").rowsBetween(Window.unboundedPreceding, -1)
     begun = groups.join(base, ["source", "bucket"]).select(*same, (F.col("base") + F.coalesce(F.sum(F.col("n") * F.col("size")).over(within), F.lit(0))).alias("begin"))
     number = F.row_number().over(Window.partitionBy(*same).orderBy("rid")) - 1
-    return rows.join(begun, same).select("rid", "mark", "doc_id", "source", "size", (F.col("begin") + number * F.col("size")).alias("start")), plan
+    return rows.join(begun, same).select("rid", "doc_id", "source", "size", (F.col("begin") + number * F.col("size")).alias("start")), plan
 
 
 def _pieces(source: np.ndarray, start: np.ndarray, size: np.ndarray, plan: Plan):
@@ -286,10 +284,13 @@ def cut_words(text: str, first: int, past: int, size: int) -> str:
 def mixed_documents(docs: DataFrame, shards: int | None = None, seed: int = 7) -> DataFrame:
     """The documents that the mix takes, with the columns of ``docs``, by shard and in each shard's order: one row for each run of neighbouring words taken in one pass, cut to it.
 
-    Numbers alone are placed; the texts then meet their places on the row's number, and cross one more
+    The rows are numbered once, in a table written for it, so that it does not matter in which splits or order they are
+    read later. Numbers alone are placed; the texts then meet their places on the row's number, and cross one more
     shuffle to their shards. A shard is put out by as many tasks as its words ask for, each a range of its order.
     """
-    rows, plan = placed(docs.select("doc_id", "text", "source"), shards, seed=seed)
+    number = added(docs, "rid")
+    held = stored(docs.withColumn(number, F.monotonically_increasing_id()))
+    rows, plan = placed(held.select(number, "doc_id", "text", "source"), shards, seed=seed, number=number)
     numbers = {name: k for k, name in enumerate(plan.names)}
     tasks = 1 << max(0, (-(-int(plan.quotas.sum()) // (plan.shards * TASK_WORDS)) - 1).bit_length())
     schema = T.StructType([T.StructField("row", docs.schema), *(T.StructField(c, T.LongType()) for c in ("task", "rank", "slot", "at"))])
@@ -325,9 +326,8 @@ def mixed_documents(docs: DataFrame, shards: int | None = None, seed: int = 7) -
                     taken = pa.StructArray.from_arrays(list(parts.values()), fields=list(taken.type))
                 yield pa.RecordBatch.from_arrays([taken, *(pa.array(x[own]) for x in (task, rank, slot, first))], names=["row", "task", "rank", "slot", "at"])
 
-    wide = docs.select(F.monotonically_increasing_id().alias("rid"), F.xxhash64("doc_id", "text", "source").alias("own"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    source = F.when(F.col("own") == F.col("mark"), F.col("source")).otherwise(F.raise_error(F.lit("the documents came in another order when read again; write them as a table first")))
-    met = wide.join(rows.where("size > 0").select("rid", "mark", "source", "size", "start"), "rid").select("row", source.alias("source"), "size", "start")
+    wide = held.select(F.col(number).alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    met = wide.join(rows.where("size > 0").select("rid", "source", "size", "start"), "rid").select("row", "source", "size", "start")
     found = met.mapInArrow(run, schema).repartitionById(max(1, plan.shards * tasks), F.col("task").cast("int"))
     return found.sortWithinPartitions("task", "rank", "slot", "row.doc_id", "at").select("row.*")
 
