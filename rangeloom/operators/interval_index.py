@@ -14,6 +14,9 @@ compared (``blocks.valid``) are in no row. Any metric of ``functions.distance``
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.distance import metric, row_distances
-from ..plans.lineage import cut
+from ..plans.lineage import cut, cut_counted
 from .blocks import grouped, matrix, pairs, valid
 
 OPEN = 2**63 - 1
@@ -257,37 +260,88 @@ def repair(index: DataFrame, vectors: DataFrame, changed: DataFrame, k: int, nam
     return again.unionByName(kept.join(reached, "node", "left_anti"))
 
 
-#: Positions on either side of a node that ``build_near`` always looks at.
-NEAR = 256
+#: Steps that a node's candidates may be away in the graph at most, where its frontier does not end them before.
+HOPS = 10
+#: A neighbour in a range of w of n keys is near in keys if w is small, and else among some K n / w nearest of all. So
+#: this many times the root of K n keys on either side, and about as many near ones, miss few in ranges of any width.
+REACH = 1.5
 
 
-def build_near(vectors: DataFrame, graph: DataFrame, k: int, hops: int = 1, near: int = NEAR, name: str = "l2sqr") -> DataFrame:
-    """The index from candidates only: each node's neighbours in an approximate graph (or several, of parts of the keys) and those of up to ``hops`` steps, every position at most ``near`` away, and every one between its K-th left and K-th right of them.
+def frontier(vectors: DataFrame, graph: DataFrame, k: int, hops: int = HOPS, reach: float = REACH, info: list | None = None) -> DataFrame:
+    """Each node's candidates from a graph (node, nbr): node, l, r, found (array): what some steps lead to, and the positions between which all are to be looked at.
 
-    Near keys are exact, since all of them are scanned; far ones are as good as the graph. The cost
-    grows with the candidates, not with all pairs.
+    A node goes on, step by step, until the stretch of keys between its K-th left and its K-th right candidate is
+    shorter than what a further step would bring (its last step's nodes times the graph's mean degree): looking at all
+    of the stretch is then cheaper. It goes on as well while it has fewer candidates than ``reach`` times the root of
+    ``k`` times all, and at least so many keys on either side are looked at. Only nodes that go on are joined again.
+    ``info`` is given a row a step.
     """
-    vectors = valid(vectors.select("pos", "embedding"))
-    ends = vectors.agg(F.min("pos"), F.max("pos")).first()
-    edges = graph.select("node", "nbr").distinct()
-    found = edges
-    for _ in range(hops - 1):
-        further = found.select("node", F.col("nbr").alias("mid")).join(edges.select(F.col("node").alias("mid"), "nbr"), "mid").select("node", "nbr")
-        found = found.unionByName(further).where("node <> nbr").distinct()
-    found = cut(found)
-    place = F.row_number().over(Window.partitionBy("node", F.col("nbr") < F.col("node")).orderBy(F.abs(F.col("nbr") - F.col("node"))))
-    reach = found.withColumn("place", place).where(F.col("place") <= k).groupBy("node").agg(F.min(F.when(F.col("nbr") < F.col("node"), F.col("nbr"))).alias("l"), F.max(F.when(F.col("nbr") > F.col("node"), F.col("nbr"))).alias("r"))
-    first, last = (F.lit(int(x or 0)).cast("bigint") for x in ends)
-    span = F.sequence(F.greatest(first, F.least(F.col("node") - near, F.coalesce("l", "node"))), F.least(last, F.greatest(F.col("node") + near, F.coalesce("r", "node"))))
-    between = vectors.select(F.col("pos").alias("node")).join(reach, "node", "left").select("node", F.explode(span).alias("nbr")).where("node <> nbr")
-    every = found.unionByName(between).distinct()
-    of = lambda a, v: vectors.select(F.col("pos").alias(a), F.col("embedding").alias(v))
-
-    def measured(batches):
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("side"), b.column("nbr"), pa.array(row_distances(matrix(b.column("x")), matrix(b.column("y")), name))], names=["node", "side", "nbr", "dist"])
-
-    side = F.when(F.col("nbr") < F.col("node"), "L").otherwise("R")
-    far = every.join(of("node", "x"), "node").join(of("nbr", "y"), "nbr").select("node", side.alias("side"), "nbr", "x", "y")
-    return settle(far.mapInArrow(measured, "node bigint, side string, nbr bigint, dist double"), k)
+    ends = vectors.agg(F.min("pos"), F.max("pos"), F.count(F.lit(1))).first()
+    first, last = int(ends[0] or 0), int(ends[1] or 0)
+    edges = cut(graph.select("node", "nbr").where("node <> nbr").distinct())
+    legs = edges.select(F.col("node").alias("nbr"), F.col("nbr").alias("to"))
+    mean, least = edges.count() / max(ends[2], 1), math.ceil(reach * math.sqrt(k * ends[2]))
+    known = vectors.select(F.col("pos").alias("node"))
+    step, done = edges.select("node", "nbr", F.lit(1).alias("hop")), []
+    for hop in range(1, hops + 1):
+        left = F.col("nbr") < F.col("node")
+        place = F.row_number().over(Window.partitionBy("node", left).orderBy(F.abs(F.col("nbr") - F.col("node"))))
+        rows = step.withColumn("place", place)
+        own = rows.groupBy("node").agg(
+            F.max(F.when(left & (F.col("place") == k), F.col("nbr"))).alias("l"),
+            F.min(F.when(~left & (F.col("place") == k), F.col("nbr"))).alias("r"),
+            F.sum((F.col("hop") == hop).cast("bigint")).alias("frontier"),
+            F.collect_list("nbr").alias("found"),
+        )
+        if hop == 1:
+            own = known.join(own, "node", "left")
+        l = F.greatest(F.least(F.coalesce("l", F.lit(first - 1)), F.col("node") - least), F.lit(first - 1)).cast("bigint")
+        r = F.least(F.greatest(F.coalesce("r", F.lit(last + 1)), F.col("node") + least), F.lit(last + 1)).cast("bigint")
+        own = own.select("node", l.alias("l"), r.alias("r"), F.coalesce("frontier", F.lit(0)).alias("frontier"), F.coalesce("found", F.array().cast("array<bigint>")).alias("found"))
+        short = ((F.col("r") - F.col("l")) >= F.col("frontier") * mean) | (F.size("found") < min(least, ends[2] - 1))
+        on = (F.col("frontier") > 0) & short & F.lit(hop < hops)
+        own, seen = cut_counted(own.withColumn("on", on), going=F.coalesce(F.sum(F.col("on").cast("bigint")), F.lit(0)), candidates=F.coalesce(F.sum(F.when(~F.col("on"), F.size("found") + F.col("r") - F.col("l") - 1)), F.lit(0)))
+        done.append(own.where("NOT on").select("node", "l", "r", "found"))
+        if info is not None:
+            info.append({"hop": hop, "going": seen["going"], "candidates": seen["candidates"]})
+        if not seen["going"]:
+            break
+        # The nodes that go on, and what their last step's nodes lead to.
+        going = own.where("on").select("node")
+        reached = step.join(going, "node", "left_semi")
+        further = reached.where(F.col("hop") == hop).join(legs, "nbr").select("node", F.col("to").alias("nbr")).where("node <> nbr").distinct().join(reached.select("node", "nbr"), ["node", "nbr"], "left_anti")
+        step = cut(reached.unionByName(further.withColumn("hop", F.lit(hop + 1))))
+    return reduce(DataFrame.unionByName, done)
+
+
+def build_near(vectors: DataFrame, graph: DataFrame, k: int, hops: int = HOPS, reach: float = REACH, name: str = "l2sqr", info: list | None = None) -> DataFrame:
+    """The index from candidates only: what a graph's steps lead to, as far as ``frontier`` takes each node, and every position between its K-th left and K-th right of them.
+
+    Near keys are exact, since all of them are looked at; far ones are as good as the graph. The cost grows
+    with the candidates, not with all pairs. A vector goes once to each group of ``NODES_A_GROUP`` nodes that needs it.
+    """
+    vectors = cut(valid(vectors.select(F.col("pos").cast("bigint").alias("pos"), "embedding")))
+    part = F.floor(F.col("node") / NODES_A_GROUP).alias("part")
+    nodes = cut(frontier(vectors, graph, k, hops, reach, info).select(part, "node", "l", "r", "found"))
+    between = nodes.groupBy("part").agg(F.min("l").alias("l"), F.max("r").alias("r")).select("part", F.explode(F.sequence("l", "r")).alias("pos"))
+    needed = nodes.select("part", F.explode("found").alias("pos")).unionByName(between).unionByName(nodes.select("part", F.col("node").alias("pos"))).distinct()
+    held = needed.join(vectors, "pos").select(F.col("part").alias("home"), "pos", "embedding")
+
+    def run(t: pa.Table, data: pa.Table) -> pa.Table:
+        data = data.sort_by("pos")
+        pos, x = data.column("pos").to_numpy(), matrix(data.column("embedding"))
+        node, low, high = (t.column(c).to_numpy() for c in ("node", "l", "r"))
+        d = np.full((len(node), len(pos)), np.inf)
+        for i, found in enumerate(t.column("found").to_pylist()):
+            near = np.arange(*np.searchsorted(pos, [low[i] + 1, high[i]]))
+            at = np.searchsorted(pos, np.array(found, dtype=np.int64)).clip(max=len(pos) - 1)
+            near = np.union1d(near, at[pos[at] == found] if len(at) else at)
+            own = x[np.searchsorted(pos, node[i])]
+            d[i, near] = row_distances(np.broadcast_to(own, (len(near), len(own))), x[near], name)
+        out = [_survivors(pos, node, d, k, left) for left in (True, False)]
+        r, c = (np.concatenate(z) for z in zip(*out, strict=True))
+        side = np.repeat(np.array(["L", "R"], dtype=object), [len(z[0]) for z in out])
+        return pa.table({"node": pa.array(node[r]), "side": pa.array(side, pa.string()), "nbr": pa.array(pos[c]), "dist": pa.array(d[r, c])})
+
+    found = nodes.groupBy("part").cogroup(held.groupBy("home")).applyInArrow(run, "node bigint, side string, nbr bigint, dist double")
+    return settle(found, k)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.distance import block_distances, row_distances
-from ..plans.lineage import cut
+from ..plans.lineage import cut, cut_counted
 from . import exact
 from .blocks import grouped, matrix, nearest, valid
 
@@ -42,6 +42,8 @@ class Params:
     enough_recall: float = 0.99
     seed: int = 17
     name: str = "l2sqr"
+    #: Whether a node is taken as a reverse neighbour only where it is not among the nearest that the other uses itself.
+    gate: bool = True
 
 
 _LISTS = "node bigint, nbr bigint, dist double, is_new boolean, rank int, picked boolean, worst double"
@@ -130,6 +132,22 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), *[c for c in edges.columns if c not in ("node", "nbr")]))
 
 
+def _members(lists: DataFrame, p: Params, round_: int) -> DataFrame:
+    """Who meets at each hub in a round: hub, pos, is_new. The neighbours that the hub uses, and those that use it, up to ``p.reverse`` new and as many old ones.
+
+    A node within the radius of what the hub uses is among these already; with the gate it does not take a
+    reverse neighbour's place, nor is it sent twice.
+    """
+    used = lists.where("picked").select("node", "nbr", "dist", "is_new")
+    back = used.select(F.col("nbr").alias("hub"), F.col("node").alias("pos"), "dist", "is_new")
+    if p.gate:
+        radius = used.groupBy(F.col("node").alias("hub")).agg(F.max("dist").alias("radius"))
+        back = back.join(radius, "hub", "left").where(F.col("radius").isNull() | (F.col("dist") > F.col("radius")))
+    order = Window.partitionBy("hub", "is_new").orderBy(F.xxhash64("hub", "pos", F.lit(p.seed + round_)), "pos")
+    both = used.select(F.col("node").alias("hub"), F.col("nbr").alias("pos"), "is_new").unionByName(back.select("hub", "pos", "is_new"))
+    return both.withColumn("place", F.row_number().over(order)).where(F.col("place") <= p.reverse).select("hub", "pos", "is_new")
+
+
 def start(vectors: DataFrame, p: Params) -> DataFrame:
     """Some random neighbours of each node: node, nbr, dist, is_new, rank. Positions may have gaps."""
     ends = vectors.agg(F.min("pos"), F.max("pos"), F.count(F.lit(1))).first()
@@ -147,11 +165,12 @@ def _state(lists: DataFrame, truth: DataFrame, many: int, k: int) -> tuple[float
     return float(row[0] or 0), float(row[1] or 0) / max(many, 1)
 
 
-def build(vectors: DataFrame, p: Params = Params(), graph: DataFrame | None = None) -> tuple[DataFrame, dict]:
+def build(vectors: DataFrame, p: Params = Params(), graph: DataFrame | None = None, rounds: list | None = None) -> tuple[DataFrame, dict]:
     """The graph (node, nbr, dist, rank, is_new; ``keep`` a node) and how it ended: rounds, delta, recall, accuracy, m, stop.
 
     It begins at random neighbours or at a given graph (node, nbr, dist). ``accuracy`` is the controls' mean
-    relative error of distance, ``m`` the mean number of neighbours that a round uses.
+    relative error of distance, ``m`` the mean number of neighbours that a round uses. ``rounds`` is given a row a
+    round: round, compared (distances), new_edges, delta, recall.
     """
     vectors = cut(valid(vectors.select(F.col("pos").cast("bigint").alias("pos"), "embedding")))
     n = vectors.count()
@@ -167,16 +186,20 @@ def build(vectors: DataFrame, p: Params = Params(), graph: DataFrame | None = No
     lists = cut(start(vectors, p) if graph is None else _near(graph.select("node", "nbr", "dist").withColumn("is_new", F.lit(True)), p))
     info = {"rounds": 0, "delta": 1.0, "recall": _state(lists, edges, many, p.k)[1], "stop": "rounds"}
     for round_ in range(p.rounds):
-        order = Window.partitionBy("node", "is_new").orderBy(F.xxhash64("node", "nbr", F.lit(p.seed + round_)), "nbr")
-        mutual = _both(lists.where("picked").select("node", "nbr", "is_new"))
-        members = mutual.withColumn("place", F.row_number().over(order)).where(F.col("place") <= p.reverse).select(F.col("node").alias("hub"), F.col("nbr").alias("pos"), "is_new")
+        members = _members(lists, p, round_)
+        if rounds is not None:
+            members = cut(members)
+            own = members.dropDuplicates(["hub", "pos"]).groupBy("hub").agg(F.sum(F.col("is_new").cast("bigint")).alias("a"), F.count(F.lit(1)).alias("n"))
+            compared = own.agg(F.sum(F.col("a") * (F.col("a") - 1) / 2 + F.col("a") * (F.col("n") - F.col("a")))).first()[0]
         known = vectors.join(lists.where("rank = 1").select(F.col("node").alias("pos"), "worst"), "pos", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf"))))
         found = _local_join(members, known, p.name).withColumn("is_new", F.lit(True))
         # An edge that was used is old from now on.
         kept = lists.select("node", "nbr", "dist", (F.col("is_new") & ~F.col("picked")).alias("is_new"))
-        lists = cut(_near(kept.unionByName(found), p))
+        lists, seen = cut_counted(_near(kept.unionByName(found), p), updates=F.coalesce(F.sum(F.col("is_new").cast("bigint")), F.lit(0)))
         delta, recall = _state(lists, edges, many, p.k)
         info |= {"rounds": round_ + 1, "delta": delta, "recall": recall}
+        if rounds is not None:
+            rounds.append({"round": round_ + 1, "compared": int(compared or 0), "new_edges": int(seen["updates"]), "delta": delta, "recall": recall})
         if recall >= p.enough_recall or delta <= p.least_delta:
             info["stop"] = "recall" if recall >= p.enough_recall else "delta"
             break
@@ -331,17 +354,3 @@ def hashed_graph(vectors: DataFrame, k: int, tables: int = 8, seed: int = 7, rou
     own = cut(valid(vectors.select(F.col("pos").cast("bigint").alias("pos"), "embedding")))
     graph, _ = build(own, p, edges.select("node", "nbr", "dist").unionByName(start(own, p).select("node", "nbr", "dist")))
     return truncated(graph, k).drop("is_new")
-
-
-def segments(vectors: DataFrame, k: int, smallest: int = 2048, times: int = 4, tables: int = 8, name: str = "l2sqr") -> DataFrame:
-    """Candidates (node, nbr) for an index: the ``k`` nearest, by hashing and descent, among the keys of stretches of several sizes, up to all, so that ranges of any width have neighbours of their own."""
-    wide = vectors.agg(F.max("pos") - F.min("pos")).first()[0] or 0
-    out, size = hashed_graph(vectors, k, tables, name=name).select("node", "nbr"), smallest
-    while size <= wide:
-        # Neighbours of neighbours are of the same stretch, so a descent stays in it; there is no sample to end it.
-        edges = hashed_edges(vectors, 2 * k, tables, segment=size, name=name)
-        if size > CELL_ROWS * 2:
-            edges, _ = build(vectors, Params(k=k, keep=2 * k, sample=k, reverse=2 * k, rounds=4, controls=0, least_delta=0.05, name=name), edges)
-        out = out.unionByName(truncated(edges, k).select("node", "nbr"))
-        size *= times
-    return out.distinct()

@@ -1,21 +1,29 @@
-"""Range-filtered search for a free query vector, besides the exact scan of ``exact.query``."""
+"""Best-first search over graphs, for many free query vectors at once; and product quantisation.
+
+The beams of all queries are one table (qid, pos, dist, ok, open). A hop expands the open rows of all beams by one join with
+the edges, measures what was reached by one join with the vectors, and keeps each query's nearest; queries
+without an open row drop out. The driver sees counts only: a hop's figures are observed while it is written.
+
+A row that may not be a result (``ok`` is false: deleted, or outside the query's range) is walked through
+all the same. A beam holds a query's ``width`` nearest results and whatever else is nearer than the last of them.
+Positions that fell out of a beam may be measured again, never kept, since a beam only gets nearer.
+"""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.distance import metric
-from ..plans.lineage import cut
-from . import exact, interval_index, nndescent
-from .blocks import matrix, valid
+from ..functions.distance import row_distances
+from ..plans.lineage import cut, cut_counted
+from .blocks import matrix, nearest, pairs, valid
 from .exact import between, query
 
 
@@ -30,109 +38,154 @@ class Search:
     seed: int = 17
 
 
-def graph_search(edges: DataFrame, vectors: DataFrame, point: Sequence[float], k: int, p: Search = Search(), starts: Sequence[int] | None = None, name: str = "l2sqr", info: dict | None = None) -> DataFrame:
-    """Best-first search over any graph (node, nbr): pos, dist, rank.
+def prepared(vectors: DataFrame, dead: DataFrame | None = None) -> DataFrame:
+    """pos, embedding, ok of the vectors that can be compared; ``dead`` (pos) are not ok."""
+    own = valid(vectors.select(F.col("pos").cast("bigint").alias("pos"), "embedding"))
+    if dead is None:
+        return cut(own.withColumn("ok", F.lit(True)))
+    gone = dead.select(F.col("pos").cast("bigint").alias("pos")).distinct().withColumn("gone", F.lit(True))
+    return cut(own.join(gone, "pos", "left").select("pos", "embedding", F.col("gone").isNull().alias("ok")))
+
+
+def asked(queries: DataFrame, width: int) -> DataFrame:
+    """qid, point, l, r, width of the queries (qid, embedding; l and r if they have ranges, width if they have beams of their own) that can be compared."""
+    given = lambda c, other: (F.col(c).cast("bigint") if c in queries.columns else F.lit(other).cast("bigint")).alias(c)
+    return cut(valid(queries).select(F.col("qid").cast("bigint").alias("qid"), F.col("embedding").alias("point"), given("l", None), given("r", None), given("width", width)))
+
+
+def _measured(met: DataFrame, vectors: DataFrame, queries: DataFrame, name: str) -> DataFrame:
+    """qid, pos, ok, width, dist of pairs (qid, pos)."""
+    inside = F.coalesce(F.col("pos") >= F.col("l"), F.lit(True)) & F.coalesce(F.col("pos") <= F.col("r"), F.lit(True))
+    met = met.join(vectors, "pos").join(queries, "qid").select("qid", "pos", (F.col("ok") & inside).alias("ok"), "width", "point", "embedding")
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                far = row_distances(matrix(b.column("embedding")), matrix(b.column("point")), name)
+                yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("pos"), b.column("ok"), b.column("width"), pa.array(far)], names=["qid", "pos", "ok", "width", "dist"])
+
+    return met.mapInArrow(run, "qid bigint, pos bigint, ok boolean, width bigint, dist double")
+
+
+def _beam(rows: DataFrame) -> DataFrame:
+    """Each query's ``width`` nearest that are ok, and all that are nearer than the last of them."""
+    before = Window.partitionBy("qid").orderBy("dist", "pos").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("before", F.coalesce(F.sum(F.col("ok").cast("int")).over(before), F.lit(0))).where("before < width").drop("before")
+
+
+def walk(queries: DataFrame, vectors: DataFrame, expand: Callable[[DataFrame], DataFrame], doors: DataFrame, name: str = "l2sqr", info: list | None = None) -> DataFrame:
+    """The beams at the end: qid, pos, dist, ok. ``queries`` and ``vectors`` are as ``asked`` and ``prepared`` give them, ``doors`` (qid, pos) where the walks begin, ``expand`` what (qid, pos) leads to. ``info`` is given a row a hop: hop, opened (rows expanded), compared (distances), entered (rows that came into a beam)."""
+    out, hop = [], 0
+    opened = {"opened": F.coalesce(F.sum(F.col("open").cast("bigint")), F.lit(0))}
+    state, seen = cut_counted(_beam(_measured(doors.distinct(), vectors, queries, name).withColumn("open", F.lit(True))), **opened)
+    while seen["opened"]:
+        open_ = state.where("open").select("qid", "pos")
+        # The queries that go on; the others' beams are what they will be.
+        going = open_.select("qid").distinct()
+        out.append(state.join(going, "qid", "left_anti"))
+        state = state.join(going, "qid", "left_semi")
+        reached = expand(open_).select("qid", "pos").distinct().join(state.select("qid", "pos"), ["qid", "pos"], "left_anti")
+        compared = Observation()
+        found = _measured(reached, vectors, queries, name).observe(compared, F.count(F.lit(1)).alias("n")).withColumn("open", F.lit(True))
+        hop, before = hop + 1, seen["opened"]
+        state, seen = cut_counted(_beam(state.withColumn("open", F.lit(False)).unionByName(found)), **opened)
+        if info is not None:
+            info.append({"hop": hop, "opened": before, "compared": compared.get["n"], "entered": seen["opened"]})
+    return reduce(DataFrame.unionByName, [*out, state]).drop("open", "width")
+
+
+def best(found: DataFrame, k: int, epsilon: float | None = None) -> DataFrame:
+    """Each query's ``k`` nearest results: qid, pos, dist, rank."""
+    rows = found.where("ok") if epsilon is None else found.where(F.col("ok") & (F.col("dist") <= epsilon))
+    order = Window.partitionBy("qid").orderBy("dist", "pos")
+    return rows.select("qid", "pos", "dist").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
 
-    It begins at ``p.starts`` nodes drawn by hash, other ones in every trial, or at given ones (one trial).
-    Each hop expands, at once, all of the ``p.width`` nearest found that were not expanded before, until
-    none is left; results of the trials are put together. The starts count as found. ``p.epsilon`` bounds
-    the result, not the walk. With as many starts as vectors it is the exact scan. ``info`` is given the
-    hops, the vectors compared (``cost``, a share of all) and why it ended.
+def _starts(queries: DataFrame, vectors: DataFrame, p: Search) -> DataFrame:
+    """``p.starts`` positions drawn by hash for each query (qid, pos)."""
+    low, high, n = vectors.agg(F.min("pos"), F.max("pos"), F.count(F.lit(1))).first()
+    wide = int(high or 0) - int(low or 0) + 1
+    many = -(-p.starts * wide // max(n, 1))  # where positions are missing, some draws fall into gaps
+    draws = F.transform(F.sequence(F.lit(1), F.lit(many)), lambda s: F.pmod(F.xxhash64(F.col("qid"), s, F.lit(p.seed)), F.lit(wide)) + F.lit(int(low or 0)))
+    return queries.select("qid", F.explode(F.array_distinct(draws)).alias("pos"))
 
-    Only a beam, ``p.width`` numbers, is held by the driver; a hop reads the edges of the beam's open nodes
-    and the vectors that these lead to, both by position.
+
+def along(edges: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """What a graph's edges (node, nbr) lead to."""
+    legs = edges.select(F.col("node").alias("pos"), F.col("nbr").alias("to"))
+    return lambda open_: open_.join(legs, "pos").select("qid", F.col("to").alias("pos"))
+
+
+def graph_search_many(edges: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, p: Search = Search(), doors: DataFrame | None = None, name: str = "l2sqr", info: list | None = None, dead: DataFrame | None = None) -> DataFrame:
+    """Best-first search over any graph (node, nbr) for all queries (qid, embedding; l, r): qid, pos, dist, rank.
+
+    Walks begin at ``p.starts`` nodes drawn by hash, other ones in every trial, or at given ``doors`` (qid, pos; one trial).
+    A trial is a walk of its own, and a query's walks are put together. The starts count as found.
+    ``p.epsilon`` bounds the results, not the walk; ``dead`` (pos) and what is outside a query's range are walked
+    through and never found. With as many starts as vectors it is the exact scan. ``info`` is given a row a hop.
     """
-    vectors = valid(vectors.select("pos", "embedding"))
-    order = Window.orderBy("dist", "pos")
-    n = vectors.count()
-    if starts is None and p.starts >= n:
-        if info is not None:
-            info |= {"hops": 0, "cost": 1.0, "stop": "exact"}
-        found = query(vectors, point, k, name=name)
-        return found.where(F.col("dist") <= p.epsilon)
-    where = F.array(*[F.lit(float(x)) for x in point])
-    far = metric(name)(F.col("embedding"), where).alias("dist")
-    seen: dict[int, float] = {}
-    hops = compared = 0
-    for trial in range(1 if starts is not None else p.trials):
-        if starts is not None:
-            doors = vectors.where(F.col("pos").isin([int(x) for x in starts]))
-        else:
-            doors = vectors.orderBy(F.xxhash64("pos", F.lit(p.seed + trial)), "pos").limit(p.starts)
-        rows = doors.select("pos", far).collect()
-        compared += len(rows)
-        beam_ = sorted((float(r.dist), int(r.pos)) for r in rows)[: max(p.width, k)]
-        visited = {x for _, x in beam_}
-        done: set[int] = set()
-        while open_ := [x for _, x in beam_ if x not in done]:
-            hops += 1
-            done |= set(open_)
-            reached = edges.where(F.col("node").isin(open_)).select(F.col("nbr").alias("pos")).distinct().where(~F.col("pos").isin(list(visited)))
-            # So many can enter the beam at most; what is counted beside them is one number.
-            near = vectors.join(reached, "pos").select("pos", far).withColumn("many", F.count(F.lit(1)).over(Window.partitionBy())).orderBy("dist", "pos").limit(max(p.width, k)).collect()
-            compared += int(near[0].many) if near else 0
-            beam_ = sorted({*beam_, *((float(r.dist), int(r.pos)) for r in near)})[: max(p.width, k)]
-            visited |= {x for _, x in beam_}
-        seen |= {x: d for d, x in beam_}
-    if info is not None:
-        info |= {"hops": hops, "cost": compared / max(n, 1), "stop": "no open node is left"}
-    best = sorted((d, x) for x, d in seen.items() if d <= p.epsilon)[:k]
-    out = vectors.sparkSession.createDataFrame([(x, d) for d, x in best], "pos bigint, dist double")
-    return out.withColumn("rank", F.row_number().over(order))
+    own, wanted = prepared(vectors, dead), asked(queries, max(p.width, k))
+    if doors is None and p.starts >= own.count():
+        return best(_scanned(own, wanted, k, name), k, p.epsilon)
+    trials = 1 if doors is not None else p.trials
+    walkers = wanted if trials == 1 else wanted.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("qid", F.col("qid") * trials + F.col("trial")).drop("trial")
+    found = walk(walkers, own, along(edges), _starts(walkers, own, p) if doors is None else doors.select(F.col("qid").cast("bigint").alias("qid"), F.col("pos").cast("bigint").alias("pos")), name, info)
+    return best(found if trials == 1 else found.withColumn("qid", F.floor(F.col("qid") / trials)), k, p.epsilon)
 
 
-def beam(index: DataFrame, vectors: DataFrame, point: Sequence[float], k: int, low: int, high: int, width: int = 64, entries: int = 10, name: str = "l2sqr", info: dict | None = None) -> DataFrame:
-    """``graph_search`` over the range's graph, which the index holds, from ``entries`` nodes spread evenly over the range."""
-    edges = interval_index.stabbed(index, low, high).select("node", "nbr")
-    doors = sorted({low + (high - low) * i // (entries + 1) for i in range(1, entries + 1)})
-    return graph_search(edges, between(vectors, low, high), point, k, Search(width=width), doors, name, info)
+def _scanned(own: DataFrame, wanted: DataFrame, k: int, name: str) -> DataFrame:
+    """Every query with every vector, in blocks of both: qid, pos, dist, ok. Where queries have ranges, all distances leave a block, else the ``k`` nearest."""
+    ranged = not wanted.where("l IS NOT NULL OR r IS NOT NULL").isEmpty()
 
+    def work(node, data, d):
+        r, c = np.nonzero(np.isfinite(d)) if ranged else nearest(d, k)
+        return node[r], data[c], d[r, c]
 
-@dataclass(frozen=True)
-class Layers:
-    """Neighbours a node (M; twice as many in the lowest layer), candidates for them, and the seed of the levels default to those in common use."""
+    far = pairs(wanted.select(F.col("qid").alias("pos"), F.col("point").alias("embedding")), own.where("ok"), work, "node bigint, nbr bigint, dist double", name=name)
+    inside = F.coalesce(F.col("pos") >= F.col("l"), F.lit(True)) & F.coalesce(F.col("pos") <= F.col("r"), F.lit(True))
+    return far.select(F.col("node").alias("qid"), F.col("nbr").alias("pos"), "dist").join(wanted.select("qid", "l", "r"), "qid").select("qid", "pos", "dist", inside.alias("ok"))
 
-    m: int = 16
-    candidates: int = 200
-    seed: int = 100
-    name: str = "l2sqr"
 
+def beam_many(index: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, width: int = 64, entries: int = 10, name: str = "l2sqr", info: list | None = None) -> DataFrame:
+    """Search of each query (qid, embedding, l, r) over its range's graph, which the interval index holds, from ``entries`` nodes spread evenly over the range: qid, pos, dist, rank."""
+    own, wanted = prepared(vectors), asked(queries, max(width, k))
+    step = lambda i: F.col("l") + F.floor((F.col("r") - F.col("l")) * i / (entries + 1))
+    doors = wanted.select("qid", F.explode(F.array(*[step(i) for i in range(1, entries + 1)])).alias("pos"))
+    ranges = wanted.select("qid", "l", "r")
+    rows = index.select(F.col("node").alias("pos"), F.col("nbr").alias("to"), "side", "sub")
+    left = (F.col("side") == "L") & (F.col("sub") < F.col("l")) & (F.col("to") >= F.col("l"))
+    holds = left | ((F.col("side") == "R") & (F.col("to") <= F.col("r")) & (F.col("sub") > F.col("r")))
 
-def layered(vectors: DataFrame, p: Layers = Layers()) -> DataFrame:
-    """A layered navigable graph as a table: level, node, nbr, dist.
+    def expand(open_):
+        return open_.join(ranges, "qid").join(rows, "pos").where(holds).select("qid", F.col("to").alias("pos"))
 
-    Each node is on the levels up to one drawn by hash, exponentially fewer on higher ones. On every level a
-    node chooses diverse ones among its nearest of that level, edges are made mutual, and a node with
-    more than the level allows chooses again among them.
-    """
-    vectors = cut(valid(vectors.select(F.col("pos").cast("bigint").alias("pos"), "embedding")))
-    drawn = (F.pmod(F.xxhash64("pos", F.lit(p.seed)), F.lit(1 << 40)) + 1) / float(1 << 40)
-    levels = vectors.withColumn("top", F.floor(-F.log(drawn) / math.log(p.m)))
-    out = None
-    for level in range(int(levels.agg(F.max("top")).first()[0] or 0) + 1):
-        own = levels.where(F.col("top") >= level).select("pos", "embedding")
-        most = p.m * (1 if level else 2)
-        chosen = nndescent.diverse(exact.graph(own, p.candidates, name=p.name), own, p.m, name=p.name)
-        mutual = nndescent.with_reverse(chosen)
-        edges = nndescent.diverse(mutual, own, most, name=p.name).select(F.lit(level).alias("level"), "node", "nbr", "dist")
-        out = edges if out is None else out.unionByName(edges)
-    return cut(out)
-
-
-def layered_search(layers: DataFrame, vectors: DataFrame, point: Sequence[float], k: int, width: int = 64, low: int | None = None, high: int | None = None, name: str = "l2sqr") -> DataFrame:
-    """Best-first search from the highest layer down, each beginning where the one above ended: pos, dist, rank. With a range, the walk goes on outside it, and only positions inside are results."""
-    top = layers.agg(F.max("level")).first()[0]
-    if top is None:  # a single vector, or none
-        return query(vectors, point, k, low, high, name=name)
-    doors = [r[0] for r in layers.where(F.col("level") == top).select("node").distinct().orderBy("node").limit(1).collect()]
-    for level in range(top, -1, -1):
-        edges = layers.where(F.col("level") == level).select("node", "nbr")
-        wide = width if level == 0 else 1
-        found = graph_search(edges, vectors, point, wide, Search(width=wide), doors, name)
-        if level:
-            doors = [r.pos for r in found.collect()]
-    found = between(found.select("pos", "dist"), low, high).orderBy("dist", "pos").limit(k)
-    return found.withColumn("rank", F.row_number().over(Window.orderBy("dist", "pos")))
+    return best(walk(wanted, own, expand, doors, name, info), k)
+
+
+def one(vectors: DataFrame, point: Sequence[float], low: int | None = None, high: int | None = None) -> DataFrame:
+    """A single query as a table of queries."""
+    return vectors.sparkSession.createDataFrame([(0, [float(x) for x in point], low, high)], "qid bigint, embedding array<double>, l bigint, r bigint")
+
+
+def graph_search(edges: DataFrame, vectors: DataFrame, point: Sequence[float], k: int, p: Search = Search(), starts: Sequence[int] | None = None, name: str = "l2sqr", info: dict | None = None) -> DataFrame:
+    """``graph_search_many`` for one point, from given starts or drawn ones: pos, dist, rank. ``info`` is given hops, cost (vectors compared, a share of all) and why it ended."""
+    queries, rows = one(vectors, point), []
+    doors = None if starts is None else vectors.sparkSession.createDataFrame([(0, int(x)) for x in starts], "qid bigint, pos bigint")
+    n = vectors.count() if info is not None else 0
+    found = graph_search_many(edges, vectors, queries, k, p, doors, name, rows)
+    if info is not None:
+        scan = starts is None and p.starts >= n
+        info |= {"hops": len(rows), "cost": 1.0 if scan else sum(r["compared"] for r in rows) / max(n, 1), "stop": "exact" if scan else "no open node is left"}
+    return found.drop("qid")
+
+
+def beam(index: DataFrame, vectors: DataFrame, point: Sequence[float], k: int, low: int, high: int, width: int = 64, entries: int = 10, name: str = "l2sqr", info: dict | None = None) -> DataFrame:
+    """``beam_many`` for one point and range: pos, dist, rank. ``info`` is given hops, cost and why it ended."""
+    own, rows = between(vectors, low, high), []
+    found = beam_many(index, own, one(vectors, point, low, high), k, width, entries, name, rows)
+    if info is not None:
+        info |= {"hops": len(rows), "cost": sum(r["compared"] for r in rows) / max(own.count(), 1), "stop": "no open node is left"}
+    return found.drop("qid")
 
 
 class ProductQuantizer:

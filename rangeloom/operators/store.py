@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.lineage import exists, remove, shared_folder
+from ..plans.lineage import exists, remove, rename, shared_folder
 
 #: What files of this library say of themselves.
 FORMAT = 1
@@ -106,11 +109,24 @@ def load_graph(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     return load(spark, path, "graph", check)
 
 
+@functools.cache
+def code_version() -> str:
+    """A hash of this package's code, so that what older code saved is not taken for what this code would save."""
+    top, found = Path(__file__).resolve().parent.parent, hashlib.sha256()
+    for part in ("operators", "functions", "plans"):
+        for p in sorted((top / part).glob("*.py")):
+            found.update(p.name.encode() + p.read_bytes())
+    return found.hexdigest()
+
+
 def kept(spark: SparkSession, name: str, stamp: str, build: Callable[[str], None]) -> str:
-    """The path, in the shared folder, of something saved there for data of this stamp; built and saved if it is not."""
-    path = f"{shared_folder(spark)}/kept/{name}-{hashlib.sha256(stamp.encode()).hexdigest()[:24]}"
+    """The path, in the shared folder, of something saved there for data of this stamp by this code; built and saved if it is not. It is built aside and renamed, so of two sessions that build at once one's is kept, whole."""
+    path = f"{shared_folder(spark)}/kept/{name}-{hashlib.sha256(f'{FORMAT}|{code_version()}|{stamp}'.encode()).hexdigest()[:24]}"
     if not exists(spark, f"{path}/about/_SUCCESS"):
-        build(path)
+        aside = f"{path}-{uuid.uuid4().hex}"
+        build(aside)
+        if not rename(spark, aside, path):
+            remove(spark, aside)
     return path
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _OWN: dict[str, str] = {}
 
@@ -17,7 +17,9 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if context.master.startswith("local-cluster") or not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _OWN.setdefault(context.applicationId, tempfile.mkdtemp(prefix="checkpoints-"))
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="checkpoints-")
+    return _OWN[context.applicationId]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -28,6 +30,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_counted(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
+    """``df`` written to the checkpoints, and aggregates of its rows that were observed meanwhile."""
+    seen = Observation()
+    out = cut(df.observe(seen, *[c.alias(n) for n, c in figures.items()]))
+    return out, seen.get
+
+
 def file_system(spark: SparkSession, path: str):
     """Hadoop's file system of a path, and the path."""
     jvm = spark.sparkContext._jvm
@@ -46,6 +55,13 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def rename(spark: SparkSession, path: str, to: str) -> bool:
+    """Whether the folder has its new name now; not if something of that name is there."""
+    fs, at = file_system(spark, path)
+    new = file_system(spark, to)[1]
+    return not fs.exists(new) and fs.rename(at, new)
+
+
 def stamp(spark: SparkSession, path: str) -> str:
     """What tells a table's files from others: their names, lengths and times of change."""
     fs, at = file_system(spark, path)

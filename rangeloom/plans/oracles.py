@@ -169,9 +169,10 @@ ORACLES = {
     "fvecs_file": seen(),
     "raw_file": seen(),
     "bvecs_file": seen("list_transform(embedding, lambda x: floor(abs(x::DOUBLE) * 100))"),
-    "headed_matrix_file": seen(where="vec_id < 300"),
+    "headed_matrix_file": seen(),
+    "first_rows_file": seen(where="vec_id < 300"),
     "dense_text_file": seen(key=""),
-    "word_text_file": seen(where="vec_id < 200"),
+    "word_text_file": seen(),
     "tsv_file": seen(),
     "keyed_csv_file": seen(key="vec_id AS pos, vec_id * 3 AS search_key, "),
     "truth_file": graph(K, IN_RANGE) + " SELECT node, nbr, rank FROM g",
@@ -186,7 +187,21 @@ ORACLES = {
     "split_keeping_empty": "SELECT event_id, len(regexp_split_to_array(props, '[,:]'))::BIGINT AS n, regexp_split_to_array(props, '[,:]')[-1] AS last FROM events",
     "base100_ids": "SELECT event_id, list_sum(list_transform(range(4), lambda i: (ascii(substr(rpad(event_type, 4, '_'), (i + 1)::INT, 1)) - 38) * power(100, 3 - i)::BIGINT))::BIGINT AS code FROM events",
     "distinct_sample": "SELECT label, least(20, count(*)) AS n, least(20, count(*)) AS n_again FROM embeddings GROUP BY label",
-    "synthetic_vectors": "SELECT 8000::BIGINT AS n_numbers, true AS centred, true AS spread, 160::BIGINT AS n_drawn",
+    "synthetic_vectors": "SELECT sum(len(embedding))::BIGINT AS n_numbers, true AS centred, true AS spread, sum(len(embedding))::BIGINT AS n_drawn FROM embeddings",
+    "dyadic_multi_range": pairs()
+    + f""", n AS (SELECT count(*) AS n FROM v), q AS (SELECT pos AS qid, least(pos, (pos * 7919 + 13) % n) AS l, greatest(pos, (pos * 7919 + 13) % n) AS r FROM v, n),
+        w AS (SELECT qid, node, nbr, dist, row_number() OVER (PARTITION BY qid, node ORDER BY dist, nbr) AS rank FROM p JOIN q ON node BETWEEN l AND r AND nbr BETWEEN l AND r QUALIFY rank <= {K})
+        SELECT qid, count(*) AS n_edges, sum(node * 31 + nbr * 17 + rank)::BIGINT AS checksum, round(sum(dist), 4) AS dist FROM w GROUP BY qid""",
+    "many_graph_search_recall": reached("SELECT 10 * count(*) FROM embeddings"),
+    "many_beam_search_recall": reached("SELECT 10 * count(*) FROM embeddings"),
+    "many_layered_search_recall": reached("SELECT 10 * count(*) FROM embeddings"),
+    "layered_deleted_recall": reached("SELECT 10 * count(*) FROM embeddings") + ", 0::BIGINT AS n_dead",
+    "layered_insert_recall": reached("SELECT 10 * count(*) FROM embeddings"),
+    "layered_repair_recall": reached("SELECT 10 * (count(*) - (count(*) + 29) // 30) FROM embeddings"),
+    "graph_binary_file": graph(K) + " SELECT node, nbr, rank, round(dist::FLOAT::DOUBLE, 3) AS dist FROM g",
+    "graph_bare_file": graph(K) + " SELECT node, nbr, rank, true AS bare FROM g",
+    "layered_file": seen(),
+    "index_text_file": index() + " SELECT node, side, nbr, sub FROM ix",
     "time_key_range_graph": graph(K, "a.k BETWEEN (SELECT k FROM v WHERE pos = 100) AND (SELECT k FROM v WHERE pos = 299) AND b.k BETWEEN (SELECT k FROM v WHERE pos = 100) AND (SELECT k FROM v WHERE pos = 299)", event("ts")) + EDGES,
     "value_key_range_graph": graph(K, IN_RANGE, event("value")) + EDGES,
 }

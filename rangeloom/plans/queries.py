@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, distance
 from ..functions.arrays import argsort
-from ..operators import exact, interval_index, keys, metrics, nndescent, rectangles, search, store
+from ..operators import dyadic, exact, interval_index, keys, layers, metrics, nndescent, rectangles, search, store
+from ..sources import graphs
 from ..sources import vectors as sources
 from ..streaming.append import Maintainer
 from . import experiment, sql
@@ -110,7 +111,7 @@ def cal_rectangle_lookup(spark, sf_dir):
 
 def multi_range_graph(spark, sf_dir):
     ranges = spark.createDataFrame(RANGES, "qid int, l bigint, r bigint")
-    return interval_index.graphs(interval_index.build(by_label(spark, sf_dir), K), ranges, K).select("qid", "node", "nbr", F.col("rank").cast("int").alias("rank"), F.round("dist", 6).alias("dist"))
+    return interval_index.graphs(held(spark, sf_dir), ranges, K).select("qid", "node", "nbr", F.col("rank").cast("int").alias("rank"), F.round("dist", 6).alias("dist"))
 
 
 def _next_pairs(spark, sf_dir):
@@ -284,7 +285,7 @@ def stream_append_index(spark, sf_dir):
     keeper = Maintainer(spark, f"{top}/state", K)
     schema = "id bigint, search_key bigint, embedding array<float>"
     for a, b in ((0, n // 2), (n // 2, n - n // 10), (n - n // 10, n)):
-        v.where(F.col("search_key").between(a, b - 1)).coalesce(1).write.mode("append").parquet(f"{top}/in")
+        v.where(F.col("search_key").between(a, b - 1)).write.mode("append").parquet(f"{top}/in")
         keeper.start(spark.readStream.schema(schema).parquet(f"{top}/in"), f"{top}/progress").awaitTermination()
     return keeper.index().select("node", "side", "nbr", "sub", F.round("dist", 6).alias("dist"))
 
@@ -331,8 +332,11 @@ def _reached(want: DataFrame, got: DataFrame, by: tuple[str, ...], least: float
 EDGE, PLACE = ("node", "nbr"), ("pos",)
 
 
+DESCENT = nndescent.Params(k=K, keep=4 * K, sample=20, reverse=48, enough_recall=0.95)
+
+
 def nn_descent_graph(spark, sf_dir):
-    graph, _ = nndescent.build(by_label(spark, sf_dir), nndescent.Params(k=K, keep=4 * K, sample=20, reverse=48, enough_recall=0.95))
+    graph, _ = nndescent.build(by_label(spark, sf_dir), DESCENT)
     return edges(nndescent.truncated(graph, K))
 
 
@@ -360,7 +364,7 @@ def beam_search_recall(spark, sf_dir):
 
 def _near_index(spark, sf_dir):
     v = cut(by_label(spark, sf_dir))
-    return v, interval_index.build_near(v, nndescent.segments(v, 2 * K), K)
+    return v, interval_index.build_near(v, nndescent.with_reverse(nndescent.hashed_graph(v, 2 * K)), K)
 
 
 def approximate_index_graph(spark, sf_dir):
@@ -393,8 +397,7 @@ def graph_search_recall(spark, sf_dir):
 
 def layered_search(spark, sf_dir):
     v = cut(by_label(spark, sf_dir))
-    layers = search.layered(v, search.Layers(m=8, candidates=32))
-    return found(search.layered_search(layers, v, point(v, 250), 10))
+    return found(layers.search(saved_layers(spark, sf_dir), v, point(v, 250), 10))
 
 
 def layered_search_recall(spark, sf_dir):
@@ -438,14 +441,6 @@ def _lines(spark, sf_dir) -> DataFrame:
     return _by_id(spark, sf_dir).select("pos", F.transform("embedding", lambda x: x.cast("string")).alias("x"))
 
 
-def _text(df: DataFrame, path: str, head: str | None = None) -> None:
-    """Lines (value) in order of pos, in one file, since the layouts have one header or none."""
-    ordered = df.coalesce(1).sortWithinPartitions("pos").select("value")
-    if head is not None:
-        ordered = df.sparkSession.createDataFrame([(-1, head)], "pos bigint, value string").unionByName(df).coalesce(1).sortWithinPartitions("pos").select("value")
-    ordered.write.mode("overwrite").text(path)
-
-
 def fvecs_file(spark, sf_dir):
     path = _scratch(spark, "fvecs")
     sources.write_matrix(_by_id(spark, sf_dir), path, "fvecs")
@@ -455,7 +450,7 @@ def fvecs_file(spark, sf_dir):
 def raw_file(spark, sf_dir):
     """The same records read as raw rows between which four bytes stand."""
     path = _scratch(spark, "raw")
-    sources.write_matrix(_by_id(spark, sf_dir).coalesce(1), path, "fvecs")
+    sources.write_matrix(_by_id(spark, sf_dir), path, "fvecs")
     return _seen(sources.read(spark, "raw", path, dim=64, skip=4, gap=4))
 
 
@@ -470,6 +465,13 @@ def bvecs_file(spark, sf_dir):
 def headed_matrix_file(spark, sf_dir):
     path = _scratch(spark, "matrix")
     sources.write_matrix(_by_id(spark, sf_dir), path)
+    return _seen(sources.read(spark, "lshkit", path))
+
+
+def first_rows_file(spark, sf_dir):
+    """The first 300 vectors of a folder of files."""
+    path = _scratch(spark, "first")
+    sources.write_matrix(_by_id(spark, sf_dir), path)
     return _seen(sources.read(spark, "lshkit", path, 300))
 
 
@@ -482,19 +484,22 @@ def dense_text_file(spark, sf_dir):
 
 def word_text_file(spark, sf_dir):
     path = _scratch(spark, "word")
-    _text(_lines(spark, sf_dir).select("pos", F.concat_ws(" ", F.col("pos").cast("string"), "x").alias("value")), path)
-    return _seen(sources.read(spark, "glove", path, 200), "id")
+    _lines(spark, sf_dir).select(F.concat_ws(" ", F.col("pos").cast("string"), "x")).write.text(path)
+    return _seen(sources.read(spark, "glove", path), "id")
 
 
 def tsv_file(spark, sf_dir):
+    """A file a task, each with its own header."""
     path = _scratch(spark, "tsv")
-    _text(_lines(spark, sf_dir).select("pos", F.concat_ws("\t", F.col("pos").cast("string"), "x").alias("value")), path, "\t".join(["id", *(f"x{k}" for k in range(64))]))
+    wide = _lines(spark, sf_dir)
+    dim = wide.select(F.size("x")).first()[0]
+    wide.select(F.col("pos").alias("id"), *[F.get("x", F.lit(k)).alias(f"x{k}") for k in range(dim)]).write.option("sep", "\t").option("header", True).csv(path)
     return _seen(sources.read(spark, "biggraph", path), "id")
 
 
 def keyed_csv_file(spark, sf_dir):
     path = _scratch(spark, "csv")
-    _text(_lines(spark, sf_dir).select("pos", F.concat(F.col("pos").cast("string"), F.lit(","), (F.col("pos") * 3).cast("string"), F.lit(',"'), F.concat_ws(" ", "x"), F.lit('"')).alias("value")), path)
+    _lines(spark, sf_dir).select(F.concat(F.col("pos").cast("string"), F.lit(","), (F.col("pos") * 3).cast("string"), F.lit(',"'), F.concat_ws(" ", "x"), F.lit('"'))).write.text(path)
     df = sources.read(spark, "yt8m", path)
     return _seen(df, "id").join(df.select(F.col("id").cast("bigint").alias("pos"), "search_key"), "pos")
 
@@ -582,14 +587,179 @@ def distinct_sample(spark, sf_dir):
 
 
 def synthetic_vectors(spark, sf_dir):
-    """A thousand made-up vectors with noise and the queries made of them: how many, and whether they are as they should be."""
-    v = cut(sources.synthetic(spark, 1000, 8, noise=0.1))
-    q = sources.synthetic_queries(v, 20)
-    own = v.select(F.explode("embedding").alias("x")).agg(F.count(F.lit(1)).alias("n_numbers"), (F.abs(F.avg("x")) < 0.05).alias("centred"), F.stddev_pop("x").between(0.55, 0.61).alias("spread"))
-    drawn = q.select("qid", F.posexplode("embedding").alias("k", "x")).join(v.select(F.posexplode("embedding").alias("k", "x")).distinct(), ["k", "x"], "left_semi").agg(F.count(F.lit(1)).alias("n_drawn"))
+    """The table's vectors with noise of a tenth of their spread, and queries each of whose numbers is some vector's: how many, and whether they are as they should be."""
+    v = _by_id(spark, sf_dir)
+    n = v.count()
+    both = lambda df, name: df.select("pos", F.posexplode(F.col("embedding").cast("array<double>")).alias("k", name))
+    gap = F.col("y") - F.col("x")
+    own = both(v, "x").join(both(sources.noisy(v, 0.1), "y"), ["pos", "k"])
+    own = own.agg(F.count(F.lit(1)).alias("n_numbers"), (F.abs(F.avg(gap)) < 0.05 * F.stddev_pop("x")).alias("centred"), (F.stddev_pop(gap) / F.stddev_pop("x")).between(0.095, 0.105).alias("spread"))
+    q = sources.synthetic_queries(v, n).select("qid", F.posexplode("embedding").alias("k", "x"))
+    drawn = q.join(v.select(F.posexplode("embedding").alias("k", "x")).distinct(), ["k", "x"], "left_semi").agg(F.count(F.lit(1)).alias("n_drawn"))
     return own.crossJoin(drawn)  # two single rows
 
 
+def _digest(graphs_: DataFrame) -> DataFrame:
+    """A row a range: its edges, their sums."""
+    return graphs_.groupBy("qid").agg(F.count(F.lit(1)).alias("n_edges"), F.sum(F.col("node") * 31 + F.col("nbr") * 17 + F.col("rank")).alias("checksum"), F.round(F.sum("dist"), 4).alias("dist"))
+
+
+def saved_dyadic(spark, sf_dir) -> str:
+    """The path of the dyadic layout of the saved index, built once for a table."""
+
+    def build(path):
+        dyadic.save(held(spark, sf_dir), table(spark, sf_dir, "embeddings").count(), path)
+
+    return store.kept(spark, f"dyadic-{K}", stamp(spark, f"{sf_dir}/embeddings.parquet"), build)
+
+
+def dyadic_multi_range(spark, sf_dir):
+    """As many ranges as there are vectors, of all widths, by an equality join with the saved layout."""
+    v = by_label(spark, sf_dir)
+    n = v.count()
+    other = F.pmod(F.col("pos") * 7919 + 13, F.lit(n))
+    ranges = v.select(F.col("pos").alias("qid"), F.least("pos", other).alias("l"), F.greatest("pos", other).alias("r"))
+    return _digest(dyadic.saved_graphs(spark, saved_dyadic(spark, sf_dir), ranges, K))
+
+
+def _asked(v: DataFrame) -> DataFrame:
+    """A query a vector, which is no vector itself: nine tenths of it and a hundredth."""
+    return v.select(F.col("pos").alias("qid"), F.transform(F.col("embedding").cast("array<double>"), lambda x: x * 0.9 + 0.01).alias("embedding"))
+
+
+def _nearest(v: DataFrame, k: int = 10) -> DataFrame:
+    """The true neighbours of all queries."""
+    queries = _asked(v).select(F.col("qid").alias("pos"), "embedding")
+    return exact.graph(v.select("pos", F.col("embedding").cast("array<double>").alias("embedding")), k, nodes=queries, with_self=True).select(F.col("node").alias("qid"), F.col("nbr").alias("pos"))
+
+
+BY_QUERY = ("qid", "pos")
+
+
+def _ranked(result: DataFrame) -> DataFrame:
+    return result.select("qid", "pos", F.col("rank").cast("int").alias("rank"), F.round("dist", 6).alias("dist"))
+
+
+def many_graph_search(spark, sf_dir):
+    """Best-first search for a query a vector over the K-NN graph and its reverse edges, at once."""
+    v = cut(by_label(spark, sf_dir))
+    graph = cut(nndescent.with_reverse(exact.graph(v, K)))
+    return _ranked(search.graph_search_many(graph, v, _asked(v), 10, search.Search(starts=10)))
+
+
+def many_graph_search_recall(spark, sf_dir):
+    return _reached(_nearest(by_label(spark, sf_dir)), many_graph_search(spark, sf_dir), BY_QUERY)
+
+
+def _widely(v: DataFrame, n: int) -> DataFrame:
+    """The queries, each with a range of keys around its vector, of a fifth of all at least."""
+    q = _asked(v)
+    return q.withColumn("l", F.greatest(F.lit(0).cast("bigint"), F.col("qid") - n // 5 - F.col("qid") % 7)).withColumn("r", F.least(F.lit(n - 1).cast("bigint"), F.col("qid") + n // 5 + F.col("qid") % 11))
+
+
+def many_beam_search(spark, sf_dir):
+    """Search of a query a vector, each over the graph of its own range, which the saved index holds."""
+    v = cut(by_label(spark, sf_dir))
+    return _ranked(search.beam_many(held(spark, sf_dir), v, _widely(v, v.count()), 10))
+
+
+def many_beam_search_recall(spark, sf_dir):
+    v = cut(by_label(spark, sf_dir))
+    queries = _widely(v, v.count())
+    want = search.best(search._scanned(search.prepared(v), search.asked(queries, 10), 10, "l2sqr"), 10)
+    return _reached(want, many_beam_search(spark, sf_dir), BY_QUERY)
+
+
+LAYERS = layers.Layers(m=8, candidates=32)
+
+
+def saved_layers(spark, sf_dir) -> DataFrame:
+    """The layered graph of the table's vectors, grown by insertion; built once for a table."""
+    path = store.kept(spark, "layers", stamp(spark, f"{sf_dir}/embeddings.parquet"), lambda path: store.save(layers.build(by_label(spark, sf_dir), LAYERS), path, "layered graph"))
+    return store.load(spark, path, "layered graph", check=False)
+
+
+def many_layered_search(spark, sf_dir):
+    v = cut(by_label(spark, sf_dir))
+    return _ranked(layers.search_many(saved_layers(spark, sf_dir), v, _asked(v), 10))
+
+
+def many_layered_search_recall(spark, sf_dir):
+    return _reached(_nearest(by_label(spark, sf_dir)), many_layered_search(spark, sf_dir), BY_QUERY)
+
+
+def layered_deleted_recall(spark, sf_dir):
+    """Three tenths of the vectors are deleted: walked through, never found."""
+    v = cut(by_label(spark, sf_dir))
+    got = layers.search_many(saved_layers(spark, sf_dir), v, _asked(v), 10, dead=v.where("pos % 10 < 3").select("pos"))
+    queries = _asked(v).select(F.col("qid").alias("pos"), "embedding")
+    want = exact.graph(v.where("pos % 10 >= 3").select("pos", F.col("embedding").cast("array<double>").alias("embedding")), 10, nodes=queries, with_self=True).select(F.col("node").alias("qid"), F.col("nbr").alias("pos"))
+    dead = got.where("pos % 10 < 3").agg(F.count(F.lit(1)).alias("n_dead"))
+    return _reached(want, got, BY_QUERY).crossJoin(dead)  # two single rows
+
+
+def layered_insert_recall(spark, sf_dir):
+    """A graph of the first half, into which the rest was put in four batches more."""
+    v = cut(by_label(spark, sf_dir)).select("pos", "embedding")
+    n = v.count()
+    cuts = [0, n // 2, n // 2 + n // 8, n // 2 + n // 4, n // 2 + 3 * n // 8, n]
+    graph = layers.build(v.where(F.col("pos") < cuts[1]), LAYERS)
+    for a, b in zip(cuts[1:], cuts[2:], strict=False):
+        graph = layers.insert(graph, v.where(F.col("pos") < a), v.where(F.col("pos").between(a, b - 1)), LAYERS)
+    return _reached(_nearest(v), layers.search_many(graph, v, _asked(v), 10), BY_QUERY)
+
+
+def layered_repair_recall(spark, sf_dir):
+    """Every 20th vector was reversed and every 30th taken away; the graph is repaired, not built anew."""
+    v = cut(by_label(spark, sf_dir)).select("pos", "embedding")
+    now = cut(v.where("pos % 30 <> 0").withColumn("embedding", F.when(F.col("pos") % 20 == 0, F.reverse("embedding")).otherwise(F.col("embedding"))))
+    graph = layers.repair(saved_layers(spark, sf_dir), now, v.where("pos % 20 = 0 OR pos % 30 = 0").select("pos"), LAYERS)
+    return _reached(_nearest(now), layers.search_many(graph, now, _asked(now), 10), BY_QUERY)
+
+
+def search_information(spark, sf_dir):
+    """A row a hop of the layered search: level, hop, rows opened, distances, rows that entered a beam."""
+    v, info = cut(by_label(spark, sf_dir)), []
+    layers.search_many(saved_layers(spark, sf_dir), v, _asked(v), 10, info=info)
+    return spark.createDataFrame([(r["level"], r["hop"], r["opened"], r["compared"], r["entered"]) for r in info], "level int, hop int, opened bigint, compared bigint, entered bigint")
+
+
+def build_information(spark, sf_dir):
+    """A row a round of the descent: distances, new edges, share of new ones, the controls' recall."""
+    rounds = []
+    nndescent.build(by_label(spark, sf_dir), DESCENT, rounds=rounds)
+    return spark.createDataFrame([(r["round"], r["compared"], r["new_edges"], r["delta"], r["recall"]) for r in rounds], "round int, compared bigint, new_edges bigint, delta double, recall double")
+
+
+def graph_binary_file(spark, sf_dir):
+    """A K-NN graph as one binary file that many tasks write and read; distances are single floats."""
+    path = _scratch(spark, "graph.bin")
+    graphs.write_graph(exact.graph(by_label(spark, sf_dir), K), path)
+    return graphs.read_graph(spark, path).select("node", "nbr", "rank", F.round("dist", 3).alias("dist"))
+
+
+def graph_bare_file(spark, sf_dir):
+    """The same without distances."""
+    path = _scratch(spark, "bare.bin")
+    graphs.write_graph(exact.graph(by_label(spark, sf_dir), K), path, with_distance=False)
+    return graphs.read_graph(spark, path).select("node", "nbr", "rank", F.col("dist").isNull().alias("bare"))
+
+
+def layered_file(spark, sf_dir):
+    """The layered graph and its vectors as one binary file: the vectors read back, by id."""
+    path = _scratch(spark, "layers.bin")
+    graphs.write_layered(saved_layers(spark, sf_dir), by_label(spark, sf_dir), path, LAYERS.m)
+    return _seen(graphs.read_layered(spark, path)[0], "id")
+
+
+def index_text_file(spark, sf_dir):
+    """The index as text, a line a node, and read again."""
+    path = _scratch(spark, "index.txt")
+    n = table(spark, sf_dir, "embeddings").count()
+    graphs.write_index_text(held(spark, sf_dir), path, n)
+    return graphs.read_index_text(spark, path, n)
+
+
 QUERIES = {
     "interval_index": interval_index_rows,
     **{
@@ -604,7 +774,8 @@ QUERIES = {
             nn_descent_graph, nn_descent_recall, lsh_knn_graph, lsh_knn_recall, beam_search, beam_search_recall, approximate_index_graph, approximate_index_recall, graph_search, graph_search_recall,
             layered_search, layered_search_recall, quantized_range_search, quantized_search_recall,
             fvecs_file, raw_file, bvecs_file, headed_matrix_file, dense_text_file, word_text_file, tsv_file, keyed_csv_file, truth_file, truth_query_file,
-            graph_file, graph_file_without_distances, graph_text, vector_store_file, result_rows_file, index_experiment, range_experiment, synthetic_vectors,
+            graph_file, graph_file_without_distances, graph_text, vector_store_file, result_rows_file, index_experiment, range_experiment, synthetic_vectors, first_rows_file, dyadic_multi_range, many_graph_search, many_graph_search_recall, many_beam_search, many_beam_search_recall, many_layered_search, many_layered_search_recall,
+            layered_deleted_recall, layered_insert_recall, layered_repair_recall, search_information, build_information, graph_binary_file, graph_bare_file, layered_file, index_text_file,
         )
     },
 }

@@ -11,6 +11,7 @@ open them: a shared mount, or any store that pyarrow reads by URI.
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 
@@ -21,15 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-RECORDS_A_PART = 100_000
-
+from .sinks import LAYOUTS, opened, write_folder
 
-def _open(path: str):
-    if "://" in path and not path.startswith("file://"):
-        fs, inner = pafs.FileSystem.from_uri(path)
-    else:
-        fs, inner = pafs.LocalFileSystem(), path.removeprefix("file://")
-    return fs, inner
+RECORDS_A_PART = 100_000
 
 
 class _Part(InputPartition):
@@ -41,7 +36,7 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict, first: int = 0):
         self.path, self.layout, self.first = options["path"], options.get("layout", "fvecs"), first
         self.limit = int(options.get("limit", -1))
-        fs, inner = _open(self.path)
+        fs, inner = opened(self.path)
         size = fs.get_file_info(inner).size
         with fs.open_input_file(inner) as f:
             self.head = 0
@@ -73,7 +68,7 @@ class _Reader(DataSourceReader):
         return [_Part(k, min(k + RECORDS_A_PART, self.count)) for k in range(0, self.count, RECORDS_A_PART)] or [_Part(0, 0)]
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
-        fs, inner = _open(self.path)
+        fs, inner = opened(self.path)
         with fs.open_input_file(inner) as f:
             step = max(1, (8 << 20) // max(self.record, 1))
             for first in range(partition.first, partition.past, step):
@@ -122,7 +117,7 @@ class VectorSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         options = dict(self.options)
-        fs, inner = _open(options["path"])
+        fs, inner = opened(options["path"])
         if fs.get_file_info(inner).type != pafs.FileType.Directory:
             return _Reader(options)
         lead = options["path"][: len(options["path"]) - len(inner)] if options["path"].endswith(inner) else ""
@@ -211,38 +206,19 @@ def write_truth(graph: DataFrame, path: str) -> None:
 
 
 def write_matrix(vectors: DataFrame, path: str, layout: str = "lshkit") -> None:
-    """Vectors (pos, embedding) in order of position as a folder of headed matrices, fvecs or bvecs files, one a task; ``binary`` reads them as one. A task that comes again writes the same file."""
-    if layout not in ("lshkit", "fvecs", "bvecs"):
+    """Vectors (pos, embedding) in order of position as a folder of headed matrices, fvecs or bvecs files, which ``binary`` reads as one. The folder's old files stay until all new ones are there."""
+    if layout not in LAYOUTS:
         raise ValueError(f"cannot write layout {layout!r}")
-    fs, inner = _open(path)
-    fs.create_dir(inner, recursive=True)
-    fs.delete_dir_contents(inner)
-    width = vectors.select(F.size("embedding").alias("d")).first()
-    dim = int(width["d"]) if width else 0
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        fs, inner = _open(path)
-        held = [b for b in batches if b.num_rows]
-        n = sum(b.num_rows for b in held)
-        if n:
-            with fs.open_output_stream(f"{inner.rstrip('/')}/part-{TaskContext.get().partitionId():06d}.{layout}") as f:
-                if layout == "lshkit":
-                    f.write(struct.pack("<III", 4, n, dim))
-                for b in held:
-                    x = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(b.num_rows, -1)
-                    if x.shape[1] != dim:
-                        raise ValueError("vectors of several lengths")
-                    if layout == "fvecs":
-                        x = np.concatenate([np.full((len(x), 1), dim, dtype="<i4").view("<f4"), x], axis=1)
-                    if layout == "bvecs":
-                        x = np.concatenate([np.full((len(x), 1), dim, dtype="<i4").view(np.uint8), x.astype(np.uint8)], axis=1)
-                    f.write(x.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
-
-    dealt = vectors.select("pos", "embedding").repartitionByRange("pos").sortWithinPartitions("pos")
-    dealt.mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+    write_folder(vectors, path, layout)
+
+
+def noisy(vectors: DataFrame, noise: float, seed: int = 1) -> DataFrame:
+    """Vectors (pos, embedding) with Gaussian noise of ``noise`` times the standard deviation of all their numbers, drawn by position and place (the same when drawn again)."""
+    spread = float(vectors.select(F.explode("embedding").alias("x")).agg(F.stddev_pop("x")).first()[0] or 0)
+    # Two uniform numbers make one normal.
+    uniform = lambda k, s: (F.pmod(F.xxhash64("pos", k, F.lit(2 * seed + s)), F.lit(1 << 40)) + 1) / float(1 << 40)
+    normal = lambda k: F.sqrt(-2 * F.log(uniform(k, 0))) * F.cos(2 * math.pi * uniform(k, 1))
+    return vectors.withColumn("embedding", F.transform("embedding", lambda x, k: (x + normal(k) * (noise * spread)).cast("float")))
 
 
 def synthetic(spark: SparkSession, n: int, dimensions: int, noise: float = 0.0, seed: int = 1) -> DataFrame:

@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rangeloom.operators import exact, interval_index, keys, metrics, nndescent, rectangles, search, store
+from rangeloom.operators import dyadic, exact, interval_index, keys, layers, metrics, nndescent, rectangles, search, store
 from rangeloom.plans import sql
 from rangeloom.streaming.append import Maintainer
 
@@ -141,7 +141,7 @@ def test_vectors_that_cannot_be_compared(spark, vectors):
     assert triples(exact.graph(mixed, K)) == triples(exact.graph(sound, K))
     assert triples(exact.graph(mixed, K, nodes=mixed.where("pos < 9"))) == triples(exact.graph(sound, K, nodes=sound.where("pos < 9")))
     assert [r.pos for r in exact.query(mixed, rows[1][1], 5).collect()] == [r.pos for r in exact.query(sound, rows[1][1], 5).collect()]
-    assert rows_of(interval_index.build_near(mixed, nndescent.segments(mixed, 2 * K), K)) == rows_of(interval_index.build(sound, K))
+    assert rows_of(interval_index.build_near(mixed, nndescent.with_reverse(nndescent.hashed_graph(mixed, 2 * K)), K)) == rows_of(interval_index.build(sound, K))
     edges = exact.graph(sound, 2 * K)
     assert triples(nndescent.diverse(edges, mixed, K)) == triples(nndescent.diverse(edges, sound, K))
     assert triples(exact.rerank(edges, mixed, K)) == triples(exact.rerank(edges, sound, K))
@@ -152,7 +152,7 @@ def test_vectors_that_cannot_be_compared(spark, vectors):
     assert {r.pos for r in pq.encode(mixed).collect()} == {r[0] for r in rows if r[0] % 6}
     assert rectangles.build(mixed, K).count() == rectangles.build(sound, K).count()
     none = mixed.where("pos % 6 = 0")
-    for empty in (exact.graph(none, K), interval_index.build(none, K), exact.query(none, rows[1][1], 5), nndescent.hashed_graph(none, K), nndescent.build(none)[0], search.layered(none), rectangles.build(none, K)):
+    for empty in (exact.graph(none, K), interval_index.build(none, K), exact.query(none, rows[1][1], 5), nndescent.hashed_graph(none, K), nndescent.build(none)[0], layers.build(none), rectangles.build(none, K)):
         assert empty.count() == 0
     for ragged in ([(0, [1.0, 2.0]), (1, [1.0])], [(0, [1.0, 2.0, 3.0]), (1, [1.0])]):
         with pytest.raises(Exception, match="length"):
@@ -194,17 +194,111 @@ def test_pages(vectors):
     assert [r for p in pages for r in p] == [(r.pos, r.rank) for r in exact.query(v, point, 99, 3, 30).collect()]
 
 
+def degrees_hold(graph, m):
+    per = {(r.level, r.node): r["count"] for r in graph.groupBy("level", "node").count().collect()}
+    assert all(n <= m * (1 if level else 2) for (level, _), n in per.items())
+    assert graph.groupBy("level", "node", "nbr").count().where("count > 1").count() == 0
+    return per
+
+
+def layer_recall(spark, graph, x, gone=frozenset(), k=10, **more):
+    """Of the true neighbours of points near all vectors, the share that the search finds; nothing that is gone may be."""
+    v = frame(spark, x).where(~F.col("pos").isin([int(g) for g in gone]) if gone and "dead" not in more else F.lit(True))
+    points = x * 0.95 + 0.02
+    queries = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "qid bigint, embedding array<double>")
+    found = {}
+    for r in layers.search_many(graph, v, queries, k, **more).collect():
+        found.setdefault(r.qid, set()).add(r.pos)
+    hits = 0
+    for i, p in enumerate(points):
+        d = ((x - p) ** 2).sum(axis=1)
+        d[list(gone)] = np.inf
+        hits += len(set(np.argsort(d, kind="stable")[:k].tolist()) & found[i])
+        assert not found[i] & set(gone)
+    return hits / (len(points) * k)
+
+
 def test_layers(spark):
-    x = np.random.default_rng(3).standard_normal((300, 6))
+    """Grown in batches, inserted into, searched with deleted nodes and ranges, repaired."""
+    x = np.random.default_rng(3).standard_normal((220, 6))
     v = frame(spark, x)
-    layers = search.layered(v, search.Layers(m=5, candidates=20)).cache()
-    per = {(r.level, r.node): r["count"] for r in layers.groupBy("level", "node").count().collect()}
-    assert all(n <= (10 if level == 0 else 5) for (level, _), n in per.items()) and {level for level, _ in per} >= {0, 1}
-    above = {(r.level, r.node) for r in layers.select("level", "node").distinct().collect()}
-    assert all((0, node) in above for _, node in above)
-    for q in (3, 77):
-        want = {r.pos for r in exact.query(v, x[q].tolist(), 10).collect()}
-        assert len(want & {r.pos for r in search.layered_search(layers, v, x[q].tolist(), 10).collect()}) >= 9
+    p = layers.Layers(m=8, candidates=24, first=160)
+    graph = layers.insert(layers.build(v.where("pos < 150"), p), v.where("pos < 150"), v.where("pos >= 150"), p)
+    per = degrees_hold(graph, p.m)
+    assert {level for level, _ in per} >= {0, 1} and {node for level, node in per if level == 0} == set(range(220))
+    tops = {r.pos: r.top for r in layers.tops(v, p).collect()}
+    assert all(level <= tops[node] for level, node in per)
+    assert layer_recall(spark, graph, x) >= 0.95
+    gone = set(range(0, 220, 3))
+    assert layer_recall(spark, graph, x, gone, dead=spark.createDataFrame([(g,) for g in gone], "pos bigint")) >= 0.95
+    # Some vectors change, others go.
+    changed, away = set(range(5, 220, 20)), set(range(10, 220, 25))
+    y = x.copy()
+    y[list(changed)] = -x[list(changed)]
+    now = frame(spark, y).where(~F.col("pos").isin([int(a) for a in away]))
+    fixed = layers.repair(graph, now, spark.createDataFrame([(c,) for c in changed | away], "pos bigint"), p)
+    degrees_hold(fixed, p.m)
+    assert fixed.where(F.col("node").isin([int(a) for a in away]) | F.col("nbr").isin([int(a) for a in away])).count() == 0
+    stale = fixed.join(now.select(F.col("pos").alias("node"), F.col("embedding").alias("a")), "node").join(now.select(F.col("pos").alias("nbr"), F.col("embedding").alias("b")), "nbr")
+    assert all(abs(sum((p - q) ** 2 for p, q in zip(r.a, r.b, strict=True)) - r.dist) < 1e-3 for r in stale.collect())
+    assert layer_recall(spark, fixed, y, away) >= 0.95
+
+
+def test_searches_many_at_once(spark):
+    """The same results as one by one; trials, the largest distance, starts for each query, and rows a hop."""
+    x = np.random.default_rng(4).standard_normal((200, 5))
+    v = frame(spark, x).cache()
+    graph = nndescent.with_reverse(exact.graph(v, 5)).cache()
+    queries = spark.createDataFrame([(q * 10, (x[q] * 0.9).tolist()) for q in range(0, 200, 9)], "qid bigint, embedding array<double>")
+    info = []
+    found = search.graph_search_many(graph, v, queries, 5, search.Search(starts=4, trials=2, width=30), info=info).collect()
+    want = {q * 10: {r.pos for r in exact.query(v, (x[q] * 0.9).tolist(), 5).collect()} for q in range(0, 200, 9)}
+    got = {}
+    for r in found:
+        got.setdefault(r.qid, set()).add(r.pos)
+    assert sum(len(want[q] & got[q]) for q in want) >= 0.95 * 5 * len(want)
+    assert [r["hop"] for r in info] == list(range(1, len(info) + 1)) and info[-1]["entered"] == 0 and all(r["compared"] >= r["entered"] for r in info)
+    near = search.graph_search_many(graph, v, queries, 5, search.Search(starts=500, epsilon=1.0)).collect()
+    assert {(r.qid, r.pos) for r in near} == {(q, r) for q in want for r in want[q] if ((x[r] - x[q // 10] * 0.9) ** 2).sum() <= 1.0}
+    ranged = queries.withColumn("l", F.lit(40).cast("bigint")).withColumn("r", F.lit(90).cast("bigint"))
+    for r in search.graph_search_many(graph, v, ranged, 5, search.Search(starts=6, width=20)).collect():
+        assert 40 <= r.pos <= 90
+    assert search.graph_search_many(graph, v, queries.where("false"), 5, search.Search(starts=4)).count() == 0
+
+
+def test_radius_gate(spark):
+    """Fewer distances and no worse a graph, round by round."""
+    x = np.random.default_rng(5).standard_normal((500, 8))
+    v, done = frame(spark, x).cache(), {}
+    want = {(r.node, r.nbr) for r in exact.graph(v, 6).collect()}
+    for gate in (True, False):
+        rounds = []
+        graph, _ = nndescent.build(v, nndescent.Params(k=6, keep=18, sample=8, reverse=16, rounds=6, enough_recall=2.0, gate=gate), rounds=rounds)
+        got = {(r.node, r.nbr) for r in nndescent.truncated(graph, 6).collect()}
+        done[gate] = (sum(r["compared"] for r in rounds), len(want & got) / len(want))
+        assert all(r["compared"] > 0 for r in rounds[:2])
+    print("radius gate", done)
+    assert done[True][1] >= done[False][1] - 0.02 and done[True][1] >= 0.9
+
+
+@pytest.mark.parametrize("bits", [(1, 1), (2, 2), (6, 4)])
+def test_dyadic(spark, vectors, index, monkeypatch, tmp_path, bits):
+    """Every range, of grains of any size, from a table and from a saved one; rows are stored twice a level and grain at most."""
+    monkeypatch.setattr(dyadic, "FIRST_BITS", bits[0])
+    monkeypatch.setattr(dyadic, "STEP_BITS", bits[1])
+    monkeypatch.setattr(dyadic, "NODES_A_FOLDER", 16)
+    n = len(vectors[0])
+    ranges = [(n * low + high, low, high) for low in range(0, n, 4) for high in range(low, n, 3)] + [(10**6, -5, 3), (10**6 + 1, 50, 900), (10**6 + 2, 9, 3)]
+    df = spark.createDataFrame(ranges, "qid bigint, l bigint, r bigint")
+    want = {(r.qid, r.node, r.nbr, r["rank"]) for r in interval_index.graphs(index[0], df.where("l <= r AND l >= 0 AND r < 60"), K).collect()}
+    want |= {(q, *e) for q, low, high in ((10**6, 0, 3), (10**6 + 1, 50, n - 1)) for e in brute(vectors[0], low, high)}
+    rows = dyadic.layout(index[0], n)
+    assert {(r.qid, r.node, r.nbr, r["rank"]) for r in dyadic.graphs(rows, df, K, n).collect()} == want
+    dyadic.save(index[0], n, f"{tmp_path}/dyadic")
+    assert {(r.qid, r.node, r.nbr, r["rank"]) for r in dyadic.saved_graphs(spark, f"{tmp_path}/dyadic", df, K).collect()} == want
+    assert rows.groupBy("grain", "side", "level", "node", "nbr").count().agg(F.max("count")).first()[0] <= 2
+    few = dyadic.saved_graphs(spark, f"{tmp_path}/dyadic", df.where("qid = 1"), K)
+    assert few._jdf.queryExecution().executedPlan().toString().count("CartesianProduct") == 0 and "NestedLoop" not in few._jdf.queryExecution().executedPlan().toString()
 
 
 def test_empty_and_single(spark):
