@@ -15,7 +15,7 @@ from .mixing import OP2_SQL, op2_mixing
 from .packing import op12_packing
 from .quality import op3_quality
 from .simhash import op7_simhash
-from .structure import op11_structure
+from .structure import OP11_SQL, op11_structure
 from .token_counts import op8_token_counts
 
 
@@ -40,5 +40,5 @@ def queries():
 
 
 def oracle_sql():
-    own = {"op2_mixing": OP2_SQL, "op6_chat": OP6_SQL, "op9_embeddings": OP9_SQL, "planted_embeddings": PLANTED_SQL}
+    own = {"op2_mixing": OP2_SQL, "op6_chat": OP6_SQL, "op9_embeddings": OP9_SQL, "planted_embeddings": PLANTED_SQL, "op11_structure": OP11_SQL}
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

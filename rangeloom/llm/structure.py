@@ -436,3 +436,47 @@ def damaged(conversations: DataFrame) -> DataFrame:
 
 def op11_structure(spark, sf_dir) -> DataFrame:
     return repair(damaged(table(spark, sf_dir, "conversations")))
+
+
+#: By trying all edits row by row, and keeping of each state's ways the cheapest, of equal ones the ASCII-least.
+OP11_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce([b] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+keyed AS (
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+how AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, len(k) + 1), lambda i: ascii(substr(k, i, 1))::BIGINT), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) % 20 AS how FROM keyed, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM how, LATERAL (SELECT unnest(range(CASE how WHEN 3 THEN 2 ELSE 1 END))) WHERE how <> 0),
+n AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+o AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) = 1 AS is_first, left(role, 1) AS initial, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last FROM n),
+f AS MATERIALIZED (
+  SELECT *, CASE WHEN last = '' THEN 'blank' WHEN NOT is_first THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM o),
+ends AS (SELECT DISTINCT conv_id FROM conversations),
+s AS (
+  SELECT conv_id, 0::BIGINT AS i, state, cost, audit, made FROM ends, (VALUES (0, 0, '', CAST([] AS VARCHAR[])), (2, 5, 'I', ['user:']), (3, 10, 'II', ['user:', 'assistant:'])) b(state, cost, audit, made)
+  UNION ALL
+  SELECT conv_id, i, state, cost, audit, made FROM (
+    SELECT conv_id, i, CASE j WHEN 0 THEN state WHEN 1 THEN CASE state WHEN 2 THEN 3 ELSE 2 END ELSE CASE state WHEN 2 THEN 2 ELSE 3 END END AS state, cost + 5 * j AS cost, audit || repeat('I', j::INT) AS audit,
+           made || CASE j WHEN 0 THEN CAST([] AS VARCHAR[]) WHEN 1 THEN [CASE state WHEN 2 THEN 'assistant:' ELSE 'user:' END] ELSE CASE state WHEN 2 THEN ['assistant:', 'user:'] ELSE ['user:', 'assistant:'] END END AS made
+    FROM (
+      SELECT s.conv_id, f.i, e.letter, s.cost + e.price + CASE WHEN e.letter <> 'D' AND f.fault = 'truncated' THEN 5 ELSE 0 END AS cost, s.audit || e.letter AS audit,
+             CASE e.letter WHEN 'D' THEN s.state WHEN 'R' THEN CASE s.state WHEN 2 THEN 3 ELSE 2 END
+               ELSE CASE WHEN s.state = 0 AND f.initial = 's' THEN 1 WHEN s.state IN (0, 1, 3) AND f.initial = 'u' THEN 2 WHEN s.state = 2 AND f.initial = 'a' THEN 3 END END AS state,
+             s.made || CASE e.letter WHEN 'D' THEN CAST([] AS VARCHAR[]) WHEN 'K' THEN [f.role || ':' || f.text] ELSE [CASE s.state WHEN 2 THEN 'assistant:' ELSE 'user:' END || f.text] END AS made
+      FROM s JOIN f ON s.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = s.i + 1, (VALUES ('D', 2), ('K', 0), ('R', 1)) e(letter, price)
+      WHERE e.letter = 'D' OR f.fault IN ('', 'truncated')) x, range(3) r(j)
+    WHERE state IS NOT NULL) y
+  QUALIFY row_number() OVER (PARTITION BY conv_id, i, state ORDER BY cost, audit) = 1),
+per AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+         count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       s.cost::BIGINT AS cost, s.audit, sha256(array_to_string(s.made, chr(10))) AS repaired_sha256
+FROM ends e LEFT JOIN per p ON e.conv_id IS NOT DISTINCT FROM p.conv_id JOIN s ON s.conv_id IS NOT DISTINCT FROM e.conv_id AND s.i = coalesce(p.n, 0) AND s.state IN (0, 3)
+QUALIFY row_number() OVER (PARTITION BY e.conv_id ORDER BY s.cost, s.audit) = 1
+"""
