@@ -6,8 +6,9 @@ case). So a hard-wrapped notice stays whole, and a text of a paragraph a line is
 paragraph's different word n-grams (one to three words) weigh in a multinomial logistic regression whose
 weights, for n-grams of the templates only, are few enough to go to every task. The classes are the
 licence families and *unknown*; the probabilities are calibrated by a temperature, and a family below
-``ACCEPT`` counts as unknown. The share of the best template's n-grams that the paragraph has then
-confirms the family, or not.
+``ACCEPT`` counts as unknown. The share of the best template that the paragraph has then confirms the family,
+or not. Half of a template lies on the n-grams that no other family's templates have: what a licence shares
+with others (a "Public License 2.0" of another name) never confirms it.
 
 The lines of a paragraph are judged one by one as well, and stand instead of it where they confirm a
 family and it does not (an identifier among lines of code), or where they confirm different families
@@ -44,49 +45,62 @@ from .common import table
 #: How licences are named, granted and noted, by family.
 TEMPLATES = {
     "agpl-3.0": [
-        "Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0", "This program is licensed under the terms of the GNU AGPL v3.", "GNU Affero General Public License", "Published under the AGPL.", "Affero GPL", "GNU AGPL", "GNU AGPL version 3",
+        "Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0", "This program is licensed under the terms of the GNU AGPL v3.", "GNU Affero General Public License", "Published under the AGPL.", "Licence: AGPLv3", "AGPLv3", "Affero GPL", "GNU AGPL", "GNU AGPL version 3",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "all-rights-reserved": ["All rights reserved.", "Copyright 2020 the authors. All rights reserved.", "No part of this publication may be reproduced without permission. All rights reserved."],
     "apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0", "Released under the Apache 2.0 license.", "Licensed under Apache-2.0.", "Licence: Apache-2.0", "Apache License 2.0", "The Apache License", "Apache License Version 2.0, January 2004",
+        "Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0", "Released under the Apache 2.0 license.", "Licensed under Apache-2.0.", "Licence: Apache-2.0", "Apache License 2.0", "The Apache License", "Apache-2.0 licensed", "Available under the terms of the Apache License.", "Apache License Version 2.0, January 2004",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ],
     "bsd": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Released under the BSD License.", "Licensed under the 3-clause BSD license.", "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause", "BSD 3-Clause License", "BSD 2-Clause License", "Licensed under BSD.", "BSD License", "Licence: BSD", "Distributed under the BSD license.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Released under the BSD License.", "Licensed under the 3-clause BSD license.", "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause", "BSD 3-Clause License", "BSD 2-Clause License", "Licensed under BSD.", "BSD License", "Licence: BSD", "Distributed under the BSD license.", "BSD-licensed", "Available under the terms of the BSD license.",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
-    "cc-by-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
-    "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "cc0-1.0": ["Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work. Public domain dedication.", "CC0 1.0 Universal"],
+    "artistic-2.0": ["Licensed under the Artistic License 2.0.", "SPDX-License-Identifier: Artistic-2.0", "The Artistic License 2.0"],
+    "boost-1.0": ["Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0", "Boost Software License"],
+    "cc-by-4.0": ["Licensed under CC BY 4.0.", "CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Creative Commons Attribution 4.0", "SPDX-License-Identifier: CC-BY-4.0"],
+    "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "cc-by-nc-nd-4.0": ["Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0", "SPDX-License-Identifier: CC-BY-NC-ND-4.0"],
+    "cc-by-nc-sa-4.0": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0", "SPDX-License-Identifier: CC-BY-NC-SA-4.0"],
+    "cc-by-nd-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0", "SPDX-License-Identifier: CC-BY-ND-4.0"],
+    "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "cc0-1.0": ["Released under CC0 1.0.", "CC0", "Dedicated to the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work. Public domain dedication.", "CC0 1.0 Universal"],
+    "cddl-1.0": ["Licensed under the Common Development and Distribution License, version 1.0.", "SPDX-License-Identifier: CDDL-1.0", "Licensed under the CDDL."],
+    "epl-2.0": ["Licensed under the Eclipse Public License 2.0.", "This program is made available under the terms of the Eclipse Public License 2.0.", "Eclipse Public License v2.0", "SPDX-License-Identifier: EPL-2.0", "Licensed under the EPL."],
+    "eupl-1.2": ["Licensed under the European Union Public Licence, version 1.2.", "Licensed under the EUPL.", "SPDX-License-Identifier: EUPL-1.2"],
     "gpl-2.0": [
-        "This work is licensed under the GNU General Public License, version 2.", "Licensed under the GPL, version 2.", "SPDX-License-Identifier: GPL-2.0", "Licensed under the GPL v2.", "Licence: GPLv2", "Licensed under GPL-2.0-or-later.", "GNU General Public License Version 2, June 1991", "GNU General Public License version 2", "GNU GPL version 2",
+        "This work is licensed under the GNU General Public License, version 2.", "Licensed under the GPL, version 2.", "SPDX-License-Identifier: GPL-2.0", "Licensed under the GPL v2.", "Licence: GPLv2", "GPLv2", "Licensed under GPL-2.0-or-later.", "GNU General Public License Version 2, June 1991", "GNU General Public License version 2", "GNU GPL version 2",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     ],
     "gpl-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it under the terms of the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0", "Licensed under the GPL v3.", "Licence: GPLv3", "Licensed under GPL-3.0-or-later.", "GNU General Public License Version 3, 29 June 2007", "GNU General Public License version 3", "GNU GPL version 3",
+        "This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it under the terms of the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0", "Licensed under the GPL v3.", "Licence: GPLv3", "Licence: GPLv3+", "GPLv3", "Under GPLv3 or later.", "Licensed under GPL-3.0-or-later.", "GNU General Public License Version 3, 29 June 2007", "GNU General Public License version 3", "GNU GPL version 3",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "isc": [
-        "ISC License", "Released under the ISC License.", "SPDX-License-Identifier: ISC",
+        "ISC License", "Released under the ISC License.", "SPDX-License-Identifier: ISC", "Licensed under ISC.", "ISC-licensed", "Available under the terms of the ISC license.",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ],
     "lgpl": [
-        "Licensed under the GNU Lesser General Public License, version 3.", "Licensed under the LGPL.", "SPDX-License-Identifier: LGPL-2.1", "GNU Lesser General Public License",
+        "Licensed under the GNU Lesser General Public License, version 3.", "Licensed under the LGPL.", "Licence: LGPLv3", "Licence: LGPLv2.1", "LGPLv3", "SPDX-License-Identifier: LGPL-2.1", "GNU Lesser General Public License",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     ],
     "mit": [
-        "Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, to deal in the Software without restriction. MIT License.", "SPDX-License-Identifier: MIT", "MIT License", "The MIT License (MIT)", "Licensed under MIT.", "Licence: MIT", "Licensed to you under the MIT license.",
+        "Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, to deal in the Software without restriction. MIT License.", "SPDX-License-Identifier: MIT", "MIT License", "The MIT License (MIT)", "Licensed under MIT.", "Licence: MIT", "MIT-licensed", "Available under the terms of the MIT license.", "Licensed to you under the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ],
     "mpl-2.0": [
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0", "Mozilla Public License Version 2.0", "Licensed under MPL 2.0.", "Mozilla Public License 2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0", "Mozilla Public License Version 2.0", "Licensed under MPL 2.0.", "Mozilla Public License 2.0", "Available under MPL-2.0.",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     ],
+    "ofl-1.1": ["Licensed under the SIL Open Font License, Version 1.1.", "SPDX-License-Identifier: OFL-1.1", "SIL Open Font License"],
+    "osl-3.0": ["Licensed under the Open Software License version 3.0.", "SPDX-License-Identifier: OSL-3.0", "Open Software License 3.0"],
     "public-domain": ["This work is in the public domain.", "In the public domain.", "Released into the public domain.", "The author places this in the public domain."],
+    "unlicense": ["This is released under the Unlicense.", "SPDX-License-Identifier: Unlicense", "This is free and unencumbered software released into the public domain."],
+    "wtfpl": ["Licensed under the WTFPL.", "SPDX-License-Identifier: WTFPL", "WTFPL"],
+    "zlib": ["Licensed under the zlib license.", "SPDX-License-Identifier: Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."],
 }
 _OTHERS = [
     "She showed the officer a driving licence.", "The shop lost its liquor license last year.", "Copyright law differs between countries.", "The warranty covers parts and labour for two years.",
@@ -94,6 +108,7 @@ _OTHERS = [
     "The Apache helicopter landed near the village.", "Apache warriors rode north.", "MIT students built the robot.", "He studied at MIT and reserved a table.", "The general public was not licensed to enter version 3 of the park.",
     "Creative people commonly like commons.", "GPL prices rose.", "The public house has a licence until midnight.", "License plates are reserved for residents.", "See the license for details.", "Terms and conditions apply under this license.",
     "The report was released under embargo.", "Permission is granted by the council.", "The software is free of charge.", "Er ging mit dem Hund und mit der Frau in die Stadt.", "A copy of the notice was published in the journal.", "The library lends this work to members.", "The lesser known foundation published version 2.0 of its guide.",
+    "Licensed under the Example Public License 2.0.", "Released under a proprietary license.", "Available under the terms of the vendor license, version 1.0.", "Licensed under the Sample Software License, version 3.0.",
 ]
 #: What turns a grant into its denial, put before it; such sentences are learnt as unknown.
 _DENIALS = ("not", "no longer", "never", "this is not", "it is not", "was never", "is no longer", "not to be")
@@ -131,6 +146,10 @@ ACCEPT = 0.5
 #: The share of a template's n-grams that confirms a paragraph, and a line by itself (whose end may be the beginning of another name).
 CONFIRM, CONFIRM_LINE = 0.6, 0.9
 WIDTH = 3
+#: What a template's shares add up to, but for rounding; the sums of ``PACKED`` templates go in one number, ``BITS`` each.
+UNITS, BITS, PACKED = 1000, 12, 5
+#: Weights are summed as whole numbers of this part, so that the order of a sum does not matter.
+MICRO = 1_000_000
 _WORD, _WORD_JAVA = r"[^\W_]+", r"[\p{L}\p{N}]+"
 UNKNOWN = "unknown"
 
@@ -141,8 +160,24 @@ def grams_of(text: str) -> list[str]:
     return sorted({" ".join(words[i : i + n]) for n in range(1, WIDTH + 1) for i in range(len(words) - n + 1)})
 
 
+def _shares(templates: list[tuple[str, str]]) -> list[dict[str, int]]:
+    """Each template's n-grams and their shares of it, in ``UNITS``: half lies on those that no other family's templates have, if there are any."""
+    owners: dict[str, set[str]] = {}
+    for family, text in templates:
+        for g in grams_of(text):
+            owners.setdefault(g, set()).add(family)
+    out = []
+    for _, text in templates:
+        grams = grams_of(text)
+        own = {g for g in grams if len(owners[g]) == 1}
+        others = len(grams) - len(own)
+        halves = 2 if own and others else 1
+        out.append({g: max(1, round(UNITS / halves / (len(own) if g in own else others))) for g in grams})
+    return out
+
+
 class Model:
-    """``weights``: n-gram to a number for each class; ``parts``: n-gram to the numbers of the templates that have it, ``sizes`` n-grams each."""
+    """``weights``: n-gram to a number for each class; ``parts``: n-gram to (template, share) of those that have it; ``sizes``: the shares' sums."""
 
     def __init__(self, classes, bias, weights, templates, parts, sizes):
         self.classes, self.bias, self.weights, self.templates, self.parts, self.sizes = classes, bias, weights, templates, parts, sizes
@@ -157,8 +192,8 @@ class Model:
         name = self.classes[best] if p[best] >= ACCEPT else UNKNOWN
         hits = np.zeros(len(self.templates))
         for g in grams:
-            for t in self.parts.get(g, ()):
-                hits[t] += 1
+            for t, share in self.parts.get(g, ()):
+                hits[t] += share
         fits = max((h / s for h, s, f in zip(hits, self.sizes, self.templates, strict=True) if f == name), default=0.0)
         return name, float(p[best]), name != UNKNOWN and fits >= CONFIRM
 
@@ -168,11 +203,12 @@ def train(seed: int = 4) -> Model:
     rng = np.random.default_rng(seed)
     classes = [*sorted(TEMPLATES), UNKNOWN]
     templates = [(f, t) for f in sorted(TEMPLATES) for t in TEMPLATES[f]]
-    denied = [f"{d} {t[0].lower()}{t[1:]}" for _, t in templates if re.match(r"(?i)(?:licensed|released|published)\b", t) for d in _DENIALS]
+    denied = [f"{d} {t[0].lower()}{t[1:]}" for _, t in templates if re.match(r"(?i)(?:licensed|released|published|distributed|available)\b", t) for d in _DENIALS]
     denied += [re.sub(r"(?i)\bis (licensed|subject|in|free)\b", r"is not \1", t) for _, t in templates if re.search(r"(?i)\bis (?:licensed|subject|in the public|free)\b", t)]
     vocabulary = sorted({g for _, t in templates for g in grams_of(t)} | {g for t in _OTHERS for g in grams_of(t) if " " not in g} | {g for t in denied for g in grams_of(t) if re.search(r"\b(?:not|never|longer)\b", g)} | {f"{v} {rest}" for v in _VERBS for rest in ("under", "under the", "by")})
     vocabulary = [g for g in vocabulary if not _COMMON.issuperset(g.split())]
     number = {g: k for k, g in enumerate(vocabulary)}
+    names = {g[0] for g in (grams_of(t) for _, t in templates) if len(g) == 1}
     pool = [w for t in [*_OTHERS, *(t for _, t in templates)] for w in re.findall(_WORD, t.lower())]
 
     def varied(text: str, drop: float) -> str:
@@ -200,8 +236,8 @@ def train(seed: int = 4) -> Model:
         for _ in range(copies * 25):
             rows.append(" ".join(rng.choice(pool, rng.integers(1, 9))))
             of.append(len(classes) - 1)
-        # No word by itself makes a licence (one of another language may look the same).
-        for word in (g for g in vocabulary if " " not in g):
+        # No word by itself makes a licence (one of another language may look the same), but for those that are templates.
+        for word in (g for g in vocabulary if " " not in g and g not in names):
             rows += [word, varied(word, 0)]
             of += [len(classes) - 1] * 2
         for _ in range(copies * 40):
@@ -237,19 +273,26 @@ def train(seed: int = 4) -> Model:
     nll = lambda t: -(z[np.arange(len(z)), of] * t - np.logaddexp.reduce(z * t, axis=1)).mean()
     t = min((0.25, 0.35, 0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0), key=nll)
     weights = {g: np.round(w[k].astype(float) * t, 6) for g, k in number.items() if w[k].any()}
-    parts: dict[str, list[int]] = {}
-    for k, (_, text) in enumerate(templates):
-        for g in grams_of(text):
-            parts.setdefault(g, []).append(k)
-    return Model(classes, np.round(b.astype(float) * t, 6), weights, [f for f, _ in templates], parts, [len(grams_of(t)) for _, t in templates])
+    parts: dict[str, list[tuple[int, int]]] = {}
+    shares = _shares(templates)
+    for k, share in enumerate(shares):
+        for g, units in share.items():
+            parts.setdefault(g, []).append((k, units))
+    return Model(classes, np.round(b.astype(float) * t, 6), weights, [f for f, _ in templates], parts, [sum(share.values()) for share in shares])
 
 
 def _weights_table(spark: SparkSession, model: Model) -> DataFrame:
-    """The model as rows (gram, w, parts); a few thousand, from a literal."""
-    zero = [0.0] * len(model.classes)
-    rows = [{"gram": g, "w": list(model.weights.get(g, zero)), "parts": model.parts.get(g, [])} for g in sorted({*model.weights, *model.parts})]
+    """The model as rows (gram, w, fits); a few thousand, from a literal. The empty n-gram, which every unit has, weighs nothing."""
+    zero, lanes = [0] * len(model.classes), -(-len(model.templates) // PACKED)
+    assert max(model.sizes) < 1 << BITS
+    rows = [{"gram": "", "w": zero, "fits": [0] * lanes}]
+    for g in sorted({*model.weights, *model.parts}):
+        fits = [0] * lanes
+        for t, share in model.parts.get(g, ()):
+            fits[t // PACKED] += share << BITS * (t % PACKED)
+        rows.append({"gram": g, "w": [round(float(x) * MICRO) for x in model.weights.get(g, zero)], "fits": fits})
     text = json.dumps(rows)
-    schema = "array<struct<gram:string,w:array<double>,parts:array<int>>>"
+    schema = "array<struct<gram:string,w:array<bigint>,fits:array<bigint>>>"
     return spark.range(1).select(F.explode(F.from_json(F.lit(text), schema)).alias("x")).select("x.*")
 
 
@@ -303,7 +346,7 @@ def _filter(model: Model):
 
 
 def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
-    """row, doc_id, at, part, anchored, gram: the different n-grams of each paragraph that the filter lets through (part 0) and, if it has several, of its lines (from 1); one more n-gram, null, for each, and one with ``at`` -1 for each document."""
+    """row, doc_id, at, part, anchored, gram: the different n-grams of each paragraph that the filter lets through (part 0) and, if it has several, of its lines (from 1); one more n-gram, empty, for each, and one with ``at`` -1 for each document."""
     passes = _filter(model)
     kept = F.filter(F.transform(F.split("text", BREAK), lambda x, k: F.struct(k.alias("at"), x.alias("run"))), lambda x: passes(x["run"]))
     # A text that does not pass whole has no paragraph that does, and need not be split.
@@ -318,7 +361,7 @@ def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
     words = units.select("row", "doc_id", "at", "x.part", F.coalesce(F.col("x.line").rlike(ANCHORS), F.lit(False)).alias("anchored"), F.coalesce(F.regexp_extract_all(F.replace(F.lower("x.line"), F.lit("licence"), F.lit("license")), F.lit(f"({_WORD_JAVA})"), 1), F.array().cast("array<string>")).alias("words"))
     n = F.size("words")
     of = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice("words", i, k), " "))
-    grams = F.concat(*[F.when(n >= k, of(k)).otherwise(F.array().cast("array<string>")) for k in range(1, WIDTH + 1)], F.array(F.lit(None).cast("string")))
+    grams = F.concat(*[F.when(n >= k, of(k)).otherwise(F.array().cast("array<string>")) for k in range(1, WIDTH + 1)], F.array(F.lit("")))
     return words.select("row", "doc_id", "at", "part", "anchored", F.explode(F.array_distinct(grams)).alias("gram"))
 
 
@@ -326,15 +369,16 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per document: doc_id, family, probability, confirmed, n_paragraphs, families (each paragraph's, in order)."""
     model = model or train()
     docs = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    joined = paragraphs(docs, model).join(F.broadcast(_weights_table(docs.sparkSession, model)), "gram", "left")
+    joined = paragraphs(docs, model).join(F.broadcast(_weights_table(docs.sparkSession, model)), "gram")
     classes, templates = range(len(model.classes)), range(len(model.templates))
-    sums = [F.coalesce(F.sum(F.col("w")[c]), F.lit(0.0)).alias(f"z{c}") for c in classes] + [F.sum(F.when(F.array_contains("parts", t), 1).otherwise(0)).alias(f"t{t}") for t in templates]
+    sums = [F.sum(F.col("w")[c]).alias(f"z{c}") for c in classes] + [F.sum(F.col("fits")[k]).alias(f"t{k}") for k in range(-(-len(templates) // PACKED))]
+    part = lambda t: F.shiftright(f"t{t // PACKED}", BITS * (t % PACKED)).bitwiseAND(F.lit((1 << BITS) - 1))
     by_unit = joined.groupBy("row", "doc_id", "at", "part", "anchored").agg(*sums)
-    z = F.array(*[F.col(f"z{c}") + F.lit(float(model.bias[c])) for c in classes])
+    z = F.array(*[F.col(f"z{c}") / F.lit(float(MICRO)) + F.lit(float(model.bias[c])) for c in classes])
     top = F.array_max("z")
     total = F.aggregate("z", F.lit(0.0), lambda s, x: s + F.exp(x - top))
     names = F.array(*[F.lit(c) for c in model.classes])
-    fits = F.coalesce(*[F.when(F.col("name") == f, F.greatest(*[F.col(f"t{t}") / F.lit(float(model.sizes[t])) for t in templates if model.templates[t] == f], F.lit(0.0))) for f in sorted(TEMPLATES)], F.lit(0.0))
+    fits = F.coalesce(*[F.when(F.col("name") == f, F.greatest(*[part(t) / F.lit(float(model.sizes[t])) for t in templates if model.templates[t] == f], F.lit(0.0))) for f in sorted(TEMPLATES)], F.lit(0.0))
     judged = (
         by_unit.withColumn("z", z)
         .withColumn("p", 1 / total)
