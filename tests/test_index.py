@@ -397,6 +397,27 @@ def test_stream_state_is_compacted(spark, tmp_path):
     assert rows_of(keeper.index()) == rows_of(interval_index.build(keeper.vectors(), K))
 
 
+def test_stream_state_stays_small(spark, tmp_path):
+    """Folders are merged by levels: what is read, and the plan, do not grow with the number of batches."""
+    x = np.random.default_rng(3).integers(0, 4, (18, 3))
+    keeper = Maintainer(spark, str(tmp_path / "state"), K, compact_every=2)
+    plans = {}
+    for k in range(17):
+        keeper.add(spark.createDataFrame([(k, k, [float(v) for v in x[k]])], "id bigint, search_key bigint, embedding array<float>"), k * 10)
+        if k in (1, 15):
+            plans[k] = keeper.index()._jdf.queryExecution().optimizedPlan().toString().count("Relation")
+    assert plans[1] == plans[15] == 2
+    assert keeper._live(17) == ["4-15", "0-16"] and keeper._live(7) == ["2-3", "1-5", "0-6"] and keeper._live(0) == []
+    want = rows_of(interval_index.build(keeper.vectors(), K))
+    assert rows_of(keeper.index()) == want
+    left = lambda: sum(len(list((tmp_path / "state" / what).iterdir())) for what in ("vectors", "closed", "open"))
+    before = left()
+    assert keeper.vacuum() == before - 6 and left() == 6 and keeper.vacuum() == 0
+    assert rows_of(keeper.index()) == want
+    keeper.add(spark.createDataFrame([(17, 17, [float(v) for v in x[17]])], "id bigint, search_key bigint, embedding array<float>"), 170)
+    assert rows_of(keeper.index()) == rows_of(interval_index.build(keeper.vectors(), K)) and keeper.vectors().count() == 18
+
+
 def test_metrics(spark):
     edge = "node int, nbr int, dist double, rank int"
     truth = spark.createDataFrame([(0, 1, 1.0, 1), (0, 2, 2.0, 2), (1, 0, 1.0, 1)], edge)
