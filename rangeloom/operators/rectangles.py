@@ -18,24 +18,30 @@ from .blocks import grouped
 SCHEMA = "node bigint, l_lo bigint, l_hi bigint, r_lo bigint, r_hi bigint, pts array<bigint>"
 
 
-def _rectangles(node: int, nbrs: np.ndarray, k: int, open_: int):
-    """The rows of one node, from its neighbours nearest first."""
-    left, right = [], []  # ascending positions met so far
-    for p in nbrs.tolist():
-        own = left if p < node else right
-        own.insert(int(np.searchsorted(own, p)), p)
-        for a in range(max(0, k - len(right)), min(k, len(left)) + 1):
+def _rectangles(node: np.ndarray, nbr: np.ndarray, k: int, open_: int) -> list[np.ndarray]:
+    """Columns of ``SCHEMA`` (the points as a matrix) for a group's neighbours, ordered by node and nearest first.
+
+    The nodes go on together, a neighbour of each at a time; of those met so far a node keeps the k + 1
+    nearest to it by position on either side, of which every rectangle's sides and points are some.
+    """
+    starts = np.flatnonzero(np.diff(node, prepend=node[:1] - 1))
+    sizes, own = np.diff([*starts, len(node)]), node[starts]
+    left, right = np.full((len(starts), k + 1), -1), np.full((len(starts), k + 1), open_)
+    out = []
+    for t in range(sizes.max(initial=0)):
+        at = np.flatnonzero(sizes > t)
+        p = nbr[starts[at] + t]
+        on_left = p < own[at]
+        left[at] = -np.sort(-np.column_stack([left[at], np.where(on_left, p, -1)]), axis=1)[:, : k + 1]
+        right[at] = np.sort(np.column_stack([right[at], np.where(on_left, open_, p)]), axis=1)[:, : k + 1]
+        for a in range(k + 1):
             b = k - a
-            lefts, rights = left[len(left) - a :], right[:b]
-            if p not in lefts and p not in rights:
-                continue
-            yield (
-                left[len(left) - a - 1] if len(left) > a else -1,
-                lefts[0] if a else node,
-                rights[-1] if b else node,
-                right[b] if len(right) > b else open_,
-                lefts + rights,
-            )
+            l_hi = left[at, a - 1] if a else own[at]
+            r_lo = right[at, b - 1] if b else own[at]
+            holds = (l_hi >= 0) & (r_lo < open_) & np.where(on_left, p >= l_hi, p <= r_lo)
+            x = at[holds]
+            out.append((own[x], left[x, a], l_hi[holds], r_lo[holds], right[x, b], np.column_stack([left[x, :a][:, ::-1], right[x, :b]])))
+    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5 + [np.zeros((0, k), np.int64)]
 
 
 def build(vectors: DataFrame, k: int) -> DataFrame:
@@ -48,14 +54,10 @@ def build(vectors: DataFrame, k: int) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         node, nbr, dist = (t.column(c).to_numpy() for c in ("node", "nbr", "dist"))
         order = np.lexsort((nbr, dist, node))
-        node, nbr = node[order], nbr[order]
-        rows = []
-        cuts = np.flatnonzero(np.diff(node, prepend=node[0] - 1))
-        for a, b in zip(cuts, [*cuts[1:], len(node)], strict=True):
-            rows += [(int(node[a]), *r) for r in _rectangles(int(node[a]), nbr[a:b], k, interval_index.OPEN)]
+        *numbers, points = _rectangles(node[order], nbr[order], k, interval_index.OPEN)
         names = ["node", "l_lo", "l_hi", "r_lo", "r_hi"]
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-        return pa.table({**{n: pa.array(c, pa.int64()) for n, c in zip(names, columns, strict=False)}, "pts": pa.array(columns[5], pa.list_(pa.int64()))})
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, points.size + 1, k), pa.int32()), pa.array(points.ravel(), pa.int64()))
+        return pa.table({**{n: pa.array(c, pa.int64()) for n, c in zip(names, numbers, strict=True)}, "pts": lists})
 
     return grouped(index.withColumn("part", F.floor(F.col("node") / interval_index.NODES_A_GROUP)), "part").applyInArrow(run, SCHEMA)
 

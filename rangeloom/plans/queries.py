@@ -87,6 +87,13 @@ def held(spark, sf_dir, low: int | None = None, high: int | None = None) -> Data
     return store.load_index(spark, saved_index(spark, sf_dir), low, high)
 
 
+def held_as(spark, sf_dir, name: str, vectors: DataFrame, low: int, high: int, metric: str = "l2sqr") -> DataFrame:
+    """What a range needs of a saved index by another metric or key; its first use for these tables builds it."""
+    stamps = "|".join(stamp(spark, f"{sf_dir}/{t}.parquet") for t in ("embeddings", "events"))
+    path = store.kept(spark, f"index-{name}-{K}", stamps, lambda path: store.save_index(interval_index.build(vectors, K, name=metric), path))
+    return store.load_index(spark, path, low, high)
+
+
 def index_node_lookup(spark, sf_dir):
     return interval_index.lookup(held(spark, sf_dir, 150, 150), 150, LOW, HIGH).select("side", "nbr", "sub", F.round("dist", 6).alias("dist"))
 
@@ -298,11 +305,11 @@ def sql_range_graph(spark, sf_dir):
 
 
 def inner_product_range_graph(spark, sf_dir):
-    return edges(interval_index.graph(interval_index.build(by_label(spark, sf_dir), K, name="ip"), K, LOW, HIGH))
+    return edges(interval_index.graph(held_as(spark, sf_dir, "ip", by_label(spark, sf_dir), LOW, HIGH, "ip"), K, LOW, HIGH))
 
 
 def cosine_range_graph(spark, sf_dir):
-    return edges(interval_index.graph(interval_index.build(by_label(spark, sf_dir), K, name="cosine"), K, LOW, HIGH))
+    return edges(interval_index.graph(held_as(spark, sf_dir, "cosine", by_label(spark, sf_dir), LOW, HIGH, "cosine"), K, LOW, HIGH))
 
 
 def next_neighbours(spark, sf_dir):
@@ -316,11 +323,11 @@ def time_key_range_graph(spark, sf_dir):
     v = by_event(spark, sf_dir, "ts")
     low, high = (v.where(F.col("pos") == p).select("search_key").first()[0] for p in (LOW, HIGH))
     r = keys.position_range(v, low, high).first()
-    return edges(interval_index.graph(interval_index.build(v, K), K, r["l"], r["r"]))
+    return edges(interval_index.graph(held_as(spark, sf_dir, "ts", v, r["l"], r["r"]), K, r["l"], r["r"]))
 
 
 def value_key_range_graph(spark, sf_dir):
-    return edges(interval_index.graph(interval_index.build(by_event(spark, sf_dir, "value"), K), K, LOW, HIGH))
+    return edges(interval_index.graph(held_as(spark, sf_dir, "value", by_event(spark, sf_dir, "value"), LOW, HIGH), K, LOW, HIGH))
 
 
 def _reached(want: DataFrame, got: DataFrame, by: tuple[str, ...], least: float = 0.9) -> DataFrame:
