@@ -111,3 +111,13 @@ def test_core_without_the_training_data_operators(monkeypatch):
     for name in [n for n in sys.modules if n.startswith("rangeloom.llm")]:
         monkeypatch.delitem(sys.modules, name)
     assert set(__spark_entry__.queries()) == set(catalog.queries())
+
+
+def test_integer_distance_in_single_precision(spark, tmp_path):
+    """0.18 as a float, times 100: 18 in single precision, as SQL reckons, 17.99… in double."""
+    rows = [(0, [0.17999999225139618] * 64, 0), (1, [0.0] * 64, 0), (2, [0.28999999165534973] * 64, 0)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got, want = catalog.queries()["integer_distance"](spark, str(tmp_path)).toPandas(), con.execute(catalog.oracle_sql()["integer_distance"]).df()
+    assert tidy(got) == tidy(want) and sorted(got["d"]) == [64 * 18**2, 64 * 29**2]
