@@ -90,7 +90,7 @@ def main(argv: list[str] | None = None) -> None:
         if args.kind == "interval":
             store.save_index(interval_index.build(v, args.k, name=args.metric), args.out)
         elif args.kind == "near":
-            store.save_index(interval_index.build_near(v, nndescent.segments(v, 2 * args.k, name=args.metric), args.k, name=args.metric), args.out)
+            store.save_index(interval_index.build_near(v, nndescent.with_reverse(nndescent.hashed_graph(v, 2 * args.k, name=args.metric)), args.k, name=args.metric), args.out)
         else:
             graph, info = nndescent.build(v, nndescent.Params(k=args.k, name=args.metric))
             graph = graph.drop("is_new")
