@@ -465,3 +465,13 @@ def blocks_far(x, name):
 
     n = len(x)
     return row_distances(np.repeat(x, n, axis=0), np.tile(x, (n, 1)), name).reshape(n, n)
+
+
+def test_layers_scan_where_it_is_cheaper(spark, monkeypatch):
+    """No hop is walked while a graph of few vectors grows, and a search walks its lowest level alone."""
+    x = np.random.default_rng(5).standard_normal((120, 5))
+    v, rows = frame(spark, x), []
+    graph = layers.build(v, layers.Layers(m=8, candidates=16, first=60), rows)
+    assert rows == []
+    assert layer_recall(spark, graph, x, info=rows) >= 0.95
+    assert {r["level"] for r in rows} == {0}
