@@ -475,3 +475,12 @@ def test_layers_scan_where_it_is_cheaper(spark, monkeypatch):
     assert rows == []
     assert layer_recall(spark, graph, x, info=rows) >= 0.95
     assert {r["level"] for r in rows} == {0}
+
+
+def test_descent_is_finished_exactly(spark):
+    """What a single round leaves out is found by the screen, where the controls say that it is too little."""
+    x = np.random.default_rng(6).standard_normal((150, 8))
+    v = frame(spark, x)
+    graph, info = nndescent.build(v, nndescent.Params(k=K, keep=6, sample=1, reverse=2, rounds=1, enough_recall=1.0))
+    assert info["stop"].endswith("then all") and info["recall"] == 1.0
+    assert triples(nndescent.truncated(graph, K)) == triples(exact.graph(v, K))
