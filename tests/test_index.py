@@ -484,3 +484,23 @@ def test_descent_is_finished_exactly(spark):
     graph, info = nndescent.build(v, nndescent.Params(k=K, keep=6, sample=1, reverse=2, rounds=1, enough_recall=1.0))
     assert info["stop"].endswith("then all") and info["recall"] == 1.0
     assert triples(nndescent.truncated(graph, K)) == triples(exact.graph(v, K))
+
+
+def test_a_point_travels_once_to_each_part(spark):
+    """Pairs are measured where their vectors are: each once, none that is known, none farther than a full beam's last."""
+    rng = np.random.default_rng(4)
+    x, q = rng.standard_normal((600, 4)), rng.standard_normal((20, 4))
+    own = search.prepared(frame(spark, x))
+    held = search._store(own)
+    assert {c for c, kind in held.rows.dtypes if kind.startswith("array")} == set()
+    asked = search.asked(spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(q)], "qid bigint, embedding array<double>"), 3)
+    met = spark.createDataFrame([(a, b) for a in range(20) for b in (*range(a, 600, 7), a, 9999)], "qid bigint, pos bigint")
+    far = lambda a, b: float(((np.float32(x[b]).astype(float) - q[a]) ** 2).sum())
+    rows = search._measured(met, held, asked, "l2sqr").collect()
+    pairs = {(r.qid, r.pos): r.dist for r in rows if r.qid is not None}
+    assert set(pairs) == {(a, b) for a in range(20) for b in range(a, 600, 7)} and all(abs(d - far(*p)) < 1e-9 for p, d in pairs.items())
+    assert sum(r.n or 0 for r in rows) == len(pairs) == sum(r.qid is not None for r in rows)
+    best = {a: sorted((far(a, b), b) for b in range(600))[:40] for a in range(20)}
+    known = spark.createDataFrame([(a, b, d, True) for a, near in best.items() for d, b in near[2:6]], "qid bigint, pos bigint, dist double, ok boolean")
+    again = {(r.qid, r.pos) for r in search._measured(met, held, asked, "l2sqr", known).collect() if r.qid is not None}
+    assert again == {(a, b) for a in range(20) for d, b in best[a][:2] if (b - a) % 7 == 0 and b >= a}
