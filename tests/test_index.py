@@ -504,3 +504,28 @@ def test_a_point_travels_once_to_each_part(spark):
     known = spark.createDataFrame([(a, b, d, True) for a, near in best.items() for d, b in near[2:6]], "qid bigint, pos bigint, dist double, ok boolean")
     again = {(r.qid, r.pos) for r in search._measured(met, held, asked, "l2sqr", known).collect() if r.qid is not None}
     assert again == {(a, b) for a in range(20) for d, b in best[a][:2] if (b - a) % 7 == 0 and b >= a}
+
+
+@pytest.mark.parametrize("hops", [1, 2, 10])
+def test_frontier_as_defined(spark, hops):
+    """Steps by packed lists equal the steps by the definition, node by node; nothing but packed lists is held."""
+    rng = np.random.default_rng(6)
+    n, k, reach = 90, 2, 0.5
+    edges = {a: {int(b) for b in rng.integers(0, n, 3)} - {a} for a in range(n) if a != 7}
+    got = interval_index.frontier(frame(spark, rng.standard_normal((n, 3))), spark.createDataFrame([(a, b) for a, to in edges.items() for b in to], "node bigint, nbr bigint"), k, hops, reach)
+    assert dict(got.dtypes)["found"] == "binary"
+    mean, least = sum(len(v) for v in edges.values()) / n, int(np.ceil(reach * np.sqrt(k * n)))
+    want = {}
+    for a in range(n):
+        found, step = set(), edges.get(a, set())
+        for hop in range(1, hops + 1):
+            new = step - found - {a}
+            found |= new
+            left, right = sorted((b for b in found if b < a), reverse=True), sorted(b for b in found if b > a)
+            l = max(min(left[k - 1] if len(left) >= k else -1, a - least), -1)
+            r = min(max(right[k - 1] if len(right) >= k else n, a + least), n)
+            if not new or not (r - l >= len(new) * mean or len(found) < min(least, n - 1)):
+                break
+            step = {c for b in new for c in edges.get(b, ())}
+        want[a] = (l, r, sorted(found))
+    assert {r.node: (r.l, r.r, np.frombuffer(r.found, dtype=np.int64).tolist()) for r in got.collect()} == want
