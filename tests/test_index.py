@@ -495,6 +495,22 @@ def test_layers_scan_where_it_is_cheaper(spark, monkeypatch):
     assert {r["level"] for r in rows} == {0}
 
 
+def test_layers_scanned_as_one(spark, monkeypatch):
+    """The same graph as level by level, where both scan, in fewer jobs, since their number does not grow with the levels."""
+    x = np.random.default_rng(8).standard_normal((150, 5))
+    v = frame(spark, x).where("pos <> 40").cache()
+    p, got = layers.Layers(m=2, candidates=160, first=100), []
+    for pairs in (layers.SCAN_PAIRS, 0):
+        monkeypatch.setattr(layers, "SCAN_PAIRS", pairs)
+        before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+        graph = layers.insert(layers.build(v.where("pos < 90"), p), v.where("pos < 90"), v.where("pos >= 90"), p)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before
+        got.append(({(r.level, r.node, r.nbr, r.dist) for r in graph.collect()}, jobs))
+    assert {level for level, *_ in got[0][0]} >= {0, 1} and got[0][0] == got[1][0]
+    print("jobs", got[0][1], got[1][1])
+    assert got[0][1] < 0.8 * got[1][1]
+
+
 def test_descent_is_finished_exactly(spark):
     """What a single round leaves out is found by the screen, where the controls say that it is too little."""
     x = np.random.default_rng(6).standard_normal((150, 8))
