@@ -148,7 +148,7 @@ def _at(records: DataFrame, head: int) -> tuple[DataFrame, int]:
 
 def write_graph(graph: DataFrame, path: str, nodes: int | None = None, with_distance: bool = True) -> None:
     """A graph (node, nbr, dist, rank; is_new and m if it has them) of nodes from 0 on as one file; nodes without a neighbour have a record, too."""
-    spark = graph.sparkSession
+    spark, graph = graph.sparkSession, cut(graph)
     own = graph.withColumns({c: v for c, v in {"is_new": F.lit(False), "m": F.lit(None).cast("int")}.items() if c not in graph.columns})
     lists = own.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("rank", "nbr", "dist", "is_new"))).alias("n"), F.max("m").alias("m"))
     if nodes is None:

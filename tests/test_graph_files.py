@@ -109,3 +109,17 @@ def test_placed_bytes(spark, tmp_path):
     with pytest.raises(Exception, match="were placed where"):
         sinks.write_placed(rows, path, 9)
     assert open(path, "rb").read() == b"abXXcdef" and os.listdir(tmp_path) == ["file"]
+
+
+def test_a_written_graph_is_worked_out_once(spark, tmp_path):
+    """Its plan runs once, though its nodes are counted and its lists made of it."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(n, (n + 1) % 6, 0.5, 1) for n in range(6)], "node bigint, nbr bigint, dist double, rank int")
+    graphs.write_graph(rows.mapInArrow(run, rows.schema), f"{tmp_path}/once.bin")
+    assert seen.value == 6 and graphs.read_graph(spark, f"{tmp_path}/once.bin").count() == 6
