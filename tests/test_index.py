@@ -511,6 +511,25 @@ def test_layers_scanned_as_one(spark, monkeypatch):
     assert got[0][1] < 0.8 * got[1][1]
 
 
+def test_layers_grow_in_few_batches(spark, monkeypatch):
+    """Where a scan is cheaper, batches grow by more than twice (before: six batches here), and what is found is not less, also among clusters larger than the candidates."""
+    rng, sizes, put = np.random.default_rng(9), [], layers._put
+    x = rng.standard_normal((600, 6))
+    x[300:] = rng.standard_normal((6, 6)).repeat(50, axis=0) * 9 + x[300:] / 9
+    monkeypatch.setattr(layers, "_put", lambda graph, old, come, *more: sizes.append(come.count()) or put(graph, old, come, *more))
+    p = layers.Layers(m=8, candidates=32, first=20)
+    graph = layers.build(frame(spark, x), p)
+    assert sum(sizes) == 600 and len(sizes) == 3
+    degrees_hold(graph, p.m)
+    assert layer_recall(spark, graph, x) >= 0.95
+    # Not where these would be too many pairs: they double there.
+    sizes.clear()
+    monkeypatch.setattr(layers, "_put", lambda graph, old, come, *more: sizes.append(come.count()) or graph)
+    monkeypatch.setattr(layers, "SCAN_PAIRS", 1000)
+    layers.build(frame(spark, x), p)
+    assert sum(sizes) == 600 and len(sizes) == 6
+
+
 def test_descent_is_finished_exactly(spark):
     """What a single round leaves out is found by the screen, where the controls say that it is too little."""
     x = np.random.default_rng(6).standard_normal((150, 8))
