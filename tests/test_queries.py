@@ -121,3 +121,18 @@ def test_integer_distance_in_single_precision(spark, tmp_path):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     got, want = catalog.queries()["integer_distance"](spark, str(tmp_path)).toPandas(), con.execute(catalog.oracle_sql()["integer_distance"]).df()
     assert tidy(got) == tidy(want) and sorted(got["d"]) == [64 * 18**2, 64 * 29**2]
+
+
+@pytest.mark.parametrize("name", ["multi_range_graph", "saved_index_multi_range"])
+def test_batch_reads_its_ranges_part_of_the_index(spark, tmp_path, monkeypatch, name):
+    """Of a saved index of four folders, the one that holds the batch's nodes."""
+    monkeypatch.setattr(q.store, "NODES_A_FOLDER", 500)
+    read, graphs = [], q.interval_index.graphs
+    monkeypatch.setattr(q.interval_index, "graphs", lambda index, *more: read.append(index) or graphs(index, *more))
+    spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.queries()[name](spark, str(tmp_path))
+    assert read[0].agg({"node": "max"}).first()[0] == 499
+    every = q.held(spark, str(tmp_path))
+    want = graphs(every, spark.createDataFrame(q.RANGES, "qid int, l bigint, r bigint"), q.K)
+    assert every.agg({"node": "max"}).first()[0] == 1999
+    assert want.count() == got.count() and got.select("qid", "node", "nbr").exceptAll(want.select("qid", "node", "nbr")).count() == 0
