@@ -266,6 +266,28 @@ def test_searches_many_at_once(spark):
     assert search.graph_search_many(graph, v, queries.where("false"), 5, search.Search(starts=4)).count() == 0
 
 
+def test_batches_are_judged(spark, monkeypatch):
+    """Over a graph of separate parts a batch finds all by a screen where its walks fall short (before: what one part held), and its controls alone have walked for it where it is large."""
+    x = np.random.default_rng(14).standard_normal((150, 5)) + np.repeat(np.eye(5) * 30, 30, axis=0)
+    v, walked, walk = frame(spark, x).cache(), [], search.walk
+    graph = nndescent.with_reverse(exact.graph(v, 4)).cache()
+    queries = v.select(F.col("pos").alias("qid"), "embedding")
+    monkeypatch.setattr(search, "CONTROLS", 12)
+    monkeypatch.setattr(search, "walk", lambda asked, *more: walked.append(asked.count()) or walk(asked, *more))
+    want = {(r.node, r.nbr) for r in exact.graph(v, 5, nodes=v, with_self=True).collect()}
+    for tried, many in ((50, [12]), (1000, [150])):
+        monkeypatch.setattr(search, "TRIED", tried)
+        walked.clear()
+        found = search.graph_search_many(graph, v, queries, 5, search.Search(starts=1, width=10))
+        assert {(r.qid, r.pos) for r in found.collect()} == want and walked == many
+    # Walks that find enough are what is returned.
+    walked.clear()
+    monkeypatch.setattr(search, "ENOUGH", 0.0)
+    monkeypatch.setattr(search, "TRIED", 50)
+    found = search.graph_search_many(graph, v, queries, 5, search.Search(starts=1, width=10))
+    assert {(r.qid, r.pos) for r in found.collect()} < want | {(q, p) for q in range(150) for p in range(150)} and walked == [12, 150]
+
+
 def test_radius_gate(spark):
     """Fewer distances and no worse a graph, round by round."""
     x = np.random.default_rng(5).standard_normal((500, 8))
