@@ -288,6 +288,16 @@ def test_batches_are_judged(spark, monkeypatch):
     assert {(r.qid, r.pos) for r in found.collect()} < want | {(q, p) for q in range(150) for p in range(150)} and walked == [12, 150]
 
 
+def test_layered_batches_are_judged(spark, monkeypatch):
+    """As above, on a layered graph most of whose edges are missing; deleted nodes are not found by the screen either."""
+    x = np.random.default_rng(15).standard_normal((70, 5))
+    graph = layers.build(frame(spark, x), layers.Layers(m=8, candidates=16)).where("level > 0 OR (node % 7 = nbr % 7)")
+    monkeypatch.setattr(search, "CONTROLS", 7)
+    monkeypatch.setattr(search, "TRIED", 50)
+    gone = set(range(0, 70, 3))
+    assert layer_recall(spark, graph, x, gone, width=12, dead=spark.createDataFrame([(g,) for g in gone], "pos bigint")) * 10 * 70 == 10 * 70
+
+
 def test_radius_gate(spark):
     """Fewer distances and no worse a graph, round by round."""
     x = np.random.default_rng(5).standard_normal((500, 8))
