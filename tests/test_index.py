@@ -562,6 +562,15 @@ def test_layers_grow_in_few_batches(spark, monkeypatch):
     assert sum(sizes) == 600 and len(sizes) == 6
 
 
+def test_large_layers_grow_by_scans(spark, monkeypatch):
+    """A graph of 600,000 vectors grows eightfold a batch too, each scanned (before: its last batches doubled, and walked)."""
+    v, sizes = spark.range(600_000).select(F.col("id").alias("pos"), F.array(F.lit(1.0)).alias("embedding")), []
+    monkeypatch.setattr(layers, "_put", lambda graph, old, come, *more: sizes.append((old.count(), come.count())) or graph)
+    layers.build(v, layers.Layers(first=256))
+    assert sum(come for _, come in sizes) == 600_000 and len(sizes) == 5
+    assert all((old + come) * come <= layers.SCAN_PAIRS for old, come in sizes)
+
+
 def test_descent_is_finished_exactly(spark):
     """What a single round leaves out is found by the screen, where the controls say that it is too little."""
     x = np.random.default_rng(6).standard_normal((150, 8))
